@@ -23,33 +23,47 @@ _NL = (1, 13, 14)
 _SKIP = (0, 2, 12)
 
 
-def profile_one(packed) -> tuple:
-    """Profile of one text from its packed role vector."""
-    p = np.asarray(packed, dtype=np.int64)
+def _emission(p: np.ndarray):
+    """Role codes, kept mask, and for kept lexemes: widths, bracket depth
+    after each one, and which line-break candidates become NEWLINE tokens."""
     n = p.size
-    if n == 0:
-        return (0,) * len(PROFILE_FIELDS)
     k = p & 31
     longer = (p >> 5) & 1
     width = p >> 6
-
-    unknown = k == 3
-    e1 = int(np.count_nonzero(unknown & ~np.concatenate(([False], unknown[:-1]))))
-
     # the lexer drops a line break when the next character is CR, LF or '#'
     # and one more character follows it
     nxt_k = np.concatenate((k[1:], [-1]))
     nxt_long = np.concatenate((longer[1:], [0])).astype(bool)
     after_next = np.arange(n) + 2 < n
     quiet = np.isin(nxt_k, (1, 12)) & (nxt_long | after_next)
-
     keep = ~np.isin(k, _SKIP)
     ks, ws, qs = k[keep], width[keep], quiet[keep]
     is_nl = np.isin(ks, _NL)
     delta = (ks == 6).astype(np.int64) - (ks == 7)
     depth = np.cumsum(delta)
-    before = depth - delta
-    emit = is_nl & (before <= 0) & ~qs
+    emit = is_nl & ((depth - delta) <= 0) & ~qs
+    return k, keep, ks, ws, is_nl, depth, emit
+
+
+def emit_flags_one(packed) -> list:
+    """Per lexeme: is it a line break the lexer emits as NEWLINE?"""
+    p = np.asarray(packed, dtype=np.int64)
+    if p.size == 0:
+        return []
+    _, keep, _, _, _, _, emit = _emission(p)
+    out = np.zeros(p.size, dtype=bool)
+    out[np.flatnonzero(keep)] = emit
+    return out.tolist()
+
+
+def profile_one(packed) -> tuple:
+    """Profile of one text from its packed role vector."""
+    p = np.asarray(packed, dtype=np.int64)
+    if p.size == 0:
+        return (0,) * len(PROFILE_FIELDS)
+    k, keep, ks, ws, is_nl, depth, emit = _emission(p)
+    unknown = k == 3
+    e1 = int(np.count_nonzero(unknown & ~np.concatenate(([False], unknown[:-1]))))
     tok = ~is_nl
 
     final_depth = int(depth[-1]) if depth.size else 0
@@ -110,3 +124,8 @@ def profile_udf(packed: pd.Series) -> pd.DataFrame:
     rows = [profile_one(v) if v is not None else (None,) * len(PROFILE_FIELDS) for v in packed]
     out = pd.DataFrame(rows, columns=PROFILE_FIELDS)
     return out.astype("Int32") if out.isna().any().any() else out.astype("int32")
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def emit_flags_udf(packed: pd.Series) -> pd.Series:
+    return pd.Series([emit_flags_one(v) if v is not None else None for v in packed])
