@@ -6,25 +6,43 @@ lexemes, ranked by count then text.  Id ``vocab_size`` is ``<unk>`` and
 ``vocab_size + 1`` is ``<eos>`` (used for padding, like the original pad =
 end token).
 
-Encoding explodes lexemes and broadcast-joins the vocabulary (its size is
-capped by ``vocab_size``); documents are hash-partitioned by key *before*
-the explode, so regrouping the ids needs no second shuffle.  Decoding
-indexes a broadcast one-row array of the vocabulary, with no shuffle.
+Texts are lexed once and checkpointed.  The vocabulary (capped by
+``vocab_size``, so its size is bounded) is counted with map-side partial
+aggregation and broadcast; encoding is then a map-only pandas UDF (hash
+lookups on Arrow batches) and decoding indexes a broadcast one-row array.
+Neither direction shuffles the token stream.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import lexing as L
+from ..session import materialize
 
 DEFAULT_VOCAB = 50000
 
 
+def lex_documents(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, lexemes)`` written once to the shared folder, so the
+    vocabulary and the ids read it instead of lexing twice."""
+    lexed = df.select(key, L.py_lexemes(text).alias("lexemes"))
+    return materialize(lexed)
+
+
 def build_vocab(df: DataFrame, text: str, vocab_size: int = DEFAULT_VOCAB) -> DataFrame:
-    """``(lexeme, id)`` for the ``vocab_size`` most frequent lexemes."""
-    counts = (df.select(F.explode(L.py_lexemes(text)).alias("lexeme"))
+    """``(lexeme, id)`` for the ``vocab_size`` most frequent lexemes of ``text``."""
+    return vocab_from_lexemes(df.select(L.py_lexemes(text).alias("lexemes")), "lexemes", vocab_size)
+
+
+def vocab_from_lexemes(lexed: DataFrame, lexemes: str, vocab_size: int = DEFAULT_VOCAB) -> DataFrame:
+    """Vocabulary from a lexeme-array column (counts combine map-side first,
+    so a very frequent lexeme does not pile up in one task)."""
+    counts = (lexed.select(F.explode(lexemes).alias("lexeme"))
                 .groupBy("lexeme").agg(F.count(F.lit(1)).alias("n")))
     top = counts.orderBy(F.desc("n"), F.asc("lexeme")).limit(int(vocab_size))
     # numbering at most vocab_size rows: bounded, one small task
@@ -35,19 +53,36 @@ def build_vocab(df: DataFrame, text: str, vocab_size: int = DEFAULT_VOCAB) -> Da
 def tokenize_ids(df: DataFrame, key: str, text: str, vocab: DataFrame, vocab_size: int,
                  max_length: int | None = None) -> DataFrame:
     """K1 (+K2): ``(key, input_ids)``; unknown lexemes get id ``vocab_size``."""
-    spark = df.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, 1)
-    docs = df.select(key, text).repartition(parts, key)
-    ex = docs.select(key, F.posexplode(L.py_lexemes(text)).alias("pos", "lexeme"))
-    j = ex.join(F.broadcast(vocab), "lexeme", "left")
-    j = j.select(key, "pos", F.coalesce("id", F.lit(vocab_size)).alias("id"))
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_z"))
-    ids = F.transform("_z", lambda z: z["id"])
+    lexed = df.select(key, L.py_lexemes(text).alias("lexemes"))
+    return tokenize_lexemes(lexed, key, "lexemes", vocab, vocab_size, max_length)
+
+
+def tokenize_lexemes(lexed: DataFrame, key: str, lexemes: str, vocab: DataFrame, vocab_size: int,
+                     max_length: int | None = None) -> DataFrame:
+    """K1 from a lexeme-array column: a map-only job.
+
+    The vocabulary is capped at ``vocab_size`` rows, so it is collected once
+    and broadcast as a hash map; each Arrow batch of lexeme arrays is encoded
+    with one vectorized lookup.  No row leaves its partition.
+    """
+    spark = lexed.sparkSession
+    table = {r["lexeme"]: r["id"] for r in vocab.limit(int(vocab_size)).collect()}
+    bc = spark.sparkContext.broadcast(table)
+    unk = int(vocab_size)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def encode(arrays: pd.Series) -> pd.Series:
+        lookup = bc.value
+        lens = arrays.map(lambda a: 0 if a is None else len(a)).to_numpy()
+        flat = [x for a in arrays if a is not None for x in a]
+        ids = pd.Series(flat, dtype=object).map(lookup).fillna(unk).astype("int32").to_numpy()
+        parts = np.split(ids, np.cumsum(lens)[:-1]) if len(lens) else []
+        return pd.Series([None if a is None else p for a, p in zip(arrays, parts)])
+
+    ids = encode(F.col(lexemes))
     if max_length is not None:
         ids = truncate(ids, max_length)
-    empty = docs.where(F.length(text) == 0).select(
-        key, F.array().cast("array<int>").alias("input_ids"))
-    return g.select(key, ids.alias("input_ids")).unionByName(empty)
+    return lexed.select(key, ids.alias("input_ids"))
 
 
 def truncate(ids, max_length: int):

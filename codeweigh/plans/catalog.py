@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import reward as R
 from ..operators import metrics, prepare, scoring, token_rows, tokens, udf
-from ..session import scratch_path, table
+from ..session import materialize, rebalance, scratch_path, table
 from ..sources import readers
 from ..streaming.score_stream import score_stream
 from . import duck as D
@@ -35,8 +35,12 @@ PAIR_KEYS = ["conv_id", "turn"]
 
 
 # ----------------------------------------------------------------- helpers
+def _conv(spark, sf):
+    return rebalance(table(spark, sf, "conversations"), "conv_id", "turn")
+
+
 def _pairs(spark, sf):
-    return scoring.pair_prompt_output(table(spark, sf, "conversations"))
+    return scoring.pair_prompt_output(_conv(spark, sf))
 
 
 def _counts(spark, sf):
@@ -51,31 +55,45 @@ def _scored(spark, sf):
 
 
 def _calibrated(spark, sf):
-    counts = _counts(spark, sf)
+    counts = materialize(_counts(spark, sf))
     return scoring.apply_calibration(counts, scoring.calibrate(counts))
 
 
 def _docs(spark, sf):
+    return rebalance(table(spark, sf, "documents"), "doc_id")
+
+
+def _raw_docs(spark, sf):
     return table(spark, sf, "documents")
 
 
-def _vocab(spark, sf):
-    return token_rows.build_vocab(_docs(spark, sf), "text", V)
+def _pages(spark, sf):
+    return rebalance(table(spark, sf, "pages"), "page_id")
+
 
+def _lexed(spark, sf):
+    return token_rows.lex_documents(_docs(spark, sf), "doc_id", "text")
 
-def _ids(spark, sf):
-    return token_rows.tokenize_ids(_docs(spark, sf), "doc_id", "text", _vocab(spark, sf), V)
+
+def _vocab(spark, sf, lexed=None):
+    lexed = lexed if lexed is not None else _lexed(spark, sf)
+    return token_rows.vocab_from_lexemes(lexed, "lexemes", V)
+
+
+def _ids(spark, sf, lexed=None):
+    lexed = lexed if lexed is not None else _lexed(spark, sf)
+    return token_rows.tokenize_lexemes(lexed, "doc_id", "lexemes", _vocab(spark, sf, lexed), V)
 
 
 def _split(spark, sf):
-    return prepare.split_head_percent(_docs(spark, sf), ["doc_id"], P["validation_percent"])
+    return prepare.split_head_percent(_raw_docs(spark, sf), ["doc_id"], P["validation_percent"])
 
 
 def _tv(spark, sf):
     """Train/validation files derived from the tables: documents and benchmark."""
     train = scratch_path(spark, "train") + ".json"
     valid = scratch_path(spark, "validation") + ".json"
-    _docs(spark, sf).select(F.col("doc_id").alias("id"), "text").write.json(train)
+    _raw_docs(spark, sf).select(F.col("doc_id").alias("id"), "text").write.json(train)
     table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text").write.json(valid)
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
     return readers.scan_train_validation(spark, train, valid, schema)
@@ -98,7 +116,7 @@ def q_scan_csv(spark, sf):
 
 
 def q_scan_json(spark, sf):
-    docs = _docs(spark, sf)
+    docs = _raw_docs(spark, sf)
     path = scratch_path(spark, "documents") + ".json"
     docs.write.json(path)
     return readers.scan_json(spark, path, docs.schema)
@@ -133,7 +151,7 @@ def q_write_reward_log(spark, sf):
 
 # ----------------------------------------------------------------- P*
 def q_resolve_text_column(spark, sf):
-    docs = _docs(spark, sf)
+    docs = _raw_docs(spark, sf)
     return docs.select(prepare.resolve_text_column(docs))
 
 
@@ -182,7 +200,7 @@ def q_token_histogram(spark, sf):
 
 # ----------------------------------------------------------------- W*, L*
 def q_batch_rows(spark, sf):
-    return prepare.batch_rows(_docs(spark, sf).select("doc_id"), ["doc_id"], P["batch_size"])
+    return prepare.batch_rows(_raw_docs(spark, sf).select("doc_id"), ["doc_id"], P["batch_size"])
 
 
 def q_collate_batches(spark, sf):
@@ -210,12 +228,12 @@ def q_split_head_percent(spark, sf):
 
 
 def q_split_hash_percent(spark, sf):
-    return prepare.split_hash_percent(_docs(spark, sf).select("doc_id"), "doc_id",
+    return prepare.split_hash_percent(_raw_docs(spark, sf).select("doc_id"), "doc_id",
                                       P["validation_percent"], P["seed"])
 
 
 def q_seeded_shuffle(spark, sf):
-    return prepare.seeded_shuffle(_docs(spark, sf).select("doc_id"), "doc_id", P["seed"])
+    return prepare.seeded_shuffle(_raw_docs(spark, sf).select("doc_id"), "doc_id", P["seed"])
 
 
 # ----------------------------------------------------------------- R*
@@ -242,9 +260,10 @@ def q_reward(spark, sf):
 
 
 def q_reward_failure_guard(spark, sf):
-    conv = table(spark, sf, "conversations")
-    cal = scoring.calibrate(_counts(spark, sf))
-    outs = scoring.add_counts(scoring.pair_prompt_output(conv, how="right"))
+    conv = _conv(spark, sf)
+    # every assistant turn, with its user prompt when there is one; lexed once
+    outs = materialize(scoring.add_counts(scoring.pair_prompt_output(conv, how="right")))
+    cal = scoring.calibrate(outs.where(F.col("prompt").isNotNull()))
     s = scoring.score(scoring.apply_calibration(outs, cal))
     return s.select(*PAIR_KEYS, F.col("prompt").isNull().alias("prompt_missing"), "reward")
 
@@ -280,7 +299,8 @@ def q_response_tail(spark, sf):
 
 
 def q_decode_tokens(spark, sf):
-    d = token_rows.decode(_ids(spark, sf), "input_ids", _vocab(spark, sf), V)
+    lexed = _lexed(spark, sf)
+    d = token_rows.decode(_ids(spark, sf, lexed), "input_ids", _vocab(spark, sf, lexed), V)
     return d.select("doc_id", "decoded")
 
 
@@ -308,11 +328,11 @@ PROFILE_T9 = ["stmts"]
 
 
 def q_code_lexemes(spark, sf):
-    return tokens.lexeme_stats(table(spark, sf, "pages"), "page_id", "html")
+    return tokens.lexeme_stats(_pages(spark, sf), "page_id", "html")
 
 
 def q_python_token_table(spark, sf):
-    return tokens.python_token_table(table(spark, sf, "pages"), "page_id", "html")
+    return tokens.python_token_table(_pages(spark, sf), "page_id", "html")
 
 
 def q_python_token_count(spark, sf):
@@ -320,7 +340,7 @@ def q_python_token_count(spark, sf):
 
 
 def q_bracket_depth(spark, sf):
-    return tokens.profile(table(spark, sf, "pages"), "page_id", "html", PROFILE_T4)
+    return tokens.profile(_pages(spark, sf), "page_id", "html", PROFILE_T4)
 
 
 def q_indent_profile(spark, sf):
@@ -332,7 +352,7 @@ def q_indent_width(spark, sf):
 
 
 def q_unknown_chars(spark, sf):
-    return tokens.unknown_chars(table(spark, sf, "pages"), "page_id", "html")
+    return tokens.unknown_chars(_pages(spark, sf), "page_id", "html")
 
 
 def q_structural_errors(spark, sf):
@@ -344,7 +364,7 @@ def q_statement_count(spark, sf):
 
 
 def q_java_token_table(spark, sf):
-    return tokens.java_token_table(table(spark, sf, "pages"), "page_id", "html")
+    return tokens.java_token_table(_pages(spark, sf), "page_id", "html")
 
 
 # ----------------------------------------------------------------- X1, U*
@@ -383,7 +403,7 @@ def _text_stats(b: pd.DataFrame) -> pd.DataFrame:
 
 
 def q_map_batches(spark, sf):
-    return udf.map_batches(_docs(spark, sf).select("doc_id", "text"), _text_stats,
+    return udf.map_batches(_raw_docs(spark, sf).select("doc_id", "text"), _text_stats,
                            "doc_id long, n_chars long, n_lines long")
 
 

@@ -20,6 +20,9 @@ def local_session(cores: int | str = "*", app: str = "codeweigh") -> SparkSessio
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
             .config("spark.sql.adaptive.skewJoin.enabled", "true")
+            # text stages after a shuffle are CPU-bound: keep AQE from merging
+            # a small shuffle into fewer tasks than cores
+            .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
             .config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", "16g")
@@ -67,3 +70,24 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def rebalance(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread CPU-heavy text work over all cores when the input cannot split.
+
+    A Parquet file is split by row group; a dataset made of fewer files than
+    cores (often one row group each) would lex in a few tasks.  Then rows are
+    hash-partitioned by ``keys`` (deterministic on retry, no local sort, and
+    reusable by a later group-by or join on them).  Use a unique key so one
+    hot value cannot land in one task.  A large dataset of many files
+    is left as is: its scan already yields enough balanced tasks.
+    """
+    spark = df.sparkSession
+    par = max(spark.sparkContext.defaultParallelism, 1)
+    try:
+        n_files = len(df.inputFiles())
+    except Exception:  # noqa: BLE001 - not a file scan
+        return df
+    if n_files >= par:
+        return df
+    return df.repartition(par, *keys)
