@@ -160,7 +160,14 @@ def python_pattern(flavor: str = "java") -> str:
     id_cont = r"[_\p{L}\p{Nl}" + PY_ID_START_EXTRA + r"\p{Mn}\p{Mc}\p{Nd}\p{Pc}" + PY_ID_CONTINUE_EXTRA + "]"
     name = id_start + id_cont + star
     ops = _ops_alternation(PY_OPERATORS)
-    parts = [nl, ws, comment, join, string, bytes_, number, name, ops, r"[\s\S]"]
+    if flavor == "java":
+        # Same tokens, cheaper order: only string/bytes prefixes overlap with
+        # identifiers, so an identifier not followed by a quote within two
+        # characters can be tried right after blanks.
+        guarded = r"(?![rRuUfFbB]{1,2}['\"])" + name
+        parts = [ws, guarded, nl, number, ops, string, bytes_, name, comment, join, r"[\s\S]"]
+    else:
+        parts = [nl, ws, comment, join, string, bytes_, number, name, ops, r"[\s\S]"]
     return "|".join("(?:" + p + ")" for p in parts)
 
 

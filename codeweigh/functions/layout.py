@@ -1,19 +1,98 @@
-"""The sequential half of the Python lexer, as an Arrow-batched pandas UDF.
-
-Input: one ``array<int>`` per text from :func:`lexing.py_packed_roles`
-(``k + 32*(length > 1) + 64*indent_width`` per lexeme).  Output: the profile
-struct.  Bracket depth, NEWLINE suppression, adjacency and line numbering are
-numpy prefix sums over the whole lexeme vector; only emitted line breaks go
-through the small indent-stack loop.
+"""Lexeme roles and the sequential half of the Python lexer, as Arrow UDFs.
+
+Input: the lexeme arrays produced in the JVM by ``regexp_extract_all``.
+Each Arrow batch is classified at once with ``pyarrow.compute`` (no Python
+string objects), packed per lexeme as ``k + 32*(length > 1) + 64*indent``,
+and folded per text: bracket depth, NEWLINE suppression, adjacency and line
+numbering are numpy prefix sums; only emitted line breaks go through the
+small indent-stack loop.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import grammar as G
+
+_OPS = [o for o, _ in G.PY_OPERATORS if o not in G.PY_OPENERS + G.PY_CLOSERS + [":", "@"]]
+_OTHER_KW = [k for k, _ in G.PY_KEYWORDS if k not in G.PY_OPERAND_KEYWORDS + G.PY_CONTINUATION_KEYWORDS]
+_NAME_START = r"^[_\p{L}\p{Nl}" + G.PY_ID_START_EXTRA + "]$"
+
+
+def _isin(arr, values) -> np.ndarray:
+    return pc.is_in(arr, value_set=pa.array(values, pa.string())).to_numpy(zero_copy_only=False)
+
+
+def _width(blanks: str) -> int:
+    w = 0
+    for ch in blanks:
+        w = w + 8 - w % 8 if ch == "\t" else w + 1
+    return w
+
+
+def pack_roles(values: pa.Array, at_start: np.ndarray) -> np.ndarray:
+    """Packed role of every lexeme of a flat string array (see module doc).
+
+    ``at_start`` marks lexemes at offset 0 of their text.  The order of the
+    tests is the order of a CASE: the first that holds decides.
+    """
+    n = len(values)
+    if n == 0:
+        return np.zeros(0, dtype=np.int64)
+    length = pc.utf8_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = pc.utf8_slice_codeunits(values, 0, 1)
+    f_nl = _isin(first, ["\n", "\r"])
+    f_ff = _isin(first, ["\f"])
+    f_bl = _isin(first, [" ", "\t"])
+    f_hash = _isin(first, ["#"])
+    f_bsl = _isin(first, ["\\"])
+    longer = length > 1
+    quote = (pc.match_substring(values, "'").to_numpy(zero_copy_only=False)
+             | pc.match_substring(values, '"').to_numpy(zero_copy_only=False))
+    single = ~longer
+    name1 = np.zeros(n, dtype=bool)
+    if single.any():
+        idx = np.flatnonzero(single)
+        name1[idx] = pc.match_substring_regex(values.take(pa.array(idx)), _NAME_START).to_numpy(
+            zero_copy_only=False)
+    conds = [f_nl, f_ff, f_bl, f_hash, f_bsl,
+             _isin(values, G.PY_OPENERS), _isin(values, G.PY_CLOSERS), _isin(values, [":"]),
+             _isin(values, ["@"]), _isin(values, _OPS), _isin(values, G.PY_CONTINUATION_KEYWORDS),
+             _isin(values, G.PY_OPERAND_KEYWORDS), _isin(values, _OTHER_KW), longer,
+             _isin(first, list("0123456789")), name1]
+    choices = [1, 13, np.where(at_start, 14, 0), 12, np.where(longer, 2, 3), 6, 7, 8, 11, 9, 10, 4, 9,
+               np.where(quote, 5, 4), 4, 4]
+    k = np.select(conds, choices, default=3).astype(np.int64)
+    packed = k + 32 * longer
+    nl_idx = np.flatnonzero(np.isin(k, (1, 13, 14)))
+    if nl_idx.size:
+        blanks = pc.replace_substring_regex(values.take(pa.array(nl_idx)), r"[\r\n\f]", "")
+        widths = pc.utf8_length(blanks).to_numpy(zero_copy_only=False).astype(np.int64)
+        tabbed = pc.match_substring(blanks, "\t").to_numpy(zero_copy_only=False)
+        for j in np.flatnonzero(tabbed):
+            widths[j] = _width(blanks[int(j)].as_py())
+        packed[nl_idx] += 64 * widths
+    return packed
+
+
+def _flat(lex: pa.Array):
+    """Flat lexemes, per-text offsets and null mask of a list<string> array."""
+    if isinstance(lex, pa.ChunkedArray):
+        lex = lex.combine_chunks()
+    offsets = lex.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = offsets - offsets[0]
+    values = lex.flatten()
+    nulls = lex.is_null().to_numpy(zero_copy_only=False)
+    at_start = np.zeros(len(values), dtype=bool)
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    at_start[starts] = True
+    return values, offsets, nulls, at_start
+
 PROFILE_FIELDS = ["tokens", "ntok", "nl", "ind", "ded", "final_depth", "max_depth",
                   "unmatched_closers", "open_left", "max_nesting", "stmts",
                   "e1", "e2", "e3", "e4", "e5", "errors"]
@@ -119,13 +198,35 @@ def profile_one(packed) -> tuple:
             nest, stmts, e1, e2, e3, e4, e5, e1 + e2 + e3 + e4 + e5)
 
 
-@F.pandas_udf(PROFILE_TYPE)
-def profile_udf(packed: pd.Series) -> pd.DataFrame:
-    rows = [profile_one(v) if v is not None else (None,) * len(PROFILE_FIELDS) for v in packed]
-    out = pd.DataFrame(rows, columns=PROFILE_FIELDS)
-    return out.astype("Int32") if out.isna().any().any() else out.astype("int32")
-
-
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def emit_flags_udf(packed: pd.Series) -> pd.Series:
-    return pd.Series([emit_flags_one(v) if v is not None else None for v in packed])
+@F.arrow_udf(PROFILE_TYPE)
+def profile_udf(lex: pa.Array) -> pa.Array:
+    """Profile struct per text from its lexeme array."""
+    values, offsets, nulls, at_start = _flat(lex)
+    packed = pack_roles(values, at_start)
+    cols = np.zeros((len(offsets) - 1, len(PROFILE_FIELDS)), dtype=np.int64)
+    for i in range(len(offsets) - 1):
+        if not nulls[i]:
+            cols[i] = profile_one(packed[offsets[i]:offsets[i + 1]])
+    mask = pa.array(nulls)
+    return pa.StructArray.from_arrays([pa.array(cols[:, j].astype(np.int32)) for j in range(cols.shape[1])],
+                                      names=PROFILE_FIELDS, mask=mask)
+
+
+ROLES_TYPE = T.StructType([T.StructField("codes", T.ArrayType(T.IntegerType())),
+                           T.StructField("emit", T.ArrayType(T.BooleanType()))])
+
+
+@F.arrow_udf(ROLES_TYPE)
+def roles_udf(lex: pa.Array) -> pa.Array:
+    """Per lexeme: packed role code and whether it is an emitted NEWLINE."""
+    values, offsets, nulls, at_start = _flat(lex)
+    packed = pack_roles(values, at_start)
+    emit = np.zeros(len(packed), dtype=bool)
+    for i in range(len(offsets) - 1):
+        s, e = offsets[i], offsets[i + 1]
+        if e > s:
+            emit[s:e] = emit_flags_one(packed[s:e])
+    off = pa.array(offsets.astype(np.int32))
+    codes = pa.ListArray.from_arrays(off, pa.array(packed.astype(np.int32)), mask=pa.array(nulls))
+    flags = pa.ListArray.from_arrays(off, pa.array(emit), mask=pa.array(nulls))
+    return pa.StructArray.from_arrays([codes, flags], names=["codes", "emit"])

@@ -1,15 +1,14 @@
 """Column functions that lex source text and audit its structure.
 
 Lexing runs inside the JVM: one ``regexp_extract_all`` per text turns it
-into its lexemes (lossless) and one ``transform`` packs every lexeme into a
-small integer (role code, a "longer than one character" bit and, for line
-breaks, the indent width).  The sequential part of the Python lexer --
-NEWLINE suppression inside brackets and before blank/comment lines,
+into its lexemes (lossless).  Roles and the sequential part of the Python
+lexer -- NEWLINE suppression inside brackets and before blank/comment lines,
 INDENT/DEDENT from an indent stack, the extra NEWLINE and DEDENTs at end of
-input -- is replayed by :mod:`codeweigh.functions.layout`, an Arrow-batched
-pandas UDF that uses numpy prefix sums and loops only over emitted line
-breaks.  (The same fold as a higher-order ``aggregate()`` is interpreted,
-not code-generated, and measured 10x slower.)
+input -- are computed by :mod:`codeweigh.functions.layout`, an Arrow UDF
+that classifies whole batches with ``pyarrow.compute`` and folds with numpy
+prefix sums.  (Measured: the same fold as a higher-order ``aggregate()`` is
+interpreted and 10x slower; role codes as a ``transform`` CASE cost more
+than the regex itself.)
 
 Role codes (``k``):
 
@@ -46,9 +45,6 @@ from . import grammar as G
 PY_PATTERN = G.python_pattern("java")
 JAVA_PATTERN = G.java_pattern("java")
 
-_PY_OPS = [o for o, _ in G.PY_OPERATORS if o not in G.PY_OPENERS + G.PY_CLOSERS + [":", "@"]]
-_PY_OTHER_KW = [k for k, _ in G.PY_KEYWORDS
-                if k not in G.PY_OPERAND_KEYWORDS + G.PY_CONTINUATION_KEYWORDS]
 
 
 def _c(col) -> Column:
@@ -77,40 +73,6 @@ def indent_width(blanks) -> Column:
 NL_CODES = (1, 13, 14)
 
 
-def _role(x: Column, i: Column) -> Column:
-    c0 = F.substring(x, 1, 1)
-    n = F.length(x)
-    return (F.when(c0.isin("\n", "\r"), 1)
-            .when(c0 == "\f", 13)
-            .when(c0.isin(" ", "\t"), F.when(i == 0, 14).otherwise(0))
-            .when(c0 == "#", 12)
-            .when(c0 == "\\", F.when(n > 1, 2).otherwise(3))
-            .when(x.isin(*G.PY_OPENERS), 6)
-            .when(x.isin(*G.PY_CLOSERS), 7)
-            .when(x == ":", 8)
-            .when(x == "@", 11)
-            .when(x.isin(*_PY_OPS), 9)
-            .when(x.isin(*G.PY_CONTINUATION_KEYWORDS), 10)
-            .when(x.isin(*G.PY_OPERAND_KEYWORDS), 4)
-            .when(x.isin(*_PY_OTHER_KW), 9)
-            .when(n > 1, F.when((F.instr(x, "'") > 0) | (F.instr(x, '"') > 0), 5).otherwise(4))
-            .when(c0.between("0", "9"), 4)
-            .when(x.rlike(G.python_name_start()), 4)
-            .otherwise(3))
-
-
-def _packed(x: Column, i: Column) -> Column:
-    c0 = F.substring(x, 1, 1)
-    is_nl = c0.isin("\n", "\r", "\f") | ((i == 0) & c0.isin(" ", "\t"))
-    width = F.when(is_nl, indent_width(F.regexp_replace(x, r"[\r\n\f]", ""))).otherwise(0)
-    return _role(x, i) + F.when(F.length(x) > 1, 32).otherwise(0) + width * 64
-
-
-def py_packed_roles(lex) -> Column:
-    """``array<int>``: per lexeme ``k + 32*(length > 1) + 64*indent_width``."""
-    return F.transform(_c(lex), _packed)
-
-
 def add_py_profile(df, text, out: str = "prof"):
     """Add struct column ``out`` with the Python-lexer profile of ``text``.
 
@@ -121,4 +83,11 @@ def add_py_profile(df, text, out: str = "prof"):
     Null text gives a null struct.
     """
     from .layout import profile_udf
-    return df.withColumn(out, profile_udf(py_packed_roles(py_lexemes(text))))
+    return df.withColumn(out, profile_udf(py_lexemes(text)))
+
+
+def py_roles(lex):
+    """``struct(codes array<int>, emit array<boolean>)`` per lexeme array:
+    packed role codes and which line breaks the lexer emits as NEWLINE."""
+    from .layout import roles_udf
+    return roles_udf(_c(lex))

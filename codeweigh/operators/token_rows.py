@@ -15,8 +15,8 @@ Neither direction shuffles the token stream.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,22 +62,23 @@ def tokenize_lexemes(lexed: DataFrame, key: str, lexemes: str, vocab: DataFrame,
     """K1 from a lexeme-array column: a map-only job.
 
     The vocabulary is capped at ``vocab_size`` rows, so it is collected once
-    and broadcast as a hash map; each Arrow batch of lexeme arrays is encoded
-    with one vectorized lookup.  No row leaves its partition.
+    and broadcast; each Arrow batch of lexeme arrays is encoded with one
+    vectorized hash lookup (``index_in``; position = id).  No row leaves its
+    partition.
     """
     spark = lexed.sparkSession
-    table = {r["lexeme"]: r["id"] for r in vocab.limit(int(vocab_size)).collect()}
-    bc = spark.sparkContext.broadcast(table)
+    words = [r["lexeme"] for r in vocab.orderBy("id").limit(int(vocab_size)).collect()]
+    bc = spark.sparkContext.broadcast(words)
     unk = int(vocab_size)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(arrays: pd.Series) -> pd.Series:
-        lookup = bc.value
-        lens = arrays.map(lambda a: 0 if a is None else len(a)).to_numpy()
-        flat = [x for a in arrays if a is not None for x in a]
-        ids = pd.Series(flat, dtype=object).map(lookup).fillna(unk).astype("int32").to_numpy()
-        parts = np.split(ids, np.cumsum(lens)[:-1]) if len(lens) else []
-        return pd.Series([None if a is None else p for a, p in zip(arrays, parts)])
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(arrays: pa.Array) -> pa.Array:
+        if isinstance(arrays, pa.ChunkedArray):
+            arrays = arrays.combine_chunks()
+        keys = pa.array(bc.value, pa.string())
+        ids = pc.fill_null(pc.index_in(arrays.flatten(), value_set=keys), unk).cast(pa.int32())
+        offsets = pc.subtract(arrays.offsets, arrays.offsets[0])
+        return pa.ListArray.from_arrays(offsets, ids, mask=arrays.is_null())
 
     ids = encode(F.col(lexemes))
     if max_length is not None:

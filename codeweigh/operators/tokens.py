@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions import grammar as G
 from ..functions import lexing as L
-from ..functions.layout import emit_flags_udf
 
 
 def lexeme_stats(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -41,9 +40,9 @@ def python_token_table(df: DataFrame, key: str, text: str) -> DataFrame:
     are counted by :func:`profile` instead.
     """
     spark = df.sparkSession
-    lx = (df.select(key, L.py_lexemes(text).alias("_lx"))
-            .withColumn("_k", L.py_packed_roles("_lx")))
-    lx = lx.withColumn("_emit", emit_flags_udf("_k"))
+    lx = df.select(key, L.py_lexemes(text).alias("_lx"))
+    lx = lx.withColumn("_r", L.py_roles("_lx"))
+    lx = lx.select(key, "_lx", F.col("_r.codes").alias("_k"), F.col("_r.emit").alias("_emit"))
     ex = lx.select(key, F.posexplode(F.arrays_zip("_lx", "_k", "_emit")).alias("pos", "z"))
     ex = ex.select(key, F.col("pos").cast("int").alias("pos"), F.col("z._lx").alias("text"),
                    (F.col("z._k") % 32).alias("k"), F.col("z._emit").alias("emit"))
@@ -62,23 +61,41 @@ def python_token_table(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def unknown_chars(df: DataFrame, key: str, text: str) -> DataFrame:
     """Characters no rule accepts, with their occurrence counts."""
-    lx = df.select(key, L.py_lexemes(text).alias("_lx")).withColumn("_k", L.py_packed_roles("_lx"))
+    lx = df.select(key, L.py_lexemes(text).alias("_lx"))
+    lx = lx.withColumn("_k", L.py_roles("_lx")["codes"])
     ex = lx.select(key, F.explode(F.arrays_zip("_lx", "_k")).alias("z"))
     unk = ex.where(F.col("z._k") % 32 == 3).select(key, F.col("z._lx").alias("ch"))
     return unk.groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
 
 
 def token_histogram(df: DataFrame, key: str, text: str) -> DataFrame:
-    """A4: frequency of every token name over a corpus (layout names included)."""
-    t = python_token_table(df, key, text).where(~F.col("hidden") & (F.col("name") != "NEWLINE"))
-    names = t.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    p = L.add_py_profile(df.select(key, text), text, "_p")
-    layout = p.agg(F.sum("_p.nl").alias("NEWLINE"), F.sum("_p.ind").alias("INDENT"),
-                   F.sum("_p.ded").alias("DEDENT"))
-    layout = layout.select(F.explode(F.map_from_arrays(
-        F.array(F.lit("NEWLINE"), F.lit("INDENT"), F.lit("DEDENT")),
-        F.array("NEWLINE", "INDENT", "DEDENT"))).alias("name", "n"))
-    return names.unionByName(layout.select("name", F.col("n").cast("bigint").alias("n"))).where("n > 0")
+    """A4: frequency of every token name over a corpus (layout names included).
+
+    One pass: each text's visible lexemes plus three layout entries
+    (NEWLINE/INDENT/DEDENT counts from the fold) are exploded together and
+    counted with a partial + final aggregate (one row per name per task
+    crosses the shuffle).
+    """
+    from ..functions.layout import profile_udf
+    spark = df.sparkSession
+    base = df.select(L.py_lexemes(text).alias("_lx"))
+    base = base.select("_lx", L.py_roles("_lx")["codes"].alias("_k"), profile_udf("_lx").alias("_p"))
+    visible = F.filter(F.arrays_zip("_lx", "_k"), lambda z: ~(z["_k"] % 32).isin(0, 1, 2, 12, 13, 14))
+    items = F.transform(visible, lambda z: F.struct(
+        z["_lx"].alias("text"), (z["_k"] % 32).alias("k"), F.lit(1).alias("n"),
+        F.lit(None).cast("string").alias("fixed")))
+    layout = F.array(*[F.struct(F.lit("").alias("text"), F.lit(-1).alias("k"), F.col("_p." + f).alias("n"),
+                                F.lit(name).alias("fixed"))
+                       for f, name in (("nl", "NEWLINE"), ("ind", "INDENT"), ("ded", "DEDENT"))])
+    ex = base.select(F.explode(F.concat(items, layout)).alias("it")).select("it.*")
+    named = ex.join(F.broadcast(_py_names(spark)), ex.text == F.col("lexeme"), "left")
+    c0 = F.substring("text", 1, 1)
+    name = F.coalesce(F.col("fixed"), F.col("kw_name"),
+                      F.when(F.col("k") == 5, "STRING").when(F.col("k") == 3, "UNKNOWN_CHAR")
+                      .when(c0.between("0", "9") | ((c0 == ".") & (F.length("text") > 1)), "NUMBER")
+                      .otherwise("NAME"))
+    hist = named.groupBy(name.alias("name")).agg(F.sum("n").cast("bigint").alias("n"))
+    return hist.where("n > 0")
 
 
 def indent_widths(df: DataFrame, text: str) -> DataFrame:
