@@ -85,7 +85,7 @@ def test_robust_inputs(spark):
     assert profs[3].nl == 2
     assert profs[4].nl == 2
     assert profs[5].e1 == 1
-    assert profs[6].tokens is None
+    assert profs[6] is None
 
 
 def test_lossless_and_balanced(spark):
