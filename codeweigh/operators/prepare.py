@@ -45,7 +45,8 @@ def positional_index(df: DataFrame, order_by: list[str], num_partitions: int | N
                      col: str = "pos") -> DataFrame:
     """W1 helper: 0-based position of each row in ``order_by`` order (keys unique)."""
     spark = df.sparkSession
-    n = num_partitions or max(spark.sparkContext.defaultParallelism, 1)
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                              spark.sparkContext.defaultParallelism, 1)
     ordered = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
     fixed = materialize(ordered.withColumn("_pid", F.spark_partition_id())
                                .withColumn("_mid", F.monotonically_increasing_id()))
@@ -80,11 +81,9 @@ def limit_rows(df: DataFrame, order_by: list[str], n: int | None) -> DataFrame:
 def split_head_percent(df: DataFrame, order_by: list[str], percent: float) -> DataFrame:
     """L4: first p% (rounded half to even) is ``validation``, the rest ``train``."""
     idx = positional_index(df, order_by, col="_pos")
-    total = idx.agg(F.count(F.lit(1)).alias("_total"))
-    cut = F.bround(F.col("_total") * F.lit(float(percent)) / 100.0, 0)
-    out = idx.crossJoin(F.broadcast(total))
-    return out.withColumn("split", F.when(F.col("_pos") < cut, "validation").otherwise("train")).drop(
-        "_pos", "_total")
+    total = idx.agg(F.count(F.lit(1)).alias("_total")).scalar()
+    cut = F.bround(total * F.lit(float(percent)) / 100.0, 0)
+    return idx.withColumn("split", F.when(F.col("_pos") < cut, "validation").otherwise("train")).drop("_pos")
 
 
 def split_hash_percent(df: DataFrame, key: str, percent: int, seed: int = 42) -> DataFrame:

@@ -1,8 +1,8 @@
 """Pairs, counts, calibration and the reward.
 
 Plan at scale: ``conversations -> pair (join on (conv_id, turn)) -> lex
-prompt+output and output once -> write counts -> calibrate (partial + final
-aggregate over two int columns) -> broadcast one row -> score``.
+prompt+output and output once -> checkpoint counts -> calibrate (partial +
+final aggregate over two int columns) -> scalar subquery -> score``.
 """
 
 from __future__ import annotations
@@ -72,9 +72,14 @@ def calibrate_statements(counts: DataFrame) -> DataFrame:
 
 
 def apply_calibration(counts: DataFrame, calibration: DataFrame) -> DataFrame:
-    """Every row gets the two global averages (a one-row broadcast)."""
-    cal = calibration.select("avg_tokens", "avg_errors")
-    return counts.crossJoin(F.broadcast(cal))
+    """Every row gets the two global averages.
+
+    The one-row calibration is a scalar subquery: computed once, then used as
+    a value in the projection (no join)."""
+    cal = calibration.select(F.struct("avg_tokens", "avg_errors").alias("_cal")).scalar()
+    return (counts.withColumn("_cal", cal)
+                  .withColumn("avg_tokens", F.col("_cal.avg_tokens"))
+                  .withColumn("avg_errors", F.col("_cal.avg_errors")).drop("_cal"))
 
 
 def score(calibrated: DataFrame, factor: int = R.DECAY_FACTOR) -> DataFrame:

@@ -121,8 +121,10 @@ def vocab_array(vocab: DataFrame, vocab_size: int) -> DataFrame:
 
 
 def decode(df: DataFrame, ids: str, vocab: DataFrame, vocab_size: int, out: str = "decoded") -> DataFrame:
-    """K6: ids back to text by position (vocabulary broadcast as one array)."""
-    j = df.crossJoin(F.broadcast(vocab_array(vocab, vocab_size)))
+    """K6: ids back to text by position.  The vocabulary (at most
+    ``vocab_size + 2`` entries) is one array-valued scalar subquery."""
+    words = vocab_array(vocab, vocab_size).scalar()
+    j = df.withColumn("_vocab", words)
     text = F.array_join(F.transform(ids, lambda i: F.coalesce(F.try_element_at("_vocab", i + 1),
                                                               F.lit("<unk>"))), "")
     return j.withColumn(out, text).drop("_vocab")
