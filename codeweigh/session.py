@@ -28,6 +28,8 @@ def local_session(cores: int | str = "*", app: str = "codeweigh") -> SparkSessio
             .config("spark.driver.memory", "16g")
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+            # lexeme arrays of long texts are large: cap Arrow batches by bytes
+            .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
             .config("spark.driver.extraJavaOptions", "-Xss16m")
             .config("spark.checkpoint.dir", os.path.join(scratch, "checkpoints"))
             .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
