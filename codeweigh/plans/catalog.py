@@ -77,7 +77,8 @@ def _lexed(spark, sf):
 
 def _vocab(spark, sf, lexed=None):
     lexed = lexed if lexed is not None else _lexed(spark, sf)
-    return token_rows.vocab_from_lexemes(lexed, "lexemes", V)
+    # at most V rows; written once because encoding and decoding both read it
+    return materialize(token_rows.vocab_from_lexemes(lexed, "lexemes", V))
 
 
 def _ids(spark, sf, lexed=None):
@@ -300,7 +301,9 @@ def q_response_tail(spark, sf):
 
 def q_decode_tokens(spark, sf):
     lexed = _lexed(spark, sf)
-    d = token_rows.decode(_ids(spark, sf, lexed), "input_ids", _vocab(spark, sf, lexed), V)
+    vocab = _vocab(spark, sf, lexed)
+    ids = token_rows.tokenize_lexemes(lexed, "doc_id", "lexemes", vocab, V)
+    d = token_rows.decode(ids, "input_ids", vocab, V)
     return d.select("doc_id", "decoded")
 
 
