@@ -32,6 +32,7 @@ def local_session(cores: int | str = "*", app: str = "codeweigh") -> SparkSessio
             .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
             .config("spark.driver.extraJavaOptions", "-Xss16m")
             .config("spark.checkpoint.dir", os.path.join(scratch, "checkpoints"))
+            .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
             .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
             .getOrCreate())
 

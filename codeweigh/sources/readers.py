@@ -60,12 +60,13 @@ def scan_by_extension(spark: SparkSession, path: str, schema: StructType | None
 
 
 def scan_train_validation(spark: SparkSession, train: str | None, validation: str | None,
-                          schema: StructType | None = None) -> DataFrame:
+                          schema: StructType | None = None, keep_linebreaks: bool = True) -> DataFrame:
     """Train and validation files become one frame with a ``split`` column."""
     parts = []
     for split, path in (("train", train), ("validation", validation)):
         if path is not None:
-            parts.append(scan_by_extension(spark, path, schema).withColumn("split", F.lit(split)))
+            parts.append(scan_by_extension(spark, path, schema, keep_linebreaks)
+                         .withColumn("split", F.lit(split)))
     if not parts:
         raise ValueError("need a train or a validation file")
     out = parts[0]
