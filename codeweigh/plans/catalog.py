@@ -7,10 +7,8 @@ of the original workflow are named in ``PARAMS``.
 
 from __future__ import annotations
 
-import os
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +17,6 @@ from ..operators import metrics, prepare, scoring, token_rows, tokens, udf
 from ..session import materialize, rebalance, scratch_path, table
 from ..sources import readers
 from ..streaming.score_stream import score_stream
-from . import duck as D
 
 # FIXED VALUES (launch parameters of the original workflow): batch size,
 # new tokens per response, validation share, sample caps, calibration
