@@ -229,3 +229,53 @@ def roles_udf(lex: pa.Array) -> pa.Array:
     codes = pa.ListArray.from_arrays(off, pa.array(packed.astype(np.int32)), mask=pa.array(nulls))
     flags = pa.ListArray.from_arrays(off, pa.array(emit), mask=pa.array(nulls))
     return pa.StructArray.from_arrays([codes, flags], names=["codes", "emit"])
+
+
+_NAME_OF = {t: n for t, n in G.PY_KEYWORDS + G.PY_OPERATORS}
+HISTOGRAM_SCHEMA = "name string, n bigint"
+
+
+def name_counts(lex: pa.Array) -> dict:
+    """Token-name counts of a batch of lexeme arrays, layout tokens included."""
+    values, offsets, nulls, at_start = _flat(lex)
+    packed = pack_roles(values, at_start)
+    k = packed & 31
+    counts: dict = {}
+    visible = np.flatnonzero(~np.isin(k, (0, 1, 2, 12, 13, 14)))
+    if visible.size:
+        vals = values.take(pa.array(visible))
+        kv = k[visible]
+        fixed = pa.array(list(_NAME_OF), pa.string())
+        pos = pc.index_in(vals, value_set=fixed).to_numpy(zero_copy_only=False)
+        known = ~np.isnan(pos) if pos.dtype.kind == "f" else pos >= 0
+        if known.any():
+            idx = pos[known].astype(np.int64)
+            names = list(_NAME_OF.values())
+            for j, c in zip(*np.unique(idx, return_counts=True)):
+                counts[names[j]] = counts.get(names[j], 0) + int(c)
+        rest = ~known
+        first = pc.utf8_slice_codeunits(vals, 0, 1)
+        digit = pc.is_in(first, value_set=pa.array(list("0123456789"))).to_numpy(zero_copy_only=False)
+        dot = (pc.equal(first, ".").to_numpy(zero_copy_only=False)
+               & (pc.utf8_length(vals).to_numpy(zero_copy_only=False) > 1))
+        for name, mask in (("STRING", kv == 5), ("UNKNOWN_CHAR", kv == 3),
+                           ("NUMBER", (kv == 4) & (digit | dot)), ("NAME", (kv == 4) & ~(digit | dot))):
+            c = int(np.count_nonzero(rest & mask))
+            if c:
+                counts[name] = counts.get(name, 0) + c
+    for i in range(len(offsets) - 1):
+        s, e = offsets[i], offsets[i + 1]
+        if not nulls[i] and e > s:
+            p = profile_one(packed[s:e])
+            for name, v in (("NEWLINE", p[2]), ("INDENT", p[3]), ("DEDENT", p[4])):
+                if v:
+                    counts[name] = counts.get(name, 0) + int(v)
+    return counts
+
+
+def histogram_batches(batches):
+    """``mapInArrow`` body: one small (name, n) table per input batch."""
+    for b in batches:
+        counts = name_counts(b.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()),
+                                          pa.array(list(counts.values()), pa.int64())], names=["name", "n"])

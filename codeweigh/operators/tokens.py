@@ -71,31 +71,13 @@ def unknown_chars(df: DataFrame, key: str, text: str) -> DataFrame:
 def token_histogram(df: DataFrame, key: str, text: str) -> DataFrame:
     """A4: frequency of every token name over a corpus (layout names included).
 
-    One pass: each text's visible lexemes plus three layout entries
-    (NEWLINE/INDENT/DEDENT counts from the fold) are exploded together and
-    counted with a partial + final aggregate (one row per name per task
-    crosses the shuffle).
+    Each Arrow batch is lexed in the JVM and counted in its Python worker
+    (``mapInArrow``), so only one row per name per batch crosses the shuffle,
+    whatever the corpus size or the share of its most frequent token.
     """
-    from ..functions.layout import profile_udf
-    spark = df.sparkSession
-    base = df.select(L.py_lexemes(text).alias("_lx"))
-    base = base.select("_lx", L.py_roles("_lx")["codes"].alias("_k"), profile_udf("_lx").alias("_p"))
-    visible = F.filter(F.arrays_zip("_lx", "_k"), lambda z: ~(z["_k"] % 32).isin(0, 1, 2, 12, 13, 14))
-    items = F.transform(visible, lambda z: F.struct(
-        z["_lx"].alias("text"), (z["_k"] % 32).alias("k"), F.lit(1).alias("n"),
-        F.lit(None).cast("string").alias("fixed")))
-    layout = F.array(*[F.struct(F.lit("").alias("text"), F.lit(-1).alias("k"), F.col("_p." + f).alias("n"),
-                                F.lit(name).alias("fixed"))
-                       for f, name in (("nl", "NEWLINE"), ("ind", "INDENT"), ("ded", "DEDENT"))])
-    ex = base.select(F.explode(F.concat(items, layout)).alias("it")).select("it.*")
-    named = ex.join(F.broadcast(_py_names(spark)), ex.text == F.col("lexeme"), "left")
-    c0 = F.substring("text", 1, 1)
-    name = F.coalesce(F.col("fixed"), F.col("kw_name"),
-                      F.when(F.col("k") == 5, "STRING").when(F.col("k") == 3, "UNKNOWN_CHAR")
-                      .when(c0.between("0", "9") | ((c0 == ".") & (F.length("text") > 1)), "NUMBER")
-                      .otherwise("NAME"))
-    hist = named.groupBy(name.alias("name")).agg(F.sum("n").cast("bigint").alias("n"))
-    return hist.where("n > 0")
+    from ..functions.layout import HISTOGRAM_SCHEMA, histogram_batches
+    partial = df.select(L.py_lexemes(text).alias("_lx")).mapInArrow(histogram_batches, HISTOGRAM_SCHEMA)
+    return partial.groupBy("name").agg(F.sum("n").cast("bigint").alias("n")).where("n > 0")
 
 
 def indent_widths(df: DataFrame, text: str) -> DataFrame:
