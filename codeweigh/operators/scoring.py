@@ -57,18 +57,18 @@ def calibrate(counts: DataFrame) -> DataFrame:
     with a clear message instead of dividing by zero.
     """
     n = F.count(F.lit(1))
-    return counts.agg(
-        F.greatest(F.try_divide(F.sum("nt").cast("double"), n), F.lit(1.0)).alias("avg_tokens"),
-        F.greatest(F.try_divide(F.sum("ne").cast("double"), n), F.lit(1.0)).alias("avg_errors"),
-        n.alias("n"))
+
+    def mean_at_least_1(c):
+        return F.when(n > 0, F.greatest(F.sum(c).cast("double") / n, F.lit(1.0)))
+    return counts.agg(mean_at_least_1("nt").alias("avg_tokens"), mean_at_least_1("ne").alias("avg_errors"),
+                      n.alias("n"))
 
 
 def calibrate_statements(counts: DataFrame) -> DataFrame:
     """A2: mean statements per sample, floored at 1."""
     n = F.count(F.lit(1))
-    return counts.agg(
-        F.greatest(F.try_divide(F.sum("ns").cast("double"), n), F.lit(1.0)).alias("avg_stmt"),
-        n.alias("n"))
+    return counts.agg(F.when(n > 0, F.greatest(F.sum("ns").cast("double") / n, F.lit(1.0))).alias("avg_stmt"),
+                      n.alias("n"))
 
 
 def apply_calibration(counts: DataFrame, calibration: DataFrame) -> DataFrame:

@@ -27,8 +27,9 @@ def counts(pairs: str) -> str:
 
 
 def cal(counts_sql: str) -> str:
-    return (f"SELECT greatest(sum(nt)::DOUBLE / count(*), 1.0) AS avg_tokens, "
-            f"greatest(sum(ne)::DOUBLE / count(*), 1.0) AS avg_errors, count(*) AS n FROM ({counts_sql}) AS _c")
+    return (f"SELECT CASE WHEN count(*) > 0 THEN greatest(sum(nt)::DOUBLE / count(*), 1.0) END AS avg_tokens, "
+            f"CASE WHEN count(*) > 0 THEN greatest(sum(ne)::DOUBLE / count(*), 1.0) END AS avg_errors, "
+            f"count(*) AS n FROM ({counts_sql}) AS _c")
 
 
 def _a(nt="nt", at="avg_tokens"):
@@ -183,7 +184,8 @@ def build() -> dict[str, str]:
     o["pair_prompt_output"] = PAIRS
     o["apply_calibration"] = f"SELECT conv_id, turn, nt, ne, avg_tokens, avg_errors FROM ({CALIBRATED}) AS _c"
     o["calibrate"] = CAL
-    o["calibrate_statements"] = (f"SELECT greatest(sum(ns)::DOUBLE / count(*), 1.0) AS avg_stmt, count(*) AS n "
+    o["calibrate_statements"] = (f"SELECT CASE WHEN count(*) > 0 THEN greatest(sum(ns)::DOUBLE / count(*), 1.0) "
+                                 f"END AS avg_stmt, count(*) AS n "
                                  f"FROM ({COUNTS}) AS _c")
     o["reward_batch_stats"] = (f"SELECT batch_id, count(reward) AS n, round(avg(reward), 6) AS reward_mean, "
                                f"round(stddev_samp(reward), 6) AS reward_std, min(reward) AS reward_min, "

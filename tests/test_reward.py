@@ -73,3 +73,9 @@ def test_keyword_count(spark):
     df = spark.createDataFrame([("cats and cats.* catscats",)], "s string")
     assert df.select(R.keyword_count("s", "cats").alias("n")).first().n == 4
     assert df.select(R.keyword_count("s", ".*").alias("n")).first().n == 1
+
+
+def test_empty_calibration_is_null(spark):
+    df = spark.createDataFrame([], "nt int, ne int")
+    r = scoring.calibrate(df).first()
+    assert (r.avg_tokens, r.avg_errors, r.n) == (None, None, 0)
