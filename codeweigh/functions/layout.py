@@ -34,41 +34,73 @@ def _width(blanks: str) -> int:
     return w
 
 
+_TABLE = G.PY_OPENERS + G.PY_CLOSERS + [":", "@"] + _OPS + G.PY_CONTINUATION_KEYWORDS + \
+    G.PY_OPERAND_KEYWORDS + _OTHER_KW
+_TABLE_CODE = np.array([6] * len(G.PY_OPENERS) + [7] * len(G.PY_CLOSERS) + [8, 11] + [9] * len(_OPS)
+                       + [10] * len(G.PY_CONTINUATION_KEYWORDS) + [4] * len(G.PY_OPERAND_KEYWORDS)
+                       + [9] * len(_OTHER_KW), dtype=np.int64)
+_PREFIX_BYTES = np.array([ord(c) for c in "rRuUfFbB\'\""], dtype=np.uint8)
+
+
+def _first_bytes(values: pa.Array) -> np.ndarray:
+    """First UTF-8 byte of every (non-empty) string, read from the buffers."""
+    wide = pa.types.is_large_string(values.type)
+    offs = np.frombuffer(values.buffers()[1], dtype=np.int64 if wide else np.int32)
+    offs = offs[values.offset:values.offset + len(values) + 1]
+    data = values.buffers()[2]
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(1, np.uint8)
+    return data[np.minimum(offs[:-1], max(len(data) - 1, 0))]
+
+
 def pack_roles(values: pa.Array, at_start: np.ndarray) -> np.ndarray:
     """Packed role of every lexeme of a flat string array (see module doc).
 
-    ``at_start`` marks lexemes at offset 0 of their text.  The order of the
-    tests is the order of a CASE: the first that holds decides.
+    ``at_start`` marks lexemes at offset 0 of their text.  Tests run in the
+    order of a CASE: line breaks, blanks, comments and backslashes by first
+    byte, then operators and keywords (one hash lookup), then strings vs
+    names/numbers by length and quotes, then single characters.
     """
     n = len(values)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
     length = pc.utf8_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
-    first = pc.utf8_slice_codeunits(values, 0, 1)
-    f_nl = _isin(first, ["\n", "\r"])
-    f_ff = _isin(first, ["\f"])
-    f_bl = _isin(first, [" ", "\t"])
-    f_hash = _isin(first, ["#"])
-    f_bsl = _isin(first, ["\\"])
+    b = _first_bytes(values)
     longer = length > 1
-    quote = (pc.match_substring(values, "'").to_numpy(zero_copy_only=False)
-             | pc.match_substring(values, '"').to_numpy(zero_copy_only=False))
-    single = ~longer
-    name1 = np.zeros(n, dtype=bool)
-    if single.any():
-        idx = np.flatnonzero(single)
-        name1[idx] = pc.match_substring_regex(values.take(pa.array(idx)), _NAME_START).to_numpy(
-            zero_copy_only=False)
-    conds = [f_nl, f_ff, f_bl, f_hash, f_bsl,
-             _isin(values, G.PY_OPENERS), _isin(values, G.PY_CLOSERS), _isin(values, [":"]),
-             _isin(values, ["@"]), _isin(values, _OPS), _isin(values, G.PY_CONTINUATION_KEYWORDS),
-             _isin(values, G.PY_OPERAND_KEYWORDS), _isin(values, _OTHER_KW), longer,
-             _isin(first, list("0123456789")), name1]
-    choices = [1, 13, np.where(at_start, 14, 0), 12, np.where(longer, 2, 3), 6, 7, 8, 11, 9, 10, 4, 9,
-               np.where(quote, 5, 4), 4, 4]
-    k = np.select(conds, choices, default=3).astype(np.int64)
+    k = np.full(n, -1, dtype=np.int64)
+    k[(b == 10) | (b == 13)] = 1
+    k[b == 12] = 13
+    blank = (b == 32) | (b == 9)
+    k[blank] = np.where(at_start[blank], 14, 0)
+    k[b == 35] = 12
+    bsl = b == 92
+    k[bsl] = np.where(longer[bsl], 2, 3)
+    open_ = np.flatnonzero(k < 0)
+    if open_.size:
+        sub = values.take(pa.array(open_))
+        pos = pc.index_in(sub, value_set=pa.array(_TABLE, pa.string())).fill_null(-1)
+        pos = pos.to_numpy(zero_copy_only=False).astype(np.int64)
+        hit = pos >= 0
+        k[open_[hit]] = _TABLE_CODE[pos[hit]]
+    multi = np.flatnonzero((k < 0) & longer)
+    if multi.size:
+        k[multi] = 4
+        maybe = multi[np.isin(b[multi], _PREFIX_BYTES)]
+        if maybe.size:
+            sub = values.take(pa.array(maybe))
+            quote = (pc.match_substring(sub, "'").to_numpy(zero_copy_only=False)
+                     | pc.match_substring(sub, '"').to_numpy(zero_copy_only=False))
+            k[maybe[quote]] = 5
+    single = np.flatnonzero(k < 0)
+    if single.size:
+        bs = b[single]
+        ascii_name = ((bs >= 48) & (bs <= 57)) | ((bs >= 65) & (bs <= 90)) | ((bs >= 97) & (bs <= 122)) | (bs == 95)
+        k[single] = np.where(ascii_name, 4, 3)
+        wide = single[bs >= 128]
+        if wide.size:
+            ok = pc.match_substring_regex(values.take(pa.array(wide)), _NAME_START).to_numpy(zero_copy_only=False)
+            k[wide[ok]] = 4
     packed = k + 32 * longer
-    nl_idx = np.flatnonzero(np.isin(k, (1, 13, 14)))
+    nl_idx = np.flatnonzero((k == 1) | (k == 13) | (k == 14))
     if nl_idx.size:
         blanks = pc.replace_substring_regex(values.take(pa.array(nl_idx)), r"[\r\n\f]", "")
         widths = pc.utf8_length(blanks).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -197,15 +229,145 @@ def profile_one(packed) -> tuple:
             nest, stmts, e1, e2, e3, e4, e5, e1 + e2 + e3 + e4 + e5)
 
 
+def _seg_starts(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.int64)
+
+
+def _batch_emission(packed: np.ndarray, offsets: np.ndarray):
+    """Vectorised over all texts of a batch: per kept lexeme, its text index,
+    role, width, bracket depth after it and whether it is an emitted NEWLINE."""
+    d = len(offsets) - 1
+    n = packed.size
+    lengths = np.diff(offsets)
+    doc = np.repeat(np.arange(d), lengths)
+    pos = np.arange(n) - offsets[:-1][doc]
+    k = packed & 31
+    longer = ((packed >> 5) & 1).astype(bool)
+    width = packed >> 6
+    last = pos == lengths[doc] - 1
+    nxt_k = np.concatenate((k[1:], [-1]))
+    nxt_long = np.concatenate((longer[1:], [False]))
+    nxt_k[last] = -1
+    nxt_long[last] = False
+    quiet = ((nxt_k == 1) | (nxt_k == 12)) & (nxt_long | (pos + 2 < lengths[doc]))
+    keep = ~((k == 0) | (k == 2) | (k == 12))
+    ks, ws, qs, kd = k[keep], width[keep], quiet[keep], doc[keep]
+    is_nl = (ks == 1) | (ks == 13) | (ks == 14)
+    delta = (ks == 6).astype(np.int64) - (ks == 7)
+    counts = np.bincount(kd, minlength=d)
+    starts = _seg_starts(counts)
+    cs = np.cumsum(delta)
+    base = np.zeros(d, dtype=np.int64)
+    has = counts > 0
+    base[has] = (cs - delta)[starts[has]]
+    depth = cs - base[kd]
+    emit = is_nl & ((depth - delta) <= 0) & ~qs
+    return k, doc, pos, keep, ks, ws, kd, is_nl, depth, emit, counts, starts
+
+
+def profile_batch(packed: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Profile rows (one per text, columns as ``PROFILE_FIELDS``) of a batch."""
+    d = len(offsets) - 1
+    out = np.zeros((d, len(PROFILE_FIELDS)), dtype=np.int64)
+    if d == 0 or packed.size == 0:
+        return out
+    k, doc, pos, keep, ks, ws, kd, is_nl, depth, emit, counts, starts = _batch_emission(packed, offsets)
+    unknown = k == 3
+    prev_unknown = np.concatenate(([False], unknown[:-1])) & (pos > 0)
+    e1 = np.bincount(doc[unknown & ~prev_unknown], minlength=d)
+
+    has = counts > 0
+    final_depth = np.zeros(d, dtype=np.int64)
+    max_depth = np.zeros(d, dtype=np.int64)
+    min_depth = np.zeros(d, dtype=np.int64)
+    if has.any():
+        final_depth[has] = depth[starts[has] + counts[has] - 1]
+        max_depth[has] = np.maximum.reduceat(depth, starts[has])
+        min_depth[has] = np.minimum.reduceat(depth, starts[has])
+    max_depth = np.maximum(max_depth, 0)
+    unmatched = np.maximum(-min_depth, 0)
+    open_left = final_depth + unmatched
+
+    seq = ~is_nl | emit
+    t, e, wv, sd = ks[seq], emit[seq], ws[seq], kd[seq]
+    m = np.bincount(sd, minlength=d)
+    sstarts = _seg_starts(m)
+    first = np.ones(t.size, dtype=bool)
+    first[1:] = sd[1:] != sd[:-1]
+    prev_t = np.concatenate(([-1], t[:-1]))
+    prev_t[first] = -1
+    prev_e = np.concatenate(([True], e[:-1]))
+    prev_e[first] = True
+    ntok = np.bincount(kd[~is_nl], minlength=d)
+    nl = np.bincount(sd[e], minlength=d)
+    operand = ((t == 4) | (t == 5)) & ~e
+    prev_operand = np.concatenate(([False], operand[:-1])) & ~first
+    pair = operand & prev_operand & ~((t == 5) & (prev_t == 5))
+    line = np.cumsum(e | first)
+    e5 = np.zeros(d, dtype=np.int64)
+    if pair.any():
+        _, idx = np.unique(line[pair], return_index=True)
+        e5 = np.bincount(sd[pair][idx], minlength=d)
+    stmts = np.bincount(sd[~e & prev_e & ~((t == 10) | (t == 11))], minlength=d)
+    colon_before = (prev_t == 8) & ~prev_e
+
+    ind = np.zeros(d, dtype=np.int64)
+    ded = np.zeros(d, dtype=np.int64)
+    nest = np.zeros(d, dtype=np.int64)
+    left = np.zeros(d, dtype=np.int64)
+    idx_e = np.flatnonzero(e)
+    e3 = np.bincount(sd[idx_e][colon_before[idx_e]], minlength=d)
+    indented = np.unique(sd[idx_e][wv[idx_e] > 0])
+    for di in indented.tolist():
+        sel = idx_e[sd[idx_e] == di]
+        stack: list[int] = []
+        i3 = dd = nn = e3d = 0
+        for w, cb in zip(wv[sel].tolist(), colon_before[sel].tolist()):
+            top = stack[-1] if stack else 0
+            if w > top:
+                stack.append(w)
+                i3 += 1
+                e3d += not cb
+                nn = max(nn, len(stack))
+            else:
+                while stack and stack[-1] > w:
+                    stack.pop()
+                    dd += 1
+                e3d += cb
+        ind[di], ded[di], nest[di], e3[di], left[di] = i3, dd, nn, e3d, len(stack)
+    eof = left > 0
+    send = sstarts + m - 1
+    nonempty = m > 0
+    last_tok = np.zeros(d, dtype=bool)
+    last_colon = np.zeros(d, dtype=bool)
+    last_tok[nonempty] = ~e[send[nonempty]]
+    last_colon[nonempty] = last_tok[nonempty] & (t[send[nonempty]] == 8)
+    nl = nl + eof
+    ded = ded + left
+    e3 = e3 + (eof & last_colon)
+    e2 = unmatched + open_left
+    e4 = (last_tok & ~eof & (open_left == 0)).astype(np.int64)
+    tokens = ntok + nl + ind + ded
+    cols = [tokens, ntok, nl, ind, ded, final_depth, max_depth, unmatched, open_left, nest, stmts,
+            e1, e2, e3, e4, e5, e1 + e2 + e3 + e4 + e5]
+    return np.stack(cols, axis=1).astype(np.int64)
+
+
+def emit_batch(packed: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Per lexeme of a batch: is it a line break the lexer emits as NEWLINE?"""
+    out = np.zeros(packed.size, dtype=bool)
+    if packed.size:
+        r = _batch_emission(packed, offsets)
+        keep, emit = r[3], r[9]
+        out[np.flatnonzero(keep)] = emit
+    return out
+
+
 @F.arrow_udf(PROFILE_TYPE)
 def profile_udf(lex: pa.Array) -> pa.Array:
     """Profile struct per text from its lexeme array."""
     values, offsets, nulls, at_start = _flat(lex)
-    packed = pack_roles(values, at_start)
-    cols = np.zeros((len(offsets) - 1, len(PROFILE_FIELDS)), dtype=np.int64)
-    for i in range(len(offsets) - 1):
-        if not nulls[i]:
-            cols[i] = profile_one(packed[offsets[i]:offsets[i + 1]])
+    cols = profile_batch(pack_roles(values, at_start), offsets)
     mask = pa.array(nulls)
     return pa.StructArray.from_arrays([pa.array(cols[:, j].astype(np.int32)) for j in range(cols.shape[1])],
                                       names=PROFILE_FIELDS, mask=mask)
@@ -220,11 +382,7 @@ def roles_udf(lex: pa.Array) -> pa.Array:
     """Per lexeme: packed role code and whether it is an emitted NEWLINE."""
     values, offsets, nulls, at_start = _flat(lex)
     packed = pack_roles(values, at_start)
-    emit = np.zeros(len(packed), dtype=bool)
-    for i in range(len(offsets) - 1):
-        s, e = offsets[i], offsets[i + 1]
-        if e > s:
-            emit[s:e] = emit_flags_one(packed[s:e])
+    emit = emit_batch(packed, offsets)
     off = pa.array(offsets.astype(np.int32))
     codes = pa.ListArray.from_arrays(off, pa.array(packed.astype(np.int32)), mask=pa.array(nulls))
     flags = pa.ListArray.from_arrays(off, pa.array(emit), mask=pa.array(nulls))
@@ -263,13 +421,11 @@ def name_counts(lex: pa.Array) -> dict:
             c = int(np.count_nonzero(rest & mask))
             if c:
                 counts[name] = counts.get(name, 0) + c
-    for i in range(len(offsets) - 1):
-        s, e = offsets[i], offsets[i + 1]
-        if not nulls[i] and e > s:
-            p = profile_one(packed[s:e])
-            for name, v in (("NEWLINE", p[2]), ("INDENT", p[3]), ("DEDENT", p[4])):
-                if v:
-                    counts[name] = counts.get(name, 0) + int(v)
+    prof = profile_batch(packed, offsets)
+    for j, name in ((2, "NEWLINE"), (3, "INDENT"), (4, "DEDENT")):
+        v = int(prof[~nulls, j].sum()) if len(nulls) else 0
+        if v:
+            counts[name] = counts.get(name, 0) + v
     return counts
 
 
