@@ -39,11 +39,22 @@ def build_vocab(df: DataFrame, text: str, vocab_size: int = DEFAULT_VOCAB) -> Da
     return vocab_from_lexemes(df.select(L.py_lexemes(text).alias("lexemes")), "lexemes", vocab_size)
 
 
+def _count_lexemes(batches):
+    """``mapInArrow`` body: distinct lexemes of each batch with their counts."""
+    for b in batches:
+        col = b.column(0)
+        if isinstance(col, pa.ChunkedArray):
+            col = col.combine_chunks()
+        vc = pc.value_counts(col.flatten())
+        yield pa.RecordBatch.from_arrays([vc.field("values"), vc.field("counts")], names=["lexeme", "n"])
+
+
 def vocab_from_lexemes(lexed: DataFrame, lexemes: str, vocab_size: int = DEFAULT_VOCAB) -> DataFrame:
-    """Vocabulary from a lexeme-array column (counts combine map-side first,
-    so a very frequent lexeme does not pile up in one task)."""
-    counts = (lexed.select(F.explode(lexemes).alias("lexeme"))
-                .groupBy("lexeme").agg(F.count(F.lit(1)).alias("n")))
+    """Vocabulary from a lexeme-array column.  Each Arrow batch is counted in
+    its worker first, so only distinct lexemes per batch reach the shuffle and
+    a very frequent lexeme never piles up in one task."""
+    partial = lexed.select(lexemes).mapInArrow(_count_lexemes, "lexeme string, n bigint")
+    counts = partial.groupBy("lexeme").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), F.asc("lexeme")).limit(int(vocab_size))
     # numbering at most vocab_size rows: bounded, one small task
     rank = F.row_number().over(Window.orderBy(F.desc("n"), F.asc("lexeme"))) - 1
