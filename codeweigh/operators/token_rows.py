@@ -25,6 +25,14 @@ from ..functions import lexing as L
 from ..session import materialize
 
 DEFAULT_VOCAB = 50000
+# Largest vocabulary (in bytes of lexeme text) shipped to every task; above it
+# encoding and decoding use a shuffle join instead.
+BROADCAST_LIMIT_BYTES = 256 << 20
+
+
+def vocab_bytes(vocab: DataFrame) -> int:
+    """Bytes of lexeme text in a vocabulary (an aggregate over at most V rows)."""
+    return int(vocab.agg(F.sum(F.octet_length("lexeme"))).first()[0] or 0)
 
 
 def lex_documents(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -69,14 +77,27 @@ def tokenize_ids(df: DataFrame, key: str, text: str, vocab: DataFrame, vocab_siz
 
 
 def tokenize_lexemes(lexed: DataFrame, key: str, lexemes: str, vocab: DataFrame, vocab_size: int,
-                     max_length: int | None = None) -> DataFrame:
-    """K1 from a lexeme-array column: a map-only job.
-
-    The vocabulary is capped at ``vocab_size`` rows, so it is collected once
-    and broadcast; each Arrow batch of lexeme arrays is encoded with one
-    vectorized hash lookup (``index_in``; position = id).  No row leaves its
-    partition.
+                     max_length: int | None = None,
+                     broadcast_limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """K1 from a lexeme-array column.
+
+    The vocabulary has at most ``vocab_size`` rows; its bytes are checked.
+    Within ``broadcast_limit`` it is collected once and broadcast, and each
+    Arrow batch of lexeme arrays is encoded with one vectorized hash lookup
+    (``index_in``; position = id): a map-only job.  Beyond it, lexemes are
+    exploded, joined to the vocabulary with a shuffle join and regrouped per
+    key in position order.
     """
+    if vocab_bytes(vocab) > broadcast_limit:
+        ids = _encode_by_join(lexed, key, lexemes, vocab, vocab_size)
+    else:
+        ids = _encode_by_broadcast(lexed, key, lexemes, vocab, vocab_size)
+    if max_length is not None:
+        ids = ids.withColumn("input_ids", truncate("input_ids", max_length))
+    return ids
+
+
+def _encode_by_broadcast(lexed, key, lexemes, vocab, vocab_size):
     spark = lexed.sparkSession
     words = [r["lexeme"] for r in vocab.orderBy("id").limit(int(vocab_size)).collect()]
     bc = spark.sparkContext.broadcast(words)
@@ -91,10 +112,17 @@ def tokenize_lexemes(lexed: DataFrame, key: str, lexemes: str, vocab: DataFrame,
         offsets = pc.subtract(arrays.offsets, arrays.offsets[0])
         return pa.ListArray.from_arrays(offsets, ids, mask=arrays.is_null())
 
-    ids = encode(F.col(lexemes))
-    if max_length is not None:
-        ids = truncate(ids, max_length)
-    return lexed.select(key, ids.alias("input_ids"))
+    return lexed.select(key, encode(F.col(lexemes)).alias("input_ids"))
+
+
+def _encode_by_join(lexed, key, lexemes, vocab, vocab_size):
+    ex = lexed.select(key, F.posexplode(lexemes).alias("pos", "lexeme"))
+    j = ex.join(vocab.select("lexeme", "id"), "lexeme", "left")
+    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(vocab_size))
+                                                                 .cast("int").alias("id")))).alias("_z"))
+    ids = g.select(key, F.transform("_z", lambda z: z["id"]).alias("input_ids"))
+    empty = lexed.where(F.size(lexemes) == 0).select(key, F.array().cast("array<int>").alias("input_ids"))
+    return ids.unionByName(empty)
 
 
 def truncate(ids, max_length: int):
@@ -131,14 +159,26 @@ def vocab_array(vocab: DataFrame, vocab_size: int) -> DataFrame:
                                F.array(F.lit("<unk>"), F.lit("<eos>"))).alias("_vocab"))
 
 
-def decode(df: DataFrame, ids: str, vocab: DataFrame, vocab_size: int, out: str = "decoded") -> DataFrame:
-    """K6: ids back to text by position.  The vocabulary (at most
-    ``vocab_size + 2`` entries) is one array-valued scalar subquery."""
-    words = vocab_array(vocab, vocab_size).scalar()
-    j = df.withColumn("_vocab", words)
-    text = F.array_join(F.transform(ids, lambda i: F.coalesce(F.try_element_at("_vocab", i + 1),
-                                                              F.lit("<unk>"))), "")
-    return j.withColumn(out, text).drop("_vocab")
+def decode(df: DataFrame, ids: str, vocab: DataFrame, vocab_size: int, out: str = "decoded",
+           broadcast_limit: int = BROADCAST_LIMIT_BYTES, key: str | None = None) -> DataFrame:
+    """K6: ids back to text in position order.
+
+    Within ``broadcast_limit`` bytes the vocabulary (at most ``vocab_size + 2``
+    entries) is one array-valued scalar subquery indexed by id.  Beyond it,
+    ids are exploded, joined to the vocabulary and regrouped per ``key``."""
+    if key is None or vocab_bytes(vocab) <= broadcast_limit:
+        words = vocab_array(vocab, vocab_size).scalar()
+        j = df.withColumn("_vocab", words)
+        text = F.array_join(F.transform(ids, lambda i: F.coalesce(F.try_element_at("_vocab", i + 1),
+                                                                  F.lit("<unk>"))), "")
+        return j.withColumn(out, text).drop("_vocab")
+    ex = df.select(key, F.posexplode(ids).alias("_pos", "_id"))
+    names = vocab.select(F.col("id").alias("_id"), F.col("lexeme").alias("_w"))
+    j = ex.join(names, "_id", "left").withColumn(
+        "_w", F.coalesce("_w", F.when(F.col("_id") == vocab_size + 1, "<eos>").otherwise("<unk>")))
+    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_w"))).alias("_z"))
+    g = g.select(key, F.array_join(F.transform("_z", lambda z: z["_w"]), "").alias(out))
+    return df.join(g, key, "left").withColumn(out, F.coalesce(out, F.lit("")))
 
 
 def left_pad(ids, width: int, pad_id: int):

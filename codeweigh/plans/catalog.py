@@ -300,7 +300,7 @@ def q_decode_tokens(spark, sf):
     lexed = _lexed(spark, sf)
     vocab = _vocab(spark, sf, lexed)
     ids = token_rows.tokenize_lexemes(lexed, "doc_id", "lexemes", vocab, V)
-    d = token_rows.decode(ids, "input_ids", vocab, V)
+    d = token_rows.decode(ids, "input_ids", vocab, V, key="doc_id")
     return d.select("doc_id", "decoded")
 
 

@@ -79,7 +79,7 @@ def rollout_batches(df: DataFrame, key: str, text: str, per_device_train_batch_s
     rows = prepare.batch_rows(ids, [key], per_device_train_batch_size)
     q = token_rows.prompt_half_split("input_ids") if split_examples else F.col("input_ids")
     rows = rows.withColumn("query_ids", q)
-    return token_rows.decode(rows, "query_ids", vocab, vocab_size, out="query")
+    return token_rows.decode(rows, "query_ids", vocab, vocab_size, out="query", key=key)
 
 
 def score_rollouts(pairs: DataFrame, avg_tokens: float | None = None, avg_errors: float | None = None,

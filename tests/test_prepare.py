@@ -100,3 +100,17 @@ def test_text_column_and_split_check(spark):
     assert prepare.resolve_text_column(df, "body") == "body"
     with pytest.raises(ValueError):
         prepare.filter_split(df.withColumn("split", F.lit("train")), "validation")
+
+
+def test_vocab_fallback_without_broadcast(spark):
+    """Beyond the byte limit, encoding and decoding use shuffle joins; same results."""
+    df = spark.createDataFrame([(1, "x = 1\n"), (2, "y = x + 'é'\n"), (3, "")], "k long, t string")
+    lexed = token_rows.lex_documents(df, "k", "t")
+    vocab = token_rows.vocab_from_lexemes(lexed, "lexemes", 4)
+    a = token_rows.tokenize_lexemes(lexed, "k", "lexemes", vocab, 4).orderBy("k").collect()
+    b = token_rows.tokenize_lexemes(lexed, "k", "lexemes", vocab, 4, broadcast_limit=0).orderBy("k").collect()
+    assert [r.input_ids for r in a] == [r.input_ids for r in b]
+    ids = token_rows.tokenize_lexemes(lexed, "k", "lexemes", vocab, 4)
+    d1 = token_rows.decode(ids, "input_ids", vocab, 4, key="k").orderBy("k").collect()
+    d2 = token_rows.decode(ids, "input_ids", vocab, 4, key="k", broadcast_limit=0).orderBy("k").collect()
+    assert [r.decoded for r in d1] == [r.decoded for r in d2]
