@@ -120,3 +120,20 @@ def test_fold_invariants(codes, widths):
 def test_lexemes(spark, text, expect):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(py_lexemes("t").alias("l")).first().l == expect
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14]),
+                                   st.integers(0, 12), st.booleans()), max_size=30), max_size=12))
+def test_batch_fold_equals_per_text_fold(docs):
+    import numpy as np
+
+    from codeweigh.functions.layout import emit_batch, emit_flags_one, profile_batch
+    packs = [[k + 32 * int(lg) + 64 * (w if k in (1, 13, 14) else 0) for k, w, lg in d] for d in docs]
+    flat = np.array([x for p in packs for x in p], dtype=np.int64)
+    offsets = np.concatenate(([0], np.cumsum([len(p) for p in packs]))).astype(np.int64)
+    batch = profile_batch(flat, offsets)
+    for i, p in enumerate(packs):
+        assert tuple(batch[i]) == profile_one(p)
+    flags = emit_batch(flat, offsets)
+    assert flags.tolist() == [f for p in packs for f in (emit_flags_one(p) if p else [])]

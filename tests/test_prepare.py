@@ -114,3 +114,24 @@ def test_vocab_fallback_without_broadcast(spark):
     d1 = token_rows.decode(ids, "input_ids", vocab, 4, key="k").orderBy("k").collect()
     d2 = token_rows.decode(ids, "input_ids", vocab, 4, key="k", broadcast_limit=0).orderBy("k").collect()
     assert [r.decoded for r in d1] == [r.decoded for r in d2]
+
+
+def test_csv_json_round_trips(spark, tmp_path):
+    rows = [(1, 'a "quoted"\nline, with comma'), (2, "plain"), (3, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    csv, js = str(tmp_path / "x.csv"), str(tmp_path / "x.json")
+    df.write.option("header", True).option("escape", '"').csv(csv)
+    df.write.json(js)
+    got_csv = sorted((r.id, r.text or "") for r in readers.scan_csv(spark, csv, df.schema).collect())
+    got_json = sorted((r.id, r.text) for r in readers.scan_json(spark, js, df.schema).collect())
+    assert got_csv == sorted(rows) and got_json == sorted(rows)
+    one = tmp_path / "one.json"
+    one.write_text('[{"id": 5, "text": "x"},\n {"id": 6, "text": "y"}]')
+    multi = readers.scan_json(spark, str(one), df.schema, multi_line=True).orderBy("id").collect()
+    assert [(r.id, r.text) for r in multi] == [(5, "x"), (6, "y")]
+
+
+def test_scan_named_with_config(spark, tmp_path):
+    spark.createDataFrame([(1, "a")], "id long, text string").write.parquet(str(tmp_path / "ds" / "cfg.parquet"))
+    got = readers.scan_named(spark, str(tmp_path), "ds", "cfg").collect()
+    assert [(r.id, r.text) for r in got] == [(1, "a")]
