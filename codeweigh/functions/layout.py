@@ -23,10 +23,6 @@ _OTHER_KW = [k for k, _ in G.PY_KEYWORDS if k not in G.PY_OPERAND_KEYWORDS + G.P
 _NAME_START = r"^[_\p{L}\p{Nl}" + G.PY_ID_START_EXTRA + "]$"
 
 
-def _isin(arr, values) -> np.ndarray:
-    return pc.is_in(arr, value_set=pa.array(values, pa.string())).to_numpy(zero_copy_only=False)
-
-
 def _width(blanks: str) -> int:
     w = 0
     for ch in blanks:
@@ -156,7 +152,8 @@ def _emission(p: np.ndarray):
 
 
 def emit_flags_one(packed) -> list:
-    """Per lexeme: is it a line break the lexer emits as NEWLINE?"""
+    """Per lexeme: is it a line break the lexer emits as NEWLINE?  (Per-text
+    reference for :func:`emit_batch`; the property tests compare the two.)"""
     p = np.asarray(packed, dtype=np.int64)
     if p.size == 0:
         return []
@@ -167,7 +164,8 @@ def emit_flags_one(packed) -> list:
 
 
 def profile_one(packed) -> tuple:
-    """Profile of one text from its packed role vector."""
+    """Profile of one text from its packed role vector.  (Per-text reference
+    for :func:`profile_batch`, which the UDFs use; tests compare the two.)"""
     p = np.asarray(packed, dtype=np.int64)
     if p.size == 0:
         return (0,) * len(PROFILE_FIELDS)

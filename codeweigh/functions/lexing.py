@@ -46,7 +46,6 @@ PY_PATTERN = G.python_pattern("java")
 JAVA_PATTERN = G.java_pattern("java")
 
 
-
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
