@@ -372,53 +372,69 @@ def profile_udf(lex: pa.Array) -> pa.Array:
 
 
 ROLES_TYPE = T.StructType([T.StructField("codes", T.ArrayType(T.IntegerType())),
-                           T.StructField("emit", T.ArrayType(T.BooleanType()))])
+                           T.StructField("emit", T.ArrayType(T.BooleanType())),
+                           T.StructField("names", T.ArrayType(T.IntegerType()))])
 
 
 @F.arrow_udf(ROLES_TYPE)
 def roles_udf(lex: pa.Array) -> pa.Array:
-    """Per lexeme: packed role code and whether it is an emitted NEWLINE."""
+    """Per lexeme: packed role code, whether it is an emitted NEWLINE, and
+    its token-name id (index into ``TOKEN_NAMES``)."""
     values, offsets, nulls, at_start = _flat(lex)
     packed = pack_roles(values, at_start)
     emit = emit_batch(packed, offsets)
+    names = name_ids(values, packed)
     off = pa.array(offsets.astype(np.int32))
-    codes = pa.ListArray.from_arrays(off, pa.array(packed.astype(np.int32)), mask=pa.array(nulls))
-    flags = pa.ListArray.from_arrays(off, pa.array(emit), mask=pa.array(nulls))
-    return pa.StructArray.from_arrays([codes, flags], names=["codes", "emit"])
+    mask = pa.array(nulls)
+    codes = pa.ListArray.from_arrays(off, pa.array(packed.astype(np.int32)), mask=mask)
+    flags = pa.ListArray.from_arrays(off, pa.array(emit), mask=mask)
+    ids = pa.ListArray.from_arrays(off, pa.array(names.astype(np.int32)), mask=mask)
+    return pa.StructArray.from_arrays([codes, flags, ids], names=["codes", "emit", "names"])
 
 
-_NAME_OF = {t: n for t, n in G.PY_KEYWORDS + G.PY_OPERATORS}
+# Token names by id: fixed classes first, then the grammar's keyword and
+# operator names in grammar order.
+_FIXED_NAMES = ["SKIP_", "NEWLINE", "STRING", "NUMBER", "NAME", "UNKNOWN_CHAR"]
+_KW_OPS = G.PY_KEYWORDS + G.PY_OPERATORS
+TOKEN_NAMES = _FIXED_NAMES + [n for _, n in _KW_OPS]
 HISTOGRAM_SCHEMA = "name string, n bigint"
 
 
+def name_ids(values: pa.Array, packed: np.ndarray) -> np.ndarray:
+    """Index into ``TOKEN_NAMES`` of every lexeme (SKIP_ for blanks,
+    comments and line joins; NEWLINE for every line-break candidate)."""
+    k = packed & 31
+    out = np.full(k.size, 4, dtype=np.int64)  # NAME
+    out[(k == 0) | (k == 2) | (k == 12)] = 0
+    out[(k == 1) | (k == 13) | (k == 14)] = 1
+    out[k == 5] = 2
+    out[k == 3] = 5
+    cand = np.flatnonzero((k == 4) | ((k >= 6) & (k <= 11)))
+    if cand.size:
+        sub = values.take(pa.array(cand))
+        pos = pc.index_in(sub, value_set=pa.array([t for t, _ in _KW_OPS], pa.string())).fill_null(-1)
+        pos = pos.to_numpy(zero_copy_only=False).astype(np.int64)
+        known = pos >= 0
+        out[cand[known]] = len(_FIXED_NAMES) + pos[known]
+        rest = cand[~known]
+        if rest.size:
+            b = _first_bytes(values.take(pa.array(rest)))
+            longer = ((packed[rest] >> 5) & 1).astype(bool)
+            number = ((b >= 48) & (b <= 57)) | ((b == 46) & longer)
+            out[rest[number]] = 3
+    return out
+
+
 def name_counts(lex: pa.Array) -> dict:
     """Token-name counts of a batch of lexeme arrays, layout tokens included."""
     values, offsets, nulls, at_start = _flat(lex)
     packed = pack_roles(values, at_start)
-    k = packed & 31
+    ids = name_ids(values, packed)
     counts: dict = {}
-    visible = np.flatnonzero(~np.isin(k, (0, 1, 2, 12, 13, 14)))
+    visible = ids[(ids != 0) & (ids != 1)]
     if visible.size:
-        vals = values.take(pa.array(visible))
-        kv = k[visible]
-        fixed = pa.array(list(_NAME_OF), pa.string())
-        pos = pc.index_in(vals, value_set=fixed).to_numpy(zero_copy_only=False)
-        known = ~np.isnan(pos) if pos.dtype.kind == "f" else pos >= 0
-        if known.any():
-            idx = pos[known].astype(np.int64)
-            names = list(_NAME_OF.values())
-            for j, c in zip(*np.unique(idx, return_counts=True)):
-                counts[names[j]] = counts.get(names[j], 0) + int(c)
-        rest = ~known
-        first = pc.utf8_slice_codeunits(vals, 0, 1)
-        digit = pc.is_in(first, value_set=pa.array(list("0123456789"))).to_numpy(zero_copy_only=False)
-        dot = (pc.equal(first, ".").to_numpy(zero_copy_only=False)
-               & (pc.utf8_length(vals).to_numpy(zero_copy_only=False) > 1))
-        for name, mask in (("STRING", kv == 5), ("UNKNOWN_CHAR", kv == 3),
-                           ("NUMBER", (kv == 4) & (digit | dot)), ("NAME", (kv == 4) & ~(digit | dot))):
-            c = int(np.count_nonzero(rest & mask))
-            if c:
-                counts[name] = counts.get(name, 0) + c
+        for j, c in zip(*np.unique(visible, return_counts=True)):
+            counts[TOKEN_NAMES[int(j)]] = int(c)
     prof = profile_batch(packed, offsets)
     for j, name in ((2, "NEWLINE"), (3, "INDENT"), (4, "DEDENT")):
         v = int(prof[~nulls, j].sum()) if len(nulls) else 0

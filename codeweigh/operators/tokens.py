@@ -27,36 +27,27 @@ def profile(df: DataFrame, key: str, text: str, fields: list[str]) -> DataFrame:
     return p.select(key, *[F.col("_p." + f).cast("bigint").alias(f) for f in fields])
 
 
-def _py_names(spark: SparkSession) -> DataFrame:
-    rows = [(t, n) for t, n in G.PY_KEYWORDS + G.PY_OPERATORS]
-    return spark.createDataFrame(rows, "lexeme string, kw_name string")
-
-
 def python_token_table(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per lexeme ``(key, pos, name, text, hidden)``.
 
     Blanks, comments and line joins are ``SKIP_`` (hidden); a line break the
     lexer suppresses is a hidden ``NEWLINE``.  INDENT/DEDENT carry no text and
-    are counted by :func:`profile` instead.
+    are counted by :func:`profile` instead.  Names come from the Arrow
+    classifier as small ids, turned into text by indexing a constant array
+    (no join).
     """
-    spark = df.sparkSession
+    from ..functions.layout import TOKEN_NAMES
     lx = df.select(key, L.py_lexemes(text).alias("_lx"))
     lx = lx.withColumn("_r", L.py_roles("_lx"))
-    lx = lx.select(key, "_lx", F.col("_r.codes").alias("_k"), F.col("_r.emit").alias("_emit"))
-    ex = lx.select(key, F.posexplode(F.arrays_zip("_lx", "_k", "_emit")).alias("pos", "z"))
-    ex = ex.select(key, F.col("pos").cast("int").alias("pos"), F.col("z._lx").alias("text"),
-                   (F.col("z._k") % 32).alias("k"), F.col("z._emit").alias("emit"))
-    named = ex.join(F.broadcast(_py_names(spark)), ex.text == F.col("lexeme"), "left")
-    c0 = F.substring("text", 1, 1)
-    name = (F.when(F.col("k").isin(1, 13, 14), "NEWLINE")
-            .when(F.col("k").isin(0, 2, 12), "SKIP_")
-            .when(F.col("kw_name").isNotNull(), F.col("kw_name"))
-            .when(F.col("k") == 5, "STRING")
-            .when(F.col("k") == 3, "UNKNOWN_CHAR")
-            .when(c0.between("0", "9") | ((c0 == ".") & (F.length("text") > 1)), "NUMBER")
-            .otherwise("NAME"))
-    hidden = F.col("k").isin(0, 2, 12) | (F.col("k").isin(1, 13, 14) & ~F.col("emit"))
-    return named.select(key, "pos", name.alias("name"), "text", hidden.alias("hidden"))
+    lx = lx.select(key, "_lx", F.col("_r.codes").alias("_k"), F.col("_r.emit").alias("_emit"),
+                   F.col("_r.names").alias("_n"))
+    ex = lx.select(key, F.posexplode(F.arrays_zip("_lx", "_k", "_emit", "_n")).alias("pos", "z"))
+    k = F.col("z._k") % 32
+    names = F.array(*[F.lit(n) for n in TOKEN_NAMES])
+    hidden = k.isin(0, 2, 12) | (k.isin(1, 13, 14) & ~F.col("z._emit"))
+    return ex.select(key, F.col("pos").cast("int").alias("pos"),
+                     F.element_at(names, F.col("z._n") + 1).alias("name"),
+                     F.col("z._lx").alias("text"), hidden.alias("hidden"))
 
 
 def unknown_chars(df: DataFrame, key: str, text: str) -> DataFrame:
