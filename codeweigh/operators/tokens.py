@@ -7,7 +7,7 @@ fixed ~100-row dimension table, so the exploded side never shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grammar as G
@@ -79,32 +79,37 @@ def indent_widths(df: DataFrame, text: str) -> DataFrame:
         F.col("width").cast("bigint").alias("width"), "n_lines")
 
 
-def _java_names(spark: SparkSession) -> DataFrame:
-    rows = G.java_keyword_names() + G.JAVA_OPERATORS
-    return spark.createDataFrame(rows, "lexeme string, kw_name string")
-
-
 def java_token_table(df: DataFrame, key: str, text: str) -> DataFrame:
     """Java tokens ``(key, pos, name, text, hidden)``.
 
     Whitespace and comments are on the hidden channel; characters no rule
-    accepts are ``UNMATCHED`` and hidden.
+    accepts are ``UNMATCHED`` and hidden.  Names are code-generated
+    expressions over the lexeme (keyword set tests, a small fixed map for
+    operators): no join.
     """
-    spark = df.sparkSession
     ex = df.select(key, F.posexplode(L.java_lexemes(text)).alias("pos", "text"))
-    ex = ex.withColumn("pos", F.col("pos").cast("int"))
-    named = ex.join(F.broadcast(_java_names(spark)), ex.text == F.col("lexeme"), "left")
+    named = ex.withColumn("pos", F.col("pos").cast("int"))
     t = F.col("text")
+    words = dict(G.java_keyword_names())
+    ops = dict(G.JAVA_OPERATORS)
+    op_name = F.create_map(*[F.lit(x) for pair in ops.items() for x in pair])
+    kw_name = (F.when(t.isin(*G.JAVA_KEYWORDS), F.upper(t))
+               .when(t.isin(*[w for w in words if w not in G.JAVA_KEYWORDS]),
+                     F.create_map(*[F.lit(x) for w in words if w not in G.JAVA_KEYWORDS
+                                    for x in (w, words[w])])[t])
+               .when(t.isin(*ops), op_name[t]))
     c0 = F.substring(t, 1, 1)
     n = F.length(t)
     is_num = c0.between("0", "9") | ((c0 == ".") & (n > 1) & (F.substring(t, 2, 1).between("0", "9")))
+    cp = F.ascii(c0)  # code point of the first character
+    ident_start = (cp.between(97, 122) | cp.between(65, 90) | cp.isin(36, 95) | (cp >= 128))
     number = (F.when(t.rlike("^0[xX]") & t.rlike("[pP]"), "HEX_FLOAT_LITERAL")
               .when(t.rlike("^0[xX]"), "HEX_LITERAL")
               .when(t.rlike("^0[bB]"), "BINARY_LITERAL")
               .when(t.rlike("[.eEfFdD]"), "FLOAT_LITERAL")
               .when(t.rlike("^0_*[0-7]"), "OCT_LITERAL")
               .otherwise("DECIMAL_LITERAL"))
-    name = (F.when(F.col("kw_name").isNotNull(), F.col("kw_name"))
+    name = (F.when(kw_name.isNotNull(), kw_name)
             .when(c0.isin(" ", "\t", "\r", "\n", "\f"), "WS")
             .when(t.startswith("/*") & (n > 3), "COMMENT")
             .when(t.startswith("//"), "LINE_COMMENT")
@@ -112,7 +117,7 @@ def java_token_table(df: DataFrame, key: str, text: str) -> DataFrame:
             .when(t.startswith('"""') & (n > 5), "TEXT_BLOCK")
             .when((c0 == '"') & (n > 1), "STRING_LITERAL")
             .when((c0 == "'") & (n > 1), "CHAR_LITERAL")
-            .when(t.rlike("^[a-zA-Z$_\\x{80}-\\x{10FFFF}]"), "IDENTIFIER")
+            .when(ident_start, "IDENTIFIER")
             .otherwise("UNMATCHED"))
     named = named.withColumn("name", name)
     hidden = F.col("name").isin("WS", "COMMENT", "LINE_COMMENT", "UNMATCHED")
