@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from codeweigh.llm import decontaminate
+from codeweigh.llm.decontaminate import op9_decontaminate
 from codeweigh.llm.language import op10_language_id
 
 QUERIES = {
+    "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
 }
 
 #: Queries without an entry here are tested against brute force, a round trip or held-out labels in tests/llm.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_decontaminate": decontaminate.ORACLE,
+}
