@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from codeweigh.llm import decontaminate
+from codeweigh.llm import decontaminate, exact_dedup
 from codeweigh.llm.decontaminate import op9_decontaminate
+from codeweigh.llm.exact_dedup import op8_exact_dedup
 from codeweigh.llm.language import op10_language_id
 
 QUERIES = {
+    "op8_exact_dedup": op8_exact_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
 }
 
 #: Queries without an entry here are tested against brute force, a round trip or held-out labels in tests/llm.
 ORACLE: dict[str, str] = {
+    "op8_exact_dedup": exact_dedup.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
 }
