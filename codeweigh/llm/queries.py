@@ -6,8 +6,10 @@ from codeweigh.llm import decontaminate, exact_dedup
 from codeweigh.llm.decontaminate import op9_decontaminate
 from codeweigh.llm.exact_dedup import op8_exact_dedup
 from codeweigh.llm.language import op10_language_id
+from codeweigh.llm.token_files import op3_token_files
 
 QUERIES = {
+    "op3_token_files": op3_token_files,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
