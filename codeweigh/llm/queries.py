@@ -7,9 +7,11 @@ from codeweigh.llm.decontaminate import op9_decontaminate
 from codeweigh.llm.exact_dedup import op8_exact_dedup
 from codeweigh.llm.html_text import op7_html_text
 from codeweigh.llm.language import op10_language_id
+from codeweigh.llm.pieces import op1_sentencepiece
 from codeweigh.llm.token_files import op3_token_files
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op7_html_text": op7_html_text,
     "op3_token_files": op3_token_files,
     "op8_exact_dedup": op8_exact_dedup,
