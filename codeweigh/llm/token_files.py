@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -117,7 +118,9 @@ class Segment:
 
 class Encoder:
     """Whole texts to ids.  Blanks and line feeds never lie inside a token, so
-    a text is encoded as the pieces between them, and known pieces are reused."""
+    a text is encoded as the pieces between them, and known pieces are reused.
+    The tokenizer also parts a letter or digit from punctuation after it, and
+    reads A-Z as a-z, so an unknown piece is looked up without both first."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -128,12 +131,28 @@ class Encoder:
     def __call__(self, found: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE:
             self.known = {"": []}
-        pieces = [t.replace("\n", " ").split(" ") for t in found]
-        new = list({p for row in pieces for p in row if p not in self.known})
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[p] = e.ids
         known = self.known
-        return [np.array([i for p in row for i in known[p]] + [END], np.uint32) for row in pieces]
+        pieces = [t.replace("\n", " ").split(" ") for t in found]
+        new = {p: _parts(p) for p in set(chain.from_iterable(pieces)).difference(known)}
+        ask = list(set(chain.from_iterable(new.values())).difference(known))
+        for p, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False)):
+            known[p] = e.ids
+        for p, parts in new.items():
+            known[p] = known[parts[0]] if len(parts) == 1 else known[parts[0]] + known[parts[1]]
+        get = known.__getitem__
+        return [np.fromiter(chain(chain.from_iterable(map(get, row)), (END,)), np.uint32) for row in pieces]
+
+
+#: Punctuation that ends a word; not the quote of contractions nor the signs of special tokens.
+_AFTER = '.,;:!?%$&*#"'
+
+
+def _parts(piece: str) -> tuple[str, ...]:
+    word = piece.rstrip(_AFTER)
+    if not word or not word[-1].isalnum() or "<|" in word:
+        return (piece,)
+    low = word.lower() if word.isascii() else word
+    return (low,) if len(word) == len(piece) else (low, piece[len(word):])
 
 
 _ENCODERS: dict[int, Encoder] = {}
