@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from codeweigh.llm import decontaminate, exact_dedup, near_dedup
+from codeweigh.llm import decontaminate, exact_dedup, near_dedup, substring_dedup
 from codeweigh.llm.decontaminate import op9_decontaminate
 from codeweigh.llm.exact_dedup import op8_exact_dedup
 from codeweigh.llm.html_text import op7_html_text
 from codeweigh.llm.language import op10_language_id
 from codeweigh.llm.near_dedup import op4_near_dedup
 from codeweigh.llm.pieces import op1_sentencepiece
+from codeweigh.llm.substring_dedup import op2_substring_dedup
 from codeweigh.llm.token_files import op3_token_files
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op1_sentencepiece": op1_sentencepiece,
     "op7_html_text": op7_html_text,
@@ -23,6 +25,7 @@ QUERIES = {
 
 #: Queries without an entry here are tested against brute force, a round trip or held-out labels in tests/llm.
 ORACLE: dict[str, str] = {
+    "op2_substring_dedup": substring_dedup.ORACLE,
     "op4_near_dedup": near_dedup.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
