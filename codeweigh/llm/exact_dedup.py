@@ -31,8 +31,11 @@ from pyspark.sql import functions as F
 from codeweigh.llm.common import BLANKS, documents, written
 from codeweigh.session import scratch_path
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; no space reserved ahead, since many partitions hold little each.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -53,8 +56,9 @@ def _rows(df: DataFrame, digest_chars: int) -> DataFrame:
 
 def ingest(spark: SparkSession, path: str, checkpoint: str, digest_chars: int = 64, max_bytes: str | None = None) -> None:
     """Bring the state at ``checkpoint`` up to date with the files at ``path``."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     try:
         read = spark.readStream.schema(spark.read.parquet(path).schema)
         # a pattern, since a stream's plain path must be a folder and a table may be one file
@@ -65,7 +69,8 @@ def ingest(spark: SparkSession, path: str, checkpoint: str, digest_chars: int =
                  .trigger(availableNow=True).start())
         query.awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def state_table(spark: SparkSession, checkpoint: str) -> DataFrame:
