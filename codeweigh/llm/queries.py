@@ -8,11 +8,13 @@ from codeweigh.llm.exact_dedup import op8_exact_dedup
 from codeweigh.llm.html_text import op7_html_text
 from codeweigh.llm.language import op10_language_id
 from codeweigh.llm.near_dedup import op4_near_dedup
+from codeweigh.llm.personal_data import op5_personal_data
 from codeweigh.llm.pieces import op1_sentencepiece
 from codeweigh.llm.substring_dedup import op2_substring_dedup
 from codeweigh.llm.token_files import op3_token_files
 
 QUERIES = {
+    "op5_personal_data": op5_personal_data,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op1_sentencepiece": op1_sentencepiece,
