@@ -12,8 +12,10 @@ from codeweigh.llm.personal_data import op5_personal_data
 from codeweigh.llm.pieces import op1_sentencepiece
 from codeweigh.llm.substring_dedup import op2_substring_dedup
 from codeweigh.llm.token_files import op3_token_files
+from codeweigh.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op6_toxicity": op6_toxicity,
     "op5_personal_data": op5_personal_data,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
