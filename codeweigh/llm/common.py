@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from codeweigh.session import scratch_path
 
@@ -37,7 +38,7 @@ def share_of(key: Column, salt: str, fraction: float) -> Column:
     return F.crc32(F.concat(key.cast("string"), F.lit(salt))) < F.lit(int(fraction * (1 << 32)))
 
 
-def map_rows(df: DataFrame, schema: str, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
+def map_rows(df: DataFrame, schema: str | StructType, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
     """Apply ``kernel`` to every Arrow batch.  Batches are cut to a bounded
     number of text bytes first, so a kernel's working memory is bounded by
     the longest single text and not by the batch."""
@@ -52,6 +53,11 @@ def map_rows(df: DataFrame, schema: str, kernel: Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, good: Callable[[str | None], bool], name: str = "text") -> DataFrame:
+    """Rows whose text is good, with all their columns."""
+    return map_rows(df, df.schema, lambda batch: batch.filter(pa.array([good(t) for t in batch.column(name).to_pylist()], pa.bool_())))
+
+
 def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     rows = batch.num_rows
     if not rows:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from codeweigh.llm.common import documents, map_rows
+from codeweigh.llm.common import documents, keep_rows, map_rows
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -113,17 +113,34 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
     for block in blocks(benchmark):
         shared = df.sparkSession.sparkContext.broadcast(block)
-        df = map_rows(df, schema, _kernel(shared, hashlib.sha256(repr(block).encode()).hexdigest()))
+        df = map_rows(df, schema, _kernel(shared, _name(block)))
     return df
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows of ``docs``, with all columns, that hold no window of the benchmark."""
+    for block in blocks(benchmark):
+        shared, name = docs.sparkSession.sparkContext.broadcast(block), _name(block)
+        docs = keep_rows(docs, lambda text, shared=shared, name=name: not _scanner(shared, name).scan(words(text))[0])
+    return docs
+
+
+def _name(block: list) -> str:
+    return hashlib.sha256(repr(block).encode()).hexdigest()
+
+
+def _scanner(shared, name: str) -> Scanner:
+    """One automaton per worker and block."""
+    if name not in _READY:
+        if len(_READY) > 4:
+            _READY.clear()
+        _READY[name] = Scanner(shared.value)
+    return _READY[name]
+
+
 def _kernel(shared, name: str):
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if name not in _READY:  # one automaton per worker and block
-            if len(_READY) > 4:
-                _READY.clear()
-            _READY[name] = Scanner(shared.value)
-        scanner = _READY[name]
+        scanner = _scanner(shared, name)
         n_words, ranges, spans, items = [], [], [], []
         for text, before, known in zip(*(batch.column(c).to_pylist() for c in ("text", "ranges", "items"))):
             found = words(text)

@@ -46,12 +46,14 @@ def normalised(text: Column) -> Column:
 
 
 def _rows(df: DataFrame, digest_chars: int) -> DataFrame:
-    """(doc_id, digest, sha, rank, norm): ``rank`` orders a group, the smallest stays."""
+    """(doc_id, digest, sha, rank, norm, whole): ``rank`` orders a group, the
+    smallest stays; ``whole`` has all columns (pruned where nobody asks)."""
     norm = normalised(F.col("text"))
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.row_index").alias("row"))
     rank = F.struct((-F.length(F.coalesce("text", F.lit("")))).alias("minus_points"), F.col("doc_id"), place.alias("place"))
     sha = F.sha2(norm.cast("binary"), 256)
-    return df.select("doc_id", F.substring(sha, 1, digest_chars).alias("digest"), sha.alias("sha"), rank.alias("rank"), norm.alias("norm"))
+    return df.select("doc_id", F.substring(sha, 1, digest_chars).alias("digest"), sha.alias("sha"), rank.alias("rank"), norm.alias("norm"),
+                     F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"))
 
 
 def ingest(spark: SparkSession, path: str, checkpoint: str, digest_chars: int = 64, max_bytes: str | None = None) -> None:
@@ -81,7 +83,7 @@ def state_table(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 
 def decide(spark: SparkSession, path: str, checkpoint: str, digest_chars: int = 64) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256, rank) per row at ``path``."""
+    """(doc_id, keep_id, group_size, kept, text_sha256, whole) per row at ``path``."""
     rows = _rows(spark.read.parquet(path), digest_chars)
     state = state_table(spark, checkpoint)
     many = state.filter("group_size > 1").select("digest")
@@ -89,15 +91,15 @@ def decide(spark: SparkSession, path: str, checkpoint: str, digest_chars: int =
     exact = rows.join(many, "digest", "left_semi").groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("size"), F.min("rank").alias("first"))
     clash = exact.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest")
     clash = written(clash, "dedup-clashes")
-    plain = rows.join(state, "digest").select("doc_id", "digest", "sha", "rank", "group_size", "best")
+    plain = rows.join(state, "digest").select("doc_id", "digest", "sha", "rank", "group_size", "best", "whole")
     if not clash.isEmpty():
         # the text itself decides: group and verdict come from the rows with that very text
         regroup = rows.join(clash, "digest", "left_semi").groupBy("digest", "sha", "norm").agg(
             F.count(F.lit(1)).alias("group_size"), F.min("rank").alias("best"))
         plain = plain.join(clash, "digest", "left_anti").unionByName(
-            rows.join(regroup, ["digest", "sha", "norm"]).select("doc_id", "digest", "sha", "rank", "group_size", "best"))
+            rows.join(regroup, ["digest", "sha", "norm"]).select("doc_id", "digest", "sha", "rank", "group_size", "best", "whole"))
     return plain.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rank") == F.col("best")).alias("kept"),
-                        F.col("sha").alias("text_sha256"), "rank")
+                        F.col("sha").alias("text_sha256"), "whole")
 
 
 def deduplicate(spark: SparkSession, path: str, digest_chars: int = 64) -> DataFrame:
@@ -106,8 +108,15 @@ def deduplicate(spark: SparkSession, path: str, digest_chars: int = 64) -> DataF
     return decide(spark, path, checkpoint, digest_chars)
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each group of equal texts, with all columns of ``docs``."""
+    path = scratch_path(docs.sparkSession, "dedup-input")
+    docs.write.parquet(path)
+    return deduplicate(docs.sparkSession, path).filter("kept").select("whole.*")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(spark, os.path.join(sf_dir, "documents.parquet")).drop("rank")
+    return deduplicate(spark, os.path.join(sf_dir, "documents.parquet")).drop("whole")
 
 
 _NORM = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')"

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweigh.llm.common import documents, held_out, map_rows, share_of, texts
+from codeweigh.llm.common import documents, held_out, keep_rows, map_rows, share_of, texts
 
 SIZES = (2, 3, 4)
 TRAIN_ROWS = 20_000
@@ -43,6 +43,8 @@ HASHES = 3
 RELATIVE = 0.5
 FLOOR = 1e-5
 UNKNOWN = "und"
+#: Rejected: less of the text's n-grams than this belong to its language.
+COVERED = 0.2
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -170,6 +172,22 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     return map_rows(df.select(key, "text"), f"{key} {kind}, lang_pred string, score double, coverage double", kernel)
 
 
+def keep_known(df: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``df``, with all columns, whose text is in a learned language.
+    Rejected: ``und``, and texts of which the language covers under ``COVERED``.
+    If no language could be learned, nothing can be rejected but ``und``'s
+    reason itself: texts without a letter."""
+    if not model.langs:
+        return keep_rows(df, lambda text: len(grams(text or "")) > 0)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def good(text: str | None) -> bool:
+        lang, _, coverage = shared.value.predict(text)
+        return lang != UNKNOWN and coverage >= COVERED
+
+    return keep_rows(df, good)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = fit(docs.filter(~held_out(F.col("doc_id"))))

@@ -186,6 +186,12 @@ def group_near(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Rows of the one document that stays of each group, with all columns."""
+    kept = group_near(docs).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_near(documents(spark, sf_dir))
 
