@@ -112,8 +112,8 @@ def with_first(members: DataFrame, group: str, like: Callable) -> DataFrame:
     """Compare each (group, doc_id, payload) with the payload of the group's
     first; adds ``first`` and ``alike``."""
     sizes = members.groupBy(group).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"))
-    first = members.withColumnRenamed("payload", "other").join(sizes.withColumnRenamed("first", "doc_id"), [group, "doc_id"]).select(
-        group, F.col("doc_id").alias("first"), "size", "other")
+    first = written(members.withColumnRenamed("payload", "other").join(sizes.withColumnRenamed("first", "doc_id"), [group, "doc_id"]).select(
+        group, F.col("doc_id").alias("first"), "size", "other"), "first")
     kind = members.schema[group].dataType.simpleString()
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -130,6 +130,7 @@ def rest_with_all(members: DataFrame, group: str, like: Callable) -> DataFrame:
     """Links (a, b) among (group, doc_id, odd, payload): every odd member
     against all, in blocks; a task holds two blocks and emits a forest."""
     sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("all"), F.count_if("odd").alias("odds")).filter("odds > 0 and all > 1")
+    sizes = written(sizes, "sizes")
     n = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
     rows = members.join(sizes.select(group, n("all").alias("n_all"), n("odds").alias("n_odd")), group)
     mine: Callable[[str], Column] = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(c)).cast("int")
@@ -162,13 +163,14 @@ def group_near(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
     docs = docs.select("doc_id", "text")
     sketches = written(sketch(docs), "sketches")
-    classes = sketches.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # grouped sides are written before they are joined: a join of two plain shuffles can be split at a hot key
+    classes = written(sketches.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "representatives")
     of_class = written(sketches.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left"), "classes")
     one = sketches.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest", "doc_id"])
     one = one.select("doc_id", "signature", "bands")
 
     keys = one.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("bucket")
+    shared = written(keys.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("bucket"), "shared")
     in_bucket = written(keys.join(shared, "bucket", "left_semi").distinct(), "buckets")
     payload = one.select("doc_id", F.col("signature").alias("payload"))
     near = written(links(in_bucket.join(payload, "doc_id").select("bucket", "doc_id", "payload"), "bucket", estimates, "estimates"), "candidates")
