@@ -56,7 +56,7 @@ def _rows(df: DataFrame, digest_chars: int) -> DataFrame:
                      F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"))
 
 
-def ingest(spark: SparkSession, path: str, checkpoint: str, digest_chars: int = 64, max_bytes: str | None = None) -> None:
+def ingest(spark: SparkSession, path: str, checkpoint: str, digest_chars: int = 64, max_bytes: int | None = None) -> None:
     """Bring the state at ``checkpoint`` up to date with the files at ``path``."""
     before = {k: spark.conf.get(k, None) for k in STATE_STORE}
     for k, v in STATE_STORE.items():

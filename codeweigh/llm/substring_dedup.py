@@ -4,14 +4,14 @@ A window is ``WINDOW`` consecutive words of one document.  Every word covered
 by a window whose word sequence also starts in a document with a smaller
 ``doc_id`` is removed; windows are judged on the input.
 
-1. ``anchor_runs``: every window has an anchor, a high-level symbol of its
-   recompression that its own words settle (``recompression``).  Stretches of
+1. ``anchor_runs``: every window has an anchor, a block of high-level symbols
+   of its recompression that its own words settle (``recompression``).  Stretches of
    windows with one anchor make one row, with a name of all words they cover.
 2. Anchors of one document only are dropped: equal windows have equal anchors.
 3. Stretches that are equal as a whole to one in a smaller document are
    settled at once: inner parts of long repeats, and copies.
-4. What is left (the first document of each repeat, and edges) is compared
-   window by window, by 128-bit names.
+4. Where an anchor stands in stretches of different words (edges of repeats),
+   their first documents are compared window by window, by 128-bit names.
 5. Marked stretches are verified on the words of the document and cut.
 
 Groups reach the shuffles pre-aggregated (least and greatest ``doc_id``), and
@@ -107,12 +107,15 @@ def window_names(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
 def marked(docs: DataFrame) -> DataFrame:
     """(doc_id, at, n, context): stretches of ``n`` windows to remove."""
     runs = written(anchor_runs(docs), "anchor-runs")
-    shared = runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    runs = written(runs.join(shared, "anchor", "left_semi"), "shared-runs")
-    first = runs.groupBy("anchor", "context").agg(F.min("doc_id").alias("first"))
+    shared = runs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("context") < F.max("context")).alias("mixed"))
+    # grouped sides are written before they are joined: a join of two plain shuffles can be split at a hot key
+    shared = written(shared.filter("lo < hi").select("anchor", "mixed"), "shared-anchors")
+    runs = written(runs.join(shared, "anchor"), "shared-runs")
+    first = written(runs.groupBy("anchor", "context").agg(F.min("doc_id").alias("first")), "first")
     runs = written(runs.join(first, ["anchor", "context"]), "judged-runs")
-    names = written(window_names(docs, runs.filter("first = doc_id")), "windows")
+    names = written(window_names(docs, runs.filter("first = doc_id and mixed")), "windows")
     least = names.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("one", "two", "first")
+    least = written(least, "least")
     single = names.join(least, ["one", "two"]).filter("first < doc_id").select("doc_id", "at", F.lit(1).alias("n"), F.col("one").alias("context"))
     return runs.filter("first < doc_id").select("doc_id", "at", "n", "context").unionByName(single)
 
