@@ -44,6 +44,7 @@ SLOTS = 1 << 18
 TRAIN_ROWS = 20_000
 PRIOR_ROWS = 10
 SUPPORT = 5
+ODDS = 2.5
 BEGINNINGS = range(3, 9)
 CACHE = 1 << 19
 #: Signs that stand for letters.
@@ -273,7 +274,7 @@ def train(docs: DataFrame, labels: DataFrame):
 
 
 def lexicon(toxic: dict[str, int], clean: dict[str, int], mean: float) -> dict[str, float]:
-    """Items whose toxic part is over twice the mean.  A beginning counts
+    """Items with at least ``ODDS`` times the mean's odds of being toxic.  A beginning counts
     without its commonest word: it must be a sign in other words too."""
     top: dict[str, str] = {}
     for word in (i for i in toxic if i[-1] == "$"):
@@ -286,7 +287,7 @@ def lexicon(toxic: dict[str, int], clean: dict[str, int], mean: float) -> dict[s
         if item in top:
             bad, good = max(0, bad - toxic[top[item]]), max(0, good - clean.get(top[item], 0))
         p = (bad + PRIOR_ROWS * mean) / (bad + good + PRIOR_ROWS)
-        if p > 2 * mean:
+        if p * (1 - mean) >= ODDS * mean * (1 - p):
             out[item] = p
     return out
 
