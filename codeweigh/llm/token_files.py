@@ -27,6 +27,7 @@ and an empty result.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -45,8 +46,11 @@ CHUNK = 8
 BLOCK = 512
 SEGMENT_IDS = 1 << 20
 MAGIC = b"DAC1"
-#: Known pieces of text per worker; the cache is emptied beyond this.
+HEAD = 4 + 5 * 8
+#: Known pieces of text per worker; beyond this only short ones are kept.
 CACHE = 1 << 20
+SHORT = 8
+LOT = 2000
 
 
 # ---------------------------------------------------------------- format
@@ -120,29 +124,46 @@ class Encoder:
     """Whole texts to ids.  Blanks and line feeds never lie inside a token, so
     a text is encoded as the pieces between them, and known pieces are reused.
     The tokenizer also parts a letter or digit from punctuation after it, and
-    reads A-Z as a-z, so an unknown piece is looked up without both first."""
+    lower-cases, so an unknown piece is looked up without both first."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.known: dict[str, list[int]] = {"": []}
+        self.known: dict[str, bytes] = {"": b""}
+        self.zero = self.tokenizer.encode("0", add_special_tokens=False).ids
+
+    def _ask(self, pieces: list[str]) -> None:
+        """Encode unknown pieces with the library.  Plain words go in lots, with
+        a digit, which is always a token of its own, between them."""
+        known, plain = self.known, [p for p in pieces if p.isalpha() and max(p) < _LATIN]
+        for at in range(0, len(plain), LOT):
+            lot = plain[at:at + LOT]
+            ids = np.array(self.tokenizer.encode_batch_fast([" 0 ".join(lot)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.zero[0]) * 4
+            data = ids.tobytes()
+            for p, a, b in zip(lot, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)], strict=True):
+                known[p] = data[a:b]
+        other = [p for p in pieces if p not in known]
+        for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            known[p] = array("I", e.ids).tobytes()
 
     def __call__(self, found: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE:
-            self.known = {"": []}
+            self.known = {p: x for p, x in self.known.items() if len(p) <= SHORT}  # the common words
         known = self.known
         pieces = [t.replace("\n", " ").split(" ") for t in found]
         new = {p: _parts(p) for p in set(chain.from_iterable(pieces)).difference(known)}
-        ask = list(set(chain.from_iterable(new.values())).difference(known))
-        for p, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False)):
-            known[p] = e.ids
+        self._ask(list(set(chain.from_iterable(new.values())).difference(known)))
         for p, parts in new.items():
-            known[p] = known[parts[0]] if len(parts) == 1 else known[parts[0]] + known[parts[1]]
+            known[p] = b"".join([known[x] for x in parts])
         get = known.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(get, row)), (END,)), np.uint32) for row in pieces]
+        return [np.frombuffer(b"".join([*map(get, row), _END]), np.uint32) for row in pieces]
 
 
+_END = array("I", [END]).tobytes()
+#: Below are Latin letters: composed, with one rule for lower case.
+_LATIN = "\u0250"
 #: Punctuation that ends a word; not the quote of contractions nor the signs of special tokens.
 _AFTER = '.,;:!?%$&*#"'
 
@@ -151,7 +172,7 @@ def _parts(piece: str) -> tuple[str, ...]:
     word = piece.rstrip(_AFTER)
     if not word or not word[-1].isalnum() or "<|" in word:
         return (piece,)
-    low = word.lower() if word.isascii() else word
+    low = word.lower() if max(word) < _LATIN else word
     return (low,) if len(word) == len(piece) else (low, piece[len(word):])
 
 
@@ -216,8 +237,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     def heads(batches):
         for batch in batches:
-            found = [Segment(b) for b in batch.column(0).to_pylist()]
-            yield pa.record_batch([pa.array([s.part for s in found], pa.int64()), pa.array([s.ids for s in found], pa.int64())], names=["part", "n"])
+            found = [np.frombuffer(b, "<i8", 5, 4).tolist() for b in batch.column(0).to_pylist()]
+            yield pa.record_batch([pa.array([h[4] for h in found], pa.int64()), pa.array([h[1] for h in found], pa.int64())], names=["part", "n"])
 
     def run(batches):
         for batch in batches:
@@ -229,7 +250,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                                        pa.array(s.sizes, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "part", "start", "n_tokens", "ids_crc32"])
 
     segments = _segments(spark, path)
-    per_part = segments.mapInArrow(heads, "part long, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    per_part = segments.select(F.substring("content", 1, HEAD).alias("content")).mapInArrow(heads, "part long, n long").groupBy("part").agg(F.sum("n").alias("n"))
     before = per_part.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))  # one row per part
     rows = segments.mapInArrow(run, "doc_id long, part long, start long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(before.select("part", F.coalesce("before", F.lit(0)).alias("before"))), "part").select(
