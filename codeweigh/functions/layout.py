@@ -23,18 +23,12 @@ _OTHER_KW = [k for k, _ in G.PY_KEYWORDS if k not in G.PY_OPERAND_KEYWORDS + G.P
 _NAME_START = r"^[_\p{L}\p{Nl}" + G.PY_ID_START_EXTRA + "]$"
 
 
-def _width(blanks: str) -> int:
-    w = 0
-    for ch in blanks:
-        w = w + 8 - w % 8 if ch == "\t" else w + 1
-    return w
-
-
 _TABLE = G.PY_OPENERS + G.PY_CLOSERS + [":", "@"] + _OPS + G.PY_CONTINUATION_KEYWORDS + \
     G.PY_OPERAND_KEYWORDS + _OTHER_KW
 _TABLE_CODE = np.array([6] * len(G.PY_OPENERS) + [7] * len(G.PY_CLOSERS) + [8, 11] + [9] * len(_OPS)
                        + [10] * len(G.PY_CONTINUATION_KEYWORDS) + [4] * len(G.PY_OPERAND_KEYWORDS)
                        + [9] * len(_OTHER_KW), dtype=np.int64)
+_TABLE_ARROW = pa.array(_TABLE, pa.string())
 _PREFIX_BYTES = np.array([ord(c) for c in "rRuUfFbB\'\""], dtype=np.uint8)
 
 
@@ -73,7 +67,7 @@ def pack_roles(values: pa.Array, at_start: np.ndarray) -> np.ndarray:
     open_ = np.flatnonzero(k < 0)
     if open_.size:
         sub = values.take(pa.array(open_))
-        pos = pc.index_in(sub, value_set=pa.array(_TABLE, pa.string())).fill_null(-1)
+        pos = pc.index_in(sub, value_set=_TABLE_ARROW).fill_null(-1)
         pos = pos.to_numpy(zero_copy_only=False).astype(np.int64)
         hit = pos >= 0
         k[open_[hit]] = _TABLE_CODE[pos[hit]]
@@ -101,8 +95,11 @@ def pack_roles(values: pa.Array, at_start: np.ndarray) -> np.ndarray:
         blanks = pc.replace_substring_regex(values.take(pa.array(nl_idx)), r"[\r\n\f]", "")
         widths = pc.utf8_length(blanks).to_numpy(zero_copy_only=False).astype(np.int64)
         tabbed = pc.match_substring(blanks, "\t").to_numpy(zero_copy_only=False)
-        for j in np.flatnonzero(tabbed):
-            widths[j] = _width(blanks[int(j)].as_py())
+        if tabbed.any():  # the width rule once per distinct run of blanks
+            at = np.flatnonzero(tabbed)
+            coded = blanks.take(pa.array(at)).dictionary_encode()
+            by_code = np.array([len(x.expandtabs(8)) for x in coded.dictionary.to_pylist()], dtype=np.int64)
+            widths[at] = by_code[coded.indices.to_numpy(zero_copy_only=False)]
         packed[nl_idx] += 64 * widths
     return packed
 
@@ -125,107 +122,6 @@ PROFILE_FIELDS = ["tokens", "ntok", "nl", "ind", "ded", "final_depth", "max_dept
                   "e1", "e2", "e3", "e4", "e5", "errors"]
 PROFILE_TYPE = T.StructType([T.StructField(f, T.IntegerType()) for f in PROFILE_FIELDS])
 
-_NL = (1, 13, 14)
-_SKIP = (0, 2, 12)
-
-
-def _emission(p: np.ndarray):
-    """Role codes, kept mask, and for kept lexemes: widths, bracket depth
-    after each one, and which line-break candidates become NEWLINE tokens."""
-    n = p.size
-    k = p & 31
-    longer = (p >> 5) & 1
-    width = p >> 6
-    # the lexer drops a line break when the next character is CR, LF or '#'
-    # and one more character follows it
-    nxt_k = np.concatenate((k[1:], [-1]))
-    nxt_long = np.concatenate((longer[1:], [0])).astype(bool)
-    after_next = np.arange(n) + 2 < n
-    quiet = np.isin(nxt_k, (1, 12)) & (nxt_long | after_next)
-    keep = ~np.isin(k, _SKIP)
-    ks, ws, qs = k[keep], width[keep], quiet[keep]
-    is_nl = np.isin(ks, _NL)
-    delta = (ks == 6).astype(np.int64) - (ks == 7)
-    depth = np.cumsum(delta)
-    emit = is_nl & ((depth - delta) <= 0) & ~qs
-    return k, keep, ks, ws, is_nl, depth, emit
-
-
-def emit_flags_one(packed) -> list:
-    """Per lexeme: is it a line break the lexer emits as NEWLINE?  (Per-text
-    reference for :func:`emit_batch`; the property tests compare the two.)"""
-    p = np.asarray(packed, dtype=np.int64)
-    if p.size == 0:
-        return []
-    _, keep, _, _, _, _, emit = _emission(p)
-    out = np.zeros(p.size, dtype=bool)
-    out[np.flatnonzero(keep)] = emit
-    return out.tolist()
-
-
-def profile_one(packed) -> tuple:
-    """Profile of one text from its packed role vector.  (Per-text reference
-    for :func:`profile_batch`, which the UDFs use; tests compare the two.)"""
-    p = np.asarray(packed, dtype=np.int64)
-    if p.size == 0:
-        return (0,) * len(PROFILE_FIELDS)
-    k, keep, ks, ws, is_nl, depth, emit = _emission(p)
-    unknown = k == 3
-    e1 = int(np.count_nonzero(unknown & ~np.concatenate(([False], unknown[:-1]))))
-    tok = ~is_nl
-
-    final_depth = int(depth[-1]) if depth.size else 0
-    max_depth = max(0, int(depth.max())) if depth.size else 0
-    unmatched = max(0, -int(depth.min())) if depth.size else 0
-    open_left = final_depth + unmatched
-
-    seq = tok | emit
-    t, e, wv = ks[seq], emit[seq], ws[seq]
-    m = t.size
-    ntok = int(np.count_nonzero(tok))
-    nl = int(np.count_nonzero(e))
-    prev_t = np.concatenate(([-1], t[:-1]))
-    prev_e = np.concatenate(([True], e[:-1]))
-
-    operand = np.isin(t, (4, 5)) & ~e
-    prev_operand = np.concatenate(([False], operand[:-1]))
-    pair = operand & prev_operand & ~((t == 5) & (prev_t == 5))
-    line = np.cumsum(e)
-    e5 = int(np.unique(line[pair]).size)
-    stmts = int(np.count_nonzero(~e & prev_e & ~np.isin(t, (10, 11))))
-
-    colon_before = (prev_t == 8) & ~prev_e
-    idx = np.flatnonzero(e)
-    ind = ded = e3 = nest = 0
-    stack: list[int] = []
-    if idx.size:
-        if not wv[idx].any():
-            e3 = int(np.count_nonzero(colon_before[idx]))
-        else:
-            for w, cb in zip(wv[idx].tolist(), colon_before[idx].tolist()):
-                top = stack[-1] if stack else 0
-                if w > top:
-                    stack.append(w)
-                    ind += 1
-                    e3 += not cb
-                    nest = max(nest, len(stack))
-                else:
-                    while stack and stack[-1] > w:
-                        stack.pop()
-                        ded += 1
-                    e3 += cb
-    left = len(stack)
-    eof = left > 0
-    last_is_token = m > 0 and not e[-1]
-    nl += eof
-    ded += left
-    e3 += int(eof and m > 0 and t[-1] == 8 and not e[-1])
-    e2 = unmatched + open_left
-    e4 = int(last_is_token and not eof and open_left == 0)
-    tokens = ntok + nl + ind + ded
-    return (tokens, ntok, nl, ind, ded, final_depth, max_depth, unmatched, open_left,
-            nest, stmts, e1, e2, e3, e4, e5, e1 + e2 + e3 + e4 + e5)
-
 
 def _seg_starts(counts: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.int64)
@@ -316,8 +212,11 @@ def profile_batch(packed: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     idx_e = np.flatnonzero(e)
     e3 = np.bincount(sd[idx_e][colon_before[idx_e]], minlength=d)
     indented = np.unique(sd[idx_e][wv[idx_e] > 0])
-    for di in indented.tolist():
-        sel = idx_e[sd[idx_e] == di]
+    # emitted breaks are in document order: one slice per document, found once
+    doc_e = sd[idx_e]
+    lo, hi = np.searchsorted(doc_e, indented, "left"), np.searchsorted(doc_e, indented, "right")
+    for di, a, b in zip(indented.tolist(), lo.tolist(), hi.tolist()):
+        sel = idx_e[a:b]
         stack: list[int] = []
         i3 = dd = nn = e3d = 0
         for w, cb in zip(wv[sel].tolist(), colon_before[sel].tolist()):
@@ -397,6 +296,7 @@ def roles_udf(lex: pa.Array) -> pa.Array:
 _FIXED_NAMES = ["SKIP_", "NEWLINE", "STRING", "NUMBER", "NAME", "UNKNOWN_CHAR"]
 _KW_OPS = G.PY_KEYWORDS + G.PY_OPERATORS
 TOKEN_NAMES = _FIXED_NAMES + [n for _, n in _KW_OPS]
+_KW_OPS_ARROW = pa.array([t for t, _ in _KW_OPS], pa.string())
 HISTOGRAM_SCHEMA = "name string, n bigint"
 
 
@@ -412,7 +312,7 @@ def name_ids(values: pa.Array, packed: np.ndarray) -> np.ndarray:
     cand = np.flatnonzero((k == 4) | ((k >= 6) & (k <= 11)))
     if cand.size:
         sub = values.take(pa.array(cand))
-        pos = pc.index_in(sub, value_set=pa.array([t for t, _ in _KW_OPS], pa.string())).fill_null(-1)
+        pos = pc.index_in(sub, value_set=_KW_OPS_ARROW).fill_null(-1)
         pos = pos.to_numpy(zero_copy_only=False).astype(np.int64)
         known = pos >= 0
         out[cand[known]] = len(_FIXED_NAMES) + pos[known]

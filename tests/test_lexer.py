@@ -5,8 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from codeweigh.functions.layout import profile_one
 from codeweigh.functions.lexing import add_py_profile, indent_width, py_lexemes
+from tests.reference_fold import profile_one
 
 # FIXTURES.md 2.1: text, tokens, (nl, in, de), E1..E5, statements
 GOLDEN = [
@@ -128,7 +128,8 @@ def test_lexemes(spark, text, expect):
 def test_batch_fold_equals_per_text_fold(docs):
     import numpy as np
 
-    from codeweigh.functions.layout import emit_batch, emit_flags_one, profile_batch
+    from codeweigh.functions.layout import emit_batch, profile_batch
+    from tests.reference_fold import emit_flags_one
     packs = [[k + 32 * int(lg) + 64 * (w if k in (1, 13, 14) else 0) for k, w, lg in d] for d in docs]
     flat = np.array([x for p in packs for x in p], dtype=np.int64)
     offsets = np.concatenate(([0], np.cumsum([len(p) for p in packs]))).astype(np.int64)
@@ -137,3 +138,31 @@ def test_batch_fold_equals_per_text_fold(docs):
         assert tuple(batch[i]) == profile_one(p)
     flags = emit_batch(flat, offsets)
     assert flags.tolist() == [f for p in packs for f in (emit_flags_one(p) if p else [])]
+
+
+def test_fold_is_linear_in_indented_texts():
+    """The breaks looked at per text do not grow with the batch (counted, not timed)."""
+    import numpy as np
+
+    from codeweigh.functions import layout
+
+    text = [4, 8, 1 + 64 * 4, 4, 9, 4, 1 + 64 * 4, 4, 1]  # name : NEWLINE+4 name = name NEWLINE+4 name NEWLINE
+    looked = []
+
+    class Counting(np.ndarray):
+        def __getitem__(self, key):
+            got = super().__getitem__(key)
+            if isinstance(got, np.ndarray):
+                looked[-1] += got.size
+            return got
+
+    real = np.flatnonzero
+    for n in (100, 1000):
+        looked.append(0)
+        layout.np.flatnonzero = lambda x: real(x).view(Counting)
+        try:
+            out = layout.profile_batch(np.array(text * n), np.arange(n + 1) * len(text))
+        finally:
+            layout.np.flatnonzero = real
+        assert (out == out[0]).all() and out[0][layout.PROFILE_FIELDS.index("ind")] == 1
+    assert looked[1] <= 11 * looked[0]
