@@ -3,14 +3,14 @@
 
 Positions never come from an unpartitioned window (that is one task).  The
 frame is range-partitioned on the order key, sorted inside partitions and
-checkpointed to the shared folder (so both passes see one layout); the
+written to the shared folder (so both passes see one layout); the
 position is then the per-partition row number plus a broadcast prefix sum of
 partition sizes (one row per partition, so its size is bounded).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -43,11 +43,13 @@ def filter_split(df: DataFrame, split: str) -> DataFrame:
 
 def positional_index(df: DataFrame, order_by: list[str], num_partitions: int | None = None,
                      col: str = "pos") -> DataFrame:
-    """W1 helper: 0-based position of each row in ``order_by`` order (keys unique)."""
+    """W1 helper: 0-based position of each row in ``order_by`` order.  Equal
+    keys keep the order they are read in, and spread over several tasks."""
     spark = df.sparkSession
     n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                               spark.sparkContext.defaultParallelism, 1)
-    ordered = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    ordered = tied.repartitionByRange(n, *order_by, "_tie").sortWithinPartitions(*order_by, "_tie").drop("_tie")
     fixed = materialize(ordered.withColumn("_pid", F.spark_partition_id())
                                .withColumn("_mid", F.monotonically_increasing_id()))
     sizes = fixed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
@@ -78,23 +80,51 @@ def limit_rows(df: DataFrame, order_by: list[str], n: int | None) -> DataFrame:
     return df.orderBy(*order_by).limit(int(n))
 
 
+def in_head(df: DataFrame, order_by: list[str], percent: float):
+    """Condition for the first p% of the rows (rounded half to even) in key order.
+
+    Only the keys are numbered; the condition compares each row with the one
+    key at the cut, so texts cross no shuffle and it reaches the scan.  Keys
+    that are equal across the cut are refused: the cut would not be defined.
+    Keys are not null."""
+    keys = positional_index(df.select(*order_by), order_by, col="_pos")
+    cut = round(keys.count() * float(percent) / 100.0)
+    around = {r["_pos"]: r for r in keys.where(F.col("_pos").isin(cut - 1, cut)).collect()}
+    last, after = around.get(cut - 1), around.get(cut)
+    if last is None:
+        return F.lit(False)
+    if after is not None and all(last[c] == after[c] for c in order_by):
+        raise ValueError(f"rows around the cut share the key {order_by}; give a unique order")
+    limits = [_literal(last[c]).cast(df.schema[c].dataType) for c in order_by]
+    if len(order_by) == 1:
+        return F.col(order_by[0]) <= limits[0]
+    return F.struct(*order_by) <= F.struct(*[v.alias(c) for v, c in zip(limits, order_by)])
+
+
+def _literal(value):
+    if isinstance(value, Row):
+        return F.struct(*[_literal(v).alias(k) for k, v in value.asDict().items()])
+    return F.lit(value)
+
+
 def split_head_percent(df: DataFrame, order_by: list[str], percent: float) -> DataFrame:
     """L4: first p% (rounded half to even) is ``validation``, the rest ``train``."""
-    idx = positional_index(df, order_by, col="_pos")
-    total = idx.agg(F.count(F.lit(1)).alias("_total")).scalar()
-    cut = F.bround(total * F.lit(float(percent)) / 100.0, 0)
-    return idx.withColumn("split", F.when(F.col("_pos") < cut, "validation").otherwise("train")).drop("_pos")
+    return df.withColumn("split", F.when(in_head(df, order_by, percent), "validation").otherwise("train"))
 
 
-def split_hash_percent(df: DataFrame, key: str, percent: int, seed: int = 42) -> DataFrame:
-    """Order-free split: ``pmod(xxhash64(key, seed), 100) < p`` is validation."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
-    return df.withColumn("split", F.when(bucket < percent, "validation").otherwise("train"))
+def seeded_hash(key: str, seed: int):
+    """60 bits of ``md5(key:seed)``: the same in any engine and partitioning."""
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
-def seeded_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """Reproducible random order from a seed; adds its 0-based position.
+def split_hash_percent(df: DataFrame, key: str, percent: float, seed: int = 42) -> DataFrame:
+    """Order-free split by :func:`seeded_hash`; percent may be fractional."""
+    part = F.pmod(seeded_hash(key, seed), F.lit(1_000_000))
+    return df.withColumn("split", F.when(part < F.lit(float(percent)) * 10_000, "validation").otherwise("train"))
 
-    ``xxhash64(key, seed)`` does not depend on partitioning, unlike ``rand``."""
-    keyed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+
+def seeded_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Reproducible random order from a seed; adds its 0-based position."""
+    keyed = df.withColumn("_h", seeded_hash(key, seed))
     return positional_index(keyed, ["_h", key], col="shuffle_pos").drop("_h")

@@ -39,9 +39,15 @@ def concat_sample(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("sample", F.concat("prompt", "output"))
 
 
-def add_counts(pairs: DataFrame) -> DataFrame:
+def add_counts(pairs: DataFrame, errors_of: str = "sample") -> DataFrame:
     """``nt`` = tokens of the output, ``ne`` = structural errors of prompt+output,
-    ``ns`` = statements of prompt+output.  Each text is lexed once."""
+    ``ns`` = statements of prompt+output.  The output is lexed alone and as
+    part of the sample; with ``errors_of="output"`` it is judged alone."""
+    if errors_of == "output":
+        alone = add_py_profile(pairs, "output", "_po")
+        return alone.withColumns({"nt": F.col("_po.tokens"), "ne": F.col("_po.errors"), "ns": F.col("_po.stmts")}).drop("_po")
+    if errors_of != "sample":
+        raise ValueError("errors_of is 'sample' or 'output'")
     with_out = add_py_profile(pairs, "output", "_po")
     both = add_py_profile(with_out.withColumn("_sample", F.concat("prompt", "output")), "_sample", "_ps")
     return (both.withColumn("nt", F.col("_po.tokens"))
@@ -52,6 +58,7 @@ def add_counts(pairs: DataFrame) -> DataFrame:
 
 def calibrate(counts: DataFrame) -> DataFrame:
     """A1: one row ``avg_tokens, avg_errors, n``; each mean is floored at 1.
+    Pairs that cannot be judged (null prompt or output) do not count.
 
     Empty input gives null averages; :func:`apply_calibration` then fails
     with a clear message instead of dividing by zero.
@@ -60,6 +67,7 @@ def calibrate(counts: DataFrame) -> DataFrame:
 
     def mean_at_least_1(c):
         return F.when(n > 0, F.greatest(F.sum(c).cast("double") / n, F.lit(1.0)))
+    counts = counts.where(F.col("nt").isNotNull() & F.col("ne").isNotNull())
     return counts.agg(mean_at_least_1("nt").alias("avg_tokens"), mean_at_least_1("ne").alias("avg_errors"),
                       n.alias("n"))
 
@@ -67,6 +75,7 @@ def calibrate(counts: DataFrame) -> DataFrame:
 def calibrate_statements(counts: DataFrame) -> DataFrame:
     """A2: mean statements per sample, floored at 1."""
     n = F.count(F.lit(1))
+    counts = counts.where(F.col("ns").isNotNull())
     return counts.agg(F.when(n > 0, F.greatest(F.sum("ns").cast("double") / n, F.lit(1.0))).alias("avg_stmt"),
                       n.alias("n"))
 
@@ -82,30 +91,32 @@ def apply_calibration(counts: DataFrame, calibration: DataFrame) -> DataFrame:
                   .withColumn("avg_errors", F.col("_cal.avg_errors")).drop("_cal"))
 
 
-def score(calibrated: DataFrame, factor: int = R.DECAY_FACTOR) -> DataFrame:
+def score(calibrated: DataFrame, factor: int = R.DECAY_FACTOR, errors_of: str = "sample") -> DataFrame:
     """Add ``reward`` to rows carrying nt, ne, avg_tokens, avg_errors."""
+    prompt = "prompt" if errors_of == "sample" else None  # judged alone, an output needs no prompt
     return calibrated.withColumn(
-        "reward", R.reward("nt", "ne", "avg_tokens", "avg_errors", "prompt", "output", factor))
+        "reward", R.reward("nt", "ne", "avg_tokens", "avg_errors", prompt, "output", factor))
 
 
-def score_pairs(pairs: DataFrame, persist: bool = True) -> DataFrame:
+def score_pairs(pairs: DataFrame, persist: bool = True, errors_of: str = "sample") -> DataFrame:
     """Count once, calibrate on the counts, score: ``pairs + nt, ne, reward``.
 
-    With ``persist`` the counted pairs are checkpointed to the shared folder
-    so calibration and scoring read them instead of lexing twice.
+    With ``persist`` the counted pairs are written to the shared folder
+    so calibration (two ints) and scoring read them instead of lexing twice.
+    ``errors_of="output"`` scores outputs alone, without their prompts.
     """
-    counts = add_counts(pairs)
+    counts = add_counts(pairs, errors_of)
     if persist:
         counts = materialize(counts)
     cal = calibrate(counts)
-    return score(apply_calibration(counts, cal)).drop("avg_tokens", "avg_errors", "ns")
+    return score(apply_calibration(counts, cal), errors_of=errors_of).drop("avg_tokens", "avg_errors", "ns")
 
 
 def score_frame(df: DataFrame, prompt: str, output: str, avg_tokens: float, avg_errors: float,
-                factor: int = R.DECAY_FACTOR) -> DataFrame:
+                factor: int = R.DECAY_FACTOR, errors_of: str = "sample") -> DataFrame:
     """Score a frame with fixed calibration values given by the caller."""
     renamed = df.withColumnRenamed(prompt, "prompt").withColumnRenamed(output, "output")
-    counts = add_counts(renamed)
+    counts = add_counts(renamed, errors_of)
     return counts.withColumn(
         "reward", R.reward("nt", "ne", F.lit(float(avg_tokens)), F.lit(float(avg_errors)),
-                           "prompt", "output", factor)).drop("ns")
+                           "prompt" if errors_of == "sample" else None, "output", factor)).drop("ns")

@@ -2,19 +2,22 @@
 
 The subword tokenizer of the original workflow needs downloaded files; here
 ids come from a corpus vocabulary of lexemes: the ``vocab_size`` most frequent
-lexemes, ranked by count then text.  Id ``vocab_size`` is ``<unk>`` and
-``vocab_size + 1`` is ``<eos>`` (used for padding, like the original pad =
-end token).
-
-Texts are lexed once and checkpointed.  The vocabulary (capped by
-``vocab_size``, so its size is bounded) is counted with map-side partial
-aggregation and broadcast; encoding is then a map-only pandas UDF (hash
-lookups on Arrow batches) and decoding indexes a broadcast one-row array.
-Neither direction shuffles the token stream.
+lexemes of at most ``LONGEST_ENTRY`` bytes, ranked by count then text.  Every
+other lexeme is written as its UTF-8 bytes (256 reserved ids), so nothing is
+lost: ``decode(tokenize(text)) == text``.
+
+Ids: ``0 .. vocab_size - 1`` lexemes, ``vocab_size + b`` byte ``b``,
+``vocab_size + 256`` ``<eos>`` (used for padding, like the original pad = end
+token).
+
+The vocabulary is counted per Arrow batch before the shuffle.  It is a
+parameter-bounded table (``vocab_size`` rows of ``LONGEST_ENTRY`` bytes), so it
+is always broadcast; encoding and decoding are map-only.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -22,29 +25,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import lexing as L
-from ..session import materialize
 
 DEFAULT_VOCAB = 50000
-# Largest vocabulary (in bytes of lexeme text) shipped to every task; above it
-# encoding and decoding use a shuffle join instead.
-BROADCAST_LIMIT_BYTES = 256 << 20
+LONGEST_ENTRY = 64
 
 
-def vocab_bytes(vocab: DataFrame) -> int:
-    """Bytes of lexeme text in a vocabulary (an aggregate over at most V rows)."""
-    return int(vocab.agg(F.sum(F.octet_length("lexeme"))).first()[0] or 0)
+def eos_id(vocab_size: int) -> int:
+    return int(vocab_size) + 256
 
 
 def lex_documents(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, lexemes)`` written once to the shared folder, so the
-    vocabulary and the ids read it instead of lexing twice."""
-    lexed = df.select(key, L.py_lexemes(text).alias("lexemes"))
-    return materialize(lexed)
-
-
-def build_vocab(df: DataFrame, text: str, vocab_size: int = DEFAULT_VOCAB) -> DataFrame:
-    """``(lexeme, id)`` for the ``vocab_size`` most frequent lexemes of ``text``."""
-    return vocab_from_lexemes(df.select(L.py_lexemes(text).alias("lexemes")), "lexemes", vocab_size)
+    """``(key, lexemes)``, lazily: lexing twice is cheaper than storing lexemes."""
+    return df.select(key, L.py_lexemes(text).alias("lexemes"))
 
 
 def _count_lexemes(batches):
@@ -62,7 +54,8 @@ def vocab_from_lexemes(lexed: DataFrame, lexemes: str, vocab_size: int = DEFAULT
     its worker first, so only distinct lexemes per batch reach the shuffle and
     a very frequent lexeme never piles up in one task."""
     partial = lexed.select(lexemes).mapInArrow(_count_lexemes, "lexeme string, n bigint")
-    counts = partial.groupBy("lexeme").agg(F.sum("n").alias("n"))
+    short = partial.where(F.octet_length("lexeme") <= LONGEST_ENTRY)
+    counts = short.groupBy("lexeme").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), F.asc("lexeme")).limit(int(vocab_size))
     # numbering at most vocab_size rows: bounded, one small task
     rank = F.row_number().over(Window.orderBy(F.desc("n"), F.asc("lexeme"))) - 1
@@ -71,58 +64,55 @@ def vocab_from_lexemes(lexed: DataFrame, lexemes: str, vocab_size: int = DEFAULT
 
 def tokenize_ids(df: DataFrame, key: str, text: str, vocab: DataFrame, vocab_size: int,
                  max_length: int | None = None) -> DataFrame:
-    """K1 (+K2): ``(key, input_ids)``; unknown lexemes get id ``vocab_size``."""
-    lexed = df.select(key, L.py_lexemes(text).alias("lexemes"))
-    return tokenize_lexemes(lexed, key, "lexemes", vocab, vocab_size, max_length)
+    """K1 (+K2): ``(key, input_ids)``; null text gives null ids."""
+    return tokenize_lexemes(lex_documents(df, key, text), key, "lexemes", vocab, vocab_size, max_length)
+
+
+_SETS: dict = {}
+
+
+def _worker_table(bc, make):
+    """What ``make`` builds from a broadcast value, once per worker."""
+    key = (id(bc.value), make.__name__)
+    if key not in _SETS:
+        _SETS.clear()
+        _SETS[key] = make(bc.value)
+    return _SETS[key]
+
+
+def _value_set(words):
+    return pa.array(words, pa.string())
 
 
 def tokenize_lexemes(lexed: DataFrame, key: str, lexemes: str, vocab: DataFrame, vocab_size: int,
-                     max_length: int | None = None,
-                     broadcast_limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """K1 from a lexeme-array column.
-
-    The vocabulary has at most ``vocab_size`` rows; its bytes are checked.
-    Within ``broadcast_limit`` it is collected once and broadcast, and each
-    Arrow batch of lexeme arrays is encoded with one vectorized hash lookup
-    (``index_in``; position = id): a map-only job.  Beyond it, lexemes are
-    exploded, joined to the vocabulary with a shuffle join and regrouped per
-    key in position order.
-    """
-    if vocab_bytes(vocab) > broadcast_limit:
-        ids = _encode_by_join(lexed, key, lexemes, vocab, vocab_size)
-    else:
-        ids = _encode_by_broadcast(lexed, key, lexemes, vocab, vocab_size)
-    if max_length is not None:
-        ids = ids.withColumn("input_ids", truncate("input_ids", max_length))
-    return ids
-
-
-def _encode_by_broadcast(lexed, key, lexemes, vocab, vocab_size):
-    spark = lexed.sparkSession
+                     max_length: int | None = None) -> DataFrame:
+    """K1 from a lexeme-array column: one vectorized hash lookup per Arrow
+    batch (``index_in``; position = id); what it misses becomes bytes."""
     words = [r["lexeme"] for r in vocab.orderBy("id").limit(int(vocab_size)).collect()]
-    bc = spark.sparkContext.broadcast(words)
-    unk = int(vocab_size)
+    bc = lexed.sparkSession.sparkContext.broadcast(words)
+    first_byte = int(vocab_size)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(arrays: pa.Array) -> pa.Array:
         if isinstance(arrays, pa.ChunkedArray):
             arrays = arrays.combine_chunks()
-        keys = pa.array(bc.value, pa.string())
-        ids = pc.fill_null(pc.index_in(arrays.flatten(), value_set=keys), unk).cast(pa.int32())
-        offsets = pc.subtract(arrays.offsets, arrays.offsets[0])
-        return pa.ListArray.from_arrays(offsets, ids, mask=arrays.is_null())
-
-    return lexed.select(key, encode(F.col(lexemes)).alias("input_ids"))
-
-
-def _encode_by_join(lexed, key, lexemes, vocab, vocab_size):
-    ex = lexed.select(key, F.posexplode(lexemes).alias("pos", "lexeme"))
-    j = ex.join(vocab.select("lexeme", "id"), "lexeme", "left")
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(vocab_size))
-                                                                 .cast("int").alias("id")))).alias("_z"))
-    ids = g.select(key, F.transform("_z", lambda z: z["id"]).alias("input_ids"))
-    empty = lexed.where(F.size(lexemes) == 0).select(key, F.array().cast("array<int>").alias("input_ids"))
-    return ids.unionByName(empty)
+        flat = arrays.flatten()
+        ids = pc.fill_null(pc.index_in(flat, value_set=_worker_table(bc, _value_set)), -1)
+        ids = ids.to_numpy(zero_copy_only=False).astype(np.int32)
+        missing = np.flatnonzero(ids < 0)
+        raw = flat.take(pa.array(missing)).cast(pa.binary())
+        size = np.ones(len(ids), np.int64)
+        size[missing] = pc.binary_length(raw).to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(size)))
+        out = np.repeat(ids, size)
+        data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).astype(np.int32)
+        out[out < 0] = data + first_byte
+        offsets = arrays.offsets.to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]].astype(np.int32)), pa.array(out),
+                                        mask=arrays.is_null())
+
+    ids = lexed.select(key, encode(F.col(lexemes)).alias("input_ids"))
+    return ids if max_length is None else ids.withColumn("input_ids", truncate("input_ids", max_length))
 
 
 def truncate(ids, max_length: int):
@@ -152,33 +142,26 @@ def response_tail(ids, k: int):
     return F.slice(ids, F.greatest(F.lit(1), F.size(ids) - int(k) + 1), int(k))
 
 
-def vocab_array(vocab: DataFrame, vocab_size: int) -> DataFrame:
-    """One row, one column ``_vocab``: lexeme by id, plus ``<unk>`` and ``<eos>``."""
-    arr = vocab.agg(F.array_sort(F.collect_list(F.struct("id", "lexeme"))).alias("_v"))
-    return arr.select(F.concat(F.transform("_v", lambda v: v["lexeme"]),
-                               F.array(F.lit("<unk>"), F.lit("<eos>"))).alias("_vocab"))
-
-
-def decode(df: DataFrame, ids: str, vocab: DataFrame, vocab_size: int, out: str = "decoded",
-           broadcast_limit: int = BROADCAST_LIMIT_BYTES, key: str | None = None) -> DataFrame:
-    """K6: ids back to text in position order.
-
-    Within ``broadcast_limit`` bytes the vocabulary (at most ``vocab_size + 2``
-    entries) is one array-valued scalar subquery indexed by id.  Beyond it,
-    ids are exploded, joined to the vocabulary and regrouped per ``key``."""
-    if key is None or vocab_bytes(vocab) <= broadcast_limit:
-        words = vocab_array(vocab, vocab_size).scalar()
-        j = df.withColumn("_vocab", words)
-        text = F.array_join(F.transform(ids, lambda i: F.coalesce(F.try_element_at("_vocab", i + 1),
-                                                                  F.lit("<unk>"))), "")
-        return j.withColumn(out, text).drop("_vocab")
-    ex = df.select(key, F.posexplode(ids).alias("_pos", "_id"))
-    names = vocab.select(F.col("id").alias("_id"), F.col("lexeme").alias("_w"))
-    j = ex.join(names, "_id", "left").withColumn(
-        "_w", F.coalesce("_w", F.when(F.col("_id") == vocab_size + 1, "<eos>").otherwise("<unk>")))
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_w"))).alias("_z"))
-    g = g.select(key, F.array_join(F.transform("_z", lambda z: z["_w"]), "").alias(out))
-    return df.join(g, key, "left").withColumn(out, F.coalesce(out, F.lit("")))
+def decode(df: DataFrame, ids: str, vocab: DataFrame, vocab_size: int, out: str = "decoded") -> DataFrame:
+    """K6: ids back to text in position order.  Bytes that are no UTF-8 (a cut
+    through a character) become U+FFFD; null ids give null."""
+    words = [r["lexeme"] for r in vocab.orderBy("id").limit(int(vocab_size)).collect()]
+    bc = df.sparkSession.sparkContext.broadcast(words)
+    size = int(vocab_size)
+
+    def _pieces(words):
+        table = {i: w.encode() for i, w in enumerate(words)}
+        table.update((size + b, bytes([b])) for b in range(256))
+        table[eos_id(size)] = b"<eos>"
+        return table
+
+    @F.arrow_udf(T.StringType())
+    def text(arrays: pa.Array) -> pa.Array:
+        table = _worker_table(bc, _pieces)
+        return pa.array([None if row is None else b"".join([table[i] for i in row]).decode("utf-8", "replace")
+                         for row in arrays.to_pylist()], pa.string())
+
+    return df.withColumn(out, text(F.col(ids)))
 
 
 def left_pad(ids, width: int, pad_id: int):

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import lexing as L
 from ..functions import reward as R
 from ..operators import metrics, prepare, scoring, token_rows, tokens, udf
 from ..session import materialize, rebalance, scratch_path, table
@@ -23,9 +24,12 @@ from ..streaming.score_stream import score_stream
 # sample, fixed calibration of the second entry point, reward keyword.
 PARAMS = dict(batch_size=64, max_new_tokens=512, context_size=1024, validation_percent=5,
               max_train_samples=100, max_eval_samples=100, calibration_sample=100,
-              fixed_avg_tokens=200.0, fixed_avg_errors=50.0, keyword="cats", seed=42,
+              fixed_avg_tokens=200.0, fixed_avg_errors=50.0, keyword="er", seed=42,
               vocab_size=token_rows.DEFAULT_VOCAB, truncate_to=128)
 
+#: Replacements of :func:`code_like`, in order.
+CODE_LIKE = [(". ", ":\n    "), (", ", "\n"), (" of ", "\n\t"), (" the ", ":\n        "), (" with ", "\n  \t"), (" de ", " = (")]
+
 P = PARAMS
 V = P["vocab_size"]
 PAIR_KEYS = ["conv_id", "turn"]
@@ -33,13 +37,26 @@ PAIR_KEYS = ["conv_id", "turn"]
 
 # ----------------------------------------------------------------- helpers
 def _conv(spark, sf):
-    return rebalance(table(spark, sf, "conversations"), "conv_id", "turn")
+    return table(spark, sf, "conversations")
 
 
 def _pairs(spark, sf):
     return scoring.pair_prompt_output(_conv(spark, sf))
 
 
+def code_like(text):
+    """Prose as indented lines, by plain replacements that DuckDB has too:
+    a sentence opens a block, some words start deeper or outer lines."""
+    out = F.col(text)
+    for old, new in CODE_LIKE:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
+def _code(spark, sf):
+    return _docs(spark, sf).select("doc_id", code_like("text").alias("text"))
+
+
 def _counts(spark, sf):
     c = scoring.add_counts(_pairs(spark, sf))
     return c.withColumn("nt", F.col("nt").cast("bigint")).withColumn("ne", F.col("ne").cast("bigint")) \
@@ -110,7 +127,7 @@ def q_scan_csv(spark, sf):
     conv = table(spark, sf, "conversations")
     path = scratch_path(spark, "conversations") + ".csv"
     conv.write.option("header", True).option("escape", '"').csv(path)
-    return readers.scan_csv(spark, path, conv.schema)
+    return readers.scan_csv(spark, path, conv.schema, multi_line=True)
 
 
 def q_scan_json(spark, sf):
@@ -136,15 +153,22 @@ def q_rewrite_lines(spark, sf):
 
 
 def q_write_tokenized(spark, sf):
-    return readers.write_tokenized(_ids(spark, sf), scratch_path(spark, "tokenized"))
+    path, docs = scratch_path(spark, "tokenized"), _raw_docs(spark, sf).select("doc_id", "text")
+    settings = {"vocab_size": V}
+    ids = _ids(spark, sf)
+    # an older table of other settings is replaced, then the finished one is reused
+    readers.write_tokenized(ids.limit(0), path, docs, {"vocab_size": 0})
+    readers.write_tokenized(ids, path, docs, settings)
+    return readers.write_tokenized(ids.limit(0), path, docs, settings)
 
 
 def q_write_reward_log(spark, sf):
     scored = _scored(spark, sf)
-    batched = prepare.batch_rows(scored, PAIR_KEYS, P["batch_size"])
-    out = readers.write_reward_log(batched.select(*PAIR_KEYS, "prompt", "output", "reward", "batch_id"),
-                                   scratch_path(spark, "reward_log"))
-    return out.withColumn("batch_bucket", F.col("batch_bucket").cast("bigint"))
+    batched = prepare.batch_rows(scored, PAIR_KEYS, P["batch_size"]).select(*PAIR_KEYS, "prompt", "output", "reward", "batch_id")
+    path = scratch_path(spark, "reward_log")
+    for run in ("0", "1", "1"):  # the second call of run 1 is a retry
+        out = readers.write_reward_log(batched.where(F.col("batch_id") % 2 == int(run)), path, run)
+    return out
 
 
 # ----------------------------------------------------------------- P*
@@ -158,8 +182,8 @@ def q_drop_source_columns(spark, sf):
 
 
 def q_select_prompts(spark, sf):
-    train = _split(spark, sf).where(F.col("split") == "train")
-    return prepare.select_prompts(train)
+    docs = _raw_docs(spark, sf)
+    return prepare.select_prompts(docs.where(~prepare.in_head(docs, ["doc_id"], P["validation_percent"])))
 
 
 def q_concat_sample(spark, sf):
@@ -193,7 +217,7 @@ def q_reward_batch_stats(spark, sf):
 
 
 def q_token_histogram(spark, sf):
-    return tokens.token_histogram(_docs(spark, sf), "doc_id", "text")
+    return tokens.token_histogram(_code(spark, sf), "doc_id", "text")
 
 
 # ----------------------------------------------------------------- W*, L*
@@ -207,13 +231,13 @@ def q_collate_batches(spark, sf):
 
 
 def q_limit_train(spark, sf):
-    train = _split(spark, sf).where(F.col("split") == "train").select("doc_id", "text")
-    return prepare.limit_rows(train, ["doc_id"], P["max_train_samples"])
+    docs = _raw_docs(spark, sf).select("doc_id", "text")
+    return prepare.limit_rows(docs.where(~prepare.in_head(docs, ["doc_id"], P["validation_percent"])), ["doc_id"], P["max_train_samples"])
 
 
 def q_limit_eval(spark, sf):
-    valid = _split(spark, sf).where(F.col("split") == "validation").select("doc_id", "text")
-    return prepare.limit_rows(valid, ["doc_id"], P["max_eval_samples"])
+    docs = _raw_docs(spark, sf).select("doc_id", "text")
+    return prepare.limit_rows(docs.where(prepare.in_head(docs, ["doc_id"], P["validation_percent"])), ["doc_id"], P["max_eval_samples"])
 
 
 def q_calibration_sample(spark, sf):
@@ -297,17 +321,16 @@ def q_response_tail(spark, sf):
 
 
 def q_decode_tokens(spark, sf):
-    lexed = _lexed(spark, sf)
-    vocab = _vocab(spark, sf, lexed)
-    ids = token_rows.tokenize_lexemes(lexed, "doc_id", "lexemes", vocab, V)
-    d = token_rows.decode(ids, "input_ids", vocab, V, key="doc_id")
-    return d.select("doc_id", "decoded")
+    docs = _docs(spark, sf)
+    vocab = _vocab(spark, sf)
+    ids = token_rows.tokenize_lexemes(docs.select(F.struct("doc_id", "text").alias("doc"), L.py_lexemes("text").alias("lexemes")),
+                                      "doc", "lexemes", vocab, V)
+    d = token_rows.decode(ids, "input_ids", vocab, V)
+    return d.select("doc.doc_id", "decoded", (F.col("decoded") == F.col("doc.text")).alias("same_text"))
 
 
 def q_left_pad(spark, sf):
-    ids = _ids(spark, sf)
-    cut = token_rows.truncate("input_ids", P["truncate_to"])
-    return ids.select("doc_id", token_rows.left_pad(cut, P["truncate_to"], V + 1).alias("input_ids"))
+    return _ids(spark, sf).select("doc_id", token_rows.left_pad("input_ids", P["truncate_to"], token_rows.eos_id(V)).alias("input_ids"))
 
 
 def q_argmax_array(spark, sf):
@@ -316,7 +339,10 @@ def q_argmax_array(spark, sf):
 
 
 def q_shifted_accuracy(spark, sf):
-    return token_rows.shifted_accuracy(_ids(spark, sf), "input_ids", "input_ids")
+    """Predictions: the next id, but at every third position the id itself."""
+    ids = _ids(spark, sf)
+    preds = F.transform("input_ids", lambda x, i: F.when(i % 3 == 0, x).otherwise(F.coalesce(F.get("input_ids", i + 1), F.lit(-1))))
+    return token_rows.shifted_accuracy(ids.withColumn("preds", preds), "preds", "input_ids")
 
 
 # ----------------------------------------------------------------- T*
@@ -332,11 +358,11 @@ def q_code_lexemes(spark, sf):
 
 
 def q_python_token_table(spark, sf):
-    return tokens.python_token_table(_pages(spark, sf), "page_id", "html")
+    return tokens.python_token_table(_code(spark, sf), "doc_id", "text")
 
 
 def q_python_token_count(spark, sf):
-    return tokens.profile(_docs(spark, sf), "doc_id", "text", PROFILE_T3)
+    return tokens.profile(_code(spark, sf), "doc_id", "text", PROFILE_T3)
 
 
 def q_bracket_depth(spark, sf):
@@ -344,11 +370,11 @@ def q_bracket_depth(spark, sf):
 
 
 def q_indent_profile(spark, sf):
-    return tokens.profile(_docs(spark, sf), "doc_id", "text", PROFILE_T5)
+    return tokens.profile(_code(spark, sf), "doc_id", "text", PROFILE_T5)
 
 
 def q_indent_width(spark, sf):
-    return tokens.indent_widths(_docs(spark, sf), "text")
+    return tokens.indent_widths(_code(spark, sf), "text")
 
 
 def q_unknown_chars(spark, sf):
@@ -356,11 +382,11 @@ def q_unknown_chars(spark, sf):
 
 
 def q_structural_errors(spark, sf):
-    return tokens.profile(_docs(spark, sf), "doc_id", "text", PROFILE_T8)
+    return tokens.profile(_code(spark, sf), "doc_id", "text", PROFILE_T8)
 
 
 def q_statement_count(spark, sf):
-    return tokens.profile(_docs(spark, sf), "doc_id", "text", PROFILE_T9)
+    return tokens.profile(_code(spark, sf), "doc_id", "text", PROFILE_T9)
 
 
 def q_java_token_table(spark, sf):
@@ -370,9 +396,9 @@ def q_java_token_table(spark, sf):
 # ----------------------------------------------------------------- X1, U*
 def q_score_stream(spark, sf):
     pairs = _pairs(spark, sf)
-    cal = scoring.calibrate(scoring.add_counts(pairs)).first()
     src = scratch_path(spark, "pairs_in")
-    pairs.repartition(3).write.parquet(src)
+    pairs.write.parquet(src)
+    cal = scoring.calibrate(scoring.add_counts(spark.read.parquet(src))).first()
     sink = scratch_path(spark, "scored_out")
     score_stream(spark, src, pairs.schema, sink, scratch_path(spark, "stream_ckpt"),
                  cal["avg_tokens"], cal["avg_errors"])

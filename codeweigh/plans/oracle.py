@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import grammar as G
 from . import duck as D
+from .catalog import CODE_LIKE
 from .catalog import PARAMS as P
 
 V = P["vocab_size"]
@@ -95,11 +96,21 @@ def profile_fields(src: str, key: str, text: str, fields: list[str]) -> str:
     return f"SELECT {key}, {', '.join(fields)} FROM ({prof}) AS _p"
 
 
+def code_like(text: str) -> str:
+    for old, new in CODE_LIKE:
+        text = f"replace({text}, {D.q(old)}, {D.q(new)})"
+    return text
+
+
+CODE = f"(SELECT doc_id, {code_like('text')} AS text FROM documents) AS _code"
+LONGEST_ENTRY = 64
+
+
 def vocab_sql() -> str:
     return f"""
 WITH _lx AS (SELECT doc_id, regexp_extract_all(text, {_pat}, 0) AS lx FROM documents),
 _ex AS (SELECT unnest(lx) AS lexeme FROM _lx),
-_cnt AS (SELECT lexeme, count(*) AS n FROM _ex GROUP BY lexeme)
+_cnt AS (SELECT lexeme, count(*) AS n FROM _ex WHERE strlen(lexeme) <= {LONGEST_ENTRY} GROUP BY lexeme)
 SELECT lexeme, CAST(row_number() OVER (ORDER BY n DESC, lexeme ASC) - 1 AS INTEGER) AS id
 FROM (SELECT * FROM _cnt ORDER BY n DESC, lexeme ASC LIMIT {V}) AS _t"""
 
@@ -107,7 +118,8 @@ FROM (SELECT * FROM _cnt ORDER BY n DESC, lexeme ASC LIMIT {V}) AS _t"""
 IDS = f"""
 SELECT d.doc_id, coalesce(i.input_ids, []::INTEGER[]) AS input_ids
 FROM documents d LEFT JOIN (
-  SELECT e.doc_id, list(coalesce(v.id, {V}) ORDER BY e.pos) AS input_ids
+  SELECT e.doc_id, flatten(list(CASE WHEN v.id IS NOT NULL THEN [v.id] ELSE list_transform(range(strlen(e.lexeme)),
+    lambda b: CAST({V} + CAST('0x' || substr(hex(encode(e.lexeme)), 2 * b + 1, 2) AS INTEGER) AS INTEGER)) END ORDER BY e.pos)) AS input_ids
   FROM (SELECT doc_id, unnest(lx) AS lexeme, generate_subscripts(lx, 1) AS pos
         FROM (SELECT doc_id, regexp_extract_all(text, {_pat}, 0) AS lx FROM documents) AS _l) AS e
   LEFT JOIN ({vocab_sql()}) AS v ON v.lexeme = e.lexeme
@@ -175,7 +187,8 @@ def build() -> dict[str, str]:
                           "FROM pages")
     o["write_tokenized"] = IDS
     o["write_reward_log"] = (f"SELECT conv_id, turn, prompt, output, reward, batch_id, "
-                             f"batch_id % 16 AS batch_bucket FROM ({BATCHED_SCORED}) AS _w")
+                             f"prompt || output AS sample, CAST(batch_id % 2 AS VARCHAR) AS run, "
+                             f"batch_id // 1024 AS batch_range FROM ({BATCHED_SCORED}) AS _w")
     o["resolve_text_column"] = "SELECT text FROM documents"
     o["drop_source_columns"] = f"SELECT input_ids FROM ({IDS}) AS _i"
     o["select_prompts"] = f"SELECT text FROM ({SPLIT}) AS _s WHERE split = 'train'"
@@ -190,9 +203,9 @@ def build() -> dict[str, str]:
     o["reward_batch_stats"] = (f"SELECT batch_id, count(reward) AS n, round(avg(reward), 6) AS reward_mean, "
                                f"round(stddev_samp(reward), 6) AS reward_std, min(reward) AS reward_min, "
                                f"max(reward) AS reward_max FROM ({BATCHED_SCORED}) AS _b GROUP BY batch_id")
-    prof_docs = D.py_profile_query("documents", ["doc_id"], "text")
+    prof_docs = D.py_profile_query(CODE, ["doc_id"], "text")
     o["token_histogram"] = f"""
-WITH _n AS (SELECT name, count(*) AS n FROM ({py_token_rows('documents', 'doc_id', 'text')}) AS _t
+WITH _n AS (SELECT name, count(*) AS n FROM ({py_token_rows(CODE, 'doc_id', 'text')}) AS _t
             WHERE NOT hidden AND name <> 'NEWLINE' GROUP BY name),
 _p AS ({prof_docs}),
 _l AS (SELECT 'NEWLINE' AS name, sum(nl) AS n FROM _p UNION ALL SELECT 'INDENT', sum(ind) FROM _p
@@ -211,6 +224,10 @@ SELECT name, CAST(n AS BIGINT) AS n FROM (SELECT * FROM _n UNION ALL SELECT * FR
     o["calibration_sample"] = cal(counts(f"SELECT * FROM ({PAIRS}) AS _p ORDER BY conv_id, turn "
                                          f"LIMIT {P['calibration_sample']}"))
     o["split_head_percent"] = f"SELECT doc_id, split FROM ({SPLIT}) AS _s"
+    h = f"CAST('0x' || substr(md5(doc_id || ':{P['seed']}'), 1, 15) AS BIGINT)"
+    o["split_hash_percent"] = (f"SELECT doc_id, CASE WHEN {h} % 1000000 < {float(P['validation_percent'])} * 10000 "
+                               f"THEN 'validation' ELSE 'train' END AS split FROM documents")
+    o["seeded_shuffle"] = f"SELECT doc_id, row_number() OVER (ORDER BY {h}, doc_id) - 1 AS shuffle_pos FROM documents"
     o["normalize"] = f"SELECT conv_id, turn, round(nt / avg_tokens, 6) AS norm_tokens FROM ({CALIBRATED}) AS _c"
     o["exponential_decay"] = (f"SELECT conv_id, turn, (round({_decay('ne / avg_errors', _a())}, 6) + 0.0) AS decay "
                               f"FROM ({CALIBRATED}) AS _c")
@@ -233,24 +250,21 @@ SELECT name, CAST(n AS BIGINT) AS n FROM (SELECT * FROM _n UNION ALL SELECT * FR
     g = P["max_new_tokens"]
     o["response_tail"] = (f"SELECT doc_id, input_ids[greatest(1, len(input_ids) - {g} + 1):] AS tail_ids "
                           f"FROM ({IDS}) AS _i")
-    o["decode_tokens"] = (f"SELECT doc_id, array_to_string(list_transform(input_ids, lambda i: "
-                          f"coalesce(va[i + 1], '<unk>')), '') AS decoded FROM ({IDS}) AS _i CROSS JOIN "
-                          f"(SELECT list_concat(list(lexeme ORDER BY id), ['<unk>', '<eos>']) AS va "
-                          f"FROM ({vocab_sql()}) AS _v) AS _va")
+    o["decode_tokens"] = "SELECT doc_id, text AS decoded, text = text AS same_text FROM documents"
     w = P["truncate_to"]
-    o["left_pad"] = (f"SELECT doc_id, list_concat(list_transform(range(greatest(0, {w} - len(input_ids[1:{w}]))), "
-                     f"lambda _x: CAST({V + 1} AS INTEGER)), input_ids[1:{w}]) AS input_ids FROM ({IDS}) AS _i")
+    o["left_pad"] = (f"SELECT doc_id, list_concat(list_transform(range(greatest(0, {w} - len(input_ids))), "
+                     f"lambda _x: CAST({V + 256} AS INTEGER)), input_ids) AS input_ids FROM ({IDS}) AS _i")
     o["argmax_array"] = ("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS argmax "
                          "FROM embeddings")
     o["shifted_accuracy"] = (f"SELECT CAST(sum(h) AS BIGINT) AS matches, CAST(sum(c) AS BIGINT) AS compared, "
                              f"round(sum(h)::DOUBLE / sum(c), 6) AS accuracy FROM (SELECT "
-                             f"len(list_filter(range(1, len(input_ids)), lambda i: input_ids[i] = input_ids[i + 1])) AS h, "
+                             f"len(list_filter(range(1, len(input_ids)), lambda i: (i - 1) % 3 <> 0 OR input_ids[i] = input_ids[i + 1])) AS h, "
                              f"greatest(len(input_ids) - 1, 0) AS c FROM ({IDS}) AS _i) AS _s")
     o["code_lexemes"] = (f"SELECT page_id, CAST(len(lx) AS BIGINT) AS n_lexemes, array_to_string(lx, '') = html "
                          f"AS lossless FROM (SELECT page_id, html, regexp_extract_all(html, {_pat}, 0) AS lx "
                          f"FROM pages) AS _l")
-    o["python_token_table"] = py_token_rows("pages", "page_id", "html")
-    o["python_token_count"] = profile_fields("documents", "doc_id", "text", ["tokens"])
+    o["python_token_table"] = py_token_rows(CODE, "doc_id", "text")
+    o["python_token_count"] = profile_fields(CODE, "doc_id", "text", ["tokens"])
     o["bracket_depth"] = f"""
 WITH _k AS ({roles_cte('pages', 'page_id', 'html')}),
 _u AS (SELECT page_id, unnest(kc) AS k, generate_subscripts(kc, 1) AS i FROM _k),
@@ -261,16 +275,16 @@ SELECT page_id, CAST(sum(delta) AS BIGINT) AS final_depth, CAST(greatest(0, max(
        CAST(greatest(0, -min(depth)) AS BIGINT) AS unmatched_closers,
        CAST(sum(delta) + greatest(0, -min(depth)) AS BIGINT) AS open_left
 FROM _d GROUP BY page_id"""
-    o["indent_profile"] = profile_fields("documents", "doc_id", "text", ["nl", "ind", "ded", "max_nesting"])
+    o["indent_profile"] = profile_fields(CODE, "doc_id", "text", ["nl", "ind", "ded", "max_nesting"])
     lead_blanks = "regexp_extract(line, " + D.q("^[ \\t]*") + ", 0)"
     o["indent_width"] = (f"SELECT CAST(width AS BIGINT) AS width, count(*) AS n_lines FROM (SELECT "
                          f"{_width_sql(lead_blanks)} AS width "
                          f"FROM (SELECT unnest(string_split_regex(text, '\\r\\n|\\r|\\n|\\f')) AS line "
-                         f"FROM documents) AS _l) AS _w GROUP BY width")
+                         f"FROM {CODE}) AS _l) AS _w GROUP BY width")
     o["unknown_chars"] = (f"SELECT x AS ch, count(*) AS n FROM (SELECT unnest(lx) AS x, unnest(kc) AS k "
                           f"FROM ({roles_cte('pages', 'page_id', 'html')}) AS _k) AS _u WHERE k = 3 GROUP BY x")
-    o["structural_errors"] = profile_fields("documents", "doc_id", "text", ["e1", "e2", "e3", "e4", "e5", "errors"])
-    o["statement_count"] = profile_fields("documents", "doc_id", "text", ["stmts"])
+    o["structural_errors"] = profile_fields(CODE, "doc_id", "text", ["e1", "e2", "e3", "e4", "e5", "errors"])
+    o["statement_count"] = profile_fields(CODE, "doc_id", "text", ["stmts"])
     o["java_token_table"] = java_token_rows()
     o["score_stream"] = f"SELECT conv_id, turn, nt, ne, reward FROM ({SCORED}) AS _s"
     fixed = (f"SELECT conv_id, turn, nt, ne, {reward_expr('nt', 'ne', str(P['fixed_avg_tokens']), str(P['fixed_avg_errors']))} "

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics, prepare, scoring, token_rows
+from ..session import materialize
 from ..sources import readers
 
 
@@ -41,27 +42,30 @@ def prepare_splits(spark: SparkSession, dataset_name: str | None = None, dataset
 
     Existing ``train``/``validation`` splits are used as they are; without a
     validation split, the first ``validation_split_percentage`` % of the
-    train rows (in ``order_by`` order) become it."""
+    train rows (in ``order_by`` order, else as stored) become it."""
     if dataset_name is not None:
         data = readers.scan_named(spark, dataset_root, dataset_name, dataset_config_name)
+        data = data if order_by else readers.with_file_order(data)
     elif train_file is not None or validation_file is not None:
         data = readers.scan_train_validation(spark, train_file, validation_file,
-                                             keep_linebreaks=keep_linebreaks)
+                                             keep_linebreaks=keep_linebreaks, file_order=not order_by)
     else:
         raise ValueError("give dataset_name or train_file/validation_file")
-    # names of the splits present: a tiny aggregate, bounded by the number of splits
-    present = ({r[0] for r in data.select("split").distinct().collect()}
-               if "split" in data.columns else set())
-    key = order_by or [c for c in data.columns if c != "split"][:1]
+    if train_file is not None or validation_file is not None:
+        present = {n for n, p in (("train", train_file), ("validation", validation_file)) if p is not None}
+    else:  # one column, as many names as splits
+        present = ({r[0] for r in data.select("split").distinct().collect()}
+                   if "split" in data.columns else set())
+    key = order_by or [readers.FILE_ORDER]
     if "validation" not in present:
         base = data.where(F.col("split") == "train") if "train" in present else data
         base = base.drop("split") if "split" in base.columns else base
         data = prepare.split_head_percent(base, key, validation_split_percentage)
-    text = prepare.resolve_text_column(data.drop("split"), text_column_name)
+    text = prepare.resolve_text_column(data.drop("split", readers.FILE_ORDER), text_column_name)
     train = data.where(F.col("split") == "train").drop("split")
     valid = data.where(F.col("split") == "validation").drop("split")
-    return Splits(prepare.limit_rows(train, key, max_train_samples),
-                  prepare.limit_rows(valid, key, max_eval_samples), text)
+    return Splits(prepare.limit_rows(train, key, max_train_samples).drop(readers.FILE_ORDER),
+                  prepare.limit_rows(valid, key, max_eval_samples).drop(readers.FILE_ORDER), text)
 
 
 def rollout_batches(df: DataFrame, key: str, text: str, per_device_train_batch_size: int = 64,
@@ -73,24 +77,25 @@ def rollout_batches(df: DataFrame, key: str, text: str, per_device_train_batch_s
     is the first half of the ids with ``split_examples`` (else all of them),
     decoded back to text."""
     lexed = token_rows.lex_documents(df, key, text)
-    vocab = token_rows.vocab_from_lexemes(lexed, "lexemes", vocab_size)
+    vocab = materialize(token_rows.vocab_from_lexemes(lexed, "lexemes", vocab_size))
     limit = token_rows.max_input_length(context_size, max_new_tokens)
     ids = token_rows.tokenize_lexemes(lexed, key, "lexemes", vocab, vocab_size, max_length=limit)
     rows = prepare.batch_rows(ids, [key], per_device_train_batch_size)
     q = token_rows.prompt_half_split("input_ids") if split_examples else F.col("input_ids")
     rows = rows.withColumn("query_ids", q)
-    return token_rows.decode(rows, "query_ids", vocab, vocab_size, out="query", key=key)
+    return token_rows.decode(rows, "query_ids", vocab, vocab_size, out="query")
 
 
 def score_rollouts(pairs: DataFrame, avg_tokens: float | None = None, avg_errors: float | None = None,
-                   batch_col: str | None = "batch_id") -> tuple[DataFrame, DataFrame | None]:
+                   batch_col: str | None = "batch_id", errors_of: str = "sample") -> tuple[DataFrame, DataFrame | None]:
     """Score ``prompt``/``output`` pairs (R4, A1 or U1) and summarise per batch (A3).
 
     With both averages given they are used as fixed calibration; otherwise
-    they are computed from the pairs themselves."""
+    they are computed from the pairs themselves.  ``errors_of="output"`` judges
+    outputs without their prompts (no split of the examples)."""
     if avg_tokens is not None and avg_errors is not None:
-        scored = scoring.score_frame(pairs, "prompt", "output", avg_tokens, avg_errors)
+        scored = scoring.score_frame(pairs, "prompt", "output", avg_tokens, avg_errors, errors_of=errors_of)
     else:
-        scored = scoring.score_pairs(pairs)
+        scored = scoring.score_pairs(pairs, errors_of=errors_of)
     stats = metrics.reward_batch_stats(scored, batch_col) if batch_col in scored.columns else None
     return scored, stats

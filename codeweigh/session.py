@@ -30,7 +30,7 @@ def local_session(cores: int | str = "*", app: str = "codeweigh") -> SparkSessio
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
             # lexeme arrays of long texts are large: cap Arrow batches by bytes
             .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
-            .config("spark.driver.extraJavaOptions", "-Xss16m")
+            .config("spark.codeweigh.spread", "true")
             .config("spark.checkpoint.dir", os.path.join(scratch, "checkpoints"))
             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
             .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
@@ -62,35 +62,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder.
+    """Cut lineage with a Parquet table in the shared folder.
 
-    The result survives the loss of executors (it is read back from the
-    shared folder, not from executor memory or local disk).
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    The result survives the loss of executors, and later readers prune
+    columns.  The caller removes the folder ``tables`` at the end of a run."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+SPREAD = "spark.codeweigh.spread"
+
+
 def rebalance(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread CPU-heavy text work over all cores when the input cannot split.
-
-    A Parquet file is split by row group; a dataset made of fewer files than
-    cores (often one row group each) would lex in a few tasks.  Then rows are
-    hash-partitioned by ``keys`` (deterministic on retry, no local sort, and
-    reusable by a later group-by or join on them).  Use a unique key so one
-    hot value cannot land in one task.  A large dataset of many files
-    is left as is: its scan already yields enough balanced tasks.
-    """
-    spark = df.sparkSession
-    par = max(spark.sparkContext.defaultParallelism, 1)
-    try:
-        n_files = len(df.inputFiles())
-    except Exception:  # noqa: BLE001 - not a file scan
-        return df
-    if n_files >= par:
+    """Deal rows out by ``keys`` before CPU-heavy text work, if the session asks
+    for it (``spark.codeweigh.spread``; sized by AQE).
+
+    Off by default: a scan of many files or row groups already yields enough
+    tasks.  Local sessions, which read one small file, turn it on."""
+    if df.sparkSession.conf.get(SPREAD, "false") != "true":
         return df
-    return df.repartition(par, *keys)
+    return df.repartition(*keys)

@@ -7,8 +7,10 @@ one is known (schema inference is an extra pass over the data).
 
 from __future__ import annotations
 
+import json
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -22,9 +24,11 @@ def scan_named(spark: SparkSession, root: str, name: str, config: str | None = N
     return spark.read.parquet(path if path.endswith(".parquet") else path + ".parquet")
 
 
-def scan_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """CSV with a header; quoted fields may hold line breaks."""
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def scan_csv(spark: SparkSession, path: str, schema: StructType | None = None,
+             multi_line: bool = False) -> DataFrame:
+    """CSV with a header; ``multi_line`` allows line breaks in quoted
+    fields (then a file is one task)."""
+    r = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
 
 
@@ -60,13 +64,16 @@ def scan_by_extension(spark: SparkSession, path: str, schema: StructType | None
 
 
 def scan_train_validation(spark: SparkSession, train: str | None, validation: str | None,
-                          schema: StructType | None = None, keep_linebreaks: bool = True) -> DataFrame:
-    """Train and validation files become one frame with a ``split`` column."""
+                          schema: StructType | None = None, keep_linebreaks: bool = True,
+                          file_order: bool = False) -> DataFrame:
+    """Train and validation files become one frame with a ``split`` column
+    (and, with ``file_order``, each row's place in its files)."""
     parts = []
     for split, path in (("train", train), ("validation", validation)):
         if path is not None:
-            parts.append(scan_by_extension(spark, path, schema, keep_linebreaks)
-                         .withColumn("split", F.lit(split)))
+            part = scan_by_extension(spark, path, schema, keep_linebreaks)
+            part = with_file_order(part) if file_order else part
+            parts.append(part.withColumn("split", F.lit(split)))
     if not parts:
         raise ValueError("need a train or a validation file")
     out = parts[0]
@@ -75,6 +82,16 @@ def scan_train_validation(spark: SparkSession, train: str | None, validation: st
     return out
 
 
+FILE_ORDER = "_at"
+
+
+def with_file_order(df: DataFrame) -> DataFrame:
+    """Adds ``_at``: (file, block in the file, row as read), the stored order."""
+    return df.withColumn(FILE_ORDER, F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row")))
+
+
 # FIXED VALUES (grammar rewriting rule): ordered literal replacements.
 GRAMMAR_REWRITES = [("!this.", "not self."), ("this.", "self.")]
 
@@ -97,14 +114,37 @@ def rewrite_file(spark: SparkSession, src: str, dst: str, replacements=GRAMMAR_R
     return spark.read.text(dst)
 
 
-def write_tokenized(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
-    """Cache a tokenized table; an existing one is reused unless overwrite."""
-    df.write.mode("overwrite" if overwrite else "ignore").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def write_reward_log(scored: DataFrame, path: str, buckets: int = 16) -> DataFrame:
-    """Store query, response and reward per batch, partitioned by batch bucket."""
-    out = scored.withColumn("batch_bucket", F.pmod(F.col("batch_id"), F.lit(buckets)))
-    out.write.mode("overwrite").partitionBy("batch_bucket").parquet(path)
-    return scored.sparkSession.read.parquet(path)
+def _fingerprint(df: DataFrame, settings: dict) -> str:
+    """Names the content of a frame and the settings it was made with."""
+    cols = [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+    n, total = df.select(*[c.alias("h") for c in cols]).agg(
+        F.count(F.lit(1)), F.sum(F.col("h").cast("decimal(38,0)"))).first()
+    return json.dumps({"rows": n, "hash": str(total), "columns": df.dtypes, "settings": settings}, sort_keys=True)
+
+
+def write_tokenized(df: DataFrame, path: str, source: DataFrame, settings: dict, overwrite: bool = False) -> DataFrame:
+    """Cache a tokenized table.  An existing one is reused only if it was
+    finished and made from the same ``source`` rows with the same ``settings``
+    (noted beside it after the write); else it is written anew."""
+    spark, note = df.sparkSession, path.rstrip("/") + ".made-from"
+    wanted = _fingerprint(source, settings)
+    try:
+        found = None if overwrite else spark.read.text(note).first()
+    except AnalysisException:  # no such note
+        found = None
+    if found is None or found[0] != wanted:
+        # an unfinished write must not keep an older note
+        spark.createDataFrame([("unfinished",)], "value string").coalesce(1).write.mode("overwrite").text(note)
+        df.write.mode("overwrite").parquet(path)
+        spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.mode("overwrite").text(note)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def write_reward_log(scored: DataFrame, path: str, run: str, batches_per_range: int = 1024) -> DataFrame:
+    """Log query, response, sample and reward per batch.  ``run`` names one
+    call: writing it again (a retry) replaces its rows only, other runs stay.
+    ``batch_range`` (batches by thousands) prunes reads of a stretch of batches."""
+    out = scored.withColumn("sample", F.concat("prompt", "output")).withColumn("run", F.lit(run)).withColumn(
+        "batch_range", F.floor(F.col("batch_id") / F.lit(batches_per_range)))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "batch_range").parquet(path)
+    return scored.sparkSession.read.schema(out.schema).parquet(path)

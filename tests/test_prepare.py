@@ -64,16 +64,88 @@ def test_pad_argmax_accuracy(spark):
     assert (acc.matches, acc.compared) == (2, 3)
 
 
-def test_vocab_round_trip(spark):
-    df = spark.createDataFrame([(1, "x = 1\n"), (2, "y = x + 1\n"), (3, "")], "k long, t string")
+@pytest.mark.parametrize("size", [100, 2, 0])
+def test_tokens_lose_nothing(spark, size):
+    rows = [(1, "x = 1\n"), (2, "y = x + 'é日😀'\n" + "z" * 500), (3, ""), (4, None), (5, "x x x")]
+    df = spark.createDataFrame(rows, "k long, t string")
     lexed = token_rows.lex_documents(df, "k", "t")
-    vocab = token_rows.vocab_from_lexemes(lexed, "lexemes", 100)
-    ids = token_rows.tokenize_lexemes(lexed, "k", "lexemes", vocab, 100)
-    dec = token_rows.decode(ids, "input_ids", vocab, 100).orderBy("k").collect()
-    assert [r.decoded for r in dec] == ["x = 1\n", "y = x + 1\n", ""]
-    small = token_rows.vocab_from_lexemes(lexed, "lexemes", 2)
-    ids2 = token_rows.tokenize_lexemes(lexed, "k", "lexemes", small, 2).orderBy("k").collect()
-    assert max(max(r.input_ids, default=0) for r in ids2) == 2  # unknown id
+    vocab = token_rows.vocab_from_lexemes(lexed, "lexemes", size)
+    ids = token_rows.tokenize_lexemes(lexed, "k", "lexemes", vocab, size)
+    dec = token_rows.decode(ids, "input_ids", vocab, size).orderBy("k").collect()
+    assert [(r.k, r.decoded) for r in dec] == rows
+    assert dec[2].input_ids == [] and dec[3].input_ids is None
+    assert max(max(r.input_ids or [0]) for r in dec) < token_rows.eos_id(size)
+    end = spark.createDataFrame([([token_rows.eos_id(size), size + 65],)], "i array<int>")
+    assert token_rows.decode(end, "i", vocab, size).first().decoded == "<eos>A"
+
+
+def test_equal_keys_spread_over_tasks(spark):
+    df = spark.range(2000, numPartitions=4).selectExpr("'' as k", "id")
+    idx = prepare.positional_index(df, ["k"], num_partitions=8)
+    assert sorted(r.pos for r in idx.collect()) == list(range(2000))
+    assert len([f for f in idx.inputFiles() if "part-" in f]) > 2
+    with pytest.raises(ValueError):
+        prepare.split_head_percent(df, ["k"], 50)
+
+
+def test_split_in_file_order(spark, tmp_path):
+    from codeweigh.plans import workflows
+
+    path = tmp_path / "lines.txt"
+    path.write_text("".join(f"z{i:02}\n" for i in range(99, -1, -1)))
+    s = workflows.prepare_splits(spark, train_file=str(path), validation_split_percentage=5, max_train_samples=3)
+    assert [r.text for r in s.validation.collect()] == [f"z{i}\n" for i in range(99, 94, -1)]
+    assert sorted(r.text for r in s.train.collect()) == ["z92\n", "z93\n", "z94\n"]
+
+
+def test_cut_reaches_the_scan(spark, tmp_path):
+    spark.range(1000).selectExpr("id as k", "cast(id as string) as text").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = df.where(prepare.in_head(df, ["k"], 5))._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(k,49)" in plan and "Exchange" not in plan
+
+
+def test_fractional_hash_split(spark):
+    df = spark.range(20000).withColumnRenamed("id", "k")
+    n = [prepare.split_hash_percent(df, "k", p).where("split = 'validation'").count() for p in (0.5, 1, 50)]
+    assert 60 < n[0] < 150 and 150 < n[1] < 260 and 9700 < n[2] < 10300
+
+
+def test_seeded_shuffle(spark):
+    df = spark.range(500).withColumnRenamed("id", "k")
+    a = [r.k for r in prepare.seeded_shuffle(df, "k", 1).orderBy("shuffle_pos").collect()]
+    b = [r.k for r in prepare.seeded_shuffle(df.repartition(7), "k", 1).orderBy("shuffle_pos").collect()]
+    c = [r.k for r in prepare.seeded_shuffle(df, "k", 2).orderBy("shuffle_pos").collect()]
+    assert a == b != c and sorted(a) == sorted(c) == list(range(500))
+
+
+def test_tokenized_table_is_reused_only_if_finished_and_the_same(spark, tmp_path):
+    path, one = str(tmp_path / "t"), spark.range(3)
+    assert readers.write_tokenized(one, path, one, {"v": 1}).count() == 3
+    assert readers.write_tokenized(one.limit(0), path, one, {"v": 1}).count() == 3  # reused
+    assert readers.write_tokenized(spark.range(5), path, one, {"v": 2}).count() == 5  # other settings
+    assert readers.write_tokenized(spark.range(4), path, spark.range(4), {"v": 2}).count() == 4  # other rows
+    failing = spark.range(4).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    with pytest.raises(Exception):
+        readers.write_tokenized(failing, path, spark.range(9), {"v": 3})
+    assert readers.write_tokenized(spark.range(7), path, spark.range(4), {"v": 2}).count() == 7  # not what a failed write left
+
+
+def test_reward_log_grows_and_retries(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.range(10).selectExpr("id", "'p' as prompt", "'o' as output", "0.5d as reward", "id div 5 as batch_id")
+    readers.write_reward_log(rows.where("batch_id = 0"), path, "a")
+    readers.write_reward_log(rows.where("batch_id = 1").limit(2), path, "b")
+    got = readers.write_reward_log(rows.where("batch_id = 1"), path, "b")
+    assert sorted(r.id for r in got.collect()) == list(range(10))
+    assert got.select("sample").distinct().collect()[0].sample == "po"
+
+
+def test_rewrite_file(spark, tmp_path):
+    src = tmp_path / "g.txt"
+    src.write_text("{!this.ok()}?\nplain\n")
+    got = readers.rewrite_file(spark, str(src), str(tmp_path / "out"))
+    assert sorted(r.value for r in got.collect()) == ["plain", "{not self.ok()}?"] and "!this." in src.read_text()
 
 
 @pytest.mark.parametrize("line,out", [("{!this.ok()}?", "{not self.ok()}?"), ("{this.open();}", "{self.open();}"),
@@ -102,27 +174,13 @@ def test_text_column_and_split_check(spark):
         prepare.filter_split(df.withColumn("split", F.lit("train")), "validation")
 
 
-def test_vocab_fallback_without_broadcast(spark):
-    """Beyond the byte limit, encoding and decoding use shuffle joins; same results."""
-    df = spark.createDataFrame([(1, "x = 1\n"), (2, "y = x + 'é'\n"), (3, "")], "k long, t string")
-    lexed = token_rows.lex_documents(df, "k", "t")
-    vocab = token_rows.vocab_from_lexemes(lexed, "lexemes", 4)
-    a = token_rows.tokenize_lexemes(lexed, "k", "lexemes", vocab, 4).orderBy("k").collect()
-    b = token_rows.tokenize_lexemes(lexed, "k", "lexemes", vocab, 4, broadcast_limit=0).orderBy("k").collect()
-    assert [r.input_ids for r in a] == [r.input_ids for r in b]
-    ids = token_rows.tokenize_lexemes(lexed, "k", "lexemes", vocab, 4)
-    d1 = token_rows.decode(ids, "input_ids", vocab, 4, key="k").orderBy("k").collect()
-    d2 = token_rows.decode(ids, "input_ids", vocab, 4, key="k", broadcast_limit=0).orderBy("k").collect()
-    assert [r.decoded for r in d1] == [r.decoded for r in d2]
-
-
 def test_csv_json_round_trips(spark, tmp_path):
     rows = [(1, 'a "quoted"\nline, with comma'), (2, "plain"), (3, "")]
     df = spark.createDataFrame(rows, "id long, text string")
     csv, js = str(tmp_path / "x.csv"), str(tmp_path / "x.json")
     df.write.option("header", True).option("escape", '"').csv(csv)
     df.write.json(js)
-    got_csv = sorted((r.id, r.text or "") for r in readers.scan_csv(spark, csv, df.schema).collect())
+    got_csv = sorted((r.id, r.text or "") for r in readers.scan_csv(spark, csv, df.schema, multi_line=True).collect())
     got_json = sorted((r.id, r.text) for r in readers.scan_json(spark, js, df.schema).collect())
     assert got_csv == sorted(rows) and got_json == sorted(rows)
     one = tmp_path / "one.json"

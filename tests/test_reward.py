@@ -79,3 +79,20 @@ def test_empty_calibration_is_null(spark):
     df = spark.createDataFrame([], "nt int, ne int")
     r = scoring.calibrate(df).first()
     assert (r.avg_tokens, r.avg_errors, r.n) == (None, None, 0)
+
+
+def test_calibration_skips_pairs_that_cannot_be_judged(spark):
+    from codeweigh.operators import scoring
+
+    df = spark.createDataFrame([(10, 4, 1), (None, None, None)], "nt int, ne int, ns int")
+    got = scoring.calibrate(df).first()
+    assert (got.avg_tokens, got.avg_errors, got.n) == (10.0, 4.0, 1)
+    assert scoring.calibrate_statements(df).first().n == 1
+
+
+def test_output_alone(spark):
+    from codeweigh.operators import scoring
+
+    df = spark.createDataFrame([(None, "x = 1\n"), ("f(", "y = )\n")], "prompt string, output string")
+    got = {r.output: r for r in scoring.score_pairs(df, errors_of="output").collect()}
+    assert got["x = 1\n"].reward == 1.0 and got["x = 1\n"].ne == 0 and got["y = )\n"].ne > 0

@@ -13,18 +13,20 @@ def test_shared_dir_from_session(spark):
     assert path and path == spark.conf.get("spark.checkpoint.dir")
 
 
-def test_rebalance_only_small_inputs(spark):
+def test_rows_are_dealt_out_only_if_the_session_asks(spark):
     docs = table(spark, SF, "documents")
-    spread = rebalance(docs, "doc_id")
-    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    derived = docs.groupBy("lang").count()
-    assert rebalance(derived, "lang") is derived or rebalance(derived, "lang").count() == derived.count()
-
-
-def test_materialize_cuts_lineage(spark):
-    df = spark.range(100).withColumn("x", F.col("id") * 2)
-    m = materialize(df)
-    assert m.count() == 100 and "ExistingRDD" in m._jdf.queryExecution().toString()
+    assert "Exchange" in rebalance(docs, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.codeweigh.spread", "false")
+    try:
+        assert rebalance(docs, "doc_id") is docs
+    finally:
+        spark.conf.set("spark.codeweigh.spread", "true")
+
+
+def test_materialize_cuts_lineage_and_prunes(spark):
+    m = materialize(spark.range(100).withColumn("x", F.col("id") * 2))
+    plan = m.select("x")._jdf.queryExecution().executedPlan().toString()
+    assert m.count() == 100 and "FileScan parquet" in plan and "ReadSchema: struct<x:bigint>" in plan
 
 
 def test_error_paths(spark):
