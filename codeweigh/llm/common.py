@@ -38,14 +38,15 @@ def share_of(key: Column, salt: str, fraction: float) -> Column:
     return F.crc32(F.concat(key.cast("string"), F.lit(salt))) < F.lit(int(fraction * (1 << 32)))
 
 
-def map_rows(df: DataFrame, schema: str | StructType, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """Apply ``kernel`` to every Arrow batch.  Batches are cut to a bounded
-    number of text bytes first, so a kernel's working memory is bounded by
+def map_rows(df: DataFrame, schema: str | StructType, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None],
+             most: int = 4 << 20) -> DataFrame:
+    """Apply ``kernel`` to every Arrow batch.  Batches are cut to about ``most``
+    bytes first, so a kernel's working memory is bounded by
     the longest single text and not by the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most):
                 out = kernel(piece)
                 if out is not None and out.num_rows:
                     yield out
@@ -58,7 +59,7 @@ def keep_rows(df: DataFrame, good: Callable[[str | None], bool], name: str = "te
     return map_rows(df, df.schema, lambda batch: batch.filter(pa.array([good(t) for t in batch.column(name).to_pylist()], pa.bool_())))
 
 
-def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     rows = batch.num_rows
     if not rows:
         return

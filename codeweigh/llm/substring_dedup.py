@@ -39,6 +39,8 @@ from codeweigh.llm.recompression import Names, anchors
 from codeweigh.llm.superminhash import word_names
 
 WINDOW = 50
+#: Bytes of text whose windows are named together: some tens of bytes of memory for each.
+SLICE = 2 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -74,7 +76,7 @@ def anchor_runs(docs: DataFrame) -> DataFrame:
                                 pa.array((starts[at] - begins[doc[at]]).astype(np.int32)), pa.array(n.astype(np.int32))],
                                names=["anchor", "context", "doc_id", "at", "n"])
 
-    return map_rows(docs.select("doc_id", "text"), "anchor long, context long, doc_id long, at int, n int", kernel)
+    return map_rows(docs.select("doc_id", "text"), "anchor long, context long, doc_id long, at int, n int", kernel, most=SLICE)
 
 
 def _ranges(rows: DataFrame, *cols: str) -> DataFrame:
@@ -101,7 +103,7 @@ def window_names(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
                                 batch.column("doc_id").take(pa.array(doc)), pa.array(at.astype(np.int32))], names=["one", "two", "doc_id", "at"])
 
     return map_rows(docs.join(_ranges(open_runs, "at", "n"), "doc_id").select("doc_id", "text", "ranges"),
-                    "one long, two long, doc_id long, at int", kernel)
+                    "one long, two long, doc_id long, at int", kernel, most=SLICE)
 
 
 def marked(docs: DataFrame) -> DataFrame:
