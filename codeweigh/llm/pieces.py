@@ -28,8 +28,10 @@ from __future__ import annotations
 
 import re
 import string
+from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +40,9 @@ from codeweigh.llm.common import documents, map_rows, texts
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Known stretches per worker; the memory is emptied beyond this.
+#: Known stretches per worker; beyond this only short ones are kept.
 CACHE = 1 << 19
+SHORT = 8
 LONGEST_KNOWN = 64
 _PUNCTUATION = string.punctuation
 
@@ -119,6 +122,32 @@ class Viterbi:
                     settled = meet
         yield from self._path(reached, settled, end)
 
+    def encode_short(self, text: str) -> list[int]:
+        """The same search where the whole text is one window (BPE only)."""
+        ids, sizes, fitting = self.ids, self.sizes, self.fitting
+        ending: list[str | None] = [""] + [None] * len(text)  # the piece that ends at each boundary
+        for end in range(1, len(text) + 1):
+            tail = text[end - 3:end] if end > 3 else text[:end]
+            for size in sizes.get(tail) or ((2, 1) if text[max(0, end - 2):end] in ids else (1,)):
+                start = end - size
+                if start < 0:
+                    continue
+                left, piece = ending[start], text[start:end]
+                if left is None or (size > 1 and piece not in ids):
+                    continue
+                fits = not left or fitting.get((left, piece))
+                if fits is None:
+                    fits = self.fits(left, piece)
+                if fits:
+                    ending[end] = piece
+                    break
+        out, end = [], len(text)
+        while end:
+            piece = ending[end]
+            out.append(piece)
+            end -= len(piece)
+        return [i for piece in reversed(out) for i in self._piece_ids(piece)]
+
     def _meeting(self, reached: dict[int, tuple[float, int, str]], end: int) -> int:
         """The last boundary that all paths into the window share."""
         live = {b for b in range(max(0, end - self.longest), end + 1) if b in reached}
@@ -147,45 +176,48 @@ class Codec:
         plain = {p: i for i, (p, _, _, ok) in enumerate(table) if ok}
         byte_ids = [i for i, row in enumerate(table) if row[2]]
         self.search = Viterbi(plain, {p: table[i][1] for p, i in plain.items()}, byte_ids)
-        self.plain = {i: p for p, i in plain.items()}
-        self.byte_of = {i: b for b, i in enumerate(byte_ids)}
-        self.known: dict[str, list[int]] = {}
+        # text of every id; bytes beyond ASCII stand as escapes until their run is complete
+        byte_of = {i: b for b, i in enumerate(byte_ids)}
+        self.texts = [p if ok else chr(b if b < 128 else 0xDC00 + b) if (b := byte_of.get(i)) is not None else "" for i, (p, _, _, ok) in enumerate(table)]
+        self.known: dict[str, bytes] = {}
         # all paths meet before SPACE, around a line feed, and between a word and
         # punctuation, unless a piece joins such characters (then not after that one)
         joined = {x for p in plain for x, y in zip(p, p[1:]) if y in _PUNCTUATION and x not in _PUNCTUATION + SPACE}
         marks, odd = re.escape(_PUNCTUATION), re.escape("".join(sorted(joined)))
         self.stretch = re.compile(f"{SPACE}*[^{SPACE}\n{marks}{odd}]++(?=[{marks}])|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as 32-bit integers."""
         if not text:
-            return []
-        out: list[int] = []
-        known = self.known
-        for stretch in self.stretch.findall(SPACE + text.replace(" ", SPACE)):
-            ids = known.get(stretch)
-            if ids is None:
-                ids = list(self.search.encode(stretch))
-                if len(stretch) <= LONGEST_KNOWN:
-                    if len(known) > CACHE:
-                        known.clear()
-                    known[stretch] = ids
-            out += ids
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        out, raw = [], bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(self.plain.get(i, ""))
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(SPACE, " ")[1:]
+            return b""
+        stretches = self.stretch.findall(SPACE + text.replace(" ", SPACE))
+        found = list(map(self.known.get, stretches))
+        if None in found:
+            for k, ids in enumerate(found):
+                if ids is None:
+                    found[k] = self._stretch_ids(stretches[k])
+        return b"".join(found)
+
+    def _stretch_ids(self, stretch: str) -> bytes:
+        ids = self.known.get(stretch)
+        if ids is None:
+            short = len(stretch) <= LONGEST_KNOWN
+            ids = array("i", self.search.encode_short(stretch) if short else self.search.encode(stretch)).tobytes()
+            if short:
+                if len(self.known) > CACHE:
+                    self.known = {s: x for s, x in self.known.items() if len(s) <= SHORT}  # the common words
+                self.known[stretch] = ids
+        return ids
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
+
+    def decode(self, ids: Iterable[int]) -> str:
+        text = "".join(map(self.texts.__getitem__, ids))
+        if not text.isascii():
+            raw = text.encode("utf-8", "surrogateescape")
+            text = raw.decode("utf-8", "replace")
+        return text.replace(SPACE, " ")[1:]
 
 
 def model_table(path: str | None = None) -> list[tuple[str, float, bool, bool]]:
@@ -213,9 +245,11 @@ def encode(df: DataFrame, model_path: str | None = None) -> DataFrame:
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = _codec(shared.value)
-        ids = [codec.encode(t) for t in texts(batch)]
-        return pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(i) for i in ids], pa.string())],
-                               names=["doc_id", "ids", "decoded"])
+        packed = [codec.packed(t) for t in texts(batch)]
+        ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+        decoded = [codec.decode(array("i", p)) for p in packed]
+        return pa.record_batch([batch.column("doc_id"), ids, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return map_rows(df.select("doc_id", "text"), "doc_id long, ids array<int>, decoded string", kernel)
 
