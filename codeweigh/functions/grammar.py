@@ -171,11 +171,6 @@ def python_pattern(flavor: str = "java") -> str:
     return "|".join("(?:" + p + ")" for p in parts)
 
 
-def python_name_start(flavor: str = "java") -> str:
-    """Anchored test for a one-character identifier."""
-    return r"^[_\p{L}\p{Nl}" + PY_ID_START_EXTRA + "]$"
-
-
 # ------------------------------------------------------------------- Java
 def java_pattern(flavor: str = "java") -> str:
     star, plus = _poss(flavor)

@@ -159,6 +159,54 @@ def _batch_emission(packed: np.ndarray, offsets: np.ndarray):
     return k, doc, pos, keep, ks, ws, kd, is_nl, depth, emit, counts, starts
 
 
+def _indent_moves(doc: np.ndarray, width: np.ndarray, d: int):
+    """The indent stack over emitted line breaks (in document order): per break
+    whether it opens a level and how many it closes; per document the levels
+    left open and the deepest nesting."""
+    push, pops = np.zeros(doc.size, dtype=bool), np.zeros(doc.size, dtype=np.int64)
+    left, nest = np.zeros(d, dtype=np.int64), np.zeros(d, dtype=np.int64)
+    indented = np.unique(doc[width > 0])
+    # one slice per document, found once
+    lo, hi = np.searchsorted(doc, indented, "left"), np.searchsorted(doc, indented, "right")
+    for di, a, b in zip(indented.tolist(), lo.tolist(), hi.tolist()):
+        stack: list[int] = []
+        deepest = 0
+        for at, w in enumerate(width[a:b].tolist(), a):
+            if w > (stack[-1] if stack else 0):
+                stack.append(w)
+                push[at] = True
+                deepest = max(deepest, len(stack))
+            else:
+                while stack and stack[-1] > w:
+                    stack.pop()
+                    pops[at] += 1
+        left[di], nest[di] = len(stack), deepest
+    return push, pops, left, nest
+
+
+def layout_rows(packed: np.ndarray, offsets: np.ndarray):
+    """Layout tokens without text, in order: document, lexeme they follow,
+    place after it and name id.  At the end of input the closing NEWLINE has
+    place 0 of the position after the last lexeme."""
+    d = len(offsets) - 1
+    if not packed.size:
+        return (np.zeros(0, dtype=np.int64),) * 4
+    _, doc, pos, keep, _, ws, kd, _, _, emit, _, _ = _batch_emission(packed, offsets)
+    where = np.flatnonzero(keep)[emit]
+    push, pops, left, _ = _indent_moves(kd[emit], ws[emit], d)
+    n = push + pops
+    end = np.flatnonzero(left > 0)
+    size = np.concatenate((n, left[end] + 1))
+    docs = np.repeat(np.concatenate((doc[where], end)), size)
+    at = np.repeat(np.concatenate((pos[where], np.diff(offsets)[end])), size)
+    first = np.repeat(np.cumsum(size) - size, size)
+    sub = np.arange(len(docs)) - first + np.repeat(np.concatenate((np.ones(len(n), dtype=np.int64), np.zeros(len(end), dtype=np.int64))), size)
+    name = np.repeat(np.concatenate((np.where(push, INDENT, DEDENT), np.full(len(end), DEDENT))), size)
+    name[sub == 0] = 1  # NEWLINE
+    order = np.lexsort((sub, at, docs))
+    return docs[order], at[order], sub[order], name[order]
+
+
 def profile_batch(packed: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Profile rows (one per text, columns as ``PROFILE_FIELDS``) of a batch."""
     d = len(offsets) - 1
@@ -205,33 +253,12 @@ def profile_batch(packed: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     stmts = np.bincount(sd[~e & prev_e & ~((t == 10) | (t == 11))], minlength=d)
     colon_before = (prev_t == 8) & ~prev_e
 
-    ind = np.zeros(d, dtype=np.int64)
-    ded = np.zeros(d, dtype=np.int64)
-    nest = np.zeros(d, dtype=np.int64)
-    left = np.zeros(d, dtype=np.int64)
     idx_e = np.flatnonzero(e)
-    e3 = np.bincount(sd[idx_e][colon_before[idx_e]], minlength=d)
-    indented = np.unique(sd[idx_e][wv[idx_e] > 0])
-    # emitted breaks are in document order: one slice per document, found once
-    doc_e = sd[idx_e]
-    lo, hi = np.searchsorted(doc_e, indented, "left"), np.searchsorted(doc_e, indented, "right")
-    for di, a, b in zip(indented.tolist(), lo.tolist(), hi.tolist()):
-        sel = idx_e[a:b]
-        stack: list[int] = []
-        i3 = dd = nn = e3d = 0
-        for w, cb in zip(wv[sel].tolist(), colon_before[sel].tolist()):
-            top = stack[-1] if stack else 0
-            if w > top:
-                stack.append(w)
-                i3 += 1
-                e3d += not cb
-                nn = max(nn, len(stack))
-            else:
-                while stack and stack[-1] > w:
-                    stack.pop()
-                    dd += 1
-                e3d += cb
-        ind[di], ded[di], nest[di], e3[di], left[di] = i3, dd, nn, e3d, len(stack)
+    doc_e, cb = sd[idx_e], colon_before[idx_e]
+    push, pops, left, nest = _indent_moves(doc_e, wv[idx_e], d)
+    ind = np.bincount(doc_e[push], minlength=d)
+    ded = np.bincount(doc_e, pops, minlength=d).astype(np.int64)
+    e3 = np.bincount(doc_e[push != cb], minlength=d)
     eof = left > 0
     send = sstarts + m - 1
     nonempty = m > 0
@@ -291,11 +318,36 @@ def roles_udf(lex: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([codes, flags, ids], names=["codes", "emit", "names"])
 
 
+TOKENS_TYPE = T.ArrayType(T.StructType([
+    T.StructField("pos", T.IntegerType()), T.StructField("sub", T.IntegerType()), T.StructField("name", T.IntegerType()),
+    T.StructField("text", T.StringType()), T.StructField("hidden", T.BooleanType())]))
+
+
+@F.arrow_udf(TOKENS_TYPE)
+def tokens_udf(lex: pa.Array) -> pa.Array:
+    """All tokens of a text in order, layout tokens included."""
+    values, offsets, nulls, at_start = _flat(lex)
+    packed = pack_roles(values, at_start)
+    k = packed & 31
+    hidden = np.isin(k, (0, 2, 12)) | (np.isin(k, (1, 13, 14)) & ~emit_batch(packed, offsets))
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    docs, at, sub, name = (np.concatenate(both) for both in zip(
+        (doc, np.arange(len(doc)) - offsets[:-1][doc], np.zeros(len(doc), dtype=np.int64), name_ids(values, packed)), layout_rows(packed, offsets)))
+    text = pa.concat_arrays([values, pa.array([""] * (len(docs) - len(doc)), values.type)])
+    hidden = np.concatenate((hidden, np.zeros(len(docs) - len(doc), dtype=bool)))
+    order = np.lexsort((sub, at, docs))
+    fields = [*(pa.array(x[order].astype(np.int32)) for x in (at, sub, name)), text.take(pa.array(order)), pa.array(hidden[order])]
+    rows = pa.StructArray.from_arrays(fields, names=["pos", "sub", "name", "text", "hidden"])
+    cuts = np.searchsorted(docs[order], np.arange(len(offsets))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), rows, mask=pa.array(nulls))
+
+
 # Token names by id: fixed classes first, then the grammar's keyword and
 # operator names in grammar order.
 _FIXED_NAMES = ["SKIP_", "NEWLINE", "STRING", "NUMBER", "NAME", "UNKNOWN_CHAR"]
 _KW_OPS = G.PY_KEYWORDS + G.PY_OPERATORS
-TOKEN_NAMES = _FIXED_NAMES + [n for _, n in _KW_OPS]
+TOKEN_NAMES = _FIXED_NAMES + [n for _, n in _KW_OPS] + ["INDENT", "DEDENT"]
+INDENT, DEDENT = len(TOKEN_NAMES) - 2, len(TOKEN_NAMES) - 1
 _KW_OPS_ARROW = pa.array([t for t, _ in _KW_OPS], pa.string())
 HISTOGRAM_SCHEMA = "name string, n bigint"
 

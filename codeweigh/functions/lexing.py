@@ -69,9 +69,6 @@ def indent_width(blanks) -> Column:
                     .when(ch == "", acc).otherwise(acc + 1)))
 
 
-NL_CODES = (1, 13, 14)
-
-
 def add_py_profile(df, text, out: str = "prof"):
     """Add struct column ``out`` with the Python-lexer profile of ``text``.
 

@@ -1,8 +1,7 @@
 """Token tables and per-document structure reports.
 
 Per-document reports are projections (no shuffle).  Token tables explode
-lexemes; names of keywords and operators come from a broadcast join with a
-fixed ~100-row dimension table, so the exploded side never shuffles.
+lexemes, whose names are found before, so the exploded rows never shuffle.
 """
 
 from __future__ import annotations
@@ -28,34 +27,28 @@ def profile(df: DataFrame, key: str, text: str, fields: list[str]) -> DataFrame:
 
 
 def python_token_table(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per lexeme ``(key, pos, name, text, hidden)``.
+    """One row per token ``(key, pos, sub, name, text, hidden)``.
 
     Blanks, comments and line joins are ``SKIP_`` (hidden); a line break the
-    lexer suppresses is a hidden ``NEWLINE``.  INDENT/DEDENT carry no text and
-    are counted by :func:`profile` instead.  Names come from the Arrow
-    classifier as small ids, turned into text by indexing a constant array
-    (no join).
+    lexer suppresses is a hidden ``NEWLINE``.  ``pos`` is the lexeme's place,
+    ``sub`` is 0; INDENT and DEDENT have no text and follow their line break
+    with ``sub`` 1, 2, ...; the NEWLINE and DEDENTs that close open blocks at
+    the end stand at the position after the last lexeme.  Names come from the
+    Arrow classifier as small ids, turned into text by indexing a constant
+    array (no join).
     """
-    from ..functions.layout import TOKEN_NAMES
-    lx = df.select(key, L.py_lexemes(text).alias("_lx"))
-    lx = lx.withColumn("_r", L.py_roles("_lx"))
-    lx = lx.select(key, "_lx", F.col("_r.codes").alias("_k"), F.col("_r.emit").alias("_emit"),
-                   F.col("_r.names").alias("_n"))
-    ex = lx.select(key, F.posexplode(F.arrays_zip("_lx", "_k", "_emit", "_n")).alias("pos", "z"))
-    k = F.col("z._k") % 32
+    from ..functions.layout import TOKEN_NAMES, tokens_udf
+    ex = df.select(key, F.explode(tokens_udf(L.py_lexemes(text))).alias("t"))
     names = F.array(*[F.lit(n) for n in TOKEN_NAMES])
-    hidden = k.isin(0, 2, 12) | (k.isin(1, 13, 14) & ~F.col("z._emit"))
-    return ex.select(key, F.col("pos").cast("int").alias("pos"),
-                     F.element_at(names, F.col("z._n") + 1).alias("name"),
-                     F.col("z._lx").alias("text"), hidden.alias("hidden"))
+    return ex.select(key, "t.pos", "t.sub", F.element_at(names, F.col("t.name") + 1).alias("name"), "t.text", "t.hidden")
 
 
 def unknown_chars(df: DataFrame, key: str, text: str) -> DataFrame:
     """Characters no rule accepts, with their occurrence counts."""
     lx = df.select(key, L.py_lexemes(text).alias("_lx"))
     lx = lx.withColumn("_k", L.py_roles("_lx")["codes"])
-    ex = lx.select(key, F.explode(F.arrays_zip("_lx", "_k")).alias("z"))
-    unk = ex.where(F.col("z._k") % 32 == 3).select(key, F.col("z._lx").alias("ch"))
+    # only what is unknown is exploded
+    unk = lx.select(F.explode(F.filter(F.arrays_zip("_lx", "_k"), lambda z: z["_k"] % 32 == 3)).alias("z")).select(F.col("z._lx").alias("ch"))
     return unk.groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -66,7 +66,11 @@ def width(b: str) -> str:
             f"lambda acc, ch: CASE WHEN ch = {TAB} THEN acc + 8 - acc % 8 ELSE acc + 1 END, 0) END")
 
 
-def _fold_step() -> str:
+#: Regex class of the characters that end a line.
+LINE_ENDS = r"[\r\n\f]"
+
+
+def _fold_step(layout: bool = False) -> str:
     emit = "(x.k IN (1, 13, 14) AND acc.op <= 0 AND NOT x.s)"
     top = "coalesce(list_max(acc.st), 0)"
     push = f"({emit} AND x.w > {top})"
@@ -74,6 +78,9 @@ def _fold_step() -> str:
     tok = "(x.k BETWEEN 3 AND 11)"
     delta = "CASE WHEN x.k = 6 THEN 1 WHEN x.k = 7 THEN -1 ELSE 0 END"
     pair = "(x.k IN (4, 5) AND acc.po IN (4, 5) AND NOT (acc.po = 5 AND x.k = 5) AND NOT acc.lp)"
+    extra = (f""",
+ 'lay': CASE WHEN {push} THEN list_append(acc.lay, {{'p': x.p, 'n': 1}})
+             WHEN {pop} THEN list_append(acc.lay, {{'p': x.p, 'n': -len(list_filter(acc.st, lambda v: v > x.w))}}) ELSE acc.lay END""" if layout else "")
     return f"""{{
  'op': acc.op + {delta},
  'dp': CASE WHEN x.k = 6 THEN acc.dp + 1 WHEN x.k = 7 THEN greatest(acc.dp - 1, 0) ELSE acc.dp END,
@@ -94,7 +101,7 @@ def _fold_step() -> str:
  'ls': CASE WHEN {emit} THEN false WHEN {tok} THEN true ELSE acc.ls END,
  'sm': acc.sm + ({tok} AND NOT acc.ls AND x.k NOT IN (10, 11))::INT,
  'nt': acc.nt + ({tok})::INT,
- 'e1': acc.e1 + (x.k = 3 AND NOT x.u)::INT
+ 'e1': acc.e1 + (x.k = 3 AND NOT x.u)::INT{extra}
 }}"""
 
 
@@ -103,19 +110,38 @@ _INIT = ("{'op': 0, 'dp': 0, 'um': 0, 'mx': 0, 'st': []::INTEGER[], 'mn': 0, 'nl
          "'nt': 0, 'e1': 0}")
 
 
-def py_profile_query(src: str, keys: list[str], text: str) -> str:
-    """SELECT keys + profile fields (as BIGINT) for ``text`` of relation ``src``."""
+def _folded(src: str, keys: list[str], text: str, layout: bool = False) -> str:
+    """CTEs up to ``_p``: keys, the number of lexemes ``n_`` and the fold's result ``a``."""
     k = ", ".join(keys)
-    roles = (f"list_filter(list_transform(kc, lambda kk, i: {{'k': kk, "
-             f"'w': CASE WHEN kk IN (1, 13, 14) THEN {width(f'regexp_replace(lx[i], {q(chr(91) + chr(92) + 'r' + chr(92) + 'n' + chr(92) + 'f' + chr(93))}, {q('')}, {q('g')})')} ELSE 0 END, "
+    roles = (f"list_filter(list_transform(kc, lambda kk, i: {{'k': kk, 'p': i - 1, "
+             f"'w': CASE WHEN kk IN (1, 13, 14) THEN {width(f'regexp_replace(lx[i], {q(LINE_ENDS)}, {q('')}, {q('g')})')} ELSE 0 END, "
              f"'s': coalesce(kk IN (1, 13, 14) AND kc[i + 1] IN (1, 12) AND (length(lx[i + 1]) > 1 OR len(lx) >= i + 2), false), "
              f"'u': coalesce(kk = 3 AND i > 1 AND kc[i - 1] = 3, false)}}), lambda r: r.k NOT IN (0, 2, 12))")
+    init = _INIT[:-1] + ", 'lay': []::STRUCT(p BIGINT, n BIGINT)[]}" if layout else _INIT
     return f"""
 WITH _l AS (SELECT {k}, {py_lex(text)} AS lx FROM {src}),
 _k AS (SELECT {k}, lx, list_transform(lx, lambda x, i: {py_role('x', 'i')}) AS kc FROM _l),
-_r AS (SELECT {k}, {roles} AS kept FROM _k),
-_f AS (SELECT {k}, list_reduce(kept, lambda acc, x: {_fold_step()}, {_INIT}) AS a FROM _r),
-_p AS (SELECT {k}, a, len(a.st) AS left_, (len(a.st) > 0) AS eof FROM _f)
+_r AS (SELECT {k}, len(lx) AS n_, {roles} AS kept FROM _k),
+_f AS (SELECT {k}, n_, list_reduce(kept, lambda acc, x: {_fold_step(layout)}, {init}) AS a FROM _r),
+_p AS (SELECT {k}, n_, a, len(a.st) AS left_, (len(a.st) > 0) AS eof FROM _f)"""
+
+
+def py_layout_query(src: str, key: str, text: str) -> str:
+    """SELECT the layout tokens without text: key, pos, sub, name, text, hidden."""
+    return f"""{_folded(src, [key], text, layout=True)},
+_m AS (SELECT {key}, unnest(a.lay) AS m FROM _p),
+_d AS (SELECT {key}, m.p AS pos, m.n AS n, unnest(generate_series(1, abs(m.n))) AS sub FROM _m),
+_t AS (SELECT {key}, n_ AS pos, unnest(generate_series(0, left_)) AS sub FROM _p WHERE eof)
+SELECT {key}, CAST(pos AS INTEGER) AS pos, CAST(sub AS INTEGER) AS sub,
+       CASE WHEN n > 0 THEN 'INDENT' ELSE 'DEDENT' END AS name, '' AS text, false AS hidden FROM _d
+UNION ALL SELECT {key}, CAST(pos AS INTEGER), CAST(sub AS INTEGER),
+       CASE WHEN sub = 0 THEN 'NEWLINE' ELSE 'DEDENT' END, '', false FROM _t"""
+
+
+def py_profile_query(src: str, keys: list[str], text: str) -> str:
+    """SELECT keys + profile fields (as BIGINT) for ``text`` of relation ``src``."""
+    k = ", ".join(keys)
+    return f"""{_folded(src, keys, text)}
 SELECT {k},
  CAST(a.nt + a.nl + eof::INT + a.ind + a.ded + left_ AS BIGINT) AS tokens,
  CAST(a.nt AS BIGINT) AS ntok,

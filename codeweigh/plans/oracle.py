@@ -171,10 +171,6 @@ def _tv() -> str:
             "UNION ALL SELECT item_id AS id, text, 'validation' AS split FROM benchmark")
 
 
-def _width_sql(b: str) -> str:
-    return D.width(b)
-
-
 def build() -> dict[str, str]:
     o: dict[str, str] = {}
     o["scan_named"] = "SELECT * FROM conversations"
@@ -263,7 +259,8 @@ SELECT name, CAST(n AS BIGINT) AS n FROM (SELECT * FROM _n UNION ALL SELECT * FR
     o["code_lexemes"] = (f"SELECT page_id, CAST(len(lx) AS BIGINT) AS n_lexemes, array_to_string(lx, '') = html "
                          f"AS lossless FROM (SELECT page_id, html, regexp_extract_all(html, {_pat}, 0) AS lx "
                          f"FROM pages) AS _l")
-    o["python_token_table"] = py_token_rows(CODE, "doc_id", "text")
+    o["python_token_table"] = (f"SELECT doc_id, pos, 0 AS sub, name, text, hidden FROM ({py_token_rows(CODE, 'doc_id', 'text')}) AS _lex "
+                               f"UNION ALL SELECT * FROM ({D.py_layout_query(CODE, 'doc_id', 'text')}) AS _lay")
     o["python_token_count"] = profile_fields(CODE, "doc_id", "text", ["tokens"])
     o["bracket_depth"] = f"""
 WITH _k AS ({roles_cte('pages', 'page_id', 'html')}),
@@ -278,7 +275,7 @@ FROM _d GROUP BY page_id"""
     o["indent_profile"] = profile_fields(CODE, "doc_id", "text", ["nl", "ind", "ded", "max_nesting"])
     lead_blanks = "regexp_extract(line, " + D.q("^[ \\t]*") + ", 0)"
     o["indent_width"] = (f"SELECT CAST(width AS BIGINT) AS width, count(*) AS n_lines FROM (SELECT "
-                         f"{_width_sql(lead_blanks)} AS width "
+                         f"{D.width(lead_blanks)} AS width "
                          f"FROM (SELECT unnest(string_split_regex(text, '\\r\\n|\\r|\\n|\\f')) AS line "
                          f"FROM {CODE}) AS _l) AS _w GROUP BY width")
     o["unknown_chars"] = (f"SELECT x AS ch, count(*) AS n FROM (SELECT unnest(lx) AS x, unnest(kc) AS k "

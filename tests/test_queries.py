@@ -54,6 +54,14 @@ def test_every_query_has_sql():
     assert set(QUERIES) <= set(o)
 
 
+def test_visible_rows_of_the_token_table_are_its_tokens(spark):
+    table = E.queries()["python_token_table"](spark, SF).where("not hidden").groupBy("doc_id").count()
+    tokens = E.queries()["python_token_count"](spark, SF)
+    assert tokens.join(table, "doc_id", "left").where("tokens <> coalesce(count, 0)").count() == 0
+    names = E.queries()["python_token_table"](spark, SF).where("sub > 0").select("name").distinct()
+    assert {r.name for r in names.collect()} == {"INDENT", "DEDENT"}
+
+
 def test_stream_equals_batch(spark):
     s = E.queries()["score_stream"](spark, SF)
     b = E.queries()["reward"](spark, SF).select("conv_id", "turn", "nt", "ne", "reward")
