@@ -53,7 +53,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 COST_SIGN, COST_DROP, OUTSIDE = -1.0, -0.7, -16.0
 SEPARATORS = frozenset(".-_*~'")
 _EDGES = ".,;:!?%&*#\"'()[]{}|$<>=`~_-+"
-_ALONE = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\s.,;:!?])")
+_ALONE = re.compile(r"(?<!\S)(?:[^\W\d_] ){3,}[^\W\d_](?![^\s.,;:!?])")
 _ODD = re.compile(r"(.)\1\1|[0-9@$!|+(€£.\-_*~]")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -192,12 +192,24 @@ class Restorer:
             j = i
         return " ".join(reversed(out))
 
-    def text(self, text: str) -> str:
-        if _ALONE.search(text):
+    def joined(self, text: str) -> tuple[str, set[str]]:
+        """The text with letters standing alone joined, and its distinct tokens."""
+        tokens = text.split()
+        if list(map(len, tokens)).count(1) >= 3 and _ALONE.search(text):
             text = _ALONE.sub(lambda m: self.join(m.group()), text)
-        odd = {t for t in set(text.split()) if self.token(t) != t}
+            tokens = text.split()
+        return text, set(tokens)
+
+    def text(self, text: str) -> str:
+        """The restored text; what is not disguised stays as it is."""
+        text, tokens = self.joined(text)
+        odd = {t for t in tokens if self.token(t) != t}
         return re.sub(r"\S+", lambda m: self.token(m.group()) if m.group() in odd else m.group(), text) if odd else text
 
+    def words(self, text: str) -> set[str]:
+        """Distinct words of the restored text."""
+        return {word_of(self.token(t)) for t in self.joined(text)[1]}
+
 
 # ---------------------------------------------------------------- lexicon
 
@@ -216,16 +228,16 @@ class Scorer:
         self.best: dict[str, tuple[float, str]] = {}
 
     def word(self, token: str) -> tuple[float, str]:
-        """The worst item of a token, and which."""
+        """The worst item of a token's reading, and which."""
         got = self.best.get(token)
         if got is None:
             if len(self.best) > CACHE:
                 self.best.clear()
-            got = self.best[token] = max(((self.lexicon.get(i, 0.0), i) for i in items(word_of(token))), default=(0.0, ""))
+            got = self.best[token] = max(((self.lexicon.get(i, 0.0), i) for i in items(word_of(self.restorer.token(token)))), default=(0.0, ""))
         return got
 
     def score(self, text: str) -> float:
-        found = dict((i, p) for p, i in (self.word(t) for t in set(self.restorer.text(text).split())) if p)
+        found = {i: p for p, i in map(self.word, self.restorer.joined(text)[1]) if p}
         sure = [p for p in found.values() if p >= 0.5]
         return float(1 - np.prod([1 - p for p in sure])) if sure else max(found.values(), default=0.0)
 
@@ -237,8 +249,7 @@ def _item_counts(df: DataFrame, table, only=None) -> DataFrame:
         restorer = _restorer(table)
         counts: Counter[str] = Counter()
         for t in texts(batch):
-            words = {word_of(x) for x in restorer.text(t).split()}
-            counts.update({i for w in words for i in items(w) if only is None or i in only.value})
+            counts.update({i for w in restorer.words(t) for i in items(w) if only is None or i in only.value})
         return pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["item", "n"])
 
     return map_rows(df.select("text"), "item string, n long", kernel).groupBy("item").agg(F.sum("n").alias("n"))
@@ -266,7 +277,7 @@ def train(docs: DataFrame, labels: DataFrame):
         return table, {}
     if n > TRAIN_ROWS:
         truth = truth.filter(share_of(F.col("doc_id"), "toxic", TRAIN_ROWS / n))
-    rows = learning.join(truth, "doc_id")
+    rows = learning.join(F.broadcast(truth.filter(~held_out(F.col("doc_id")))), "doc_id")  # at most about TRAIN_ROWS ids
     toxic = _item_counts(rows.filter("toxic = 1"), table).filter(F.col("n") >= SUPPORT).toPandas()  # bounded by TRAIN_ROWS texts
     only = spark.sparkContext.broadcast(set(toxic["item"]))
     clean = dict(map(tuple, _item_counts(rows.filter("toxic = 0"), table, only).collect()))
