@@ -14,7 +14,7 @@ hits are united, with the same result.  So what is broadcast is bounded by
 ``BLOCK_WORDS`` (plus one item), never by the table.
 
 Rows: null or wordless texts have no words and no hits; items without words
-are ignored; repeated items and documents give repeated, equal results.  An
+are ignored, items without an id hit but are not named; repeated items and documents give repeated, equal results.  An
 empty benchmark marks nothing.
 """
 
@@ -52,7 +52,7 @@ class Scanner:
         for item, text in items:
             w = [self.ids.setdefault(x, len(self.ids) + 1) for x in words(text)]
             for at in range(max(1, len(w) - WINDOW + 1) if w else 0):
-                owners.setdefault(tuple(w[at:at + WINDOW]), set()).add(str(item))
+                owners.setdefault(tuple(w[at:at + WINDOW]), set()).update([] if item is None else [str(item)])
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for window, who in owners.items():
             self.automaton.add_word(window, (len(window), tuple(sorted(who))))

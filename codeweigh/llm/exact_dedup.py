@@ -17,7 +17,7 @@ one digest covers different texts, those are regrouped by the text itself.
 Normalised text: the text without the characters ``[\\x20\\x09-\\x0D]``.  Of
 equal texts the row with the most code points, then the smallest ``doc_id``,
 then the smallest locator stays; exactly one row of a group is ``kept``, also
-if rows repeat.  Null counts as empty, so all null, empty and blank texts are
+if rows repeat; a missing ``doc_id`` is the smallest.  Null counts as empty, so all null, empty and blank texts are
 one group.  An empty table gives an empty result.
 """
 

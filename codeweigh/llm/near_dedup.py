@@ -23,7 +23,8 @@ first, and no pair table, group or component meets in one task or the driver.
 Rows: null, empty and blank texts have an empty set and are linked with
 nothing (``component_id`` is their own id).  Each row is judged by its own
 text; repeated rows give equal results, and where different texts share a
-``doc_id`` that represents them, they are linked.  An empty table gives an empty result.
+``doc_id`` that represents them, they are linked.  A row without ``doc_id``
+belongs to its copies that have one; else it stays, compared with nothing.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -185,13 +186,13 @@ def group_near(docs: DataFrame) -> DataFrame:
     component = components(written(links(full, "family", exact, "verified"), "links"))
     found = of_class.join(component.withColumnRenamed("node", "rep"), "rep", "left")
     out = found.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Rows of the one document that stays of each group, with all columns."""
-    kept = group_near(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    kept = group_near(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,8 @@ length.
 Rows: null, empty and blank texts have no words; texts of fewer than
 ``WINDOW`` words lose none.  A window repeated in one document only is kept.
 Rows that share a ``doc_id`` are one document for "smaller", and each is cut
-by what its own text repeats.  An empty table gives an empty result.
+by what its own text repeats.  Rows without ``doc_id`` are neither cut nor
+taken as first.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ reads the files back.  Global starts need the ids per part: one row per part
 reaches the driver.
 
 Rows: null and empty texts have only the end id; repeated rows are written
-each; equal ``doc_id`` rows are ordered by text.  An empty table gives no file
+each; equal ``doc_id`` rows are ordered by text, rows without one come first.
+An empty table gives no file
 and an empty result.
 """
 
@@ -47,6 +48,8 @@ BLOCK = 512
 SEGMENT_IDS = 1 << 20
 MAGIC = b"DAC1"
 HEAD = 4 + 5 * 8
+#: Stands for a missing doc_id.
+NO_ID = -(1 << 63)
 #: Known pieces of text per worker; beyond this only short ones are kept.
 CACHE = 1 << 20
 SHORT = 8
@@ -216,7 +219,7 @@ def write_segments(df: DataFrame, path: str, vocabulary_path: str | None = None)
                         yield flush()
                         start += size
                         doc_ids, held, size = [], [], 0
-                    doc_ids.append(doc_id)
+                    doc_ids.append(NO_ID if doc_id is None else doc_id)
                     held.append(ids)
                     size += len(ids)
         if doc_ids:
@@ -254,7 +257,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     before = per_part.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))  # one row per part
     rows = segments.mapInArrow(run, "doc_id long, part long, start long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(before.select("part", F.coalesce("before", F.lit(0)).alias("before"))), "part").select(
-        "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

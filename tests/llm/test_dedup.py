@@ -68,6 +68,20 @@ def test_empty_tables(spark, tables):
         assert query(spark, top).collect() == [], name
 
 
+def test_nulls_in_any_column(spark, tables):
+    docs = [(None, prose(1, 80)), (None, None), (None, prose(2, 80)), (3, prose(1, 80)), (4, None), (5, prose(7, 60)), (None, prose(7, 60) + " x")]
+    top = tables(documents=docs, benchmark=[(None, prose(7, 12)), (None, None), (1, None)], labels=[(None, None, None), (3, None, 1), (None, 1, 1)],
+                 pages=[(None, None, None), (None, "u", "<p>text of a page"), (1, None, "")])
+    for name, query in QUERIES.items():
+        got = query(spark, top).collect()
+        assert len(got) == (3 if name.startswith("op7_") else len(docs)), name
+    near = {(r["doc_id"], r["n_shingles"]): r["kept"] for r in QUERIES["op4_near_dedup"](spark, top).collect()}
+    assert near[3, 76] is True and all(k in (True, False) for k in near.values())
+    import corpus_pipeline
+
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, top).collect()} <= {None, 3}
+
+
 # ---------------------------------------------------------------- near
 
 
