@@ -41,7 +41,7 @@ from codeweigh.llm.common import documents, map_rows, texts
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Known stretches per worker; beyond this only short ones are kept.
-CACHE = 1 << 19
+CACHE = 1 << 18
 SHORT = 8
 LONGEST_KNOWN = 64
 _PUNCTUATION = string.punctuation

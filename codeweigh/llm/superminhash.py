@@ -22,7 +22,7 @@ _FRACTION = np.uint64(25)  # bits of the random fraction; the step stands above
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _PLACE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 #: Known words per worker; the table is emptied beyond this.
-CACHE = 1 << 19
+CACHE = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -46,7 +46,7 @@ PRIOR_ROWS = 10
 SUPPORT = 5
 ODDS = 2.5
 BEGINNINGS = range(3, 9)
-CACHE = 1 << 19
+CACHE = 1 << 18
 #: Signs that stand for letters.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
