@@ -89,16 +89,17 @@ def exact(payloads: list[bytes]) -> Callable[[int], np.ndarray]:
     return linked
 
 
-def forest(ids: list[int], odd: list[bool], like: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect what is alike, comparing each odd member with all
-    others.  Members that are not odd are known to be connected; an odd one
-    that is already connected with them needs no comparison."""
+def forest(ids: list[int], odd: list[bool], compare: list[bool], like: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect what is alike, comparing each member marked ``compare``
+    with all others.  Members that are not odd are known to be connected; an odd
+    one that is already connected with them needs no comparison: what it is like
+    is compared with it in turn, or connected with them too."""
     groups, edges = UnionFind(), []
     main = [i for i, o in zip(ids, odd) if not o]
     for i in main:
         groups.union(main[0], i)
-    for k, o in enumerate(odd):
-        if not o or (main and groups.find(ids[k]) == groups.find(main[0])):
+    for k, c in enumerate(compare):
+        if not c or (main and groups.find(ids[k]) == groups.find(main[0])):
             continue
         for other in np.flatnonzero(like(k)).tolist():
             if groups.union(ids[k], ids[other]):
@@ -129,21 +130,23 @@ def with_first(members: DataFrame, group: str, like: Callable) -> DataFrame:
 
 def rest_with_all(members: DataFrame, group: str, like: Callable) -> DataFrame:
     """Links (a, b) among (group, doc_id, odd, payload): every odd member
-    against all, in blocks; a task holds two blocks and emits a forest."""
+    against all, in blocks; a task holds two blocks and emits a forest.  Every row
+    keeps its own ``odd``; ``compare`` marks the odd block of the task."""
     sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("all"), F.count_if("odd").alias("odds")).filter("odds > 0 and all > 1")
     sizes = written(sizes, "sizes")
     n = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
     rows = members.join(sizes.select(group, n("all").alias("n_all"), n("odds").alias("n_odd")), group)
     mine: Callable[[str], Column] = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(c)).cast("int")
-    every = rows.select(group, "doc_id", "payload", F.lit(False).alias("odd"), mine("n_all").alias("j"),
+    every = rows.select(group, "doc_id", "payload", "odd", F.lit(False).alias("compare"), mine("n_all").alias("j"),
                         F.explode(F.sequence(F.lit(0), F.col("n_odd") - 1)).alias("i"))
-    odd = rows.filter("odd").select(group, "doc_id", "payload", "odd", F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), mine("n_odd").alias("i"))
+    odd = rows.filter("odd").select(group, "doc_id", "payload", "odd", F.lit(True).alias("compare"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), mine("n_odd").alias("i"))
 
     def run(table: pa.Table) -> pa.Table:
-        doc_id, odd_, payload = (table.column(c).to_pylist() for c in ("doc_id", "odd", "payload"))
+        doc_id, odd_, compare, payload = (table.column(c).to_pylist() for c in ("doc_id", "odd", "compare", "payload"))
         odds = {i for i, o in zip(doc_id, odd_) if o}
+        mine_ = {i for i, c in zip(doc_id, compare) if c}
         seen = sorted(set(zip(doc_id, payload)))
-        edges = forest([i for i, _ in seen], [i in odds for i, _ in seen], like([x for _, x in seen]))
+        edges = forest([i for i, _ in seen], [i in odds for i, _ in seen], [i in mine_ for i, _ in seen], like([x for _, x in seen]))
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
     return every.unionByName(odd).groupBy(group, "i", "j").applyInArrow(run, "a long, b long")

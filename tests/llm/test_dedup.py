@@ -135,6 +135,28 @@ def test_near_groups_beyond_a_block(spark, tables, monkeypatch, block):
     assert rows(near_dedup.group_near(spark.read.parquet(tables(documents=docs) + "/documents.parquet")), *NEAR) == near_brute(docs)
 
 
+def test_two_dense_parts_joined_by_one_pair_beyond_a_block(spark, monkeypatch):
+    """The first's part and an odd part, of which only one pair is alike, in many families."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+
+    def payload(*parts):
+        return np.array(sorted(x for p in parts for x in p), np.uint64).tobytes()
+
+    core, ours, theirs = range(70), range(100, 115), range(200, 215)
+    members = []
+    for family in range(20):
+        ids = iter(range(family * 100, family * 100 + 100))
+        members += [(family, next(ids), payload(core, ours)) for _ in range(12)] + [(family, next(ids), payload(core, ours[:10]))]
+        odd = [payload(core, theirs) for _ in range(12)] + [payload(core, theirs[:10])]
+        random.Random(family).shuffle(odd)
+        members += [(family, next(ids), p) for p in odd]
+    df = spark.createDataFrame([(f, i, bytearray(p)) for f, i, p in members], "family long, doc_id long, payload binary")
+    found = near_dedup.UnionFind()
+    for r in near_dedup.links(df, "family", near_dedup.exact, "two-parts").collect():
+        found.union(r["a"], r["b"])
+    assert [i for f, i, _ in members if found.find(i) != f * 100] == []
+
+
 def test_signature_estimates_with_lower_variance():
     r, n = np.random.default_rng(0), 300
     for jaccard in (0.5, 0.75):
