@@ -9,8 +9,11 @@ alone in a row are joined where the model prefers a word.  All other tokens
 have one path through their lattice and stay as they are.
 
 The model's counts are taken over the words of all learning rows, whole
-texts, in a hashed table of fixed size, so it can be shipped whatever the
-corpus; counts meet in partial sums.
+texts: one row per n-gram in a table of the shared folder, which grows with the
+input and never meets in one place.  What may be disguised (a *unit*: a token
+that opens a lattice, or a row of single letters) is restored once per distinct
+unit: it names the n-grams its lattice needs, is joined with their counts, and
+its reading is joined with the documents that hold it.
 
 Scoring: words of the restored text and their beginnings are looked up in a
 lexicon of items with the part of labelled documents holding them that are
@@ -28,8 +31,9 @@ of a score.  Without labels every score is 0.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from math import log
 
 import numpy as np
@@ -37,16 +41,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweigh.llm.common import documents, held_out, map_rows, share_of, slices, texts
+from codeweigh.llm.common import documents, held_out, map_rows, share_of, slices, texts, written
 
 ORDER = 4
-SLOTS = 1 << 18
 TRAIN_ROWS = 20_000
 PRIOR_ROWS = 10
 SUPPORT = 5
 ODDS = 2.5
 BEGINNINGS = range(3, 9)
 CACHE = 1 << 18
+#: Characters of distinct words that one task counts before it hands its n-grams on.
+HELD = 1 << 22
 #: Signs that stand for letters.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -54,68 +59,83 @@ COST_SIGN, COST_DROP, OUTSIDE = -1.0, -0.7, -16.0
 SEPARATORS = frozenset(".-_*~'")
 _EDGES = ".,;:!?%&*#\"'()[]{}|$<>=`~_-+"
 _ALONE = re.compile(r"(?<!\S)(?:[^\W\d_] ){3,}[^\W\d_](?![^\s.,;:!?])")
+#: A row of letters standing alone, with what follows it without a blank.
+_ROW = re.compile(f"({_ALONE.pattern})" + r"(\S*)")
 _ODD = re.compile(r"(.)\1\1|[0-9@$!|+(€£.\-_*~]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 # ---------------------------------------------------------------- language model
 
-_PRIMES = np.array([1, 1_000_003, 998_244_353, 754_974_721], np.uint64)
 
+def _slot(chars: str) -> str:
+    """The key of an n-gram: itself."""
+    return chars
 
-def _slots(cp: np.ndarray, n: int) -> np.ndarray:
-    """Table slots of all n-grams of a code-point array."""
-    h = np.full(len(cp) - n + 1, n * 40_503, np.uint64)
-    for k in range(n):
-        h = h * np.uint64(1_000_003) + cp[k:len(cp) - n + 1 + k]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(46)).astype(np.int64)
 
+def _grams(words: Counter[str]) -> Counter[str]:
+    """Counts of the n-grams (1 to ORDER) of words, one blank around each; the blank after it counts as its own."""
+    out: Counter[str] = Counter()
+    for w, k in words.items():
+        line = f" {w} "
+        for c in line[1:]:
+            out[c] += k
+        for n in range(2, ORDER + 1):
+            for i in range(len(line) - n + 1):
+                out[line[i:i + n]] += k
+    return out
+
+
+class Counts:
+    """(gram, n) as a table in the shared folder; ``most`` is the largest n."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+        self.most = table.agg(F.max("n")).first()[0] or 0
 
-def _slot(chars: str) -> int:
-    h = len(chars) * 40_503
-    for c in chars:
-        h = (h * 1_000_003 + ord(c)) & 0xFFFFFFFFFFFFFFFF
-    h ^= h >> 31
-    return (h * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 46
+    def __getitem__(self, gram: str) -> int:
+        row = self.table.filter(F.col("gram") == gram).first()
+        return row["n"] if row else 0
 
 
-def character_counts(df: DataFrame) -> np.ndarray:
-    """Hashed counts of the n-grams (1 to ORDER) of all words, whole texts."""
+def character_counts(df: DataFrame) -> Counts:
+    """Exact counts of the n-grams (1 to ORDER) of all words, whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(SLOTS, np.int64)
+        words: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            found = _grams(words)
+            return pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["gram", "n"])
+
         for batch in batches:
             for piece in slices(batch):
-                line = " " + " ".join(w for t in texts(piece) for w in _WORD.findall(t.lower())) + " "
-                cp = np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64)
-                for n in range(1, ORDER + 1):
-                    if len(cp) >= n:
-                        table += np.bincount(_slots(cp, n), minlength=SLOTS)
-        at = np.flatnonzero(table)
-        yield pa.record_batch([pa.array(at), pa.array(table[at])], names=["slot", "n"])
+                for t in texts(piece):
+                    words.update(_WORD.findall(t.lower()))
+                if sum(map(len, words)) > HELD:
+                    yield out()
+                    words.clear()
+        yield out()
 
-    table = np.zeros(SLOTS)
-    found = df.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
-    table[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(float)
-    return table
+    counted = df.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return Counts(written(counted, "grams"))
 
 
 class Letters:
-    """Character language model over hashed counts; backs off to shorter contexts."""
+    """Character language model over counts of n-grams; backs off to shorter contexts."""
 
-    def __init__(self, table: np.ndarray):
-        self.table = table
+    def __init__(self, table: dict[str, int], most: int):
+        self.table, self.most = table, most
         self.known: dict[str, float] = {}
 
     def _p(self, chars: str) -> float:
         """Chance of the last character after the ones before it."""
         if not chars:
             return 1e-4
-        shorter = self._p(chars[1:])
-        context = self.table[_slot(chars[:-1])] if len(chars) > 1 else 1e4
-        return (self.table[_slot(chars)] * (1.0 if len(chars) > 1 else 1e4 / max(self.table.max(), 1)) + 2 * shorter) / (max(context, self.table[_slot(chars)] if len(chars) > 1 else 0) + 2)
+        shorter, n = self._p(chars[1:]), self.table.get(chars, 0)
+        if len(chars) == 1:
+            return (n * 1e4 / max(self.most, 1) + 2 * shorter) / (1e4 + 2)
+        return (n + 2 * shorter) / (max(self.table.get(chars[:-1], 0), n) + 2)
 
     def log_p(self, before: str, c: str) -> float:
         chars = (before + c)[-ORDER:]
@@ -134,6 +154,56 @@ class Letters:
         return total
 
 
+class Asked(Letters):
+    """Notes the n-grams it is asked for instead of weighing them."""
+
+    def __init__(self):
+        super().__init__({}, 0)
+        self.grams: set[str] = set()
+
+    def log_p(self, before: str, c: str) -> float:
+        chars = (before + c)[-ORDER:]
+        if chars not in self.known:
+            self.known[chars] = 0.0
+            if c.isalpha() or c == " ":
+                self.grams.update(chars[i:j] for i in range(len(chars)) for j in range(i + 1, len(chars) + 1))
+        return 0.0
+
+
+def lattice(token: str) -> str:
+    """The part of a token that opens a lattice, lower case, or nothing."""
+    low = token.lower()
+    core = low.strip(_EDGES)
+    lead, _, tail = low.partition(core) if core else (low, "", "")
+    if lead in LEET and lead not in "(|":  # one sign at the edge may be a letter
+        core = lead + core
+    if tail in LEET and tail not in "!|+(":
+        core += tail
+    letters = sum(c.isalpha() for c in core)
+    return "" if not core or not _ODD.search(core) or letters * 5 < len(core) * 2 or len(core) < 3 else core
+
+
+_OPENS: dict[str, bool] = {}
+
+
+def divided(text: str) -> tuple[set[str], set[str]]:
+    """(tokens as they stand, units) of a text, distinct."""
+    tokens, units = text.split(), set()
+    if list(map(len, tokens)).count(1) >= 3 and _ALONE.search(text):
+        units = {m.group() for m in _ROW.finditer(text)}
+        tokens = _ROW.sub(" ", text).split()
+    found = set(tokens)
+    for t in found:
+        opens = _OPENS.get(t)
+        if opens is None:
+            if len(_OPENS) > CACHE:
+                _OPENS.clear()
+            opens = _OPENS[t] = bool(lattice(t))
+        if opens:
+            units.add(t)
+    return found - units, units
+
+
 class Restorer:
     def __init__(self, letters: Letters):
         self.letters = letters
@@ -149,17 +219,10 @@ class Restorer:
         return got
 
     def _token(self, token: str) -> str:
-        low = token.lower()
-        core = low.strip(_EDGES)
-        lead, _, tail = low.partition(core) if core else (low, "", "")
-        if lead in LEET and lead not in "(|":  # one sign at the edge may be a letter
-            core = lead + core
-        if tail in LEET and tail not in "!|+(":
-            core += tail
-        letters = sum(c.isalpha() for c in core)
-        if not core or not _ODD.search(core) or letters * 5 < len(core) * 2 or len(core) < 3:
+        core = lattice(token)
+        if not core:
             return token
-        at = low.find(core)
+        at = token.lower().find(core)
         return token[:at] + self._decode(core) + token[at + len(core):]
 
     def _decode(self, core: str) -> str:
@@ -192,23 +255,59 @@ class Restorer:
             j = i
         return " ".join(reversed(out))
 
-    def joined(self, text: str) -> tuple[str, set[str]]:
-        """The text with letters standing alone joined, and its distinct tokens."""
-        tokens = text.split()
-        if list(map(len, tokens)).count(1) >= 3 and _ALONE.search(text):
-            text = _ALONE.sub(lambda m: self.join(m.group()), text)
-            tokens = text.split()
-        return text, set(tokens)
+    def unit(self, unit: str) -> str:
+        """The likeliest reading of a unit."""
+        row = _ROW.fullmatch(unit)
+        if not row:
+            return self._token(unit)
+        return " ".join(map(self.token, (self.join(row[1]) + row[2]).split()))
+
+
+def needed(unit: str) -> set[str]:
+    """All n-grams that reading a unit can ask for."""
+    asked = Asked()
+    restorer, row = Restorer(asked), _ROW.fullmatch(unit)
+    if not row:
+        restorer._token(unit)
+        return asked.grams
+    alone = "".join(c for c in row[1].lower() if c.isalpha())
+    for w in {alone[i:j] for j in range(1, len(alone) + 1) for i in range(max(0, j - 24), j)}:
+        asked.word(w)
+        restorer._token(w)
+    for i in range(max(0, len(alone) - 24), len(alone)):
+        for w in (alone[i:] + row[2]).split():
+            restorer._token(w)
+    return asked.grams
+
+
+def units_of(df: DataFrame) -> DataFrame:
+    """(unit), distinct, of all texts."""
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = set().union(*(divided(t)[1] for t in texts(batch)))
+        return pa.record_batch([pa.array(list(found), pa.string())], names=["unit"])
 
-    def text(self, text: str) -> str:
-        """The restored text; what is not disguised stays as it is."""
-        text, tokens = self.joined(text)
-        odd = {t for t in tokens if self.token(t) != t}
-        return re.sub(r"\S+", lambda m: self.token(m.group()) if m.group() in odd else m.group(), text) if odd else text
+    return map_rows(df.select("text"), "unit string", kernel).distinct()
 
-    def words(self, text: str) -> set[str]:
-        """Distinct words of the restored text."""
-        return {word_of(self.token(t)) for t in self.joined(text)[1]}
+
+def readings(units: DataFrame, counts: Counts) -> DataFrame:
+    """(unit, reading) by exact counts of the n-grams each unit needs."""
+    most = counts.most
+
+    def ask(batch: pa.RecordBatch) -> pa.RecordBatch:
+        units = batch.column("unit").to_pylist()
+        return pa.record_batch([batch.column("unit"), pa.array([sorted(needed(u)) for u in units], pa.list_(pa.string()))], names=["unit", "grams"])
+
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for unit, known in zip(batch.column("unit").to_pylist(), batch.column("known").to_pylist()):
+            out.append(Restorer(Letters({k["gram"]: k["n"] for k in known or ()}, most)).unit(unit))
+        return pa.record_batch([batch.column("unit"), pa.array(out, pa.string())], names=["unit", "reading"])
+
+    asked = map_rows(units, "unit string, grams array<string>", ask, 1 << 18)
+    pairs = asked.select("unit", F.explode("grams").alias("gram")).join(counts.table, "gram")
+    known = pairs.groupBy("unit").agg(F.collect_list(F.struct("gram", "n")).alias("known"))
+    return written(map_rows(units.join(known, "unit", "left"), "unit string, reading string", read), "readings")
 
 
 # ---------------------------------------------------------------- lexicon
@@ -222,66 +321,49 @@ def word_of(token: str) -> str:
     return token.strip(_EDGES).lower()
 
 
-class Scorer:
-    def __init__(self, restorer: Restorer, lexicon: dict[str, float]):
-        self.restorer, self.lexicon = restorer, lexicon
-        self.best: dict[str, tuple[float, str]] = {}
+def best_item(word: str, lexicon: dict[str, float]) -> tuple[float, str]:
+    """The worst item of a word, and how bad it is."""
+    return max(((lexicon.get(i, 0.0), i) for i in items(word)), default=(0.0, ""))
 
-    def word(self, token: str) -> tuple[float, str]:
-        """The worst item of a token's reading, and which."""
-        got = self.best.get(token)
-        if got is None:
-            if len(self.best) > CACHE:
-                self.best.clear()
-            got = self.best[token] = max(((self.lexicon.get(i, 0.0), i) for i in items(word_of(self.restorer.token(token)))), default=(0.0, ""))
-        return got
 
-    def score(self, text: str) -> float:
-        found = {i: p for p, i in map(self.word, self.restorer.joined(text)[1]) if p}
-        sure = [p for p in found.values() if p >= 0.5]
-        return float(1 - np.prod([1 - p for p in sure])) if sure else max(found.values(), default=0.0)
+def combined(found: dict[str, float]) -> float:
+    sure = [found[i] for i in sorted(found) if found[i] >= 0.5]
+    return float(1 - np.prod([1 - p for p in sure])) if sure else max(found.values(), default=0.0)
 
 
-def _item_counts(df: DataFrame, table, only=None) -> DataFrame:
+def _item_counts(df: DataFrame, read, only=None) -> DataFrame:
     """(item, n): documents with each item, restored; counted per batch first."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        restorer = _restorer(table)
         counts: Counter[str] = Counter()
         for t in texts(batch):
-            counts.update({i for w in restorer.words(t) for i in items(w) if only is None or i in only.value})
+            plain, units = divided(t)
+            words = {word_of(w) for w in plain} | {word_of(w) for u in units for w in read.value.get(u, u).split()}
+            counts.update({i for w in words for i in items(w) if only is None or i in only.value})
         return pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["item", "n"])
 
     return map_rows(df.select("text"), "item string, n long", kernel).groupBy("item").agg(F.sum("n").alias("n"))
 
 
-_RESTORERS: dict[int, Restorer] = {}
-
-
-def _restorer(table) -> Restorer:
-    key = id(table.value)  # a broadcast value lives as long as its worker
-    if key not in _RESTORERS:
-        _RESTORERS.clear()
-        _RESTORERS[key] = Restorer(Letters(table.value))
-    return _RESTORERS[key]
-
-
 def train(docs: DataFrame, labels: DataFrame):
-    """(broadcast counts, lexicon) from learning rows only."""
+    """(readings of all units, lexicon); counts and lexicon from learning rows only."""
     spark = docs.sparkSession
     learning = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")))
-    table = spark.sparkContext.broadcast(character_counts(learning))
+    read = readings(written(units_of(docs), "units"), character_counts(learning))
     truth = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, bad = truth.filter(~held_out(F.col("doc_id"))).agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not bad:
-        return table, {}
+        return read, {}
     if n > TRAIN_ROWS:
         truth = truth.filter(share_of(F.col("doc_id"), "toxic", TRAIN_ROWS / n))
     rows = learning.join(F.broadcast(truth.filter(~held_out(F.col("doc_id")))), "doc_id")  # at most about TRAIN_ROWS ids
+    # readings of the sample's units that differ from them: bounded by TRAIN_ROWS texts
+    of_sample = read.filter("reading <> unit").join(units_of(rows), "unit", "left_semi").collect()
+    table = spark.sparkContext.broadcast({r["unit"]: r["reading"] for r in of_sample})
     toxic = _item_counts(rows.filter("toxic = 1"), table).filter(F.col("n") >= SUPPORT).toPandas()  # bounded by TRAIN_ROWS texts
     only = spark.sparkContext.broadcast(set(toxic["item"]))
     clean = dict(map(tuple, _item_counts(rows.filter("toxic = 0"), table, only).collect()))
-    return table, lexicon(dict(zip(toxic["item"], toxic["n"])), clean, bad / n)
+    return read, lexicon(dict(zip(toxic["item"], toxic["n"])), clean, bad / n)
 
 
 def lexicon(toxic: dict[str, int], clean: dict[str, int], mean: float) -> dict[str, float]:
@@ -303,21 +385,49 @@ def lexicon(toxic: dict[str, int], clean: dict[str, int], mean: float) -> dict[s
     return out
 
 
-def score(docs: DataFrame, table, lexicon: dict[str, float]) -> DataFrame:
+def score(docs: DataFrame, read: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        key = id(shared.value)
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(_restorer(table), shared.value)
-        found = [_SCORERS[key].score(t) for t in texts(batch)]
-        return pa.record_batch([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
-
-    return map_rows(docs.select("doc_id", "text"), "doc_id long, score double", kernel)
-
-
-_SCORERS: dict[int, Scorer] = {}
+    hits = pa.list_(pa.struct([("item", pa.string()), ("p", pa.float64())]))
+
+    def found(words: Iterable[str]) -> list[dict]:
+        return [{"item": i, "p": p} for p, i in {_best(w, shared.value) for w in words} if p]
+
+    def plain(batch: pa.RecordBatch) -> pa.RecordBatch:
+        here, both = uuid.uuid4().hex, [divided(t) for t in texts(batch)]
+        return pa.record_batch([pa.array([f"{here}{k}" for k in range(len(both))]), batch.column("doc_id"), pa.array([found(b[0]) for b in both], hits),
+                                pa.array([sorted(b[1]) for b in both], pa.list_(pa.string()))], names=["row", "doc_id", "found", "units"])
+
+    def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [found(r.split()) for r in batch.column("reading").to_pylist()]
+        return pa.record_batch([batch.column("unit"), pa.array(out, hits)], names=["unit", "marks"])
+
+    def total(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [combined({x["item"]: x["p"] for x in (a or []) + [x for m in b or [] for x in m]})
+               for a, b in zip(batch.column("found").to_pylist(), batch.column("marks").to_pylist())]
+        return pa.record_batch([batch.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
+
+    kind = "array<struct<item:string,p:double>>"
+    rows = written(map_rows(docs.select("doc_id", "text"), f"row string, doc_id long, found {kind}, units array<string>", plain), "rows")
+    marks = written(map_rows(read, f"unit string, marks {kind}", marked).filter("size(marks) > 0"), "marks")
+    more = rows.select("row", F.explode("units").alias("unit")).join(marks, "unit").groupBy("row").agg(F.collect_list("marks").alias("marks"))
+    return map_rows(rows.join(written(more, "more"), "row", "left").select("doc_id", "found", "marks"), "doc_id long, score double", total)
+
+
+_BEST: dict[str, tuple[float, str]] = {}
+_BEST_OF: list[dict] = []
+
+
+def _best(token: str, lexicon: dict[str, float]) -> tuple[float, str]:
+    """``best_item`` of a token's word, remembered per worker and lexicon."""
+    if not _BEST_OF or _BEST_OF[0] is not lexicon:
+        _BEST_OF[:] = [lexicon]
+        _BEST.clear()
+    got = _BEST.get(token)
+    if got is None:
+        if len(_BEST) > CACHE:
+            _BEST.clear()
+        got = _BEST[token] = best_item(word_of(token), lexicon)
+    return got
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,6 +256,16 @@ def test_sums_are_taken_over_whole_texts(spark):
     assert table[toxicity._slot("ab")] >= 100_001 and table[toxicity._slot(" ab ")] >= 100_000
 
 
+def test_counts_of_many_ngrams_are_exact(spark):
+    """More distinct n-grams than any fixed table of 2 ** 18 slots holds."""
+    many = ["".join(chr(0x4E00 + (i * 7919 + k * 104729) % 20_000) for k in range(6)) for i in range(40_000)]
+    df = spark.createDataFrame([(k, " ".join(many[k::8])) for k in range(8)] + [(9, "idiot " * 5), (10, None)], "doc_id long, text string")
+    table = toxicity.character_counts(df)
+    assert [table[toxicity._slot(g)] for g in ("idi", " idi", "iot ", "t", "i", "zq", "xkcd")] == [5, 5, 5, 5, 10, 0, 0]
+    units = spark.createDataFrame([("1d10t",), ("i d i o t",), ("i.d.i.o.t",)], "unit string")
+    assert {r["reading"] for r in toxicity.readings(units, table).collect()} == {"idiot"}
+
+
 # ---------------------------------------------------------------- pipeline
 
 
