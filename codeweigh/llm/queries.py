@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from codeweigh.llm import decontaminate, exact_dedup, near_dedup, substring_dedup
+from codeweigh.llm import decontaminate, exact_dedup, near_dedup, periodic_runs, substring_dedup
 from codeweigh.llm.decontaminate import op9_decontaminate
 from codeweigh.llm.exact_dedup import op8_exact_dedup
 from codeweigh.llm.html_text import op7_html_text
 from codeweigh.llm.language import op10_language_id
 from codeweigh.llm.near_dedup import op4_near_dedup
+from codeweigh.llm.periodic_runs import op13_periodic_runs
 from codeweigh.llm.personal_data import op5_personal_data
 from codeweigh.llm.pieces import op1_sentencepiece
 from codeweigh.llm.substring_dedup import op2_substring_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: Queries without an entry here are tested against brute force, a round trip or held-out labels in tests/llm.
@@ -33,4 +35,5 @@ ORACLE: dict[str, str] = {
     "op4_near_dedup": near_dedup.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
+    "op13_periodic_runs": periodic_runs.ORACLE,
 }
