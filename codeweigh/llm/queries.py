@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeweigh.llm import decontaminate, exact_dedup, near_dedup, periodic_runs, substring_dedup
+from codeweigh.llm import decontaminate, exact_dedup, near_dedup, periodic_runs, ranked_search, substring_dedup
 from codeweigh.llm.decontaminate import op9_decontaminate
 from codeweigh.llm.exact_dedup import op8_exact_dedup
 from codeweigh.llm.html_text import op7_html_text
@@ -11,6 +11,7 @@ from codeweigh.llm.near_dedup import op4_near_dedup
 from codeweigh.llm.periodic_runs import op13_periodic_runs
 from codeweigh.llm.personal_data import op5_personal_data
 from codeweigh.llm.pieces import op1_sentencepiece
+from codeweigh.llm.ranked_search import op12_ranked_search
 from codeweigh.llm.substring_dedup import op2_substring_dedup
 from codeweigh.llm.token_files import op3_token_files
 from codeweigh.llm.toxicity import op6_toxicity
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
+    "op12_ranked_search": op12_ranked_search,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -35,5 +37,6 @@ ORACLE: dict[str, str] = {
     "op4_near_dedup": near_dedup.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
+    "op12_ranked_search": ranked_search.ORACLE,
     "op13_periodic_runs": periodic_runs.ORACLE,
 }

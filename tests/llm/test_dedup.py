@@ -74,7 +74,8 @@ def test_nulls_in_any_column(spark, tables):
                  pages=[(None, None, None), (None, "u", "<p>text of a page"), (1, None, "")])
     for name, query in QUERIES.items():
         got = query(spark, top).collect()
-        assert len(got) == (3 if name.startswith("op7_") else len(docs)), name
+        if not name.startswith("op12_"):  # rows per item
+            assert len(got) == (3 if name.startswith("op7_") else len(docs)), name
     near = {(r["doc_id"], r["n_shingles"]): r["kept"] for r in QUERIES["op4_near_dedup"](spark, top).collect()}
     assert near[3, 76] is True and all(k in (True, False) for k in near.values())
     import corpus_pipeline
