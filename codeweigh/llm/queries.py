@@ -12,6 +12,7 @@ from codeweigh.llm.periodic_runs import op13_periodic_runs
 from codeweigh.llm.personal_data import op5_personal_data
 from codeweigh.llm.pieces import op1_sentencepiece
 from codeweigh.llm.ranked_search import op12_ranked_search
+from codeweigh.llm.simhash import op11_simhash_near_dedup
 from codeweigh.llm.substring_dedup import op2_substring_dedup
 from codeweigh.llm.token_files import op3_token_files
 from codeweigh.llm.toxicity import op6_toxicity
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_language_id": op10_language_id,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
     "op12_ranked_search": op12_ranked_search,
     "op13_periodic_runs": op13_periodic_runs,
 }
