@@ -32,10 +32,11 @@ def select_prompts(df: DataFrame, name: str | None = None) -> DataFrame:
     return df.select(resolve_text_column(df, name))
 
 
-def filter_split(df: DataFrame, split: str) -> DataFrame:
-    """P5: rows of one named split.  The split must exist (checked on the
-    split column's distinct values, a tiny aggregate)."""
-    present = {r[0] for r in df.select("split").distinct().collect()}
+def filter_split(df: DataFrame, split: str, known: list[str] | None = None) -> DataFrame:
+    """P5: rows of one named split, which must exist.  Whoever made the frame
+    knows its splits (``readers.split_names``) and passes them as ``known``; without, the
+    column's distinct values are looked up (a pass over one column)."""
+    present = set(known) if known is not None else {r[0] for r in df.select("split").distinct().collect()}
     if split not in present:
         raise ValueError(f"split {split!r} requested but only {sorted(present)} exist")
     return df.where(F.col("split") == split)

@@ -39,10 +39,21 @@ def concat_sample(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("sample", F.concat("prompt", "output"))
 
 
-def add_counts(pairs: DataFrame, errors_of: str = "sample") -> DataFrame:
+def spread(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Deal pairs out before they are lexed.  A join of small sides ends in as many
+    tasks as its larger side's scan has, often one; lexing is the costly part.
+    A rebalance by key is sized by bytes (AQE splits and merges its partitions),
+    so it fits any amount of data.  Streams are left as they are."""
+    return pairs if pairs.isStreaming else pairs.hint("rebalance", *keys)
+
+
+def add_counts(pairs: DataFrame, errors_of: str = "sample", spread_by: list[str] | None = None) -> DataFrame:
     """``nt`` = tokens of the output, ``ne`` = structural errors of prompt+output,
     ``ns`` = statements of prompt+output.  The output is lexed alone and as
-    part of the sample; with ``errors_of="output"`` it is judged alone."""
+    part of the sample; with ``errors_of="output"`` it is judged alone.
+    ``spread_by`` names keys to deal the pairs out by first (see :func:`spread`)."""
+    if spread_by:
+        pairs = spread(pairs, spread_by)
     if errors_of == "output":
         alone = add_py_profile(pairs, "output", "_po")
         return alone.withColumns({"nt": F.col("_po.tokens"), "ne": F.col("_po.errors"), "ns": F.col("_po.stmts")}).drop("_po")
@@ -98,14 +109,14 @@ def score(calibrated: DataFrame, factor: int = R.DECAY_FACTOR, errors_of: str =
         "reward", R.reward("nt", "ne", "avg_tokens", "avg_errors", prompt, "output", factor))
 
 
-def score_pairs(pairs: DataFrame, persist: bool = True, errors_of: str = "sample") -> DataFrame:
+def score_pairs(pairs: DataFrame, persist: bool = True, errors_of: str = "sample", spread_by: list[str] | None = None) -> DataFrame:
     """Count once, calibrate on the counts, score: ``pairs + nt, ne, reward``.
 
     With ``persist`` the counted pairs are written to the shared folder
     so calibration (two ints) and scoring read them instead of lexing twice.
     ``errors_of="output"`` scores outputs alone, without their prompts.
     """
-    counts = add_counts(pairs, errors_of)
+    counts = add_counts(pairs, errors_of, spread_by)
     if persist:
         counts = materialize(counts)
     cal = calibrate(counts)
@@ -113,10 +124,10 @@ def score_pairs(pairs: DataFrame, persist: bool = True, errors_of: str = "sample
 
 
 def score_frame(df: DataFrame, prompt: str, output: str, avg_tokens: float, avg_errors: float,
-                factor: int = R.DECAY_FACTOR, errors_of: str = "sample") -> DataFrame:
+                factor: int = R.DECAY_FACTOR, errors_of: str = "sample", spread_by: list[str] | None = None) -> DataFrame:
     """Score a frame with fixed calibration values given by the caller."""
     renamed = df.withColumnRenamed(prompt, "prompt").withColumnRenamed(output, "output")
-    counts = add_counts(renamed, errors_of)
+    counts = add_counts(renamed, errors_of, spread_by)
     return counts.withColumn(
         "reward", R.reward("nt", "ne", F.lit(float(avg_tokens)), F.lit(float(avg_errors)),
                            "prompt" if errors_of == "sample" else None, "output", factor)).drop("ns")

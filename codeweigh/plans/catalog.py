@@ -58,13 +58,13 @@ def _code(spark, sf):
 
 
 def _counts(spark, sf):
-    c = scoring.add_counts(_pairs(spark, sf))
+    c = scoring.add_counts(_pairs(spark, sf), spread_by=PAIR_KEYS)
     return c.withColumn("nt", F.col("nt").cast("bigint")).withColumn("ne", F.col("ne").cast("bigint")) \
             .withColumn("ns", F.col("ns").cast("bigint"))
 
 
 def _scored(spark, sf):
-    s = scoring.score_pairs(_pairs(spark, sf))
+    s = scoring.score_pairs(_pairs(spark, sf), spread_by=PAIR_KEYS)
     return s.withColumn("nt", F.col("nt").cast("bigint")).withColumn("ne", F.col("ne").cast("bigint"))
 
 
@@ -104,14 +104,18 @@ def _split(spark, sf):
     return prepare.split_head_percent(_raw_docs(spark, sf), ["doc_id"], P["validation_percent"])
 
 
-def _tv(spark, sf):
+def _tv_files(spark, sf):
     """Train/validation files derived from the tables: documents and benchmark."""
     train = scratch_path(spark, "train") + ".json"
     valid = scratch_path(spark, "validation") + ".json"
     _raw_docs(spark, sf).select(F.col("doc_id").alias("id"), "text").write.json(train)
     table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text").write.json(valid)
+    return train, valid
+
+
+def _tv(spark, files):
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
-    return readers.scan_train_validation(spark, train, valid, schema)
+    return readers.scan_train_validation(spark, *files, schema)
 
 
 def _round6(c):
@@ -144,7 +148,7 @@ def q_scan_text(spark, sf):
 
 
 def q_scan_train_validation(spark, sf):
-    return _tv(spark, sf)
+    return _tv(spark, _tv_files(spark, sf))
 
 
 def q_rewrite_lines(spark, sf):
@@ -191,7 +195,8 @@ def q_concat_sample(spark, sf):
 
 
 def q_filter_split(spark, sf):
-    return prepare.filter_split(_tv(spark, sf), "validation")
+    files = _tv_files(spark, sf)
+    return prepare.filter_split(_tv(spark, files), "validation", known=readers.split_names(*files))
 
 
 # ----------------------------------------------------------------- J*, A*
@@ -212,7 +217,8 @@ def q_calibrate_statements(spark, sf):
 
 
 def q_reward_batch_stats(spark, sf):
-    batched = prepare.batch_rows(_scored(spark, sf), PAIR_KEYS, P["batch_size"])
+    rewards = _scored(spark, sf).select(*PAIR_KEYS, "reward")  # texts are not moved to number the rows
+    batched = prepare.batch_rows(rewards, PAIR_KEYS, P["batch_size"])
     return metrics.reward_batch_stats(batched)
 
 
@@ -284,7 +290,7 @@ def q_reward(spark, sf):
 def q_reward_failure_guard(spark, sf):
     conv = _conv(spark, sf)
     # every assistant turn, with its user prompt when there is one; lexed once
-    outs = materialize(scoring.add_counts(scoring.pair_prompt_output(conv, how="right")))
+    outs = materialize(scoring.add_counts(scoring.pair_prompt_output(conv, how="right"), spread_by=PAIR_KEYS))
     cal = scoring.calibrate(outs.where(F.col("prompt").isNotNull()))
     s = scoring.score(scoring.apply_calibration(outs, cal))
     return s.select(*PAIR_KEYS, F.col("prompt").isNull().alias("prompt_missing"), "reward")
@@ -397,7 +403,7 @@ def q_java_token_table(spark, sf):
 def q_score_stream(spark, sf):
     pairs = _pairs(spark, sf)
     src = scratch_path(spark, "pairs_in")
-    pairs.write.parquet(src)
+    scoring.spread(pairs, PAIR_KEYS).write.parquet(src)  # files arrive; one task reads one
     cal = scoring.calibrate(scoring.add_counts(spark.read.parquet(src))).first()
     sink = scratch_path(spark, "scored_out")
     score_stream(spark, src, pairs.schema, sink, scratch_path(spark, "stream_ckpt"),
@@ -409,7 +415,7 @@ def q_score_stream(spark, sf):
 
 def q_score_frame(spark, sf):
     s = scoring.score_frame(_pairs(spark, sf), "prompt", "output",
-                            P["fixed_avg_tokens"], P["fixed_avg_errors"])
+                            P["fixed_avg_tokens"], P["fixed_avg_errors"], spread_by=PAIR_KEYS)
     return s.select(*PAIR_KEYS, F.col("nt").cast("bigint").alias("nt"),
                     F.col("ne").cast("bigint").alias("ne"), "reward")
 

@@ -63,6 +63,11 @@ def scan_by_extension(spark: SparkSession, path: str, schema: StructType | None
     raise ValueError(f"unsupported file type {ext!r} for {path}")
 
 
+def split_names(train: str | None, validation: str | None) -> list[str]:
+    """Names of the splits that :func:`scan_train_validation` makes of these files."""
+    return [name for name, path in (("train", train), ("validation", validation)) if path is not None]
+
+
 def scan_train_validation(spark: SparkSession, train: str | None, validation: str | None,
                           schema: StructType | None = None, keep_linebreaks: bool = True,
                           file_order: bool = False) -> DataFrame:

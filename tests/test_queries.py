@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from codeweigh.session import TABLES
-from tests.conftest import SF
+from tests.conftest import SF, SF01
 
 KEYS = ["pair_prompt_output", "calibrate", "reward", "structural_errors", "python_token_count",
         "bracket_depth", "python_token_table", "java_token_table", "tokenize_ids", "decode_tokens",
@@ -91,3 +91,16 @@ def test_incremental_micro_batches_equal_batch(spark):
     s = spark.read.parquet(sink).select("conv_id", "turn", "reward")
     b = E.queries()["reward"](spark, SF).select("conv_id", "turn", "reward")
     assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+
+
+def test_pairs_are_lexed_in_many_tasks(spark):
+    """A join of two small sides must not leave all lexing to one task."""
+    from codeweigh.operators import scoring
+    from codeweigh.plans import catalog as C
+
+    for frame in (C._counts(spark, SF01), scoring.score_frame(C._pairs(spark, SF01), "prompt", "output", 200.0, 50.0, spread_by=C.PAIR_KEYS)):
+        sizes = frame.select(F.spark_partition_id().alias("p"), "nt").groupBy("p").agg(F.sum("nt")).collect()
+        assert len(sizes) > 1
+    big = C._pairs(spark, SF01).withColumn("output", F.repeat("output", 40))
+    tasks = scoring.add_counts(big, spread_by=C.PAIR_KEYS).select(F.spark_partition_id().alias("p"), "nt").groupBy("p").agg(F.count("nt")).collect()
+    assert len(tasks) > 3 and max(r[1] for r in tasks) < 0.4 * sum(r[1] for r in tasks)
