@@ -51,8 +51,94 @@ def _c(col) -> Column:
 
 
 def py_lexemes(text) -> Column:
-    """The ordered, lossless lexemes of a text (null text -> null)."""
-    return F.regexp_extract_all(_c(text), F.lit(PY_PATTERN), 0)
+    """The ordered, lossless lexemes of a text (null text -> null).
+
+    Linear in the text: one with many escaped quotes is lexed with its dead
+    openers masked (see :func:`_without_dead_openers`)."""
+    t = _c(text)
+    many = _many_escaped_quotes(t)
+    lexemes = _plain_lexemes(t)
+    for three in _STANDINS:
+        lexemes = F.when(many & _without(t, three), _masked_lexemes(t, three)).otherwise(lexemes)
+    return lexemes
+
+
+def _plain_lexemes(t: Column) -> Column:
+    return F.regexp_extract_all(t, F.lit(PY_PATTERN), 0)
+
+
+#: Escaped quotes from which on a text is lexed with its dead openers masked.
+ESCAPED_QUOTES = 32
+# Three characters that stand for a masked single quote, a masked double quote and a
+# cut between quotes.  Each is a lexeme of its own outside strings and comments, like a
+# dead quote, and ASCII, so bytes literals stay what they are.  A text gets one of the
+# triples that it does not hold (each is a branch of its own: a lambda of Spark that uses a variable
+# of the lambda around it cannot be the input of a UDF).
+_STANDINS = ["\x01\x02\x03", "\x1a\x1b\x1c", "\x0e\x0f\x10"]
+
+
+def _many_escaped_quotes(t: Column) -> Column:
+    """Whether masking pays: only escaped quotes can be dead in numbers (below)."""
+    there = F.contains(t, F.lit("\\'")) | F.contains(t, F.lit('\\"'))
+    return there & (F.regexp_count(t, F.lit("\\\\['\"]")) > ESCAPED_QUOTES)
+
+
+def _without(t: Column, characters: str) -> Column:
+    return ~t.rlike("[" + "".join(f"\\x{ord(c):02x}" for c in characters) + "]")
+
+
+def _without_dead_openers(t: Column, quote: str, mask: str, cut: str) -> Column:
+    """``t`` without quotes that would open a string and find no end.
+
+    Whether a quote is escaped (an odd number of backslashes before it) is the
+    same for every string that could hold it, because a string starts behind a
+    quote and so never inside a row of backslashes.  So one pass settles all:
+
+    * Short strings end at the next unescaped quote of their stretch (up to an
+      unescaped line end).  Behind a stretch's last unescaped quote only escaped ones are
+      left; none can end a string, and each would scan to the stretch's end in vain.
+      They are replaced by ``mask``.
+    * Long strings end at the next unescaped triple quote.  Behind the text's last one
+      every three quotes open a long string in vain, then read as an empty
+      string; ``cut`` goes between their second and third.
+
+    What is left are one failing scan for each stretch and quote.
+    """
+    piece = rf"(?:[^\\{quote}\r\n\f]++|\\(?:\r\n|[\s\S]))++|[{quote}\r\n\f]|\\"
+    long_piece = rf"(?:[^\\{quote}]++|\\[\s\S]|{quote}(?!{quote * 2}))++|{quote * 3}|\\"
+
+    def mask_short(parts: Column) -> Column:
+        after = F.concat(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")))
+        return F.array_join(F.zip_with(parts, after, lambda x, y: F.when(
+            (F.length(x) == 1) | (y == quote), x).otherwise(F.replace(x, F.lit(quote), F.lit(mask)))), "")
+
+    def cut_long(parts: Column) -> Column:
+        last = F.element_at(parts, -1)
+        opened = F.regexp_replace(last, F.lit(f"{quote * 2}(?={quote})"), F.lit(quote * 2 + cut))
+        return F.concat(F.array_join(F.slice(parts, 1, F.size(parts) - 1), ""), F.when(last == quote * 3, last).otherwise(opened))
+
+    short = _let(F.regexp_extract_all(t, F.lit(piece), 0), mask_short)
+    return _let(F.regexp_extract_all(short, F.lit(long_piece), 0), cut_long)
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: The same lexemes, with the two commonest of masked texts first: a control
+#: character (no rule accepts one) and a backslash that joins no lines.
+_MASKED_PATTERN = r"[\x01-\x08\x0e-\x1f]|\\(?![ \t]*+[\r\n\f])|" + PY_PATTERN
+
+
+def _masked_lexemes(t: Column, three: str = _STANDINS[0]) -> Column:
+    """:func:`_plain_lexemes`, found in the masked text and turned back."""
+    one, two, cut = three
+    masked = _without_dead_openers(_without_dead_openers(t, "'", one, cut), '"', two, cut)
+    # the commonest lexemes first; translate() drops the cut, which has no partner
+    back = F.transform(F.regexp_extract_all(masked, F.lit(_MASKED_PATTERN), 0), lambda x: F.when(x == "\\", x).when(x == one, "'").when(x == two, '"').otherwise(
+        F.translate(x, three, "'\"")))
+    return F.filter(back, lambda x: x != "")
 
 
 def java_lexemes(text) -> Column:

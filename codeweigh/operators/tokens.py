@@ -20,6 +20,14 @@ def lexeme_stats(df: DataFrame, key: str, text: str) -> DataFrame:
                      (F.array_join("_lx", "") == F.col(text)).alias("lossless"))
 
 
+def lexeme_lengths(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Where every lexeme of a text begins and ends, as one digest (md5 of
+    the comma-joined lengths), beside their number."""
+    lengths = F.transform("_lx", lambda x: F.length(x).cast("string"))
+    lx = df.select(key, L.py_lexemes(text).alias("_lx"))
+    return lx.select(key, F.size("_lx").cast("bigint").alias("n_lexemes"), F.md5(F.array_join(lengths, ",").cast("binary")).alias("lengths_md5"))
+
+
 def profile(df: DataFrame, key: str, text: str, fields: list[str]) -> DataFrame:
     """Selected profile fields per text, as BIGINT."""
     p = L.add_py_profile(df.select(key, text), text, "_p")

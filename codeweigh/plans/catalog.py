@@ -30,6 +30,9 @@ PARAMS = dict(batch_size=64, max_new_tokens=512, context_size=1024, validation_p
 #: Replacements of :func:`code_like`, in order.
 CODE_LIKE = [(". ", ":\n    "), (", ", "\n"), (" of ", "\n\t"), (" the ", ":\n        "), (" with ", "\n  \t"), (" de ", " = (")]
 
+#: Replacements of :func:`escaped`, in order.
+ESCAPED = [("\n", " "), ("'", "\\'"), ('"', '\\"')]
+
 P = PARAMS
 V = P["vocab_size"]
 PAIR_KEYS = ["conv_id", "turn"]
@@ -363,6 +366,18 @@ def q_code_lexemes(spark, sf):
     return tokens.lexeme_stats(_pages(spark, sf), "page_id", "html")
 
 
+def escaped(text):
+    """A text as it stands in a minified file: one line, every quote escaped."""
+    out = F.col(text)
+    for old, new in ESCAPED:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
+def q_escaped_lexemes(spark, sf):
+    return tokens.lexeme_lengths(_pages(spark, sf).select("page_id", escaped("html").alias("html")), "page_id", "html")
+
+
 def q_python_token_table(spark, sf):
     return tokens.python_token_table(_code(spark, sf), "doc_id", "text")
 
@@ -461,7 +476,7 @@ QUERIES = {
     "max_input_length": q_max_input_length, "prompt_half_split": q_prompt_half_split,
     "response_tail": q_response_tail, "decode_tokens": q_decode_tokens, "left_pad": q_left_pad,
     "argmax_array": q_argmax_array, "shifted_accuracy": q_shifted_accuracy,
-    "code_lexemes": q_code_lexemes, "python_token_table": q_python_token_table,
+    "code_lexemes": q_code_lexemes, "escaped_lexemes": q_escaped_lexemes, "python_token_table": q_python_token_table,
     "python_token_count": q_python_token_count, "bracket_depth": q_bracket_depth,
     "indent_profile": q_indent_profile, "indent_width": q_indent_width,
     "unknown_chars": q_unknown_chars, "structural_errors": q_structural_errors,

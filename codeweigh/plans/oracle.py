@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import grammar as G
 from . import duck as D
-from .catalog import CODE_LIKE
+from .catalog import CODE_LIKE, ESCAPED
 from .catalog import PARAMS as P
 
 V = P["vocab_size"]
@@ -259,6 +259,11 @@ SELECT name, CAST(n AS BIGINT) AS n FROM (SELECT * FROM _n UNION ALL SELECT * FR
     o["code_lexemes"] = (f"SELECT page_id, CAST(len(lx) AS BIGINT) AS n_lexemes, array_to_string(lx, '') = html "
                          f"AS lossless FROM (SELECT page_id, html, regexp_extract_all(html, {_pat}, 0) AS lx "
                          f"FROM pages) AS _l")
+    one_line = "html"
+    for old, new in ESCAPED:
+        one_line = f"replace({one_line}, {D.q(old)}, {D.q(new)})"
+    o["escaped_lexemes"] = (f"SELECT page_id, CAST(len(lx) AS BIGINT) AS n_lexemes, md5(array_to_string(list_transform(lx, lambda x: length(x)), ',')) AS lengths_md5 "
+                            f"FROM (SELECT page_id, regexp_extract_all({one_line}, {_pat}, 0) AS lx FROM pages) AS _l")
     o["python_token_table"] = (f"SELECT doc_id, pos, 0 AS sub, name, text, hidden FROM ({py_token_rows(CODE, 'doc_id', 'text')}) AS _lex "
                                f"UNION ALL SELECT * FROM ({D.py_layout_query(CODE, 'doc_id', 'text')}) AS _lay")
     o["python_token_count"] = profile_fields(CODE, "doc_id", "text", ["tokens"])

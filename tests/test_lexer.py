@@ -74,9 +74,7 @@ def test_tab_width(spark):
 
 def test_robust_inputs(spark):
     big = "x = '''" + "a" * 360_000 + "'''\n"
-    # every quote of an unclosed run restarts a string attempt that scans to
-    # the end of the line (quadratic, as in any longest-match lexer): keep it modest
-    unclosed = "x = '''" + "a\\'" * 2_000 + "\n"
+    unclosed = "x = '''" + "a\\'" * 200_000 + "\n"
     esc = 's = "' + "\\n" * 100_000 + '"\n'
     texts = [big, unclosed, esc, "a\r\nb\r\n", "a\fb\n", "x = '😀' + 😀\n", None]
     profs = _profiles(spark, texts)
@@ -166,3 +164,41 @@ def test_fold_is_linear_in_indented_texts():
             layout.np.flatnonzero = real
         assert (out == out[0]).all() and out[0][layout.PROFILE_FIELDS.index("ind")] == 1
     assert looked[1] <= 11 * looked[0]
+
+
+QUOTED = ["\\", "\\", "'", '"', "'", "'''", '"""', "a", "b", "rb'", 'f"', "\n", "\r\n", "\r", "\f", " ", "é", "#", "\x01", "\x05",
+          "\\'", '\\"', "\\\n", "\\\r\n", "b'''", "\\'''", '"""', '\\"""']
+
+
+def test_masked_lexemes_equal_plain_ones(spark):
+    """Quotes, backslashes and line ends in any order: masking dead openers changes no lexeme."""
+    import random
+
+    from codeweigh.functions import lexing as L
+    r = random.Random(0)
+    texts = ["".join(r.choice(QUOTED) for _ in range(r.randint(1, 60))) for _ in range(20_000)]
+    df = spark.createDataFrame([(t,) for t in texts if not {"\x01", "\x02", "\x03"} & set(t)], "t string").repartition(8)
+    same = L._masked_lexemes(F.col("t")).eqNullSafe(L._plain_lexemes(F.col("t")))
+    assert [r.t for r in df.where(~same).take(3)] == []
+    # beyond the threshold the public function takes the masked way, also where a text holds stand-ins
+    many = df.select(F.concat(F.repeat(F.lit("\\'\x02"), 40), "t").alias("t"))
+    assert many.where(~py_lexemes("t").eqNullSafe(L._plain_lexemes(F.col("t")))).count() == 0
+    every = "".join(map(chr, range(1, 32))) + "\\'" * 50  # no stand-ins left: plain
+    assert spark.createDataFrame([(every,)], "t string").select(F.array_join(py_lexemes("t"), "")).first()[0] == every
+
+
+def test_escaped_quotes_take_linear_time(spark):
+    import time
+
+    n = 1_000_000
+    texts = ["s = " + "\\'" * n, "x = " + "\\'''" * (n // 4), '{"a":' + '\\"b\\":\\"c d\\",' * (n // 5)]
+    for text in texts:
+        df = spark.createDataFrame([(text,)], "t string").cache()
+        df.count()
+        took = []
+        for _ in range(3):
+            at = time.time()
+            got = df.select(F.size(py_lexemes("t")).alias("n")).first().n
+            took.append(time.time() - at)
+        assert min(took) < 10, took  # 2 s on an idle machine; quadratic scans would take hours
+        assert got > n // 8
