@@ -51,6 +51,14 @@ def python_token_table(df: DataFrame, key: str, text: str) -> DataFrame:
     return ex.select(key, "t.pos", "t.sub", F.element_at(names, F.col("t.name") + 1).alias("name"), "t.text", "t.hidden")
 
 
+def token_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Per text the neighbouring token pairs of its logical lines, and how many
+    of them no syntax allows (see :mod:`codeweigh.functions.adjacency`).  Null text gives nulls."""
+    from ..functions.adjacency import pairs_udf
+    p = df.select(key, pairs_udf(L.py_lexemes(text)).alias("_p"))
+    return p.select(key, "_p.pairs", "_p.pair_errors")
+
+
 def unknown_chars(df: DataFrame, key: str, text: str) -> DataFrame:
     """Characters no rule accepts, with their occurrence counts."""
     lx = df.select(key, L.py_lexemes(text).alias("_lx"))

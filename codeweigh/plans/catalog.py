@@ -406,6 +406,10 @@ def q_structural_errors(spark, sf):
     return tokens.profile(_code(spark, sf), "doc_id", "text", PROFILE_T8)
 
 
+def q_token_pair_errors(spark, sf):
+    return tokens.token_pairs(_code(spark, sf), "doc_id", "text")
+
+
 def q_statement_count(spark, sf):
     return tokens.profile(_code(spark, sf), "doc_id", "text", PROFILE_T9)
 
@@ -480,7 +484,7 @@ QUERIES = {
     "python_token_count": q_python_token_count, "bracket_depth": q_bracket_depth,
     "indent_profile": q_indent_profile, "indent_width": q_indent_width,
     "unknown_chars": q_unknown_chars, "structural_errors": q_structural_errors,
-    "statement_count": q_statement_count, "java_token_table": q_java_token_table,
+    "token_pair_errors": q_token_pair_errors, "statement_count": q_statement_count, "java_token_table": q_java_token_table,
     "score_stream": q_score_stream, "score_frame": q_score_frame,
     "custom_reward": q_custom_reward, "map_batches": q_map_batches,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import adjacency as A
 from ..functions import grammar as G
 from . import duck as D
 from .catalog import CODE_LIKE, ESCAPED
@@ -91,6 +92,26 @@ SELECT {key}, CAST(i - 1 AS INTEGER) AS pos,
 FROM _e LEFT JOIN {py_names_values()} ON _e.text = names.lexeme"""
 
 
+def token_pairs(src: str, key: str, text: str) -> str:
+    """Neighbouring tokens of a line, joined with the table of legal pairs."""
+    classes = ", ".join(f"({D.q(n)}, {D.q(c)})" for n, c in A.token_classes().items())
+    legal = ", ".join(f"({D.q(k)}, {i}, {D.q(a)}, {D.q(b)})" for k, i, a, b in A.legal_pairs())
+    kinds = D.inlist(A.KINDS[1:])
+    return f"""
+WITH _t AS (SELECT * FROM ({py_token_rows(src, key, text)}) AS _tok WHERE NOT hidden),
+_c AS (SELECT {key}, pos, r, sum(CASE WHEN r IN {D.inlist(G.PY_OPENERS)} THEN 1 WHEN r IN {D.inlist(G.PY_CLOSERS)} THEN -1 ELSE 0 END)
+         OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS depth,
+       coalesce(sum((r = 'END')::INT) OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line
+       FROM _t JOIN (VALUES {classes}) AS cl(name, r) USING (name)),
+_l AS (SELECT {key}, r, coalesce(depth, 0) > 0 AS inside, coalesce(lag(r) OVER w, 'START') AS l,
+       first_value(r) OVER w AS f FROM _c WINDOW w AS (PARTITION BY {key}, line ORDER BY pos)),
+_p AS (SELECT {key}, g.k IS NULL AS wrong FROM _l LEFT JOIN (VALUES {legal}) AS g(k, i, a, b)
+       ON g.k = CASE WHEN f IN {kinds} THEN f ELSE '' END AND g.i = inside AND g.a = l AND g.b = r
+       WHERE NOT (l = 'START' AND r = 'END'))
+SELECT d.{key}, CASE WHEN d.{text} IS NOT NULL THEN count(wrong) END AS pairs, CASE WHEN d.{text} IS NOT NULL THEN count_if(wrong) END AS pair_errors
+FROM {src} AS d LEFT JOIN _p USING ({key}) GROUP BY d.{key}, d.{text}"""
+
+
 def profile_fields(src: str, key: str, text: str, fields: list[str]) -> str:
     prof = D.py_profile_query(src, [key], text)
     return f"SELECT {key}, {', '.join(fields)} FROM ({prof}) AS _p"
@@ -286,6 +307,7 @@ FROM _d GROUP BY page_id"""
     o["unknown_chars"] = (f"SELECT x AS ch, count(*) AS n FROM (SELECT unnest(lx) AS x, unnest(kc) AS k "
                           f"FROM ({roles_cte('pages', 'page_id', 'html')}) AS _k) AS _u WHERE k = 3 GROUP BY x")
     o["structural_errors"] = profile_fields(CODE, "doc_id", "text", ["e1", "e2", "e3", "e4", "e5", "errors"])
+    o["token_pair_errors"] = token_pairs(f"(SELECT * FROM {CODE})", "doc_id", "text")
     o["statement_count"] = profile_fields(CODE, "doc_id", "text", ["stmts"])
     o["java_token_table"] = java_token_rows()
     o["score_stream"] = f"SELECT conv_id, turn, nt, ne, reward FROM ({SCORED}) AS _s"
