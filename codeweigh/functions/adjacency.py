@@ -8,7 +8,7 @@ dimensions: the kind of line (its first token: ``from``, ``import``, ``match`` o
 any other), whether the pair is inside brackets, the left and the right token's
 class.  ``START`` and ``END`` stand for the edges of a line.
 
-So ``a = = b``, ``y := 2`` (the grammar rebuilt here has no such expression), ``x = * / 2``,
+So ``a = = b``, ``y := 2`` (``:`` and ``=`` to the lexer rebuilt here), ``x = * / 2``,
 ``def (x)`` or ``f(return)`` each hold an illegal pair, and code that a parser accepts
 holds none.  What needs more than a neighbour (``else`` without ``if``) is not seen.
 """
@@ -28,7 +28,7 @@ _NAMES, _NUMBERS = {"NAME", "_"}, {"NUMBER", "None", "True", "False"}
 _CLOSERS = set(G.PY_CLOSERS)
 _COMPARED = {"<", ">", "==", ">=", "<=", "<>", "!="}
 _ARITHMETIC = {"|", "^", "&", "<<", ">>", "/", "%", "//", "@", "+", "-"}
-_ASSIGNED = {t for t, _ in G.PY_OPERATORS if t.endswith("=")} - _COMPARED - {"=", ":="}
+_ASSIGNED = {t for t, _ in G.PY_OPERATORS if t.endswith("=")} - _COMPARED - {"="}
 #: Tokens that behave alike are one class, named after one of them.
 CLASS_OF = {t: t for t, _ in G.PY_KEYWORDS + G.PY_OPERATORS} | {"STRING": "STRING", "UNKNOWN_CHAR": "UNKNOWN_CHAR"}
 for _group, _name in ((_NAMES, "NAME"), (_NUMBERS, "NUMBER"), (_COMPARED, "<"), (_ARITHMETIC - {"+", "-", "@"}, "/"), (_ASSIGNED, "+=")):
