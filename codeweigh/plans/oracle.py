@@ -108,7 +108,7 @@ _l AS (SELECT {key}, r, coalesce(depth, 0) > 0 AS inside, coalesce(lag(r) OVER w
 _p AS (SELECT {key}, g.k IS NULL AS wrong FROM _l LEFT JOIN (VALUES {legal}) AS g(k, i, a, b)
        ON g.k = CASE WHEN f IN {kinds} THEN f ELSE '' END AND g.i = inside AND g.a = l AND g.b = r
        WHERE NOT (l = 'START' AND r = 'END'))
-SELECT d.{key}, CASE WHEN d.{text} IS NOT NULL THEN count(wrong) END AS pairs, CASE WHEN d.{text} IS NOT NULL THEN count_if(wrong) END AS pair_errors
+SELECT d.{key}, CASE WHEN d.{text} IS NOT NULL THEN count(wrong) END AS pairs, CASE WHEN d.{text} IS NOT NULL THEN count(*) FILTER (wrong) END AS pair_errors
 FROM {src} AS d LEFT JOIN _p USING ({key}) GROUP BY d.{key}, d.{text}"""
 
 
