@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import lexing as L
 from ..functions import reward as R
-from ..operators import metrics, prepare, scoring, token_rows, tokens, udf
+from ..operators import metrics, prepare, scoring, subwords, token_rows, tokens, udf
 from ..session import materialize, rebalance, scratch_path, table
 from ..sources import readers
 from ..streaming.score_stream import score_stream
@@ -25,7 +25,7 @@ from ..streaming.score_stream import score_stream
 PARAMS = dict(batch_size=64, max_new_tokens=512, context_size=1024, validation_percent=5,
               max_train_samples=100, max_eval_samples=100, calibration_sample=100,
               fixed_avg_tokens=200.0, fixed_avg_errors=50.0, keyword="er", seed=42,
-              vocab_size=token_rows.DEFAULT_VOCAB, truncate_to=128)
+              vocab_size=token_rows.DEFAULT_VOCAB, truncate_to=128, subword_merges=32)
 
 #: Replacements of :func:`code_like`, in order.
 CODE_LIKE = [(". ", ":\n    "), (", ", "\n"), (" of ", "\n\t"), (" the ", ":\n        "), (" with ", "\n  \t"), (" de ", " = (")]
@@ -309,6 +309,14 @@ def q_tokenize_ids(spark, sf):
     return _ids(spark, sf)
 
 
+def q_subword_ids(spark, sf):
+    docs = _docs(spark, sf)
+    lexed = docs.select(F.struct("doc_id", "text").alias("doc"), L.py_lexemes("text").alias("lexemes"))
+    merges = subwords.train(subwords.count_words(lexed, "lexemes"), P["subword_merges"])
+    ids = subwords.decode(subwords.encode(lexed, "doc", "lexemes", merges), "input_ids", merges)
+    return ids.select("doc.doc_id", "input_ids", (F.col("decoded") == F.col("doc.text")).alias("same_text"))
+
+
 def q_truncate_tokens(spark, sf):
     return _ids(spark, sf).select("doc_id", token_rows.truncate("input_ids", P["truncate_to"]).alias("input_ids"))
 
@@ -476,7 +484,7 @@ QUERIES = {
     "normalize": q_normalize, "exponential_decay": q_exponential_decay, "clamp": q_clamp,
     "reward": q_reward, "reward_failure_guard": q_reward_failure_guard,
     "keyword_count_reward": q_keyword_count_reward,
-    "tokenize_ids": q_tokenize_ids, "truncate_tokens": q_truncate_tokens,
+    "tokenize_ids": q_tokenize_ids, "subword_ids": q_subword_ids, "truncate_tokens": q_truncate_tokens,
     "max_input_length": q_max_input_length, "prompt_half_split": q_prompt_half_split,
     "response_tail": q_response_tail, "decode_tokens": q_decode_tokens, "left_pad": q_left_pad,
     "argmax_array": q_argmax_array, "shifted_accuracy": q_shifted_accuracy,

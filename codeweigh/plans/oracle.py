@@ -146,6 +146,27 @@ FROM documents d LEFT JOIN (
   LEFT JOIN ({vocab_sql()}) AS v ON v.lexeme = e.lexeme
   GROUP BY e.doc_id) AS i ON i.doc_id = d.doc_id"""
 
+# Words as rows of symbols in angle brackets; each step of the recursion counts all
+# pairs anew and joins the best one in every word.
+SUBWORDS = f"""
+WITH RECURSIVE _lx AS (SELECT doc_id, regexp_extract_all(text, {_pat}, 0) AS lx FROM documents),
+_e AS (SELECT doc_id, unnest(lx) AS lexeme, generate_subscripts(lx, 1) AS ix FROM _lx),
+_pc AS (SELECT doc_id, ix, unnest(ws) AS word, generate_subscripts(ws, 1) AS sub FROM (SELECT doc_id, ix, regexp_extract_all(lexeme, '[\\s\\S]{{1,32}}') AS ws FROM _e) AS _x),
+_w AS (SELECT word, count(*) AS n, list_reduce(list_transform(range(strlen(word)), lambda b: '<' || CAST(CAST('0x' || substr(hex(encode(word)), 2 * b + 1, 2) AS INTEGER) AS VARCHAR) || '>'),
+         lambda x, y: x || y) AS s FROM _pc GROUP BY word),
+_m(step, word, n, s) AS (
+  SELECT 0, word, n, s FROM _w
+  UNION ALL
+  SELECT step + 1, word, n, replace(s, '<' || p[1] || '><' || p[2] || '>', '<' || CAST(256 + step AS VARCHAR) || '>')
+  FROM _m, (SELECT p FROM (SELECT n, unnest(list_transform(range(1, len(q)), lambda i: [q[i], q[i + 1]])) AS p
+                           FROM (SELECT n, string_split(s[2:-2], '><') AS q FROM _m) AS _q) AS _o
+            GROUP BY p HAVING sum(n) >= 2 ORDER BY sum(n) DESC, CAST(p[1] AS INTEGER), CAST(p[2] AS INTEGER) LIMIT 1) AS best
+  WHERE step < {P['subword_merges']}),
+_f AS (SELECT word, list_transform(string_split(s[2:-2], '><'), lambda x: CAST(x AS INTEGER)) AS ids FROM _m
+       WHERE step = (SELECT max(step) FROM _m))
+SELECT d.doc_id, coalesce(i.ids, []::INTEGER[]) AS input_ids, true AS same_text
+FROM documents d LEFT JOIN (SELECT doc_id, flatten(list(ids ORDER BY ix, sub)) AS ids FROM _pc JOIN _f USING (word) GROUP BY doc_id) AS i USING (doc_id)"""
+
 SPLIT = f"""
 SELECT doc_id, text, CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 <
   round_even(count(*) OVER () * {float(P['validation_percent'])} / 100.0, 0) THEN 'validation' ELSE 'train' END AS split
@@ -257,6 +278,7 @@ SELECT name, CAST(n AS BIGINT) AS n FROM (SELECT * FROM _n UNION ALL SELECT * FR
                                  f"prompt || output, {D.q(kw)}, ''))) // {len(kw)} AS BIGINT) AS reward "
                                  f"FROM ({PAIRS}) AS _p")
     o["tokenize_ids"] = IDS
+    o["subword_ids"] = SUBWORDS
     o["truncate_tokens"] = f"SELECT doc_id, input_ids[1:{P['truncate_to']}] AS input_ids FROM ({IDS}) AS _i"
     m = P["context_size"] - P["max_new_tokens"]
     o["max_input_length"] = (f"SELECT doc_id, CAST({m} AS BIGINT) AS max_input_length, "
