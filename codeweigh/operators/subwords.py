@@ -95,7 +95,7 @@ def join_pairs(symbols: list[int], ranks: dict[Pair, int], pairs: list[Pair]) ->
     return symbols
 
 
-_NEXT_TO = "transform(sequence(1, size({0}) - 1), i -> struct({0}[i - 1] as left, {0}[i] as right))"
+_NEXT_TO = "transform(sequence(1, size({0}) - 1), i -> struct({0}[i - 1] AS left, {0}[i] AS right))"
 
 
 def _pairs_of(symbols: str):
@@ -136,18 +136,17 @@ def train(words: DataFrame, merges: int, least: int = 2) -> list[Pair]:
         def joined(symbols: pa.Array) -> pa.Array:
             return pa.array([join_pairs(s, ranks, pairs) for s in symbols.to_pylist()], pa.list_(pa.int32()))
 
-        def holds(df: DataFrame, pairs=pairs) -> DataFrame:
-            near = df.where(F.col("left").isin(*{a for a, _ in pairs}) & F.col("right").isin(*{b for _, b in pairs}))  # reaches the scan
-            return near.where(F.struct("left", "right").isin(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in pairs]))
-
-        old = holds(index).select("word", "n", "symbols", F.lit(-1).alias("round"))
+        chosen = ", ".join(f"({a}, {b})" for a, b in pairs)
+        lefts, rights = (", ".join(map(str, sorted(set(side)))) for side in zip(*pairs))
+        # the first two conditions reach the scan of the index, which is sorted by pair
+        found = index.where(f"left IN ({lefts}) AND right IN ({rights}) AND (left, right) IN ({chosen})").select(
+            "word", F.expr("struct(n, symbols, true AS holds)").alias("state"), F.lit(-1).alias("round"))
         if rounds:
             log = spark.read.schema(schema).parquet(changed)
-            newer = log.select("word", "n", "symbols", "round", F.explode(_pairs_of("symbols")).alias("p")).select("*", "p.left", "p.right")
-            latest = log.groupBy("word").agg(F.max("round").alias("latest"))
-            found = old.unionByName(holds(newer).select("word", "n", "symbols", "round")).join(latest, "word", "left")
-            old = found.where(F.col("round") == F.coalesce("latest", F.lit(-1)))
-        touched = old.groupBy("word").agg(F.first("n").alias("n"), F.first("symbols").alias("before"))
+            holds = f"exists({_NEXT_TO.format('symbols')}, p -> (p.left, p.right) IN ({chosen}))"
+            found = found.unionByName(log.select("word", F.expr(f"struct(n, symbols, size(symbols) > 1 AND {holds} AS holds)").alias("state"), "round"))
+        latest = found.groupBy("word").agg(F.max_by("state", "round").alias("state")).where("state.holds")
+        touched = latest.select("word", "state.n", F.col("state.symbols").alias("before"))
         touched.select("word", "n", joined("before").alias("symbols"), "before").write.parquet(f"{changed}/round={rounds}")
         moved = spark.read.schema(schema).parquet(changed).where(F.col("round") == rounds)
         counts = materialize(counts.unionByName(_deltas(moved)).groupBy("left", "right").agg(F.sum("n").alias("n")).where("n > 0"))
