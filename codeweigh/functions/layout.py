@@ -318,6 +318,51 @@ def roles_udf(lex: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([codes, flags, ids], names=["codes", "emit", "names"])
 
 
+BRACKETS_TYPE = T.ArrayType(T.StructType([
+    T.StructField("pos", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("depth", T.IntegerType()),
+    T.StructField("match_pos", T.IntegerType()), T.StructField("same_kind", T.BooleanType())]))
+
+
+def match_brackets(step: np.ndarray, doc: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running depth after each bracket of a batch (``step`` is 1 or -1) and the index of
+    its partner (-1: none).
+
+    The depth is a prefix sum per text.  A bracket belongs to the level it opens or
+    closes.  On one level openers and closers alternate (only the first may be
+    a closer without opener), so sorted by level each opener's partner stands right behind it."""
+    counts = np.bincount(doc, minlength=d)
+    total = np.cumsum(step)
+    depth = total - np.repeat((total - step)[_seg_starts(counts)[counts > 0]], counts[counts > 0])
+    level = np.where(step > 0, depth, depth + 1)
+    order = np.lexsort((np.arange(step.size), level, doc))
+    one, two = order[:-1], order[1:]
+    paired = (doc[one] == doc[two]) & (level[one] == level[two]) & (step[one] > 0)
+    partner = np.full(step.size, -1, dtype=np.int64)
+    partner[one[paired]], partner[two[paired]] = two[paired], one[paired]
+    return depth, partner
+
+
+@F.arrow_udf(BRACKETS_TYPE)
+def brackets_udf(lex: pa.Array) -> pa.Array:
+    """Every bracket of a text: place, running depth after it, place of its partner
+    (null: none) and whether both are of one kind."""
+    values, offsets, nulls, at_start = _flat(lex)
+    k = pack_roles(values, at_start) & 31
+    d = len(offsets) - 1
+    doc = np.repeat(np.arange(d), np.diff(offsets))
+    at = np.flatnonzero((k == 6) | (k == 7))
+    of, pos = doc[at], at - offsets[:-1][doc[at]]
+    depth, partner = match_brackets(np.where(k[at] == 6, 1, -1), of, d)
+    kind = _first_bytes(values)[at]
+    kind = np.where((kind == 40) | (kind == 41), 0, np.where((kind == 91) | (kind == 93), 1, 2))
+    alone = partner < 0
+    rows = pa.StructArray.from_arrays([
+        pa.array(pos.astype(np.int32)), values.take(pa.array(at)), pa.array(depth.astype(np.int32)),
+        pa.array(pos[partner].astype(np.int32), mask=alone), pa.array(kind == kind[partner], mask=alone)], names=["pos", "text", "depth", "match_pos", "same_kind"])
+    cuts = np.searchsorted(of, np.arange(d + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), rows, mask=pa.array(nulls))
+
+
 TOKENS_TYPE = T.ArrayType(T.StructType([
     T.StructField("pos", T.IntegerType()), T.StructField("sub", T.IntegerType()), T.StructField("name", T.IntegerType()),
     T.StructField("text", T.StringType()), T.StructField("hidden", T.BooleanType())]))

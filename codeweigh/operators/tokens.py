@@ -59,6 +59,15 @@ def token_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     return p.select(key, "_p.pairs", "_p.pair_errors")
 
 
+def bracket_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """T4: one row per bracket ``(key, pos, text, depth, match_pos, same_kind)``: the running
+    count of open brackets after it, and its partner's place (null if it has none).
+    Like the lexer's counter, matching goes by depth; ``same_kind`` tells whether ``(`` met ``)``."""
+    from ..functions.layout import brackets_udf
+    ex = df.select(key, F.explode(brackets_udf(L.py_lexemes(text))).alias("b"))
+    return ex.select(key, "b.*")
+
+
 def unknown_chars(df: DataFrame, key: str, text: str) -> DataFrame:
     """Characters no rule accepts, with their occurrence counts."""
     lx = df.select(key, L.py_lexemes(text).alias("_lx"))

@@ -398,6 +398,10 @@ def q_bracket_depth(spark, sf):
     return tokens.profile(_pages(spark, sf), "page_id", "html", PROFILE_T4)
 
 
+def q_bracket_pairs(spark, sf):
+    return tokens.bracket_rows(_pages(spark, sf), "page_id", "html")
+
+
 def q_indent_profile(spark, sf):
     return tokens.profile(_code(spark, sf), "doc_id", "text", PROFILE_T5)
 
@@ -489,7 +493,7 @@ QUERIES = {
     "response_tail": q_response_tail, "decode_tokens": q_decode_tokens, "left_pad": q_left_pad,
     "argmax_array": q_argmax_array, "shifted_accuracy": q_shifted_accuracy,
     "code_lexemes": q_code_lexemes, "escaped_lexemes": q_escaped_lexemes, "python_token_table": q_python_token_table,
-    "python_token_count": q_python_token_count, "bracket_depth": q_bracket_depth,
+    "python_token_count": q_python_token_count, "bracket_depth": q_bracket_depth, "bracket_pairs": q_bracket_pairs,
     "indent_profile": q_indent_profile, "indent_width": q_indent_width,
     "unknown_chars": q_unknown_chars, "structural_errors": q_structural_errors,
     "token_pair_errors": q_token_pair_errors, "statement_count": q_statement_count, "java_token_table": q_java_token_table,

@@ -92,6 +92,21 @@ SELECT {key}, CAST(i - 1 AS INTEGER) AS pos,
 FROM _e LEFT JOIN {py_names_values()} ON _e.text = names.lexeme"""
 
 
+def bracket_pairs(src: str, key: str, text: str) -> str:
+    """Brackets by level: on a level an opener's partner is the next row."""
+    kind = "CASE WHEN {0} IN ('(', ')') THEN 0 WHEN {0} IN ('[', ']') THEN 1 ELSE 2 END"
+    return f"""
+WITH _k AS ({roles_cte(src, key, text)}),
+_u AS (SELECT {key}, unnest(lx) AS text, unnest(kc) AS k, generate_subscripts(kc, 1) - 1 AS pos FROM _k),
+_d AS (SELECT {key}, pos, text, k, sum(CASE WHEN k = 6 THEN 1 ELSE -1 END) OVER (PARTITION BY {key} ORDER BY pos ROWS UNBOUNDED PRECEDING) AS depth
+       FROM _u WHERE k IN (6, 7)),
+_n AS (SELECT *, lag(k) OVER w AS pk, lag(pos) OVER w AS pp, lag(text) OVER w AS pt, lead(k) OVER w AS nk, lead(pos) OVER w AS np, lead(text) OVER w AS nt
+       FROM _d WINDOW w AS (PARTITION BY {key}, CASE WHEN k = 6 THEN depth ELSE depth + 1 END ORDER BY pos)),
+_m AS (SELECT *, CASE WHEN k = 6 AND nk = 7 THEN np WHEN k = 7 AND pk = 6 THEN pp END AS m, CASE WHEN k = 6 AND nk = 7 THEN nt WHEN k = 7 AND pk = 6 THEN pt END AS mt FROM _n)
+SELECT {key}, CAST(pos AS INTEGER) AS pos, text, CAST(depth AS INTEGER) AS depth, CAST(m AS INTEGER) AS match_pos,
+       CASE WHEN m IS NOT NULL THEN {kind.format('text')} = {kind.format('mt')} END AS same_kind FROM _m"""
+
+
 def token_pairs(src: str, key: str, text: str) -> str:
     """Neighbouring tokens of a line, joined with the table of legal pairs."""
     classes = ", ".join(f"({D.q(n)}, {D.q(c)})" for n, c in A.token_classes().items())
@@ -320,6 +335,7 @@ SELECT page_id, CAST(sum(delta) AS BIGINT) AS final_depth, CAST(greatest(0, max(
        CAST(greatest(0, -min(depth)) AS BIGINT) AS unmatched_closers,
        CAST(sum(delta) + greatest(0, -min(depth)) AS BIGINT) AS open_left
 FROM _d GROUP BY page_id"""
+    o["bracket_pairs"] = bracket_pairs("pages", "page_id", "html")
     o["indent_profile"] = profile_fields(CODE, "doc_id", "text", ["nl", "ind", "ded", "max_nesting"])
     lead_blanks = "regexp_extract(line, " + D.q("^[ \\t]*") + ", 0)"
     o["indent_width"] = (f"SELECT CAST(width AS BIGINT) AS width, count(*) AS n_lines FROM (SELECT "
