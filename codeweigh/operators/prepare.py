@@ -81,20 +81,68 @@ def limit_rows(df: DataFrame, order_by: list[str], n: int | None) -> DataFrame:
     return df.orderBy(*order_by).limit(int(n))
 
 
+#: Keys drawn as pivots in a round of :func:`kth_key`, and rows few enough to look at one by one.
+PIVOTS, FEW = 64, 10_000
+
+
+def kth_key(df: DataFrame, order_by: list[str], k: int) -> tuple[Row, int]:
+    """The key of the ``k``-th row (from 0) in key order, and how many rows have it or less.
+
+    No sort and no table of keys: each round draws ``PIVOTS`` random keys between
+    the bounds (a top-k of random numbers), counts in one pass how many rows
+    lie up to each (one row of counts per task) and moves the bounds to the two pivots around
+    the ``k``-th row.  A round leaves about one row in thirty, so a billion
+    rows take six; the last ``FEW`` are looked at one by one.  Where a single
+    key fills the bounds, that is it."""
+    one = len(order_by) == 1  # a plain column compares faster than a struct
+    key = (F.col(order_by[0]) if one else F.struct(*order_by)).alias("k")
+    kinds = [df.schema[c].dataType for c in order_by]
+
+    def lit(value):
+        return _literal(value).cast(kinds[0]) if one else F.struct(*[_literal(v).cast(t).alias(c) for v, t, c in zip(value, kinds, order_by)])
+
+    def as_row(value):
+        return Row(**{order_by[0]: value}) if one else value
+    rows, low, high, below, left, rounds = df.select(key), None, None, 0, None, 0
+    left = df.count()
+    if not 0 <= k < left:
+        raise ValueError(f"row {k} of {left}")
+    while True:
+        inside = rows if low is None else rows.where(F.col("k") > lit(low))
+        inside = inside if high is None else inside.where(F.col("k") <= lit(high))
+        if left <= FEW:
+            found = [r["k"] for r in inside.orderBy("k").limit(FEW).collect()]
+            last = found[k - below]
+            return as_row(last), below + sum(x == last for x in found) + found.index(last)
+        ticket = F.xxhash64(F.monotonically_increasing_id(), F.lit(rounds))
+        pivots = [r["k"] for r in inside.orderBy(ticket).limit(PIVOTS).orderBy("k").collect()]
+        pivots = list(dict.fromkeys(pivots))
+        counts = inside.agg(F.min("k").alias("least"), F.max("k").alias("most"), *[F.count_if(F.col("k") <= lit(p)).alias(f"n{i}") for i, p in enumerate(pivots)]).first()
+        if counts["least"] == counts["most"]:
+            return as_row(counts["most"]), below + left
+        if all(p == counts["most"] for p in pivots):  # nothing to choose from: step over the least key
+            pivots = [counts["least"]]
+            counts = inside.agg(F.count_if(F.col("k") <= lit(pivots[0])).alias("n0")).first()
+        upto = [counts[f"n{i}"] for i in range(len(pivots))]
+        at = next((i for i, n in enumerate(upto) if n > k - below), len(pivots))
+        if at < len(pivots):
+            high, left = pivots[at], upto[at]
+        if at:
+            low, below, left = pivots[at - 1], below + upto[at - 1], left - upto[at - 1]
+        rounds += 1
+
+
 def in_head(df: DataFrame, order_by: list[str], percent: float):
     """Condition for the first p% of the rows (rounded half to even) in key order.
 
-    Only the keys are numbered; the condition compares each row with the one
-    key at the cut, so texts cross no shuffle and it reaches the scan.  Keys
-    that are equal across the cut are refused: the cut would not be defined.
-    Keys are not null."""
-    keys = positional_index(df.select(*order_by), order_by, col="_pos")
-    cut = round(keys.count() * float(percent) / 100.0)
-    around = {r["_pos"]: r for r in keys.where(F.col("_pos").isin(cut - 1, cut)).collect()}
-    last, after = around.get(cut - 1), around.get(cut)
-    if last is None:
+    The key at the cut is found by :func:`kth_key`; the condition compares each row with
+    it, so nothing is sorted or shuffled and it reaches the scan.  Keys that are
+    equal across the cut are refused: the cut would not be defined.  Keys are not null."""
+    cut = round(df.count() * float(percent) / 100.0)
+    if cut < 1:
         return F.lit(False)
-    if after is not None and all(last[c] == after[c] for c in order_by):
+    last, upto = kth_key(df, order_by, cut - 1)
+    if upto > cut:
         raise ValueError(f"rows around the cut share the key {order_by}; give a unique order")
     limits = [_literal(last[c]).cast(df.schema[c].dataType) for c in order_by]
     if len(order_by) == 1:

@@ -193,3 +193,29 @@ def test_scan_named_with_config(spark, tmp_path):
     spark.createDataFrame([(1, "a")], "id long, text string").write.parquet(str(tmp_path / "ds" / "cfg.parquet"))
     got = readers.scan_named(spark, str(tmp_path), "ds", "cfg").collect()
     assert [(r.id, r.text) for r in got] == [(1, "a")]
+
+
+def test_kth_key_equals_a_sort(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    monkeypatch.setattr(prepare, "FEW", 20)
+    monkeypatch.setattr(prepare, "PIVOTS", 6)
+    unique = [(x, f"é{x % 7}") for x in r.sample(range(10**9), 3000)]
+    tied = [(r.choice([1, 1, 1, 2, 3, 9]), "b") for _ in range(3000)]
+    for rows in (unique, tied, unique[:5]):
+        df = spark.createDataFrame(rows, "a long, b string").repartition(5)
+        for cols in (["a"], ["b", "a"]):
+            keys = sorted(tuple({"a": a, "b": b}[c] for c in cols) for a, b in rows)
+            for k in (0, len(rows) // 20, len(rows) - 1):
+                last, upto = prepare.kth_key(df, cols, k)
+                assert tuple(last) == keys[k] and upto == sum(x <= keys[k] for x in keys)
+    with pytest.raises(ValueError, match="row 5 of 5"):
+        prepare.kth_key(df, ["a"], 5)
+
+
+def test_split_moves_no_keys(spark):
+    """The condition is a plain comparison that reaches the scan; nothing is sorted for it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    plan = docs.where(prepare.in_head(docs, ["doc_id"], 5))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "PushedFilters: [IsNotNull(doc_id), LessThanOrEqual(doc_id,49)]" in plan
