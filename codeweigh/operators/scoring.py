@@ -20,7 +20,8 @@ def pair_prompt_output(conv: DataFrame, how: str = "inner") -> DataFrame:
 
     Keyed on ``(conv_id, turn)``, which is unique, so the shuffle is balanced
     even when one conversation holds a large share of all turns.
-    ``how="right"`` keeps assistant turns without a user prompt (prompt null).
+    ``how="right"`` keeps assistant turns without a user prompt (prompt null),
+    ``how="left"`` user turns without an answer (output null).
     """
     u = conv.where(F.col("role") == "user").select(
         "conv_id", F.col("turn").alias("u_turn"), F.col("text").alias("prompt"))
@@ -28,7 +29,7 @@ def pair_prompt_output(conv: DataFrame, how: str = "inner") -> DataFrame:
         F.col("conv_id").alias("a_conv"), F.col("turn").alias("a_turn"),
         F.col("text").alias("output"))
     j = u.join(a, (u.conv_id == a.a_conv) & (u.u_turn + 1 == a.a_turn), how)
-    if how == "inner":
+    if how in ("inner", "left"):
         return j.select("conv_id", F.col("u_turn").alias("turn"), "prompt", "output")
     return j.select(F.col("a_conv").alias("conv_id"), (F.col("a_turn") - 1).alias("turn"),
                     "prompt", "output")
@@ -67,6 +68,26 @@ def add_counts(pairs: DataFrame, errors_of: str = "sample", spread_by: list[str]
                 .drop("_po", "_ps", "_sample"))
 
 
+#: Why a pair cannot be judged, by condition.  (A null prompt is judged: it scores 0.)
+UNFIT = {"output is null": "output IS NULL"}
+
+
+def quarantine(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs that can be judged, and the others with a ``reason``.
+
+    One unfit row does not end the job: the others are scored, and the unfit go to a
+    table of their own (:func:`score_or_reject`, and the log of a stream)."""
+    reason = F.coalesce(*[F.when(F.expr(condition), F.lit(why)) for why, condition in UNFIT.items()])
+    marked = pairs.withColumn("reason", reason)
+    return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
+
+
+def score_or_reject(pairs: DataFrame, errors_of: str = "sample", spread_by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """R4 with R5's quarantine: the scored pairs (calibrated on themselves) and the rejected ones."""
+    good, bad = quarantine(pairs)
+    return score_pairs(good, errors_of=errors_of, spread_by=spread_by), bad
+
+
 def calibrate(counts: DataFrame) -> DataFrame:
     """A1: one row ``avg_tokens, avg_errors, n``; each mean is floored at 1.
     Pairs that cannot be judged (null prompt or output) do not count.

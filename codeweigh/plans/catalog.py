@@ -16,7 +16,7 @@ from ..functions import lexing as L
 from ..functions import reward as R
 from ..operators import metrics, prepare, scoring, subwords, token_rows, tokens, udf
 from ..session import materialize, rebalance, scratch_path, table
-from ..sources import readers
+from ..sources import readers, reward_log
 from ..streaming.score_stream import score_stream
 
 # FIXED VALUES (launch parameters of the original workflow): batch size,
@@ -173,9 +173,19 @@ def q_write_reward_log(spark, sf):
     scored = _scored(spark, sf)
     batched = prepare.batch_rows(scored, PAIR_KEYS, P["batch_size"]).select(*PAIR_KEYS, "prompt", "output", "reward", "batch_id")
     path = scratch_path(spark, "reward_log")
-    for run in ("0", "1", "1"):  # the second call of run 1 is a retry
-        out = readers.write_reward_log(batched.where(F.col("batch_id") % 2 == int(run)), path, run)
-    return out
+    own = lambda run: batched.where(F.col("batch_id") % 2 == int(run))
+    reward_log.write_reward_log(own("0"), path, "0")
+    reward_log.write_reward_log(batched, path, "1")  # too many rows: the retry below replaces them all
+    return reward_log.write_reward_log(own("1"), path, "1")
+
+
+def q_log_stream(spark, sf):
+    pairs = _pairs(spark, sf)
+    src, path = scratch_path(spark, "pairs_in"), scratch_path(spark, "reward_log")
+    scoring.spread(pairs, PAIR_KEYS).write.parquet(src)
+    for attempt in range(2):  # the stream is run again without its checkpoint: finished epochs are recognised
+        reward_log.log_stream(spark, src, pairs.schema, path, "stream", scratch_path(spark, "stream_ckpt"), P["fixed_avg_tokens"], P["fixed_avg_errors"])
+    return reward_log.read(spark, path).select(*PAIR_KEYS, "prompt", "output", "sample", "reward", "run", "epoch")
 
 
 # ----------------------------------------------------------------- P*
@@ -299,6 +309,14 @@ def q_reward_failure_guard(spark, sf):
     return s.select(*PAIR_KEYS, F.col("prompt").isNull().alias("prompt_missing"), "reward")
 
 
+def q_quarantine(spark, sf):
+    """Every user turn: scored if it has an answer, else rejected with the reason."""
+    pairs = scoring.pair_prompt_output(_conv(spark, sf), how="left")
+    scored, rejected = scoring.score_or_reject(pairs, spread_by=PAIR_KEYS)
+    return scored.select(*PAIR_KEYS, "reward", F.lit(None).cast("string").alias("reason")).unionByName(
+        rejected.select(*PAIR_KEYS, F.lit(None).cast("double").alias("reward"), "reason"))
+
+
 def q_keyword_count_reward(spark, sf):
     s = scoring.concat_sample(_pairs(spark, sf))
     return s.select(*PAIR_KEYS, R.keyword_count("sample", P["keyword"]).alias("reward"))
@@ -486,7 +504,7 @@ QUERIES = {
     "calibration_sample": q_calibration_sample, "split_head_percent": q_split_head_percent,
     "split_hash_percent": q_split_hash_percent, "seeded_shuffle": q_seeded_shuffle,
     "normalize": q_normalize, "exponential_decay": q_exponential_decay, "clamp": q_clamp,
-    "reward": q_reward, "reward_failure_guard": q_reward_failure_guard,
+    "reward": q_reward, "reward_failure_guard": q_reward_failure_guard, "quarantine": q_quarantine,
     "keyword_count_reward": q_keyword_count_reward,
     "tokenize_ids": q_tokenize_ids, "subword_ids": q_subword_ids, "truncate_tokens": q_truncate_tokens,
     "max_input_length": q_max_input_length, "prompt_half_split": q_prompt_half_split,
@@ -497,6 +515,6 @@ QUERIES = {
     "indent_profile": q_indent_profile, "indent_width": q_indent_width,
     "unknown_chars": q_unknown_chars, "structural_errors": q_structural_errors,
     "token_pair_errors": q_token_pair_errors, "statement_count": q_statement_count, "java_token_table": q_java_token_table,
-    "score_stream": q_score_stream, "score_frame": q_score_frame,
+    "score_stream": q_score_stream, "log_stream": q_log_stream, "score_frame": q_score_frame,
     "custom_reward": q_custom_reward, "map_batches": q_map_batches,
 }

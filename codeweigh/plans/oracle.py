@@ -288,6 +288,9 @@ SELECT name, CAST(n AS BIGINT) AS n FROM (SELECT * FROM _n UNION ALL SELECT * FR
     o["reward"] = SCORED
     o["reward_failure_guard"] = (f"SELECT conv_id, turn, prompt IS NULL AS prompt_missing, {reward_expr()} AS reward "
                                  f"FROM ({counts(PAIRS_ALL)}) AS c CROSS JOIN ({CAL}) AS k")
+    o["quarantine"] = (f"SELECT conv_id, turn, reward, NULL::VARCHAR AS reason FROM ({SCORED}) AS _s UNION ALL "
+                       f"SELECT conv_id, turn, NULL, 'output is null' FROM conversations u WHERE role = 'user' AND NOT EXISTS ("
+                       f"SELECT 1 FROM conversations a WHERE a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' AND a.text IS NOT NULL)")
     kw = P["keyword"]
     o["keyword_count_reward"] = (f"SELECT conv_id, turn, CAST((length(prompt || output) - length(replace("
                                  f"prompt || output, {D.q(kw)}, ''))) // {len(kw)} AS BIGINT) AS reward "
@@ -352,6 +355,8 @@ FROM _d GROUP BY page_id"""
     fixed = (f"SELECT conv_id, turn, nt, ne, {reward_expr('nt', 'ne', str(P['fixed_avg_tokens']), str(P['fixed_avg_errors']))} "
              f"AS reward FROM ({COUNTS}) AS _c")
     o["score_frame"] = fixed
+    o["log_stream"] = (f"SELECT conv_id, turn, prompt, output, prompt || output AS sample, {reward_expr('nt', 'ne', str(P['fixed_avg_tokens']), str(P['fixed_avg_errors']))} AS reward, "
+                       f"'stream' AS run, CAST(0 AS BIGINT) AS epoch FROM ({COUNTS}) AS _c")
     o["custom_reward"] = o["keyword_count_reward"]
     o["map_batches"] = ("SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, "
                         "CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS n_lines FROM documents")

@@ -143,13 +143,3 @@ def write_tokenized(df: DataFrame, path: str, source: DataFrame, settings: dict,
         df.write.mode("overwrite").parquet(path)
         spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.mode("overwrite").text(note)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def write_reward_log(scored: DataFrame, path: str, run: str, batches_per_range: int = 1024) -> DataFrame:
-    """Log query, response, sample and reward per batch.  ``run`` names one
-    call: writing it again (a retry) replaces its rows only, other runs stay.
-    ``batch_range`` (batches by thousands) prunes reads of a stretch of batches."""
-    out = scored.withColumn("sample", F.concat("prompt", "output")).withColumn("run", F.lit(run)).withColumn(
-        "batch_range", F.floor(F.col("batch_id") / F.lit(batches_per_range)))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "batch_range").parquet(path)
-    return scored.sparkSession.read.schema(out.schema).parquet(path)

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codeweigh.operators import prepare, token_rows
-from codeweigh.sources import readers
+from codeweigh.sources import readers, reward_log
 
 
 @pytest.mark.parametrize("n,expected", [(100, 5), (10, 0), (30, 2), (50, 2)])
@@ -134,9 +134,9 @@ def test_tokenized_table_is_reused_only_if_finished_and_the_same(spark, tmp_path
 def test_reward_log_grows_and_retries(spark, tmp_path):
     path = str(tmp_path / "log")
     rows = spark.range(10).selectExpr("id", "'p' as prompt", "'o' as output", "0.5d as reward", "id div 5 as batch_id")
-    readers.write_reward_log(rows.where("batch_id = 0"), path, "a")
-    readers.write_reward_log(rows.where("batch_id = 1").limit(2), path, "b")
-    got = readers.write_reward_log(rows.where("batch_id = 1"), path, "b")
+    reward_log.write_reward_log(rows.where("batch_id = 0"), path, "a")
+    reward_log.write_reward_log(rows.where("batch_id = 1").limit(2), path, "b")
+    got = reward_log.write_reward_log(rows.where("batch_id = 1"), path, "b")
     assert sorted(r.id for r in got.collect()) == list(range(10))
     assert got.select("sample").distinct().collect()[0].sample == "po"
 
