@@ -16,7 +16,7 @@ from ..functions import lexing as L
 from ..functions import reward as R
 from ..operators import metrics, prepare, scoring, subwords, token_rows, tokens, udf
 from ..session import materialize, rebalance, scratch_path, table
-from ..sources import readers, reward_log
+from ..sources import readers, reward_log, token_cache
 from ..streaming.score_stream import score_stream
 
 # FIXED VALUES (launch parameters of the original workflow): batch size,
@@ -25,7 +25,7 @@ from ..streaming.score_stream import score_stream
 PARAMS = dict(batch_size=64, max_new_tokens=512, context_size=1024, validation_percent=5,
               max_train_samples=100, max_eval_samples=100, calibration_sample=100,
               fixed_avg_tokens=200.0, fixed_avg_errors=50.0, keyword="er", seed=42,
-              vocab_size=token_rows.DEFAULT_VOCAB, truncate_to=128, subword_merges=32)
+              vocab_size=token_rows.DEFAULT_VOCAB, truncate_to=128, subword_merges=32, cache_files=8)
 
 #: Replacements of :func:`code_like`, in order.
 CODE_LIKE = [(". ", ":\n    "), (", ", "\n"), (" of ", "\n\t"), (" the ", ":\n        "), (" with ", "\n  \t"), (" de ", " = (")]
@@ -169,6 +169,27 @@ def q_write_tokenized(spark, sf):
     return readers.write_tokenized(ids.limit(0), path, docs, settings)
 
 
+def q_refresh_tokens(spark, sf):
+    """Documents in several files, one of which changes after the first refresh."""
+    src, path = scratch_path(spark, "files"), scratch_path(spark, "token_cache")
+    vocab = _vocab(spark, sf)
+
+    def write(which, text):
+        part = F.col("doc_id") % P["cache_files"]
+        docs = _raw_docs(spark, sf).where(which(part)).withColumn("part", part)
+        docs.select("doc_id", text.alias("text"), "part").repartition("part").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("part").parquet(src)
+
+    def encode(rows):
+        lexed = rows.select(F.struct("doc_id", "_path").alias("row"), L.py_lexemes("text").alias("lexemes"))
+        return token_rows.tokenize_lexemes(lexed, "row", "lexemes", vocab, V).select("row.*", "input_ids")
+
+    write(lambda part: part >= 0, F.col("text"))
+    token_cache.refresh(spark, src, path, encode, {"vocab_size": V})
+    write(lambda part: part == 0, F.replace("text", F.lit("e"), F.lit("E")))
+    return token_cache.refresh(spark, src, path, encode, {"vocab_size": V}).table
+
+
 def q_write_reward_log(spark, sf):
     scored = _scored(spark, sf)
     batched = prepare.batch_rows(scored, PAIR_KEYS, P["batch_size"]).select(*PAIR_KEYS, "prompt", "output", "reward", "batch_id")
@@ -492,7 +513,7 @@ QUERIES = {
     "scan_named": q_scan_named, "scan_csv": q_scan_csv, "scan_json": q_scan_json,
     "scan_text": q_scan_text, "scan_train_validation": q_scan_train_validation,
     "rewrite_lines": q_rewrite_lines, "write_tokenized": q_write_tokenized,
-    "write_reward_log": q_write_reward_log,
+    "refresh_tokens": q_refresh_tokens, "write_reward_log": q_write_reward_log,
     "resolve_text_column": q_resolve_text_column, "drop_source_columns": q_drop_source_columns,
     "select_prompts": q_select_prompts, "concat_sample": q_concat_sample,
     "filter_split": q_filter_split,

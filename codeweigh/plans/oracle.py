@@ -151,16 +151,21 @@ SELECT lexeme, CAST(row_number() OVER (ORDER BY n DESC, lexeme ASC) - 1 AS INTEG
 FROM (SELECT * FROM _cnt ORDER BY n DESC, lexeme ASC LIMIT {V}) AS _t"""
 
 
-IDS = f"""
+def ids(src: str) -> str:
+    """Ids of the texts of ``src`` in the vocabulary of ``documents``."""
+    return f"""
 SELECT d.doc_id, coalesce(i.input_ids, []::INTEGER[]) AS input_ids
-FROM documents d LEFT JOIN (
+FROM {src} d LEFT JOIN (
   SELECT e.doc_id, flatten(list(CASE WHEN v.id IS NOT NULL THEN [v.id] ELSE list_transform(range(strlen(e.lexeme)),
     lambda b: CAST({V} + CAST('0x' || substr(hex(encode(e.lexeme)), 2 * b + 1, 2) AS INTEGER) AS INTEGER)) END ORDER BY e.pos)) AS input_ids
   FROM (SELECT doc_id, unnest(lx) AS lexeme, generate_subscripts(lx, 1) AS pos
-        FROM (SELECT doc_id, regexp_extract_all(text, {_pat}, 0) AS lx FROM documents) AS _l) AS e
+        FROM (SELECT doc_id, regexp_extract_all(text, {_pat}, 0) AS lx FROM {src}) AS _l) AS e
   LEFT JOIN ({vocab_sql()}) AS v ON v.lexeme = e.lexeme
   GROUP BY e.doc_id) AS i ON i.doc_id = d.doc_id"""
 
+
+IDS = ids("documents")
+
 # Words as rows of symbols in angle brackets; each step of the recursion counts all
 # pairs anew and joins the best one in every word.
 SUBWORDS = f"""
@@ -239,6 +244,8 @@ def build() -> dict[str, str]:
     o["rewrite_lines"] = ("SELECT page_id, replace(replace(html, '!this.', 'not self.'), 'this.', 'self.') AS html "
                           "FROM pages")
     o["write_tokenized"] = IDS
+    changed = f"(SELECT doc_id, CASE WHEN doc_id % {P['cache_files']} = 0 THEN replace(text, 'e', 'E') ELSE text END AS text FROM documents)"
+    o["refresh_tokens"] = ids(changed)
     o["write_reward_log"] = (f"SELECT conv_id, turn, prompt, output, reward, batch_id, "
                              f"prompt || output AS sample, CAST(batch_id % 2 AS VARCHAR) AS run, "
                              f"batch_id // 1024 AS batch_range FROM ({BATCHED_SCORED}) AS _w")
