@@ -104,6 +104,15 @@ def calibrate(counts: DataFrame) -> DataFrame:
                       n.alias("n"))
 
 
+def calibrate_sums(sums: DataFrame) -> DataFrame:
+    """A1 from partial sums (nt, ne, n): they merge in any order."""
+    n = F.coalesce(F.sum("n"), F.lit(0))
+
+    def mean_at_least_1(c):
+        return F.when(n > 0, F.greatest(F.sum(c).cast("double") / n, F.lit(1.0)))
+    return sums.agg(mean_at_least_1("nt").alias("avg_tokens"), mean_at_least_1("ne").alias("avg_errors"), n.alias("n"))
+
+
 def calibrate_statements(counts: DataFrame) -> DataFrame:
     """A2: mean statements per sample, floored at 1."""
     n = F.count(F.lit(1))

@@ -17,6 +17,7 @@ from ..functions import reward as R
 from ..operators import metrics, prepare, scoring, subwords, token_rows, tokens, udf
 from ..session import materialize, rebalance, scratch_path, table
 from ..sources import readers, reward_log, token_cache
+from ..streaming import calibration
 from ..streaming.score_stream import score_stream
 
 # FIXED VALUES (launch parameters of the original workflow): batch size,
@@ -250,6 +251,16 @@ def q_calibrate_statements(spark, sf):
     return scoring.calibrate_statements(_counts(spark, sf))
 
 
+def q_calibrate_stream(spark, sf):
+    """Half of the conversations land, the stream runs and stops; then the other half."""
+    src, checkpoint = scratch_path(spark, "pairs_in"), scratch_path(spark, "calibration")
+    pairs = _pairs(spark, sf)
+    for half in (0, 1):
+        scoring.spread(pairs.where(F.col("conv_id") % 2 == half), PAIR_KEYS).write.mode("append").parquet(src)
+        calibration.calibrate_stream(spark, src, pairs.schema, checkpoint)
+    return calibration.read_calibration(spark, checkpoint)
+
+
 def q_reward_batch_stats(spark, sf):
     rewards = _scored(spark, sf).select(*PAIR_KEYS, "reward")  # texts are not moved to number the rows
     batched = prepare.batch_rows(rewards, PAIR_KEYS, P["batch_size"])
@@ -518,7 +529,7 @@ QUERIES = {
     "select_prompts": q_select_prompts, "concat_sample": q_concat_sample,
     "filter_split": q_filter_split,
     "pair_prompt_output": q_pair_prompt_output, "apply_calibration": q_apply_calibration,
-    "calibrate": q_calibrate, "calibrate_statements": q_calibrate_statements,
+    "calibrate": q_calibrate, "calibrate_stream": q_calibrate_stream, "calibrate_statements": q_calibrate_statements,
     "reward_batch_stats": q_reward_batch_stats, "token_histogram": q_token_histogram,
     "batch_rows": q_batch_rows, "collate_batches": q_collate_batches,
     "limit_train": q_limit_train, "limit_eval": q_limit_eval,

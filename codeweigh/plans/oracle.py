@@ -256,7 +256,7 @@ def build() -> dict[str, str]:
     o["filter_split"] = f"SELECT * FROM ({_tv()}) AS _t WHERE split = 'validation'"
     o["pair_prompt_output"] = PAIRS
     o["apply_calibration"] = f"SELECT conv_id, turn, nt, ne, avg_tokens, avg_errors FROM ({CALIBRATED}) AS _c"
-    o["calibrate"] = CAL
+    o["calibrate"] = o["calibrate_stream"] = CAL
     o["calibrate_statements"] = (f"SELECT CASE WHEN count(*) > 0 THEN greatest(sum(ns)::DOUBLE / count(*), 1.0) "
                                  f"END AS avg_stmt, count(*) AS n "
                                  f"FROM ({COUNTS}) AS _c")
