@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..functions.permutation import permuted
 from ..session import materialize
 
 _LOW33 = (1 << 33) - 1
@@ -177,3 +178,9 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
     """Reproducible random order from a seed; adds its 0-based position."""
     keyed = df.withColumn("_h", seeded_hash(key, seed))
     return positional_index(keyed, ["_h", key], col="shuffle_pos").drop("_h")
+
+
+def computed_shuffle(df: DataFrame, position: str, n: int, seed: int) -> DataFrame:
+    """L6 for a table with positions 0..n-1: its rows' places in a random order, computed
+    from the position alone (no sort, no shuffle).  ``position_of`` inverts it."""
+    return df.withColumn("shuffle_pos", permuted(position, n, seed))

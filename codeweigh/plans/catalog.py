@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import lexing as L
 from ..functions import reward as R
+from ..functions.permutation import position_of
 from ..operators import metrics, prepare, scoring, subwords, token_rows, tokens, udf
 from ..session import materialize, rebalance, scratch_path, table
 from ..sources import readers, reward_log, token_cache
@@ -309,6 +310,13 @@ def q_seeded_shuffle(spark, sf):
     return prepare.seeded_shuffle(_raw_docs(spark, sf).select("doc_id"), "doc_id", P["seed"])
 
 
+def q_computed_shuffle(spark, sf):
+    docs = _raw_docs(spark, sf).select("doc_id")
+    n = docs.agg(F.max("doc_id")).first()[0] + 1
+    out = prepare.computed_shuffle(docs, "doc_id", n, P["seed"])
+    return out.withColumn("inverse", position_of("shuffle_pos", n, P["seed"]))
+
+
 # ----------------------------------------------------------------- R*
 def q_normalize(spark, sf):
     c = _calibrated(spark, sf)
@@ -534,7 +542,7 @@ QUERIES = {
     "batch_rows": q_batch_rows, "collate_batches": q_collate_batches,
     "limit_train": q_limit_train, "limit_eval": q_limit_eval,
     "calibration_sample": q_calibration_sample, "split_head_percent": q_split_head_percent,
-    "split_hash_percent": q_split_hash_percent, "seeded_shuffle": q_seeded_shuffle,
+    "split_hash_percent": q_split_hash_percent, "seeded_shuffle": q_seeded_shuffle, "computed_shuffle": q_computed_shuffle,
     "normalize": q_normalize, "exponential_decay": q_exponential_decay, "clamp": q_clamp,
     "reward": q_reward, "reward_failure_guard": q_reward_failure_guard, "quarantine": q_quarantine,
     "keyword_count_reward": q_keyword_count_reward,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import adjacency as A
 from ..functions import grammar as G
+from ..functions import permutation as M
 from . import duck as D
 from .catalog import CODE_LIKE, ESCAPED
 from .catalog import PARAMS as P
@@ -192,6 +193,24 @@ SELECT doc_id, text, CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 <
   round_even(count(*) OVER () * {float(P['validation_percent'])} / 100.0, 0) THEN 'validation' ELSE 'train' END AS split
 FROM documents"""
 
+def computed_shuffle(seed: int) -> str:
+    """The Feistel steps as integer arithmetic, one subquery a round; the recursion walks on."""
+    body = "SELECT i, x // b AS l, x % b AS r FROM {src}"
+    for k, key in enumerate(M.keys(seed)):
+        keyed = lambda digit, base: f"(({digit} + {key}) * {M.FIRST} % {M.PRIME} * {M.SECOND} % {M.PRIME} // {M.COARSE} % {base})"  # noqa: B023, E731
+        step = f"l, (r + {keyed('l', 'b')}) % b AS r" if k % 2 else f"(l + {keyed('r', 'a')}) % a AS l, r"
+        body = f"SELECT i, {step} FROM ({body}), _b"
+    body = body.replace("FROM {src}", "FROM {src}, _b")
+    return f"""
+WITH RECURSIVE _n AS (SELECT max(doc_id) + 1 AS n FROM documents),
+_a AS (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM _n),
+_b AS (SELECT n, a, (n + a - 1) // a AS b FROM _a),
+_s AS (SELECT doc_id AS i, doc_id AS x FROM documents),
+_w(i, x) AS (SELECT i, l * b + r FROM ({body.replace('{src}', '_s')}) AS _p, _b
+  UNION ALL SELECT i, l * b + r FROM ({body.replace('{src}', '(SELECT i, x FROM _w, _n WHERE x >= n)')}) AS _p, _b)
+SELECT i AS doc_id, x AS shuffle_pos, i AS inverse FROM _w, _n WHERE x < n"""
+
+
 BATCHED_SCORED = (f"SELECT *, (row_number() OVER (ORDER BY conv_id, turn) - 1) // {P['batch_size']} AS batch_id "
                   f"FROM ({SCORED}) AS _b")
 
@@ -288,6 +307,7 @@ SELECT name, CAST(n AS BIGINT) AS n FROM (SELECT * FROM _n UNION ALL SELECT * FR
     o["split_hash_percent"] = (f"SELECT doc_id, CASE WHEN {h} % 1000000 < {float(P['validation_percent'])} * 10000 "
                                f"THEN 'validation' ELSE 'train' END AS split FROM documents")
     o["seeded_shuffle"] = f"SELECT doc_id, row_number() OVER (ORDER BY {h}, doc_id) - 1 AS shuffle_pos FROM documents"
+    o["computed_shuffle"] = computed_shuffle(P["seed"])
     o["normalize"] = f"SELECT conv_id, turn, round(nt / avg_tokens, 6) AS norm_tokens FROM ({CALIBRATED}) AS _c"
     o["exponential_decay"] = (f"SELECT conv_id, turn, (round({_decay('ne / avg_errors', _a())}, 6) + 0.0) AS decay "
                               f"FROM ({CALIBRATED}) AS _c")
