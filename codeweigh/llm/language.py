@@ -52,7 +52,7 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(
 def _letters() -> np.ndarray:
     """Code point -> its lower-case letter, or 32 for what is no letter."""
     table = np.full(0x110000, 32, np.uint32)
-    for cp in range(0x32000):
+    for cp in range(len(table)):
         c = chr(cp)
         if unicodedata.category(c)[0] == "L":
             low = c.lower()
