@@ -49,7 +49,8 @@ def _rows(df: DataFrame, digest_chars: int) -> DataFrame:
     """(doc_id, digest, sha, rank, norm, whole): ``rank`` orders a group, the
     smallest stays; ``whole`` has all columns (pruned where nobody asks)."""
     norm = normalised(F.col("text"))
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.row_index").alias("row"))
+    file = df.metadataColumn("_metadata")  # not a column of the table that has this name
+    place = F.struct(file["file_path"].alias("file"), file["file_block_start"].alias("block"), file["row_index"].alias("row"))
     rank = F.struct((-F.length(F.coalesce("text", F.lit("")))).alias("minus_points"), F.col("doc_id"), place.alias("place"))
     sha = F.sha2(norm.cast("binary"), 256)
     return df.select("doc_id", F.substring(sha, 1, digest_chars).alias("digest"), sha.alias("sha"), rank.alias("rank"), norm.alias("norm"),

@@ -5,7 +5,7 @@ import pytest
 
 SF01 = "/root/testdata/sf0.01"
 #: Names of extra columns that clash with outputs and helper columns of the operators.
-CLASHES = ["kept", "score", "digest", "family", "ids", "n", "payload", "start", "lang_pred", "whole", "_metadata2", "rank"]
+CLASHES = ["kept", "score", "digest", "family", "ids", "n", "payload", "start", "lang_pred", "whole", "_metadata", "rank"]
 
 
 def prose(seed: int, n: int, vocabulary: int = 400) -> str:
