@@ -167,13 +167,15 @@ class Encoder:
 _END = array("I", [END]).tobytes()
 #: Below are Latin letters: composed, with one rule for lower case.
 _LATIN = "\u0250"
+#: The one letter below whose lower case has two code points: its pieces go to the library whole.
+_DOTTED = "\u0130"
 #: Punctuation that ends a word; not the quote of contractions nor the signs of special tokens.
 _AFTER = '.,;:!?%$&*#"'
 
 
 def _parts(piece: str) -> tuple[str, ...]:
     word = piece.rstrip(_AFTER)
-    if not word or not word[-1].isalnum() or "<|" in word:
+    if not word or not word[-1].isalnum() or "<|" in word or _DOTTED in word:
         return (piece,)
     low = word.lower() if max(word) < _LATIN else word
     return (low,) if len(word) == len(piece) else (low, piece[len(word):])
