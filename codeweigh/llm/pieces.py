@@ -63,6 +63,9 @@ class Viterbi:
             self.sizes[tail] = (*sorted(found, reverse=True), *((2, 1) if tail[1:] in pieces else (1,)))
         self.worst = min(scores.values(), default=0.0) - 10.0
         self.fitting: dict[tuple[str, str], bool] = {}
+        # longer pieces by score: the best is merged first
+        self.rank = {p: k for k, p in enumerate(sorted((p for p in pieces if len(p) > 1), key=lambda p: -scores.get(p, self.worst)), 1)}
+        self.halves: dict[str, tuple[str, str] | None] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merge neighbours, best score first, then leftmost: the rule itself, used on two joined pieces."""
@@ -83,9 +86,44 @@ class Viterbi:
         if known is None:
             if len(self.fitting) > CACHE:
                 self.fitting.clear()
-            known = self.fitting[left, right] = self.merged(left + right) == [left, right]
+            known = self.fitting[left, right] = self.apart(left, right)
         return known
 
+    def split(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that a piece's last merge joined; none if merging never gives the piece."""
+        if piece not in self.halves:
+            cuts = [k for k in range(1, len(piece)) if self.merged(piece[:k]) == [piece[:k]] and self.merged(piece[k:]) == [piece[k:]]]
+            whole = self.merged(piece) == [piece]
+            # the last merge joined two parts that fit side by side up to then
+            self.halves[piece] = next(((piece[:k], piece[k:]) for k in cuts if self.apart(piece[:k], piece[k:], self.rank[piece])), None) if whole else None
+        return self.halves[piece]
+
+    def apart(self, left: str, right: str, limit: float = float("inf")) -> bool:
+        """Whether merging the joined text of two pieces gives these two (before the merge of rank ``limit``).
+
+        Undoes the merges of both sides from the last to the first, always the later
+        one.  Two neighbours at the seam stood side by side until the merge undone last;
+        had their own merge come before it, the seam would be gone.  Of
+        merges of one rank the left one comes first."""
+        rank = self.rank
+        while True:
+            joined = rank.get(left + right)
+            if joined is not None and joined < limit:
+                return False
+            a, b = rank.get(left, 0), rank.get(right, 0)
+            if not a and not b:
+                return len(left) == len(right) == 1
+            if a > b:
+                parts, limit = self.split(left), a
+                if parts is None:
+                    return False
+                left = parts[1]
+            else:
+                parts, limit = self.split(right), b + 1
+                if parts is None:
+                    return False
+                right = parts[0]
+
     def encode(self, chars: Iterable[str]) -> Iterator[int]:
         """Ids of a stream of characters, committed as soon as they are settled."""
         ids, scores, sizes, longest = self.ids, self.scores, self.sizes, self.longest
@@ -256,3 +294,8 @@ def encode(df: DataFrame, model_path: str | None = None) -> DataFrame:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir)).selectExpr("doc_id", "cast(size(ids) as bigint) n_tokens", "ids", "decoded")
+
+
+def forget() -> None:
+    """Drop what a worker keeps between batches."""
+    _CODECS.clear()

@@ -292,3 +292,33 @@ def test_pipeline(spark, tables):
     assert seen[3] == sorted(set(seen[2]) - {33}) == seen[4]
     assert sorted(r["doc_id"] for r in C.run(spark, top).collect()) == seen[4]
     assert [n for n, _ in C.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontaminate", "sentencepiece"]
+
+
+def test_pieces_side_by_side_equal_the_rule():
+    """Undoing merges at the seam gives what merging the joined text gives."""
+    search, r = pieces.Codec(pieces.model_table()).search, random.Random(3)
+    names = list(search.ids)
+    pairs = [(r.choice(names), r.choice(names)) for _ in range(3000)]
+    for _ in range(6000):
+        joined = r.choice(names) + r.choice(names)
+        k = r.randrange(1, len(joined))
+        pairs.append((joined[:k], joined[k:]))
+    pairs = [(a, b) for a, b in pairs if a in search.ids and b in search.ids]
+    assert [search.apart(a, b) for a, b in pairs] == [search.merged(a + b) == [a, b] for a, b in pairs]
+
+
+def test_token_files_letters_before_signs():
+    """Every letter of the Latin blocks before every sign that ends a word."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_files.VOCABULARY)
+    tokenizer = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        encode = token_files.Encoder(f.read())
+    texts = [f"{word}{sign}" for c in range(0x21, 0x250) for word in (chr(c), f"dal{chr(c)}") for sign in token_files._AFTER] + ["İİ!", "xİy zİ."]
+    for t, ids in zip(texts, encode(texts)):
+        assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [token_files.END], t
+
+
+def test_language_letters_of_every_plane():
+    assert len(language.grams(chr(0x32100))) and len(language.grams(chr(0x20000))) and not len(language.grams("12 .\U0001F600"))
