@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,6 +42,23 @@ def share_of(key: Column, salt: str, fraction: float) -> Column:
     return F.crc32(F.concat(key.cast("string"), F.lit(salt))) < F.lit(int(fraction * (1 << 32)))
 
 
+_OWNER: list[str] = []
+
+
+def claim(owner: str) -> None:
+    """Called by a worker before it runs a kernel of module ``owner``.  Workers are
+    shared by all jobs of an application; what the module before kept in memory
+    (its ``forget`` drops it) is given back to the system first."""
+    if _OWNER and _OWNER[0] != owner:
+        forget = getattr(sys.modules.get(_OWNER[0]), "forget", None)
+        if forget is not None:
+            forget()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+    _OWNER[:] = [owner]
+
+
 def map_rows(df: DataFrame, schema: str | StructType, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None],
              most: int = 4 << 20) -> DataFrame:
     """Apply ``kernel`` to every Arrow batch.  Batches are cut to about ``most``
@@ -45,6 +66,7 @@ def map_rows(df: DataFrame, schema: str | StructType, kernel: Callable[[pa.Recor
     the longest single text and not by the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(kernel.__module__)
         for batch in batches:
             for piece in slices(batch, most):
                 out = kernel(piece)
@@ -56,7 +78,12 @@ def map_rows(df: DataFrame, schema: str | StructType, kernel: Callable[[pa.Recor
 
 def keep_rows(df: DataFrame, good: Callable[[str | None], bool], name: str = "text") -> DataFrame:
     """Rows whose text is good, with all their columns."""
-    return map_rows(df, df.schema, lambda batch: batch.filter(pa.array([good(t) for t in batch.column(name).to_pylist()], pa.bool_())))
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([good(t) for t in batch.column(name).to_pylist()], pa.bool_()))
+
+    kernel.__module__ = good.__module__  # whose memory it is
+    return map_rows(df, df.schema, kernel)
 
 
 def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

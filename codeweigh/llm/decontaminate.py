@@ -186,3 +186,8 @@ sp as (select doc_id, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, co
 select d.doc_id, len(d.w) n_words, n_hit, n_items, sha256(items) items_sha256, n_hit > 0 contaminated
 from d join sp using (doc_id)
 """
+
+
+def forget() -> None:
+    """Drop what a worker keeps between batches."""
+    _READY.clear()

@@ -192,3 +192,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = fit(docs.filter(~held_out(F.col("doc_id"))))
     return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "coverage")
+
+
+def forget() -> None:
+    """Drop what a worker keeps between batches."""
+    _letters.cache_clear()

@@ -216,3 +216,8 @@ least_id as (select s, min(t) m from reach group by s)
 select doc_id, coalesce(n, 0) n_shingles, least(doc_id, coalesce(m, doc_id)) component_id, doc_id = least(doc_id, coalesce(m, doc_id)) kept
 from w left join n using (doc_id) left join least_id on s = doc_id
 """
+
+
+def forget() -> None:
+    """Drop what a worker keeps between batches."""
+    S._NAMES.clear()

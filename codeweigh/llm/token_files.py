@@ -266,3 +266,8 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     write_segments(documents(spark, sf_dir), path)
     return read_documents(spark, path)
+
+
+def forget() -> None:
+    """Drop what a worker keeps between batches."""
+    _ENCODERS.clear()
