@@ -5,13 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from codeweigh.plans.oracle import ORACLE
 from codeweigh.session import TABLES
 from tests.conftest import SF, SF01
 
-KEYS = ["pair_prompt_output", "calibrate", "reward", "structural_errors", "python_token_count",
-        "bracket_depth", "python_token_table", "java_token_table", "tokenize_ids", "decode_tokens",
-        "split_head_percent", "limit_train", "split_hash_percent", "seeded_shuffle", "indent_profile", "shifted_accuracy",
-        "write_tokenized", "write_reward_log", "collate_batches", "token_histogram", "reward_failure_guard"]
+KEYS = sorted(ORACLE)
 
 
 @pytest.fixture(scope="module")
