@@ -30,18 +30,20 @@ of a score.  Without labels every score is 0.
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from math import log
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweigh.llm.common import documents, held_out, map_rows, share_of, slices, texts, written
+from codeweigh.llm.common import claim, documents, held_out, map_rows, share_of, slices, texts, written
 
 ORDER = 4
 TRAIN_ROWS = 20_000
@@ -50,8 +52,8 @@ SUPPORT = 5
 ODDS = 2.5
 BEGINNINGS = range(3, 9)
 CACHE = 1 << 18
-#: Characters of distinct words that one task counts before it hands its n-grams on.
-HELD = 1 << 22
+#: Distinct n-grams that one task holds before it hands their counts on.
+HELD = 1 << 18
 #: Signs that stand for letters.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -62,7 +64,8 @@ _ALONE = re.compile(r"(?<!\S)(?:[^\W\d_] ){3,}[^\W\d_](?![^\s.,;:!?])")
 #: A row of letters standing alone, with what follows it without a blank.
 _ROW = re.compile(f"({_ALONE.pattern})" + r"(\S*)")
 _ODD = re.compile(r"(.)\1\1|[0-9@$!|+(€£.\-_*~]")
-_WORD = re.compile(r"[^\W\d_]+")
+_BLANK = re.compile(r"\s")
+_EDGES_ONLY = re.compile(rf"(?<!\S)[{re.escape(_EDGES)}]+(?!\S)")
 
 
 # ---------------------------------------------------------------- language model
@@ -73,17 +76,83 @@ def _slot(chars: str) -> str:
     return chars
 
 
-def _grams(words: Counter[str]) -> Counter[str]:
-    """Counts of the n-grams (1 to ORDER) of words, one blank around each; the blank after it counts as its own."""
-    out: Counter[str] = Counter()
-    for w, k in words.items():
-        line = f" {w} "
-        for c in line[1:]:
-            out[c] += k
-        for n in range(2, ORDER + 1):
-            for i in range(len(line) - n + 1):
-                out[line[i:i + n]] += k
-    return out
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Flags of every code point."""
+    table = np.zeros(0x110000, np.uint8)
+    for code in range(0x110000):
+        c = chr(code)
+        if c.isspace():
+            table[code] = WHITE
+        elif c.isalnum() and not c.isdecimal():
+            table[code] = LETTER | ALONE
+    for c in "0123456789@$!|+(€£.-_*~":
+        table[ord(c)] |= SIGN
+    for c in "0123456789@$€£İ":  # these count at the end of a token too
+        table[ord(c)] |= SIGN | FIRM
+    return table
+
+
+@functools.cache
+def _lower() -> np.ndarray:
+    """The lower case of every code point, where it is one code point."""
+    table = np.arange(0x110000, dtype=np.uint32)
+    for code in range(0x110000):
+        low = chr(code).lower()
+        if len(low) == 1:
+            table[code] = ord(low)
+    return table
+
+
+WHITE, LETTER, SIGN, FIRM, ALONE = 1, 2, 4, 8, 16
+
+
+def forget() -> None:
+    """Give back what a worker remembers (see ``claim``)."""
+    _kinds.cache_clear()
+    _lower.cache_clear()
+    _OPENS.clear()
+    _BEST.clear()
+    _BEST_OF.clear()
+    _MARKS.clear()
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _grams(found: list[str]) -> Iterator[tuple[str, int]]:
+    """N-grams (1 to ORDER) of the texts' words with counts, one blank around each
+    word; the blank after it counts as its own.  An n-gram may come up several times."""
+    codes = _codes("\n".join(["", *found, ""]).lower())
+    letter = _kinds()[codes] & LETTER != 0
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]  # one blank after each word
+    stream = np.concatenate([[32], np.where(letter, codes, 32)[keep]]).astype(np.uint32)
+    here = np.unique(stream)
+    # 16 bits hold a character's number; beyond that many characters, shorter parts have fewer
+    step = len(stream) if len(here) < 1 << 16 else 60_000
+    number = np.zeros(0x110000, np.uint64)
+    for start in range(0, len(stream), step):
+        part = stream[start:start + step + ORDER - 1]
+        chars = np.concatenate([[32], np.setdiff1d(part, [32])]).astype(np.uint32)
+        number[chars] = np.arange(len(chars), dtype=np.uint64)
+        ids = number[part]
+        for n in range(1, ORDER + 1):
+            rows = min(step, len(ids) - n + 1)
+            if rows <= 0:
+                continue
+            key, good = np.zeros(rows, np.uint64), np.ones(rows, bool)
+            for k in range(n):
+                key = key << np.uint64(16) | ids[k:k + rows]
+                if 0 < k < n - 1:
+                    good &= ids[k:k + rows] != 0
+            if n == 1:
+                good[0] = start > 0  # the blank before the first word is no word's end
+            keys, counts = np.unique(key[good], return_counts=True)
+            places = np.arange(n - 1, -1, -1, dtype=np.uint64) * np.uint64(16)
+            letters = np.ascontiguousarray(chars[(keys[:, None] >> places & np.uint64(0xFFFF)).astype(np.int64)])
+            yield from zip(letters.view(f"<U{n}").ravel().tolist() if len(keys) else [], counts.tolist())
 
 
 class Counts:
@@ -102,19 +171,19 @@ def character_counts(df: DataFrame) -> Counts:
     """Exact counts of the n-grams (1 to ORDER) of all words, whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[str] = Counter()
+        claim(__name__)
+        counts: Counter[str] = Counter()
 
         def out() -> pa.RecordBatch:
-            found = _grams(words)
-            return pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["gram", "n"])
+            return pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
 
         for batch in batches:
             for piece in slices(batch):
-                for t in texts(piece):
-                    words.update(_WORD.findall(t.lower()))
-                if sum(map(len, words)) > HELD:
+                for gram, n in _grams(texts(piece)):
+                    counts[gram] += n
+                if len(counts) > HELD:
                     yield out()
-                    words.clear()
+                    counts.clear()
         yield out()
 
     counted = df.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -186,24 +255,55 @@ def lattice(token: str) -> str:
 _OPENS: dict[str, bool] = {}
 
 
+def opens(token: str) -> bool:
+    """Whether a token opens a lattice, remembered per worker."""
+    got = _OPENS.get(token)
+    if got is None:
+        if len(_OPENS) > CACHE:
+            _OPENS.clear()
+        got = _OPENS[token] = bool(lattice(token))
+    return got
+
+
 def divided(text: str) -> tuple[set[str], set[str]]:
     """(tokens as they stand, units) of a text, distinct."""
-    tokens, units = text.split(), set()
-    if list(map(len, tokens)).count(1) >= 3 and _ALONE.search(text):
-        units = {m.group() for m in _ROW.finditer(text)}
+    tokens, units = text.split(), {m.group() for m in _ROW.finditer(text)}
+    if units:
         tokens = _ROW.sub(" ", text).split()
     found = set(tokens)
-    for t in found:
-        opens = _OPENS.get(t)
-        if opens is None:
-            if len(_OPENS) > CACHE:
-                _OPENS.clear()
-            opens = _OPENS[t] = bool(lattice(t))
-        if opens:
-            units.add(t)
+    units.update(t for t in found if opens(t))
     return found - units, units
 
 
+def units_in(found: list[str]) -> list[tuple[set[str], bool]]:
+    """(units, whether the text may hold rows of single letters) of each text, as ``divided``
+    gives them: only tokens with a sign that may disguise or a character three times, and
+    texts with three single letters in a row, are looked at one by one."""
+    whole = "\n".join(found)
+    codes = _codes(whole)
+    out: list[tuple[set[str], bool]] = [(set(), False) for _ in found]
+    if not len(codes):
+        return out
+    kinds, low = _kinds()[codes], _lower()[codes]
+    white = kinds & WHITE != 0
+    last, first = np.append(white[1:], True) & ~white, np.append(True, white[:-1]) & ~white
+    odd = (kinds & SIGN != 0) & (~last | (kinds & FIRM != 0))
+    odd[:-2] |= (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & ~white[:-2]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    bounds = np.cumsum([len(t) + 1 for t in found])
+    alone = kinds[starts] & ALONE != 0
+    single = alone & (ends - starts == 1)
+    for k in np.unique(np.searchsorted(bounds, starts[:-2][single[:-2] & single[1:-1] & alone[2:]], "right")).tolist():
+        out[k] = (divided(found[k])[1], True)
+    for token in np.unique(np.searchsorted(starts, np.flatnonzero(odd), "right") - 1).tolist():
+        a, b = int(starts[token]), int(ends[token])
+        if opens(whole[a:b]):
+            units, rows = out[int(np.searchsorted(bounds, a, "right"))]
+            if not rows:
+                units.add(whole[a:b])
+    return out
+
+
 class Restorer:
     def __init__(self, letters: Letters):
         self.letters = letters
@@ -284,7 +384,7 @@ def units_of(df: DataFrame) -> DataFrame:
     """(unit), distinct, of all texts."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = set().union(*(divided(t)[1] for t in texts(batch)))
+        found = set().union(*(units for units, _ in units_in(texts(batch))))
         return pa.record_batch([pa.array(list(found), pa.string())], names=["unit"])
 
     return map_rows(df.select("text"), "unit string", kernel).distinct()
@@ -393,9 +493,11 @@ def score(docs: DataFrame, read: DataFrame, lexicon: dict[str, float]) -> DataFr
         return [{"item": i, "p": p} for p, i in {_best(w, shared.value) for w in words} if p]
 
     def plain(batch: pa.RecordBatch) -> pa.RecordBatch:
-        here, both = uuid.uuid4().hex, [divided(t) for t in texts(batch)]
-        return pa.record_batch([pa.array([f"{here}{k}" for k in range(len(both))]), batch.column("doc_id"), pa.array([found(b[0]) for b in both], hits),
-                                pa.array([sorted(b[1]) for b in both], pa.list_(pa.string()))], names=["row", "doc_id", "found", "units"])
+        here, rows, marks = uuid.uuid4().hex, texts(batch), _marks(shared.value)
+        both = units_in(rows)
+        seen = [found(divided(t)[0]) if alone else [{"item": i, "p": p} for p, i in marks.of(t)] for t, (_, alone) in zip(rows, both)]
+        return pa.record_batch([pa.array([f"{here}{k}" for k in range(len(both))]), batch.column("doc_id"), pa.array(seen, hits),
+                                pa.array([sorted(units) for units, _ in both], pa.list_(pa.string()))], names=["row", "doc_id", "found", "units"])
 
     def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = [found(r.split()) for r in batch.column("reading").to_pylist()]
@@ -413,6 +515,57 @@ def score(docs: DataFrame, read: DataFrame, lexicon: dict[str, float]) -> DataFr
     return map_rows(rows.join(written(more, "more"), "row", "left").select("doc_id", "found", "marks"), "doc_id long, score double", total)
 
 
+class Marks:
+    """Finds the lexicon's items in a whole text: one automaton, and a look at the
+    token around each hit."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        patterns: dict[str, list[tuple[float, str, bool]]] = {}
+        for item, p in lexicon.items():
+            if p and item[-1] == "$" and item != "$":
+                patterns.setdefault(item[:-1], []).append((p, item, True))
+            if p and len(item) in BEGINNINGS:
+                patterns.setdefault(item, []).append((p, item, False))
+        self.edges = lexicon.get("$", 0.0)  # the word of a token of edge signs only
+        self.automaton = ahocorasick.Automaton() if patterns else None
+        for pattern, items in patterns.items():
+            self.automaton.add_word(pattern, (len(pattern), items))
+        if patterns:
+            self.automaton.make_automaton()
+
+    def of(self, text: str) -> set[tuple[float, str]]:
+        """``best_item`` of every token that opens no lattice, if any."""
+        low = text.lower()
+        best: dict[int, tuple[float, str]] = {}
+        for end, (size, items) in self.automaton.iter(low) if self.automaton else ():
+            start = at = end + 1 - size
+            while at and low[at - 1] in _EDGES:
+                at -= 1
+            if at and not low[at - 1].isspace():
+                continue
+            stop = _BLANK.search(low, end + 1)
+            token = low[at:stop.start() if stop else len(low)]
+            word = token[start - at:].rstrip(_EDGES)
+            if len(word) < size or opens(token):
+                continue
+            for p, item, only_whole in items:
+                if (len(word) == size or not only_whole) and (p, item) > best.get(start, (0.0, "")):
+                    best[start] = (p, item)
+        out = set(best.values())
+        if self.edges and any(not opens(t) for t in _EDGES_ONLY.findall(low)):
+            out.add((self.edges, "$"))
+        return out
+
+
+_MARKS: list = []
+
+
+def _marks(lexicon: dict[str, float]) -> Marks:
+    if not _MARKS or _MARKS[0] is not lexicon:
+        _MARKS[:] = [lexicon, Marks(lexicon)]
+    return _MARKS[1]
+
+
 _BEST: dict[str, tuple[float, str]] = {}
 _BEST_OF: list[dict] = []
 

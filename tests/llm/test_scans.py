@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -266,6 +267,39 @@ def test_counts_of_many_ngrams_are_exact(spark):
     assert {r["reading"] for r in toxicity.readings(units, table).collect()} == {"idiot"}
 
 
+def _odd_texts(seed: int, n: int) -> list[str]:
+    r = random.Random(seed)
+    return ["".join(r.choice("aAbİΣσ$@1. -'_|!(ṅé漢٣ \n") for _ in range(r.randrange(40))) for _ in range(n)]
+
+
+def test_ngrams_of_a_batch_equal_brute_force():
+    wide = [chr(c) for a, b in ((0x20000, 0x2A6D0), (0x4E00, 0x9FA0), (0xAC00, 0xD7A0)) for c in range(a, b)]  # over 2 ** 16 letters
+    random.Random(3).shuffle(wide)
+    for found in [*(_odd_texts(k, 5) for k in range(200)), ["".join(wide[:40_000]), " ".join(wide), "ab ab"], []]:
+        want, got = Counter(), Counter()
+        for word in (w for t in found for w in re.findall(r"[^\W\d_]+", t.lower())):
+            line = f" {word} "
+            want.update(line[1:])
+            want.update(line[i:i + n] for n in range(2, toxicity.ORDER + 1) for i in range(len(line) - n + 1))
+        for gram, n in toxicity._grams(found):
+            got[gram] += n
+        assert got == want
+
+
+def test_units_and_marks_of_a_batch_equal_single_looks():
+    r = random.Random(5)
+    for k in range(400):
+        found = _odd_texts(1000 + k, 5)
+        lexicon = {i: r.random() for t in found for w in t.split() for i in toxicity.items(toxicity.word_of(w)) if r.random() < 0.5}
+        marks = toxicity.Marks(lexicon)
+        for t, (units, alone) in zip(found, toxicity.units_in(found)):
+            plain, want = toxicity.divided(t)
+            assert units == want
+            if not alone:
+                best = {toxicity.best_item(toxicity.word_of(w), lexicon) for w in plain}
+                assert marks.of(t) == {(p, i) for p, i in best if p}
+
+
 # ---------------------------------------------------------------- pipeline
 
 
