@@ -4,9 +4,11 @@ Restoring: a token written with digits or signs for letters, with separators
 between its letters or with letters repeated opens a lattice of characters
 (each sign may stand for a letter, a repetition or separator may be nothing),
 and Viterbi decoding under a character language model of order ``ORDER`` picks
-the likeliest reading, paying a channel cost per change.  Letters standing
-alone in a row are joined where the model prefers a word.  All other tokens
-have one path through their lattice and stay as they are.
+the likeliest reading, paying a channel cost per change.  Letters and signs
+standing alone in a row open one lattice of the same kind, in which every blank
+may be one or nothing, so spacing, signs and repetition are decoded together.
+All other tokens have one path through their lattice and stay as they are:
+numbers, and rows of which less than a quarter are letters.
 
 The model's counts are taken over the words of all learning rows, whole
 texts: one row per n-gram in a table of the shared folder, which grows with the
@@ -25,7 +27,9 @@ below that.  The lexicon is fitted on a bounded, deterministic sample of
 
 Rows: null and empty texts score 0; unlabelled rows are scored like others;
 repeated rows get equal scores; labels, lang, source and doc_id are no input
-of a score.  Without labels every score is 0.
+of a score.  Of several labels of a row the greatest counts.  Without labels
+every score is 0; without documents there are no rows.  Texts and units of any
+length take time and memory in proportion.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -60,9 +64,10 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 COST_SIGN, COST_DROP, OUTSIDE = -1.0, -0.7, -16.0
 SEPARATORS = frozenset(".-_*~'")
 _EDGES = ".,;:!?%&*#\"'()[]{}|$<>=`~_-+"
-_ALONE = re.compile(r"(?<!\S)(?:[^\W\d_] ){3,}[^\W\d_](?![^\s.,;:!?])")
-#: A row of letters standing alone, with what follows it without a blank.
-_ROW = re.compile(f"({_ALONE.pattern})" + r"(\S*)")
+#: Three or more letters (or signs that mostly stand for letters) alone, one or two blanks
+#: apart, and what follows the last without a blank.
+_ONE = r"(?:[^\W\d_]|[0-9@$€£])"
+_ROW = re.compile(rf"((?<!\S)(?:{_ONE} {{1,2}}){{2,}}{_ONE}(?![^\s.,;:!?]))(\S*)")
 _ODD = re.compile(r"(.)\1\1|[0-9@$!|+(€£.\-_*~]")
 _BLANK = re.compile(r"\s")
 _EDGES_ONLY = re.compile(rf"(?<!\S)[{re.escape(_EDGES)}]+(?!\S)")
@@ -90,6 +95,8 @@ def _kinds() -> np.ndarray:
         table[ord(c)] |= SIGN
     for c in "0123456789@$€£İ":  # these count at the end of a token too
         table[ord(c)] |= SIGN | FIRM
+    for c in "0123456789@$€£":
+        table[ord(c)] |= ALONE
     return table
 
 
@@ -240,16 +247,30 @@ class Asked(Letters):
 
 
 def lattice(token: str) -> str:
-    """The part of a token that opens a lattice, lower case, or nothing."""
+    """The part of a token that opens a lattice, lower case, or nothing.  At least two
+    fifths of it can be read as letters, and one is a letter or no digit is among them."""
     low = token.lower()
     core = low.strip(_EDGES)
     lead, _, tail = low.partition(core) if core else (low, "", "")
     if lead in LEET and lead not in "(|":  # one sign at the edge may be a letter
         core = lead + core
+    else:
+        core = "$" * (len(lead) - len(lead.rstrip("$"))) + core if core else ""
     if tail in LEET and tail not in "!|+(":
         core += tail
-    letters = sum(c.isalpha() for c in core)
-    return "" if not core or not _ODD.search(core) or letters * 5 < len(core) * 2 or len(core) < 3 else core
+    else:
+        core += "$" * (len(tail) - len(tail.lstrip("$")))
+    letters, digits = sum(c.isalpha() for c in core), sum("0" <= c <= "9" for c in core)
+    readable = sum(c.isalpha() or c in LEET for c in core)
+    if len(core) < 3 or not _ODD.search(core) or readable * 5 < len(core) * 2 or (digits and not letters):
+        return ""
+    return core
+
+
+def is_row(m: re.Match) -> bool:
+    """Whether single signs in a row may be a disguised text: a quarter of them are letters."""
+    alone = [c for c in m[1] if not c.isspace()]
+    return sum(c.isalpha() for c in alone) * 4 >= len(alone)
 
 
 _OPENS: dict[str, bool] = {}
@@ -267,9 +288,9 @@ def opens(token: str) -> bool:
 
 def divided(text: str) -> tuple[set[str], set[str]]:
     """(tokens as they stand, units) of a text, distinct."""
-    tokens, units = text.split(), {m.group() for m in _ROW.finditer(text)}
+    tokens, units = text.split(), {m.group() for m in _ROW.finditer(text) if is_row(m)}
     if units:
-        tokens = _ROW.sub(" ", text).split()
+        tokens = _ROW.sub(lambda m: " " if is_row(m) else m.group(), text).split()
     found = set(tokens)
     units.update(t for t in found if opens(t))
     return found - units, units
@@ -326,57 +347,73 @@ class Restorer:
         return token[:at] + self._decode(core) + token[at + len(core):]
 
     def _decode(self, core: str) -> str:
-        # context -> (score, reading); the context is all the model looks at
-        paths: dict[str, tuple[float, str]] = {" ": (0.0, "")}
+        # context -> (score, reading as a chain); the context is all the model looks at
+        paths: dict[str, tuple[float, tuple | None]] = {" ": (0.0, None)}
         for k, c in enumerate(core):
-            options = [(c, 0.0)] + [(x, COST_SIGN) for x in LEET.get(c, "")]
-            if (c.isalpha() and c * 3 in core[max(0, k - 2):k + 3] and core[k - 1:k] == c) or (c in SEPARATORS and 0 < k < len(core) - 1):
+            options = _options(core, k)
+            if c in SEPARATORS and 0 < k < len(core) - 1:
                 options.append(("", COST_DROP))
-            after: dict[str, tuple[float, str]] = {}
+            after: dict[str, tuple[float, tuple | None]] = {}
             for before, (score, reading) in paths.items():
                 for x, cost in options:
-                    value = score + cost + (self.letters.log_p(before, x) if x else 0.0)
-                    context = (before + x)[1 - ORDER:]
-                    if context not in after or value > after[context][0]:
-                        after[context] = (value, reading + x)
+                    _keep(after, (before + x)[1 - ORDER:], score + cost + (self.letters.log_p(before, x) if x else 0.0), (reading, x) if x else reading)
             paths = after
-        return max((score + self.letters.log_p(before, " "), reading) for before, (score, reading) in paths.items())[1]
+        return self._best(paths)
 
     def join(self, run: str) -> str:
-        """Letters standing alone: the likeliest division into words."""
-        alone = [c for c in run.lower() if c.isalpha()]
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        for j in range(1, len(alone) + 1):
-            best.append(max((best[i][0] + self.letters.word("".join(alone[i:j])) + (COST_SIGN if j - i > 1 else 0.0), i) for i in range(max(0, j - 24), j)))
-        out, j = [], len(alone)
-        while j:
-            i = best[j][1]
-            out.append("".join(alone[i:j]))
-            j = i
-        return " ".join(reversed(out))
+        """Letters and signs standing alone: the likeliest letters and their division into
+        words of any length, in one lattice.  A word of several letters pays for the blanks taken out once."""
+        alone = "".join(c for c in run.lower() if c.isalpha() or c in LEET)
+        paths: dict[str, tuple[float, tuple | None]] = {"": (0.0, None)}
+        for k in range(len(alone)):
+            options = _options(alone, k)
+            after: dict[str, tuple[float, tuple | None]] = {}
+            for before, (score, reading) in paths.items():
+                ended = score + (self.letters.log_p(before, " ") if before else 0.0)
+                for x, cost in options:
+                    if not x:
+                        _keep(after, before, score + cost, reading)
+                        continue
+                    _keep(after, " " + x, ended + cost + self.letters.log_p(" ", x), ((reading, " ") if before else None, x))
+                    if before:
+                        second = len(before) == 2  # the word had one letter: a blank and it
+                        _keep(after, (before + x)[1 - ORDER:], score + cost + self.letters.log_p(before, x) + (COST_SIGN if second else 0.0), (reading, x))
+            paths = after
+        return self._best(paths)
+
+    def _best(self, paths: dict[str, tuple[float, tuple | None]]) -> str:
+        """The reading of the likeliest path; of equal ones, that with the greatest context."""
+        context = max(paths, key=lambda c: (paths[c][0] + (self.letters.log_p(c, " ") if c else 0.0), c))
+        out, chain = [], paths[context][1]
+        while chain is not None:
+            chain, x = chain
+            out.append(x)
+        return "".join(reversed(out))
 
     def unit(self, unit: str) -> str:
         """The likeliest reading of a unit."""
         row = _ROW.fullmatch(unit)
-        if not row:
-            return self._token(unit)
-        return " ".join(map(self.token, (self.join(row[1]) + row[2]).split()))
+        return self.join(row[1]) + row[2] if row else self._token(unit)
+
+
+def _options(core: str, k: int) -> list[tuple[str, float]]:
+    """What the character at ``k`` may stand for, and the cost: itself, a letter it looks like, or, repeated, nothing."""
+    c = core[k]
+    options = [(c, 0.0)] + [(x, COST_SIGN) for x in LEET.get(c, "")]
+    if c.isalpha() and c * 3 in core[max(0, k - 2):k + 3] and core[k - 1:k] == c:
+        options.append(("", COST_DROP))
+    return options
+
+
+def _keep(paths: dict[str, tuple[float, tuple | None]], context: str, score: float, reading: tuple | None) -> None:
+    if context not in paths or score > paths[context][0]:
+        paths[context] = (score, reading)
 
 
 def needed(unit: str) -> set[str]:
-    """All n-grams that reading a unit can ask for."""
+    """All n-grams that reading a unit can ask for: no context is left out, whatever its score."""
     asked = Asked()
-    restorer, row = Restorer(asked), _ROW.fullmatch(unit)
-    if not row:
-        restorer._token(unit)
-        return asked.grams
-    alone = "".join(c for c in row[1].lower() if c.isalpha())
-    for w in {alone[i:j] for j in range(1, len(alone) + 1) for i in range(max(0, j - 24), j)}:
-        asked.word(w)
-        restorer._token(w)
-    for i in range(max(0, len(alone) - 24), len(alone)):
-        for w in (alone[i:] + row[2]).split():
-            restorer._token(w)
+    Restorer(asked).unit(unit)
     return asked.grams
 
 
@@ -405,9 +442,10 @@ def readings(units: DataFrame, counts: Counts) -> DataFrame:
         return pa.record_batch([batch.column("unit"), pa.array(out, pa.string())], names=["unit", "reading"])
 
     asked = map_rows(units, "unit string, grams array<string>", ask, 1 << 18)
-    pairs = asked.select("unit", F.explode("grams").alias("gram")).join(counts.table, "gram")
-    known = pairs.groupBy("unit").agg(F.collect_list(F.struct("gram", "n")).alias("known"))
-    return written(map_rows(units.join(known, "unit", "left"), "unit string, reading string", read), "readings")
+    key = F.sha2("unit", 256).alias("key")  # units can be as long as a text
+    pairs = asked.select(key, F.explode("grams").alias("gram")).join(counts.table, "gram")
+    known = pairs.groupBy("key").agg(F.collect_list(F.struct("gram", "n")).alias("known"))
+    return written(map_rows(units.select("unit", key).join(known, "key", "left"), "unit string, reading string", read), "readings")
 
 
 # ---------------------------------------------------------------- lexicon

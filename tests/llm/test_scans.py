@@ -1,8 +1,10 @@
 """Operators that map rows: decontamination, tokens, pages, personal data, language, toxicity."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -300,6 +302,61 @@ def test_units_and_marks_of_a_batch_equal_single_looks():
                 assert marks.of(t) == {(p, i) for p, i in best if p}
 
 
+def _readings(row: str):
+    """Every reading of a row of single signs and its score, by enumeration."""
+    letters = toxicity.Letters(*MODEL)
+    alone = [c for c in row if c != " "]
+    for chosen in itertools.product(*[[(c, 0.0)] + [(x, toxicity.COST_SIGN) for x in toxicity.LEET.get(c, "")] for c in alone]):
+        for cuts in itertools.product([False, True], repeat=len(alone) - 1):
+            words, cost = [""], 0.0
+            for (x, price), cut in zip(chosen, (False, *cuts)):
+                words += [""] * cut
+                words[-1] += x
+                cost += price
+            yield cost + sum(letters.word(w) + (toxicity.COST_SIGN if len(w) > 1 else 0.0) for w in words), " ".join(words)
+
+
+_PROSE = ["you are an idiot and a moron shit ass lot of the words in this text are good"] * 50
+MODEL = (lambda c: (c, max(c.values())))(sum((Counter({g: n}) for g, n in toxicity._grams(_PROSE)), Counter()))
+
+
+def test_rows_of_single_signs_by_enumeration():
+    r = random.Random(8)
+    restorer = toxicity.Restorer(toxicity.Letters(*MODEL))
+    for row in ["s h 1 t", "i d 1 o t", "a s s", *(" ".join(r.choice("asitdo105@x") for _ in range(r.randrange(3, 7))) for _ in range(60))]:
+        if "".join(row.split()) != re.sub(r"(.)\1\1", "", "".join(row.split())):
+            continue  # repetitions may be dropped, which the enumeration leaves out
+        best = max(_readings(row))
+        got = {text: value for value, text in _readings(row)}[restorer.join(row)]
+        assert got == pytest.approx(best[0])
+    assert [restorer.unit(u) for u in ("s h 1 t", "i  d 1 o  t,", "a s s", "5h17", "@$$", "i-d-1-0-t")] == ["shit", "idiot,", "ass", "shit", "ass", "idiot"]
+
+
+def test_only_what_may_be_a_word_opens_a_lattice():
+    assert [t for t in ("2024-01-31", "$100", "455", "...", "$$$", "+49-30-123", "10:15", "plain", "well-") if toxicity.lattice(t)] == []
+    assert toxicity.divided("at 1 2 3 4 5 6 of x and s h 1 t.")[1] == {"s h 1 t."}
+
+
+def test_long_rows_and_tokens_take_linear_time():
+    begin = time.perf_counter()
+    for unit in ("a b c d 1 " * 16_000 + "e", "x" * 80_000, "a1" * 40_000):
+        grams = toxicity.needed(unit)
+        assert len(grams) < 5000
+        assert toxicity.Restorer(toxicity.Letters(*MODEL)).unit(unit)
+    assert time.perf_counter() - begin < 30
+
+
+def test_toxicity_decodes_spacing_and_signs_together(spark, tables):
+    bad = ["idiot", "moron", "pathetic", "loser"]
+    docs = [(i, prose(i, 10).replace("w", "the lone road ") + (f" see {bad[i // 2 % 4]} there" if i % 2 else " see fine there")) for i in range(300)]
+    hidden = ["1 d 1 o t", "m 0 r o n", "p 4 t h 3 t 1 c", "l 0 s 3 r", "i-d-1-0-t", "i  d  i  o  t", "1d107"]
+    clean = ["fine", "1 2 3 4", "2024-01-31", "f 1 n e", "$100"]
+    docs += [(1000 + k, f"see {h} there") for k, h in enumerate(hidden)] + [(2000 + k, f"see {c} there") for k, c in enumerate(clean)]
+    top = tables(documents=[*docs, *awkward()], labels=[(i, 1, i % 2) for i in range(20, 300)])
+    got = {r["doc_id"]: r["predicted"] for r in QUERIES["op6_toxicity"](spark, top).collect()}
+    assert [h for k, h in enumerate(hidden) if not got[1000 + k]] == [] and [c for k, c in enumerate(clean) if got[2000 + k]] == []
+
+
 # ---------------------------------------------------------------- pipeline
 
 
