@@ -6,17 +6,23 @@ links divided by the tags met since the line before.  The ratios are smoothed
 with a Gaussian over neighbouring lines, and lines at or above the standard
 deviation of the smoothed ratios (or their mean, if that is less) form the
 content cluster.  Lines belong to
-regions (the nearest enclosing sectioning element); a region is content if
+regions (the nearest enclosing sectioning or weak element); a region is content if
 the cluster holds at least half of its characters, and then all its lines are
 kept, so short paragraphs and headings stay.  Where the cluster reaches into
-``article`` or ``main`` elements, only these count, with all nested in them.
+``article`` or ``main`` elements, only these count, with all nested in them that is not weak.
 
-Dropped beforehand, with all they contain: the elements of ``DROPPED`` and
-elements whose class, id or role says so (``HINTS``).
+Names decide nothing alone: the elements of ``WEAK`` and elements whose class, id
+or role says so (``HINTS``) are *weak*, and the smoothed ratio of a line counts
+``LESS`` as much for each weak element around it.  An element around nearly
+all (``NEARLY_ALL``) of the page's text is not weak (a page in one form, a wrapper called
+``has-sidebar``), nor is one around half of it that is or holds an ``article`` or
+``main``, nor the ``header`` of one.  Only what shows no running text
+(``DROPPED``, hidden elements) is left out beforehand.
 
 Rows: null, empty and text-free html gives an empty text; an unfinished tag at
 the end is no text; unclosed elements end with the page; repeated rows give
-equal results.  Nothing else is dropped or cut, however long the page.
+equal results.  Nothing else is dropped or cut, however long the page.  An
+empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,12 +39,15 @@ from codeweigh.llm.common import documents, map_rows
 PIECE = 1 << 16
 SIGMA = 1.0
 RADIUS = 2
+LESS = 0.05
+NEARLY_ALL = 0.9
 
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head script style noscript template nav header footer aside form button select textarea menu dialog iframe object svg canvas audio video title".split())
+DROPPED = frozenset("head script style noscript template button select textarea iframe object svg canvas audio video title".split())
+WEAK = frozenset("nav header footer aside form menu dialog".split())
 REGIONS = frozenset("body article main section div td".split())
-BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split()) | DROPPED
+BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split()) | DROPPED | WEAK
 #: Words of class, id and role attributes that name boilerplate.
 HINTS = frozenset("""ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies
  dialog disqus footer header hidden menu modal nav navbar navigation navigator newsletter notice notification overlay popup promo promoted promotion
@@ -50,18 +59,20 @@ def _is_hinted(attrs: list[tuple[str, str | None]]) -> bool:
     for name, value in attrs:
         if name in ("class", "id", "role") and value and not HINTS.isdisjoint(_WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())):
             return True
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
     return False
 
 
+def _is_hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attrs)
+
+
 class Lines(HTMLParser):
     """Collects (text, link characters, tags, region) per block."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int]] = []
-        self.regions: list[tuple[str, int]] = [("body", -1)]  # name and parent of each region
+        self.regions: list[tuple[str, int, bool]] = [("body", -1, False)]  # name, parent, whether its names call it weak
         self.open: list[tuple[str, bool, int]] = []  # name, dropped, region
         self.region, self.skipping, self.links = 0, 0, 0
         self.text: list[str] = []
@@ -84,13 +95,17 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        dropped = tag in DROPPED or (tag not in ("html", "body") and _is_hinted(attrs))
+        inner = tag not in ("html", "body")
+        dropped = tag in DROPPED or (inner and _is_hidden(attrs))
+        weak = tag in WEAK or (inner and _is_hinted(attrs))
         if tag == "a":
             self.links += 1
         self.open.append((tag, dropped, self.region))
         self.skipping += dropped
-        if tag in REGIONS and tag != "body":
-            self.regions.append((tag, self.region))
+        if weak and tag not in BLOCKS:
+            self.end_line()
+        if weak or (tag in REGIONS and tag != "body"):
+            self.regions.append((tag, self.region, weak))
             self.region = len(self.regions) - 1
 
     def handle_startendtag(self, tag, attrs):
@@ -109,6 +124,8 @@ class Lines(HTMLParser):
             name = self.open[at][0]
             if name == tag:
                 for name, dropped, region in reversed(self.open[at:]):
+                    if region != self.region and name not in BLOCKS:  # a weak element inside a line
+                        self.end_line()
                     self.skipping -= dropped
                     self.links -= name == "a"
                     self.region = region
@@ -129,6 +146,46 @@ def smoothed(ratio: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(ratio, RADIUS, "edge"), k / k.sum(), "valid")
 
 
+def weakness(regions: list[tuple[str, int, bool]], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weak elements around each region, those around its article or -1 outside); ``plain``
+    counts the characters outside links of each region's own lines."""
+    held, holds = plain.copy(), np.array([name in ("article", "main") for name, *_ in regions])
+    for i in range(len(regions) - 1, 0, -1):  # parents come first
+        held[regions[i][1]] += held[i]
+        holds[regions[i][1]] |= holds[i]
+    depth, article = np.zeros(len(regions), int), np.full(len(regions), -1)
+    for i, (name, parent, weak) in enumerate(regions):
+        if parent >= 0:
+            depth[i], article[i] = depth[parent], article[parent]
+        share = held[i] / max(held[0], 1)
+        titles = name == "header" and article[i] == depth[i]
+        depth[i] += weak and not titles and share < NEARLY_ALL and not (holds[i] and share >= 0.5)
+        if name in ("article", "main"):
+            article[i] = depth[i]
+    return depth, article
+
+
+def chosen(page: Lines, smooth=smoothed) -> list[str]:
+    """The texts of the page's content lines."""
+    if not page.lines:
+        return []
+    n = len(page.regions)
+    size = np.array([len(t) for t, *_ in page.lines], float)
+    plain = np.array([max(0, len(t) - links) for t, links, *_ in page.lines], float)
+    tags = np.array([n for *_, n, _ in page.lines], float)
+    region = np.array([r for *_, r in page.lines])
+    depth, article = weakness(page.regions, np.bincount(region, plain, n))
+    ratio = smooth(plain / np.maximum(tags, 1)) * LESS ** depth[region]
+    content = ratio >= min(ratio.std(), ratio.mean())
+    held = np.bincount(region, size * content, n)
+    kept = held * 2 >= np.maximum(np.bincount(region, size, n), 1)
+    reached = (article >= 0) & (held > 0)
+    if reached.any():
+        least = article[reached].min()
+        kept = (article == least) & ((depth == least) | kept)
+    return [t for (t, *_, r) in page.lines if kept[r]]
+
+
 def main_text(html: str | None) -> str:
     html = html or ""
     last = html.rfind("<")
@@ -139,22 +196,7 @@ def main_text(html: str | None) -> str:
         page.feed(html[at:at + PIECE])
     page.close()
     page.end_line()
-    if not page.lines:
-        return ""
-    size = np.array([len(t) for t, *_ in page.lines], float)
-    plain = np.array([max(0, len(t) - links) for t, links, *_ in page.lines], float)
-    tags = np.array([n for *_, n, _ in page.lines], float)
-    region = np.array([r for *_, r in page.lines])
-    ratio = smoothed(plain / np.maximum(tags, 1))
-    content = ratio >= min(ratio.std(), ratio.mean())
-    held = np.bincount(region, size * content, len(page.regions))
-    kept = held * 2 >= np.maximum(np.bincount(region, size, len(page.regions)), 1)
-    inside = np.zeros(len(page.regions), bool)  # in an article or main element
-    for i, (name, parent) in enumerate(page.regions):
-        inside[i] = name in ("article", "main") or (parent >= 0 and inside[parent])
-    if (held[inside] > 0).any():
-        kept = inside
-    return "\n".join(t for (t, *_, r) in page.lines if kept[r])
+    return "\n".join(chosen(page))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -162,6 +163,46 @@ def test_pages_give_the_articles(spark):
         assert re.findall(r"\S+", html_text.main_text(r["html"])) == re.findall(r"\S+", __import__("html").unescape(re.sub(r"<[^>]*>?", " ", inside)))
 
 
+_PARAS = ["The first paragraph tells at length what happened, and to whom.", "Another one follows it, with as many words as the one before.",
+          "Short end."]
+_ARTICLE = "<h1>Title</h1>" + "".join(f"<p>{p}</p>" for p in _PARAS)
+_TEXT = "\n".join(["Title", *_PARAS])
+_AROUND = "<nav><ul><li><a>Home</a><li><a>News</a></ul></nav>"
+
+
+@pytest.mark.parametrize("html", [
+    f'<div id=page class="has-sidebar">{_AROUND}<div>{_ARTICLE}</div><div class="sidebar"><p>Other things you may read here.</p></div></div>',
+    f'{_AROUND}<article class="post search-related">{_ARTICLE}</article><footer>All rights reserved by somebody.</footer>',
+    f'<form id=aspnetForm method=post>{_AROUND}<div>{_ARTICLE}</div><footer><p>Imprint of the house</p></footer></form>',
+    f'{_AROUND}<main><header><h1>Title</h1></header>{_ARTICLE[len("<h1>Title</h1>"):]}</main><aside><article><p>A teaser of some length for another article.</p></article></aside>',
+    f'<div class="hidden-xs wrap">{_AROUND}<article>{_ARTICLE}<div class="ad">Buy this now, it is cheap and good and near you.</div></article></div>',
+    f'<article>{_ARTICLE}<section class="comments"><article class="comment"><p>I have read all of this and do not agree at all.</p></article></section></article>',
+    f'<div class="cookie-notice">We use cookies to see what you do here all day.</div><div>{_ARTICLE}</div>',
+])
+def test_pages_of_ordinary_layouts(html):
+    assert html_text.main_text(f"<html><head><title>T</title></head><body>{html}</body></html>") == _TEXT
+
+
+def test_ratios_decide_not_names():
+    """Elements no list names: the ratio, smoothing and clustering tell links from text; without them nothing is told apart."""
+    links = "".join(f"<div><a href=x>Link {k}</a> <i>|</i></div>" for k in range(8))
+    page = html_text.Lines()
+    page.feed(f"<table><tr><td>{links}</td><td>{_ARTICLE}</td><td>{links}</td></tr></table>")
+    page.end_line()
+    assert html_text.chosen(page) == _TEXT.split("\n")
+    assert len(html_text.chosen(page, smooth=np.ones_like)) == len(page.lines) == 20
+
+
+def test_clusters_equal_a_plain_line_classifier():
+    """Smoothing and threshold, line by line in plain Python."""
+    r = random.Random(6)
+    for _ in range(200):
+        ratios = [r.choice([0, 1, 5, 80, 200]) * r.random() for _ in range(r.randrange(1, 30))]
+        weights = {d: math.exp(-d * d / (2 * html_text.SIGMA ** 2)) for d in range(-html_text.RADIUS, html_text.RADIUS + 1)}
+        want = [sum(w * ratios[min(max(i + d, 0), len(ratios) - 1)] for d, w in weights.items()) / sum(weights.values()) for i in range(len(ratios))]
+        assert html_text.smoothed(np.array(ratios)) == pytest.approx(want)
+
+
 # ---------------------------------------------------------------- personal data
 
 
