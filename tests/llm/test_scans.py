@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -247,6 +248,68 @@ def test_field_adds_rewritten_spans_and_leaves_clean_text(spark):
         assert personal_data.all_spans(t, field)[1] == []
 
 
+def _field(seed: int = 0) -> personal_data.Field:
+    weights = np.random.default_rng(seed).normal(0, 1, (len(personal_data.KINDS), personal_data.SLOTS))
+    return personal_data.Field(weights)
+
+
+def _best_segmentation(text: str, field: personal_data.Field) -> float:
+    """The best total of disjoint segments, by trying all."""
+    tokens, segments, rows = field.prepare(text)
+    scores = (field.weights[:, rows].sum(2) - personal_data.MARGIN).max(0) if segments else []
+
+    def best(i: int) -> float:
+        if i >= len(tokens):
+            return 0.0
+        return max([best(i + 1)] + [scores[k] + best(segments[k][1]) for k in range(len(segments)) if segments[k][0] == i])
+
+    return best(0)
+
+
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_segments_are_the_best_of_all(monkeypatch, block):
+    monkeypatch.setattr(personal_data, "BLOCK", block)
+    r = random.Random(block)
+    for k in range(60):
+        field = _field(k)
+        text = " ".join(r.choice(["1234", "at", "555-0199", "x@y", "no", "+49", "(212)", "10.4"]) for _ in range(r.randrange(1, 7)))
+        total, end = 0.0, 0
+        for kind, a, b in field.decode("ab " + text, 3):
+            assert a >= end
+            end = b
+            row = np.array(personal_data._index(personal_data.features(text, a - 3, b - 3)))
+            total += field.weights[personal_data.KINDS.index(kind), row].sum() - personal_data.MARGIN
+        assert total == pytest.approx(_best_segmentation(text, field))
+
+
+def test_long_lists_take_linear_time_and_bounded_memory():
+    field = _field()
+    times = []
+    for n in (4000, 16_000):
+        begin = time.perf_counter()
+        base, every = personal_data.all_spans("\n".join(f"+1 212 555 {k:04d}" for k in range(n)), field)
+        times.append(time.perf_counter() - begin)
+        assert len(base) == n and set(base) <= set(every)
+    assert times[1] < 8 * times[0] + 0.5
+    tracemalloc.start()
+    personal_data.all_spans(",".join(str(k * 7919 % 1_000_000) for k in range(6000)), field)
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+
+
+def test_triggers_are_cut_at_base_spans():
+    text = "10.20.30.40 (212) 555-0199"
+    base = personal_data.base_spans(text)
+    assert base == [("ip", 0, 11)] and personal_data.windows(text, base) == [(0, len(text))]
+
+
+def test_every_rewritten_form_is_a_candidate():
+    for kind, span in (("email", "first.last@mail.example.com"), ("ip", "10.20.30.40"), ("card", "4539148803436467000"), ("phone", "+49 212 555 0199")):
+        for new in personal_data.rewritten(kind, span):
+            tokens, segments, _ = personal_data.Field.prepare(new)
+            assert (0, len(tokens)) in segments, new
+
+
 # ---------------------------------------------------------------- language
 
 
