@@ -70,6 +70,8 @@ _ONE = r"(?:[^\W\d_]|[0-9@$€£])"
 _ROW = re.compile(rf"((?<!\S)(?:{_ONE} {{1,2}}){{2,}}{_ONE}(?![^\s.,;:!?]))(\S*)")
 _ODD = re.compile(r"(.)\1\1|[0-9@$!|+(€£.\-_*~]")
 _BLANK = re.compile(r"\s")
+#: Two dollar signs at an edge may be letters; three or more are decoration.
+_DOLLARS_BEFORE, _DOLLARS_AFTER = re.compile(r"(?:(?<!\$)\${2})?\Z"), re.compile(r"(?:\${2}(?!\$))?")
 _EDGES_ONLY = re.compile(rf"(?<!\S)[{re.escape(_EDGES)}]+(?!\S)")
 
 
@@ -255,11 +257,11 @@ def lattice(token: str) -> str:
     if lead in LEET and lead not in "(|":  # one sign at the edge may be a letter
         core = lead + core
     else:
-        core = "$" * (len(lead) - len(lead.rstrip("$"))) + core if core else ""
+        core = _DOLLARS_BEFORE.search(lead).group() + core if core else ""
     if tail in LEET and tail not in "!|+(":
         core += tail
     else:
-        core += "$" * (len(tail) - len(tail.lstrip("$")))
+        core += _DOLLARS_AFTER.match(tail).group()
     letters, digits = sum(c.isalpha() for c in core), sum("0" <= c <= "9" for c in core)
     readable = sum(c.isalpha() or c in LEET for c in core)
     if len(core) < 3 or not _ODD.search(core) or readable * 5 < len(core) * 2 or (digits and not letters):
@@ -286,23 +288,27 @@ def opens(token: str) -> bool:
     return got
 
 
+def without_rows(text: str) -> tuple[set[str], str]:
+    """(rows of single signs, the text without them)."""
+    rows = {m.group() for m in _ROW.finditer(text) if is_row(m)}
+    return rows, _ROW.sub(lambda m: " " if is_row(m) else m.group(), text) if rows else text
+
+
 def divided(text: str) -> tuple[set[str], set[str]]:
     """(tokens as they stand, units) of a text, distinct."""
-    tokens, units = text.split(), {m.group() for m in _ROW.finditer(text) if is_row(m)}
-    if units:
-        tokens = _ROW.sub(lambda m: " " if is_row(m) else m.group(), text).split()
-    found = set(tokens)
+    units, rest = without_rows(text)
+    found = set(rest.split())
     units.update(t for t in found if opens(t))
     return found - units, units
 
 
-def units_in(found: list[str]) -> list[tuple[set[str], bool]]:
-    """(units, whether the text may hold rows of single letters) of each text, as ``divided``
-    gives them: only tokens with a sign that may disguise or a character three times, and
-    texts with three single letters in a row, are looked at one by one."""
+def units_in(found: list[str], rows: bool = True) -> list[tuple[set[str], str]]:
+    """(units, the text without rows of single signs) of each text, the units as
+    ``divided`` gives them: only tokens with a sign that may disguise or a character three
+    times, and texts with three single signs in a row, are looked at one by one."""
     whole = "\n".join(found)
     codes = _codes(whole)
-    out: list[tuple[set[str], bool]] = [(set(), False) for _ in found]
+    out: list[tuple[set[str], str]] = [(set(), t) for t in found]
     if not len(codes):
         return out
     kinds, low = _kinds()[codes], _lower()[codes]
@@ -312,16 +318,22 @@ def units_in(found: list[str]) -> list[tuple[set[str], bool]]:
     odd[:-2] |= (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & ~white[:-2]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     bounds = np.cumsum([len(t) + 1 for t in found])
-    alone = kinds[starts] & ALONE != 0
-    single = alone & (ends - starts == 1)
-    for k in np.unique(np.searchsorted(bounds, starts[:-2][single[:-2] & single[1:-1] & alone[2:]], "right")).tolist():
-        out[k] = (divided(found[k])[1], True)
+    again = []  # texts that hold rows: their tokens are looked for in the rest
+    if rows:
+        alone = kinds[starts] & ALONE != 0
+        single = alone & (ends - starts == 1)
+        for k in np.unique(np.searchsorted(bounds, starts[:-2][single[:-2] & single[1:-1] & alone[2:]], "right")).tolist():
+            out[k] = without_rows(found[k])
+            if out[k][0]:
+                again.append(k)
+        for k, (units, _) in zip(again, units_in([out[k][1] for k in again], False) if again else ()):
+            out[k][0].update(units)
     for token in np.unique(np.searchsorted(starts, np.flatnonzero(odd), "right") - 1).tolist():
         a, b = int(starts[token]), int(ends[token])
         if opens(whole[a:b]):
-            units, rows = out[int(np.searchsorted(bounds, a, "right"))]
-            if not rows:
-                units.add(whole[a:b])
+            k = int(np.searchsorted(bounds, a, "right"))
+            if k not in again:
+                out[k][0].add(whole[a:b])
     return out
 
 
@@ -531,9 +543,9 @@ def score(docs: DataFrame, read: DataFrame, lexicon: dict[str, float]) -> DataFr
         return [{"item": i, "p": p} for p, i in {_best(w, shared.value) for w in words} if p]
 
     def plain(batch: pa.RecordBatch) -> pa.RecordBatch:
-        here, rows, marks = uuid.uuid4().hex, texts(batch), _marks(shared.value)
-        both = units_in(rows)
-        seen = [found(divided(t)[0]) if alone else [{"item": i, "p": p} for p, i in marks.of(t)] for t, (_, alone) in zip(rows, both)]
+        here, marks = uuid.uuid4().hex, _marks(shared.value)
+        both = units_in(texts(batch))
+        seen = [[{"item": i, "p": p} for p, i in marks.of(rest)] for _, rest in both]
         return pa.record_batch([pa.array([f"{here}{k}" for k in range(len(both))]), batch.column("doc_id"), pa.array(seen, hits),
                                 pa.array([sorted(units) for units, _ in both], pa.list_(pa.string()))], names=["row", "doc_id", "found", "units"])
 
