@@ -16,11 +16,13 @@ outside the vocabulary becomes its UTF-8 bytes (byte pieces).
 
 No piece holds ``SPACE`` after another character, nor a line feed, nor
 punctuation after a letter, so all paths meet there; stretches between such
-boundaries recur (words) and their ids are remembered.  The vocabulary reaches the workers as one file's pieces
+boundaries recur (words) and their ids are remembered.  Of a BPE model, stretches of
+up to ``LONGEST_KNOWN`` characters are searched with the same rule over one table
+of their boundaries; only longer ones commit ids before their end.  The vocabulary reaches the workers as one file's pieces
 and scores, a fixed size.
 
 Rows: null and empty texts have no ids and decode to the empty text; repeated
-rows give equal ids.  Decoding gives the text back exactly, but for U+2581
+rows give equal ids; an empty table gives no rows; extra columns are not read.  Decoding gives the text back exactly, but for U+2581
 itself, which the format reads as a space.
 """
 
@@ -210,10 +212,10 @@ class Viterbi:
 class Codec:
     """Texts to ids and back, for a model given as (piece, score, is_byte, is_plain) per id."""
 
-    def __init__(self, table: list[tuple[str, float, bool, bool]]):
+    def __init__(self, table: list[tuple[str, float, bool, bool]], unigram: bool = False):
         plain = {p: i for i, (p, _, _, ok) in enumerate(table) if ok}
         byte_ids = [i for i, row in enumerate(table) if row[2]]
-        self.search = Viterbi(plain, {p: table[i][1] for p, i in plain.items()}, byte_ids)
+        self.search = Viterbi(plain, {p: table[i][1] for p, i in plain.items()}, byte_ids, merges=not unigram)
         # text of every id; bytes beyond ASCII stand as escapes until their run is complete
         byte_of = {i: b for b, i in enumerate(byte_ids)}
         self.texts = [p if ok else chr(b if b < 128 else 0xDC00 + b) if (b := byte_of.get(i)) is not None else "" for i, (p, _, _, ok) in enumerate(table)]
@@ -240,7 +242,7 @@ class Codec:
         ids = self.known.get(stretch)
         if ids is None:
             short = len(stretch) <= LONGEST_KNOWN
-            ids = array("i", self.search.encode_short(stretch) if short else self.search.encode(stretch)).tobytes()
+            ids = array("i", self.search.encode_short(stretch) if short and self.search.merges else self.search.encode(stretch)).tobytes()
             if short:
                 if len(self.known) > CACHE:
                     self.known = {s: x for s, x in self.known.items() if len(s) <= SHORT}  # the common words
@@ -269,20 +271,21 @@ def model_table(path: str | None = None) -> list[tuple[str, float, bool, bool]]:
 _CODECS: dict[int, Codec] = {}
 
 
-def _codec(table: list) -> Codec:
+def _codec(table: list, unigram: bool) -> Codec:
     key = id(table)  # a broadcast value lives as long as its worker
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(table)
+        _CODECS[key] = Codec(table, unigram)
     return _CODECS[key]
 
 
-def encode(df: DataFrame, model_path: str | None = None) -> DataFrame:
-    """(doc_id, ids, decoded) per row of ``df``: ids and the text they decode to."""
+def encode(df: DataFrame, model_path: str | None = None, unigram: bool = False) -> DataFrame:
+    """(doc_id, ids, decoded) per row of ``df``: ids and the text they decode to.
+    ``unigram`` names the kind of the model, which its pieces do not show."""
     shared = df.sparkSession.sparkContext.broadcast(model_table(model_path))
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = _codec(shared.value)
+        codec = _codec(shared.value, unigram)
         packed = [codec.packed(t) for t in texts(batch)]
         ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))

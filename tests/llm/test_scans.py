@@ -113,6 +113,13 @@ def test_unigram_search_finds_the_best_path():
     for _ in range(200):
         t = "".join(r.choice("abc") for _ in range(r.randint(0, 14)))
         assert sum(scores[names[i]] for i in search.encode(t)) == pytest.approx(best(t)[0])
+    marked = {pieces.SPACE: -1.0, **scores}
+    codec = pieces.Codec([(p, v, False, True) for p, v in marked.items()], unigram=True)
+    for _ in range(200):
+        words = ["".join(r.choice("abc") for _ in range(r.randint(1, 14))) for _ in range(3)]
+        ids = codec.encode(" ".join(words))
+        assert codec.decode(ids) == " ".join(words)
+        assert sum(list(marked.values())[i] for i in ids) == pytest.approx(sum(best(w)[0] - 1 for w in words))
 
 
 def test_token_files(spark, tables):
