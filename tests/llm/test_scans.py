@@ -247,6 +247,14 @@ def test_personal_data(spark, tables):
         assert [got[i][f"n_{k}"] for k in personal_data.KINDS] == [sum(s[0] == k for s in spans) for k in personal_data.KINDS]
 
 
+def test_counts_are_of_base_spans_alone(spark, tables):
+    docs = [(1, "call me at 555-123-4567 now"), (2, "call +1 (555) 123-4567 or (212) 555-0199"), (3, None)]
+    field = personal_data.train(spark.read.parquet(SF01 + "/documents.parquet"))
+    got = {r["doc_id"]: r for r in personal_data.find(spark.read.parquet(tables(documents=docs) + "/documents.parquet"), field).collect()}
+    assert "phone:11:23" in got[1]["spans"]  # added by the field
+    assert [[got[i][f"n_{k}"] for k in personal_data.KINDS] for i in (1, 2, 3)] == [[0, 0, 0, 0], [0, 0, 0, 1], [0, 0, 0, 0]]
+
+
 def test_field_adds_rewritten_spans_and_leaves_clean_text(spark):
     field = personal_data.train(spark.read.parquet(SF01 + "/documents.parquet"))
     for t, kind, s in (("call me at 555-123-4567 now", "phone", "555-123-4567"), ("reach (212) 555-0199 today", "phone", "(212) 555-0199"), ("ip 10[.]20[.]30[.]41 is", "ip", "10[.]20[.]30[.]41")):
