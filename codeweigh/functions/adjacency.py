@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import grammar as G
-from .layout import DEDENT, INDENT, TOKEN_NAMES, _batch_emission, _flat, name_ids, pack_roles
+from .layout import DEDENT, INDENT, TOKEN_NAMES, _batch_emission, _flat, in_pieces, name_ids, pack_roles
 
 START, END = "START", "END"
 _NAMES, _NUMBERS = {"NAME", "_"}, {"NUMBER", "None", "True", "False"}
@@ -138,6 +138,10 @@ PAIRS_TYPE = T.StructType([T.StructField("pairs", T.LongType()), T.StructField("
 @F.arrow_udf(PAIRS_TYPE)
 def pairs_udf(lex: pa.Array) -> pa.Array:
     """Neighbouring pairs and illegal ones of a text's lexemes."""
+    return in_pieces(lex, _pair_counts)
+
+
+def _pair_counts(lex: pa.Array) -> pa.Array:
     values, offsets, nulls, at_start = _flat(lex)
     counts = illegal_pairs(values, pack_roles(values, at_start), offsets)
     return pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in counts], names=["pairs", "pair_errors"], mask=pa.array(nulls))

@@ -6,10 +6,17 @@ string objects), packed per lexeme as ``k + 32*(length > 1) + 64*indent``,
 and folded per text: bracket depth, NEWLINE suppression, adjacency and line
 numbering are numpy prefix sums; only emitted line breaks go through the
 small indent-stack loop.
+
+The arrays of a fold take some hundred bytes a lexeme, so a batch is folded in
+pieces of whole texts (:func:`pieces`): a worker's memory is bounded by
+``MOST_LEXEMES`` or the longest single text, not by the batch.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -104,6 +111,28 @@ def pack_roles(values: pa.Array, at_start: np.ndarray) -> np.ndarray:
     return packed
 
 
+#: Lexemes folded at a time (a text of more is folded alone).
+MOST_LEXEMES = 1 << 17
+
+
+def pieces(lex: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
+    """The texts of a batch, in order, cut into slices of at most ``most`` lexemes."""
+    if isinstance(lex, pa.ChunkedArray):
+        lex = lex.combine_chunks()
+    most = MOST_LEXEMES if most is None else most
+    offsets = lex.offsets.to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(lex):
+        end = max(at + 1, int(np.searchsorted(offsets, int(offsets[at]) + most, "right")) - 1)
+        yield lex.slice(at, end - at)
+        at = end
+
+
+def in_pieces(lex: pa.Array, fold: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """``fold`` of a whole batch, computed a piece at a time."""
+    return pa.concat_arrays([fold(piece) for piece in pieces(lex)] or [fold(lex)])
+
+
 def _flat(lex: pa.Array):
     """Flat lexemes, per-text offsets and null mask of a list<string> array."""
     if isinstance(lex, pa.ChunkedArray):
@@ -290,6 +319,10 @@ def emit_batch(packed: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 @F.arrow_udf(PROFILE_TYPE)
 def profile_udf(lex: pa.Array) -> pa.Array:
     """Profile struct per text from its lexeme array."""
+    return in_pieces(lex, _profiles)
+
+
+def _profiles(lex: pa.Array) -> pa.Array:
     values, offsets, nulls, at_start = _flat(lex)
     cols = profile_batch(pack_roles(values, at_start), offsets)
     mask = pa.array(nulls)
@@ -306,6 +339,10 @@ ROLES_TYPE = T.StructType([T.StructField("codes", T.ArrayType(T.IntegerType())),
 def roles_udf(lex: pa.Array) -> pa.Array:
     """Per lexeme: packed role code, whether it is an emitted NEWLINE, and
     its token-name id (index into ``TOKEN_NAMES``)."""
+    return in_pieces(lex, _roles)
+
+
+def _roles(lex: pa.Array) -> pa.Array:
     values, offsets, nulls, at_start = _flat(lex)
     packed = pack_roles(values, at_start)
     emit = emit_batch(packed, offsets)
@@ -346,6 +383,10 @@ def match_brackets(step: np.ndarray, doc: np.ndarray, d: int) -> tuple[np.ndarra
 def brackets_udf(lex: pa.Array) -> pa.Array:
     """Every bracket of a text: place, running depth after it, place of its partner
     (null: none) and whether both are of one kind."""
+    return in_pieces(lex, _brackets)
+
+
+def _brackets(lex: pa.Array) -> pa.Array:
     values, offsets, nulls, at_start = _flat(lex)
     k = pack_roles(values, at_start) & 31
     d = len(offsets) - 1
@@ -363,15 +404,24 @@ def brackets_udf(lex: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts), rows, mask=pa.array(nulls))
 
 
-TOKENS_TYPE = T.ArrayType(T.StructType([
-    T.StructField("pos", T.IntegerType()), T.StructField("sub", T.IntegerType()), T.StructField("name", T.IntegerType()),
-    T.StructField("text", T.StringType()), T.StructField("hidden", T.BooleanType())]))
+TOKENS_SCHEMA = "pos int, sub int, name int, text string, hidden boolean"
 
 
-@F.arrow_udf(TOKENS_TYPE)
-def tokens_udf(lex: pa.Array) -> pa.Array:
-    """All tokens of a text in order, layout tokens included."""
-    values, offsets, nulls, at_start = _flat(lex)
+def token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``mapInArrow`` body: (key, lexemes) to all tokens of the texts in order, layout
+    tokens included; one batch of rows for each piece of an input batch."""
+    for batch in batches:
+        key, lex, at = batch.column(0), batch.column(1), 0
+        for piece in pieces(lex):
+            docs, rows = _tokens(piece)
+            yield pa.RecordBatch.from_arrays([key.slice(at, len(piece)).take(pa.array(docs)), *rows],
+                                             names=[batch.schema.names[0], "pos", "sub", "name", "text", "hidden"])
+            at += len(piece)
+
+
+def _tokens(lex: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """Per token of some texts, in order: the text's place, and the columns of ``TOKENS_SCHEMA``."""
+    values, offsets, _, at_start = _flat(lex)
     packed = pack_roles(values, at_start)
     k = packed & 31
     hidden = np.isin(k, (0, 2, 12)) | (np.isin(k, (1, 13, 14)) & ~emit_batch(packed, offsets))
@@ -381,10 +431,17 @@ def tokens_udf(lex: pa.Array) -> pa.Array:
     text = pa.concat_arrays([values, pa.array([""] * (len(docs) - len(doc)), values.type)])
     hidden = np.concatenate((hidden, np.zeros(len(docs) - len(doc), dtype=bool)))
     order = np.lexsort((sub, at, docs))
-    fields = [*(pa.array(x[order].astype(np.int32)) for x in (at, sub, name)), text.take(pa.array(order)), pa.array(hidden[order])]
-    rows = pa.StructArray.from_arrays(fields, names=["pos", "sub", "name", "text", "hidden"])
-    cuts = np.searchsorted(docs[order], np.arange(len(offsets))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(cuts), rows, mask=pa.array(nulls))
+    return docs[order], [*(pa.array(x[order].astype(np.int32)) for x in (at, sub, name)), text.take(pa.array(order)), pa.array(hidden[order])]
+
+
+def unknown_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``mapInArrow`` body: characters no rule accepts, counted for each piece of an input batch."""
+    for batch in batches:
+        for piece in pieces(batch.column(0)):
+            values, _, _, at_start = _flat(piece)
+            unknown = np.flatnonzero((pack_roles(values, at_start) & 31) == 3)
+            found = pc.value_counts(values.take(pa.array(unknown)))
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["ch", "n"])
 
 
 # Token names by id: fixed classes first, then the grammar's keyword and
@@ -443,6 +500,8 @@ def name_counts(lex: pa.Array) -> dict:
 def histogram_batches(batches):
     """``mapInArrow`` body: one small (name, n) table per input batch."""
     for b in batches:
-        counts = name_counts(b.column(0))
+        counts: Counter = Counter()
+        for piece in pieces(b.column(0)):
+            counts.update(name_counts(piece))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()),
                                           pa.array(list(counts.values()), pa.int64())], names=["name", "n"])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import grammar as G
 from ..functions import lexing as L
@@ -43,12 +44,13 @@ def python_token_table(df: DataFrame, key: str, text: str) -> DataFrame:
     with ``sub`` 1, 2, ...; the NEWLINE and DEDENTs that close open blocks at
     the end stand at the position after the last lexeme.  Names come from the
     Arrow classifier as small ids, turned into text by indexing a constant
-    array (no join).
+    array (no join).  Rows leave a worker a piece of a batch at a time.
     """
-    from ..functions.layout import TOKEN_NAMES, tokens_udf
-    ex = df.select(key, F.explode(tokens_udf(L.py_lexemes(text))).alias("t"))
+    from ..functions.layout import TOKEN_NAMES, TOKENS_SCHEMA, token_batches
+    lexed = df.select(F.col(key).alias("key"), L.py_lexemes(text).alias("lexemes"))
+    rows = lexed.mapInArrow(token_batches, T.StructType([lexed.schema["key"], *T.StructType.fromDDL(TOKENS_SCHEMA)]))
     names = F.array(*[F.lit(n) for n in TOKEN_NAMES])
-    return ex.select(key, "t.pos", "t.sub", F.element_at(names, F.col("t.name") + 1).alias("name"), "t.text", "t.hidden")
+    return rows.select(F.col("key").alias(key), "pos", "sub", F.element_at(names, F.col("name") + 1).alias("name"), "text", "hidden")
 
 
 def token_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -69,12 +71,10 @@ def bracket_rows(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def unknown_chars(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Characters no rule accepts, with their occurrence counts."""
-    lx = df.select(key, L.py_lexemes(text).alias("_lx"))
-    lx = lx.withColumn("_k", L.py_roles("_lx")["codes"])
-    # only what is unknown is exploded
-    unk = lx.select(F.explode(F.filter(F.arrays_zip("_lx", "_k"), lambda z: z["_k"] % 32 == 3)).alias("z")).select(F.col("z._lx").alias("ch"))
-    return unk.groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    """Characters no rule accepts, with their occurrence counts (per piece of an Arrow batch first)."""
+    from ..functions.layout import unknown_batches
+    partial = df.select(L.py_lexemes(text).alias("_lx")).mapInArrow(unknown_batches, "ch string, n bigint")
+    return partial.groupBy("ch").agg(F.sum("n").alias("n"))
 
 
 def token_histogram(df: DataFrame, key: str, text: str) -> DataFrame:
