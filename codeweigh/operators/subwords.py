@@ -5,21 +5,17 @@ characters; their symbols are at first the bytes of their UTF-8 form (ids 0-255)
 Each merge joins the most frequent pair of neighbouring symbols (ties: the smallest
 pair) into symbol ``256 + rank``; pairs are counted at every place, times the word's count.
 
-:func:`train` keeps three tables in the shared folder:
-
-* ``counts``: the pairs with their counts (at most the square of the vocabulary);
-* ``index``: an inverted index (pair -> words that hold it, with their symbols), sorted
-  by pair, so that looking up a few pairs reads a few row groups;
-* ``changed``: words changed since the index was built, by round.
-
-A round looks up only the words that hold the pairs it merges, writes their new
-symbols to ``changed`` and adds the difference of their pairs to ``counts``;
-every ``ROUNDS`` rounds the index is built anew.  Several merges share a round
-where that cannot alter the outcome (:func:`safe_prefix`).  The driver holds the
-merges and the best ``AHEAD`` pairs, sizes bounded by parameters; words, counts and index stay distributed.
+A round of :func:`train` reads the words' symbols once: a map over Arrow batches applies the
+merges not yet written and counts the pairs of its batch, a shuffle adds the counts.  Every
+``ROUNDS`` rounds the merged symbols are written anew.  So a round takes time in proportion to
+the distinct words and memory by the batch, and what is stored is no larger than the
+words.  (An inverted index of pairs holds every word once for each of its pairs.)  Several
+merges share a round where that cannot alter the outcome (:func:`safe_prefix`).  The driver
+holds the merges and the best ``AHEAD`` pairs, sizes bounded by parameters.
 
 Encoding is map-only: the merges are broadcast (bounded by ``merges``) and
-applied once per distinct lexeme and worker.  ``decode(encode(text)) == text`` always,
+applied to the distinct lexemes of a piece of a batch, by passes over arrays while they
+are few, else lexeme by lexeme.  ``decode(encode(text)) == text`` always,
 for unseen texts too.
 """
 
@@ -29,18 +25,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize, scratch_path
+from ..functions.layout import in_pieces
+from ..session import materialize
 from .token_rows import _count_lexemes
 
 PIECE = 32
 #: Best pairs looked at in a round.
 AHEAD = 512
-#: Rounds between two builds of the index.
-ROUNDS = 16
+#: Rounds between two writes of the words' symbols.
+ROUNDS = 8
+#: Up to so many merges are applied as passes over whole arrays, one for each.
+FEW_MERGES = 512
 #: Lexemes whose ids a worker remembers.
 REMEMBERED = 1 << 16
 _CUT = rf"[\s\S]{{1,{PIECE}}}"
@@ -95,75 +95,108 @@ def join_pairs(symbols: list[int], ranks: dict[Pair, int], pairs: list[Pair]) ->
     return symbols
 
 
-_NEXT_TO = "transform(sequence(1, size({0}) - 1), i -> struct({0}[i - 1] AS left, {0}[i] AS right))"
+def merge_pair(symbols: np.ndarray, owner: np.ndarray, pair: Pair, new: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`join_pairs` of one pair for many words at once: ``owner`` tells whose symbol each is."""
+    hit = np.flatnonzero((symbols[:-1] == pair[0]) & (symbols[1:] == pair[1]) & (owner[1:] == owner[:-1]))
+    if not hit.size:
+        return symbols, owner
+    if pair[0] == pair[1]:  # of overlapping places every other one, from the left
+        first = np.concatenate(([True], np.diff(hit) != 1))
+        hit = hit[(hit - hit[first][np.cumsum(first) - 1]) % 2 == 0]
+    keep = np.ones(len(symbols), dtype=bool)
+    keep[hit + 1] = False
+    symbols = symbols.copy()
+    symbols[hit] = new
+    return symbols[keep], owner[keep]
+
+
+def _merged(lists: pa.Array, pending: list[tuple[Pair, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of a list array after the merges, and the row of each."""
+    symbols = lists.flatten().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    for pair, new in pending:
+        symbols, owner = merge_pair(symbols, owner, pair, new)
+    return symbols, owner
+
+
+def _lists(symbols: np.ndarray, owner: np.ndarray, rows: int) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=rows))))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(symbols.astype(np.int32)))
 
 
-def _pairs_of(symbols: str):
-    return F.when(F.size(symbols) > 1, F.expr(_NEXT_TO.format(symbols))).otherwise(F.expr("array()").cast("array<struct<left:int,right:int>>"))
+def _count_pairs(now: DataFrame, pending: list[tuple[Pair, int]]) -> DataFrame:
+    """(left, right, n) of the words' pairs after the pending merges."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols, owner = _merged(batch.column("symbols"), pending)
+            at = np.flatnonzero(owner[1:] == owner[:-1])
+            codes, of = np.unique((symbols[at].astype(np.int64) << 32) | symbols[at + 1], return_inverse=True)
+            sums = np.zeros(len(codes), np.int64)
+            np.add.at(sums, of, batch.column("n").to_numpy(zero_copy_only=False)[owner[at]])
+            yield pa.RecordBatch.from_arrays([pa.array((codes >> 32).astype(np.int32)), pa.array((codes & 0xFFFFFFFF).astype(np.int32)), pa.array(sums)], names=["left", "right", "n"])
 
-def _index(words: DataFrame) -> DataFrame:
-    """(left, right, word, n, symbols) for every pair of every word, sorted by pair."""
-    rows = words.select("word", "n", "symbols", F.explode(F.array_distinct(_pairs_of("symbols"))).alias("p"))
-    rows = rows.select("p.left", "p.right", "word", "n", "symbols")
-    return materialize(rows.repartitionByRange("left", "right", "word").sortWithinPartitions("left", "right"))
+    return now.mapInArrow(run, "left int, right int, n bigint").groupBy("left", "right").agg(F.sum("n").alias("n"))
+
+
+def _write_merged(now: DataFrame, pending: list[tuple[Pair, int]]) -> DataFrame:
+    """The words after the pending merges; those of one symbol have no pairs any more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = _lists(*_merged(batch.column("symbols"), pending), batch.num_rows)
+            out = pa.RecordBatch.from_arrays([batch.column("n"), lists], names=["n", "symbols"])
+            yield out.filter(pc.greater(pc.list_value_length(lists), 1))
+
+    return materialize(now.mapInArrow(run, now.schema))
 
 
 def train(words: DataFrame, merges: int, least: int = 2) -> list[Pair]:
     """The first ``merges`` merges of (word, n); fewer if no pair occurs ``least`` times any more."""
-    spark = words.sparkSession
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def as_bytes(word: pa.Array) -> pa.Array:
-        raw = word.cast(pa.binary()).to_pylist()
-        return pa.array([list(w) for w in raw], pa.list_(pa.int32()))
+        symbols, owner = _bytes(word)
+        return _lists(symbols, owner, len(word))
 
-    now = materialize(words.select("word", "n", as_bytes("word").alias("symbols")))
-    index = _index(now)
-    counts = materialize(now.select("n", F.explode(_pairs_of("symbols")).alias("p")).groupBy("p.left", "p.right").agg(F.sum("n").alias("n")))
+    now = materialize(words.select("n", as_bytes("word").alias("symbols")))
     learned: list[Pair] = []
-    changed, rounds = scratch_path(spark, "changed"), 0
-    schema = "word string, n bigint, symbols array<int>, before array<int>, round int"
+    pending, rounds = [], 0
     while len(learned) < merges:
+        counts = _count_pairs(now, pending)
         best = [tuple(r) for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "left", "right").limit(AHEAD).collect()]
         if not best:
             break
         pairs = safe_prefix(best, len(best) < AHEAD)[:merges - len(learned)]
-        ranks = {p: len(learned) + k for k, p in enumerate(pairs)}
+        pending += [(pair, 256 + len(learned) + k) for k, pair in enumerate(pairs)]
         learned += pairs
-
-        @F.arrow_udf(T.ArrayType(T.IntegerType()))
-        def joined(symbols: pa.Array) -> pa.Array:
-            return pa.array([join_pairs(s, ranks, pairs) for s in symbols.to_pylist()], pa.list_(pa.int32()))
-
-        chosen = ", ".join(f"({a}, {b})" for a, b in pairs)
-        lefts, rights = (", ".join(map(str, sorted(set(side)))) for side in zip(*pairs))
-        # the first two conditions reach the scan of the index, which is sorted by pair
-        found = index.where(f"left IN ({lefts}) AND right IN ({rights}) AND (left, right) IN ({chosen})").select(
-            "word", F.expr("struct(n, symbols, true AS holds)").alias("state"), F.lit(-1).alias("round"))
-        if rounds:
-            log = spark.read.schema(schema).parquet(changed)
-            holds = f"exists({_NEXT_TO.format('symbols')}, p -> (p.left, p.right) IN ({chosen}))"
-            found = found.unionByName(log.select("word", F.expr(f"struct(n, symbols, size(symbols) > 1 AND {holds} AS holds)").alias("state"), "round"))
-        latest = found.groupBy("word").agg(F.max_by("state", "round").alias("state")).where("state.holds")
-        touched = latest.select("word", "state.n", F.col("state.symbols").alias("before"))
-        touched.select("word", "n", joined("before").alias("symbols"), "before").write.parquet(f"{changed}/round={rounds}")
-        moved = spark.read.schema(schema).parquet(changed).where(F.col("round") == rounds)
-        counts = materialize(counts.unionByName(_deltas(moved)).groupBy("left", "right").agg(F.sum("n").alias("n")).where("n > 0"))
         rounds += 1
-        if rounds == ROUNDS and len(learned) < merges:
-            log = spark.read.schema(schema).parquet(changed)
-            latest = log.groupBy("word").agg(F.max_by(F.struct("n", "symbols"), "round").alias("s")).select("word", "s.n", "s.symbols")
-            now = materialize(now.join(latest, "word", "left_anti").unionByName(latest))
-            index, changed, rounds = _index(now), scratch_path(spark, "changed"), 0
+        if rounds % ROUNDS == 0 and len(learned) < merges:
+            now, pending = _write_merged(now, pending), []
     return learned
 
 
-def _deltas(moved: DataFrame) -> DataFrame:
-    """(left, right, n): what a round adds to the counts of pairs."""
-    lost = moved.select(F.explode(_pairs_of("before")).alias("p"), (-F.col("n")).alias("n"))
-    won = moved.select(F.explode(_pairs_of("symbols")).alias("p"), "n")
-    return lost.unionByName(won).select("p.left", "p.right", "n")
+def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the words' UTF-8 form, and the word of each."""
+    raw = words.cast(pa.binary())
+    size = pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False)
+    data = np.frombuffer(b"".join(w or b"" for w in raw.to_pylist()), np.uint8).astype(np.int32)
+    return data, np.repeat(np.arange(len(words)), size)
+
+
+def encode_words(words: pa.Array, merges: list[Pair]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of many lexemes, one after the other, and how many each has.  An earlier merge
+    finds no new places in what later ones made, so one pass for each merge does."""
+    symbols, word = _bytes(words)
+    begins = np.cumsum((symbols & 0xC0) != 0x80)  # characters up to here
+    first = np.concatenate(([True], word[1:] != word[:-1])) if word.size else np.zeros(0, dtype=bool)
+    place = begins - begins[first][np.cumsum(first) - 1] if word.size else begins
+    cut = first | ((place % PIECE == 0) & ((symbols & 0xC0) != 0x80))
+    piece = np.cumsum(cut) - 1
+    of = word[cut]
+    for k, pair in enumerate(merges):
+        symbols, piece = merge_pair(symbols, piece, pair, 256 + k)
+    return symbols, np.bincount(of[piece], minlength=len(words))
 
 
 class Encoder:
@@ -209,25 +242,34 @@ def encode(lexed: DataFrame, key: str, lexemes: str, merges: list[Pair]) -> Data
     """``(key, input_ids)`` of a lexeme-array column; null gives null."""
     shared = lexed.sparkSession.sparkContext.broadcast(list(merges))
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def ids(arrays: pa.Array) -> pa.Array:
-        if isinstance(arrays, pa.ChunkedArray):
-            arrays = arrays.combine_chunks()
-        encoder = _of_worker(shared, Encoder)
-        coded = arrays.flatten().dictionary_encode()  # each distinct lexeme of the batch once
-        each = [encoder.lexeme(x) for x in coded.dictionary.to_pylist()]
-        sizes = np.array([len(x) for x in each], np.int64)
-        flat = np.array([i for x in each for i in x], np.int32)
-        starts = np.cumsum(sizes) - sizes
+    def some(arrays: pa.Array) -> pa.Array:
+        coded = arrays.flatten().dictionary_encode()  # each distinct lexeme once
+        if len(shared.value) <= FEW_MERGES:
+            flat, sizes = encode_words(coded.dictionary, shared.value)
+        else:
+            encoder = _of_worker(shared, Encoder)
+            each = [encoder.lexeme(x) for x in coded.dictionary.to_pylist()]
+            sizes = np.array([len(x) for x in each], np.int64)
+            flat = np.array([i for x in each for i in x], np.int32)
         at = coded.indices.to_numpy(zero_copy_only=False)
-        ends = np.concatenate(([0], np.cumsum(sizes[at]))).astype(np.int64)
-        out = flat[np.repeat(starts[at] - ends[:-1], sizes[at]) + np.arange(ends[-1])]
+        out, ends = _taken(flat.astype(np.int32), sizes, at)
         offsets = arrays.offsets.to_numpy(zero_copy_only=False)
         return pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]].astype(np.int32)), pa.array(out), mask=arrays.is_null())
 
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(arrays: pa.Array) -> pa.Array:
+        return in_pieces(arrays, some)
+
     return lexed.select(key, ids(F.col(lexemes)).alias("input_ids"))
 
 
+def _taken(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``at`` (of these sizes, one after the other in ``flat``) side by side, and where each begins and ends."""
+    starts = np.cumsum(sizes) - sizes
+    ends = np.concatenate(([0], np.cumsum(sizes[at]))).astype(np.int64)
+    return flat[np.repeat(starts[at] - ends[:-1], sizes[at]) + np.arange(ends[-1])], ends
+
+
 def token_bytes(merges: list[Pair]) -> list[bytes]:
     """The bytes that each id stands for."""
     table = [bytes([b]) for b in range(256)]
@@ -240,10 +282,22 @@ def decode(df: DataFrame, ids: str, merges: list[Pair], out: str = "decoded") ->
     """Ids back to text; bytes that are no UTF-8 become U+FFFD; null gives null."""
     shared = df.sparkSession.sparkContext.broadcast(list(merges))
 
+    def some(arrays: pa.Array) -> pa.Array:
+        table = _of_worker(shared, token_bytes)
+        sizes = np.array([len(x) for x in table], np.int64)
+        data, ends = _taken(np.frombuffer(b"".join(table), np.uint8), sizes, arrays.flatten().to_numpy(zero_copy_only=False))
+        offsets = arrays.offsets.to_numpy(zero_copy_only=False)
+        cuts = pa.py_buffer(ends[offsets - offsets[0]].astype(np.int32))
+        there = pa.py_buffer(np.packbits(arrays.is_valid().to_numpy(zero_copy_only=False), bitorder="little"))
+        raw = pa.Array.from_buffers(pa.binary(), len(arrays), [there, cuts, pa.py_buffer(data)])
+        try:
+            return raw.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            return pa.array([None if x is None else x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+
     @F.arrow_udf(T.StringType())
     def text(arrays: pa.Array) -> pa.Array:
-        table = _of_worker(shared, token_bytes)
-        return pa.array([None if row is None else b"".join([table[i] for i in row]).decode("utf-8", "replace") for row in arrays.to_pylist()], pa.string())
+        return in_pieces(arrays, some)
 
     return df.withColumn(out, text(F.col(ids)))
 

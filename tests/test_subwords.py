@@ -3,6 +3,9 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -82,3 +85,25 @@ def test_ids_and_round_trip(spark):
                 assert got[i] == [s for p in pieces for s in S.join_pairs(list(p.encode()), encoder.ranks, merges)]
     table = S.learned_table(spark, merges).collect()
     assert [(x.left, x.right) for x in table] == merges and bytes.fromhex(table[0].token) == S.token_bytes(merges)[256]
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_array_passes_give_the_ids_of_single_lexemes(monkeypatch, few):
+    monkeypatch.setattr(S, "FEW_MERGES", few)
+    r = random.Random(few)
+    merges = [(97, 97), (256, 97), (97, 98), (256, 256), (195, 169), (258, 260), (98, 97)]
+    texts = ["".join(r.choice("aabé") for _ in range(r.randrange(1, 90))) for _ in range(300)] + ["a" * 65, "é" * 33, "a" * 32 + "b"]
+    encoder = S.Encoder(merges)
+    flat, sizes = S.encode_words(pa.array(texts), merges)
+    ends = np.cumsum(sizes)
+    assert [flat[e - n:e].tolist() for e, n in zip(ends, sizes)] == [encoder.lexeme(t) for t in texts]
+
+
+def test_words_are_stored_once(spark, monkeypatch):
+    """What training writes is no larger than the words: no copy of a word for each of its pairs."""
+    stored = []
+    write = S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df: stored.append(write(df)) or stored[-1])
+    words = spark.createDataFrame([("".join(random.Random(k).choice("abcdefgh") for _ in range(30)), 1) for k in range(500)], "word string, n bigint")
+    assert len(S.train(words, 3)) == 3
+    assert all(t.count() <= 500 for t in stored)
