@@ -34,11 +34,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeweigh.llm.common import documents, slices, texts
+from codeweigh.llm.common import documents, slices
 from codeweigh.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -53,20 +54,22 @@ NO_ID = -(1 << 63)
 #: Known pieces of text per worker; beyond this only short ones are kept.
 CACHE = 1 << 20
 SHORT = 8
-LOT = 2000
+LOT = 250
+#: Bytes of text whose pieces are looked up together.
+LOOKED_UP = 8 << 20
 
 
 # ---------------------------------------------------------------- format
 
 
 def pack(doc_ids: list[int], sizes: list[int], ids: np.ndarray, part: int, start: int) -> bytes:
-    levels, rest = [], ids.astype(np.uint64)
+    levels, rest = [], ids.astype(np.uint32)
     while True:
-        more = rest >> np.uint64(CHUNK)
+        more = rest >> np.uint32(CHUNK)
         going = more > 0
         counts = np.add.reduceat(going, np.arange(0, len(going), BLOCK)) if len(going) else np.empty(0, np.int64)
         rank = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype("<i8") if len(going) else np.empty(0, "<i8")
-        levels.append((len(rest), (rest & np.uint64((1 << CHUNK) - 1)).astype(np.uint8).tobytes(), np.packbits(going, bitorder="little").tobytes(), rank.tobytes()))
+        levels.append((len(rest), rest.astype(np.uint8).tobytes(), np.packbits(going, bitorder="little").tobytes(), rank.tobytes()))
         if not going.any():
             break
         rest = more[going]
@@ -125,7 +128,9 @@ class Segment:
 
 class Encoder:
     """Whole texts to ids.  Blanks and line feeds never lie inside a token, so
-    a text is encoded as the pieces between them, and known pieces are reused.
+    a text is encoded as the pieces between them, and known pieces are reused:
+    the distinct pieces of some texts are looked up once each, and their ids
+    put in every place by array passes.
     The tokenizer also parts a letter or digit from punctuation after it, and
     lower-cases, so an unknown piece is looked up without both first."""
 
@@ -134,34 +139,51 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.known: dict[str, bytes] = {"": b""}
-        self.zero = self.tokenizer.encode("0", add_special_tokens=False).ids
+        ending, words = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.last = np.zeros(max(words.values()) + 1, bool)  # tokens that end a word
+        self.last[[i for w, i in words.items() if ending and w.endswith(ending)]] = True
 
     def _ask(self, pieces: list[str]) -> None:
-        """Encode unknown pieces with the library.  Plain words go in lots, with
-        a digit, which is always a token of its own, between them."""
-        known, plain = self.known, [p for p in pieces if p.isalpha() and max(p) < _LATIN]
+        """Encode unknown pieces with the library.  Plain words go in lots; the
+        last token of a word, and no other, bears the vocabulary's word end."""
+        known, plain = self.known, [p for p in pieces if p.isalpha() and (p.isascii() or max(p) < _LATIN and _DOTTED not in p)]
         for at in range(0, len(plain), LOT):
             lot = plain[at:at + LOT]
-            ids = np.array(self.tokenizer.encode_batch_fast([" 0 ".join(lot)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.zero[0]) * 4
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(lot)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            if len(ends) != len(lot):  # another vocabulary: one by one, below
+                continue
             data = ids.tobytes()
-            for p, a, b in zip(lot, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)], strict=True):
+            for p, a, b in zip(lot, [0, *ends[:-1]], ends):
                 known[p] = data[a:b]
         other = [p for p in pieces if p not in known]
         for p, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
             known[p] = array("I", e.ids).tobytes()
 
-    def __call__(self, found: list[str]) -> list[np.ndarray]:
+    def __call__(self, found: list[str] | pa.Array) -> list[np.ndarray]:
+        if not len(found):
+            return []
         if len(self.known) > CACHE:
             self.known = {p: x for p, x in self.known.items() if len(p) <= SHORT}  # the common words
         known = self.known
-        pieces = [t.replace("\n", " ").split(" ") for t in found]
-        new = {p: _parts(p) for p in set(chain.from_iterable(pieces)).difference(known)}
-        self._ask(list(set(chain.from_iterable(new.values())).difference(known)))
-        for p, parts in new.items():
-            known[p] = b"".join([known[x] for x in parts])
-        get = known.__getitem__
-        return [np.frombuffer(b"".join([*map(get, row), _END]), np.uint32) for row in pieces]
+        found = found if isinstance(found, pa.Array) else pa.array(found, pa.string())
+        rows = pc.split_pattern(pc.replace_substring(found, "\n", " "), " ")
+        coded = rows.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # each distinct piece once
+        blobs = [*map(known.get, pieces), _END]
+        new = [i for i, x in enumerate(blobs) if x is None]
+        if new:
+            cut = [_parts(pieces[i]) for i in new]
+            self._ask([x for x in set(chain.from_iterable(cut)) if x not in known])
+            for i, parts in zip(new, cut):
+                blobs[i] = known[pieces[i]] = known[parts[0]] if len(parts) == 1 else b"".join([known[x] for x in parts])
+        ids, size = np.frombuffer(b"".join(blobs), np.uint32), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        ends = rows.offsets.to_numpy()[1:] - rows.offsets[0].as_py()
+        order = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(pieces))  # after each text the end
+        count = size[order]
+        last = np.cumsum(count)
+        out = ids[np.repeat((np.cumsum(size) - size)[order] - (last - count), count) + np.arange(last[-1])]
+        return np.split(out, last[ends + np.arange(len(ends))][:-1])
 
 
 _END = array("I", [END]).tobytes()
@@ -174,6 +196,8 @@ _AFTER = '.,;:!?%$&*#"'
 
 
 def _parts(piece: str) -> tuple[str, ...]:
+    if piece.isascii() and piece.isalpha():  # most pieces
+        return (piece.lower(),)
     word = piece.rstrip(_AFTER)
     if not word or not word[-1].isalnum() or "<|" in word or _DOTTED in word:
         return (piece,)
@@ -215,8 +239,8 @@ def write_segments(df: DataFrame, path: str, vocabulary_path: str | None = None)
             return pa.record_batch([pa.array([blob], pa.binary())], names=["segment"])
 
         for batch in batches:
-            for piece in slices(batch, 1 << 20):
-                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), encode(texts(piece))):
+            for piece in slices(batch, LOOKED_UP):
+                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), encode(pc.fill_null(piece.column("text"), ""))):
                     if doc_ids and size + len(ids) > SEGMENT_IDS:
                         yield flush()
                         start += size

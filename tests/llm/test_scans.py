@@ -531,3 +531,32 @@ def test_token_files_letters_before_signs():
 
 def test_language_letters_of_every_plane():
     assert len(language.grams(chr(0x32100))) and len(language.grams(chr(0x20000))) and not len(language.grams("12 .\U0001F600"))
+
+
+def test_token_files_look_a_piece_up_once():
+    from collections import Counter
+
+    import pyarrow as pa
+
+    class Seen(dict):
+        asked = Counter()
+
+        def get(self, key, default=None):
+            self.asked[key] += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            self.asked[key] += 1
+            return super().__getitem__(key)
+
+    with open(public_tokenizers.path(token_files.VOCABULARY), encoding="utf-8") as f:
+        encode = token_files.Encoder(f.read())
+    texts = ["the cat\nthe  Cat, " * 300, "", "\n", "a. the", "x<|endoftext|>.y é\t日本 語."] * 2
+    texts.append(" ".join(f"{chr(c)} dal{chr(c)} {chr(c)}o" for c in range(0x21, 0x400)))
+    want = [encode.tokenizer.encode(t, add_special_tokens=False).ids + [token_files.END] for t in texts]
+    for found in (texts, pa.array(["skipped", *texts], pa.string()).slice(1), pa.array(texts, pa.large_string())):
+        encode.known = Seen({"": b""})
+        encode.known.asked.clear()
+        assert [x.tolist() for x in encode(found)] == want
+        assert encode.known.asked["the"] <= 3  # once, and to fill it in
+    assert encode([]) == []
