@@ -114,8 +114,8 @@ def _ops_alternation(ops) -> str:
 
 
 def _poss(flavor: str) -> tuple[str, str]:
-    """Star and plus suffixes: possessive for Java, plain for RE2."""
-    return ("*+", "++") if flavor == "java" else ("*", "+")
+    """Star and plus suffixes: possessive for Java and Python's re, plain for RE2."""
+    return ("*", "+") if flavor == "re2" else ("*+", "++")
 
 
 # ----------------------------------------------------------------- Python
@@ -156,6 +156,9 @@ def python_pattern(flavor: str = "java") -> str:
         r"0[xX][0-9a-fA-F]" + plus, r"0[oO][0-7]" + plus, r"0[bB][01]" + plus,
         r"[1-9]" + d + star, "0" + plus,
     ])
+    if flavor == "word":  # Python's re; other characters than ASCII are those of identifiers
+        word = r"[A-Za-z_\x80-\U0010ffff][0-9A-Za-z_\x80-\U0010ffff]*+"
+        return "|".join("(?:" + p + ")" for p in [word, number, _ops_alternation(PY_OPERATORS), r"[\s\S]"])
     id_start = r"[_\p{L}\p{Nl}" + PY_ID_START_EXTRA + "]"
     id_cont = r"[_\p{L}\p{Nl}" + PY_ID_START_EXTRA + r"\p{Mn}\p{Mc}\p{Nd}\p{Pc}" + PY_ID_CONTINUE_EXTRA + "]"
     name = id_start + id_cont + star
@@ -171,6 +174,18 @@ def python_pattern(flavor: str = "java") -> str:
     return "|".join("(?:" + p + ")" for p in parts)
 
 
+#: A word of more characters is never part of a stretch: a search for one ends after so many.
+LONGEST_WORD = 64
+
+
+def python_stretch() -> str:
+    """Java pattern of a stretch: words without quotes, ``#``, backslashes and line breaks, each
+    followed by blanks.  No lexeme but a string, a comment or a line break or join holds a blank,
+    so the lexemes of a stretch are those of its words, taken alone, and its runs of blanks."""
+    signs = "".join(f"\\x{c:02x}" for c in range(33, 127) if chr(c) not in "\"'#\\")  # one by one: Java looks them up in a bit set
+    return "(?:[" + signs + r"\p{L}]" + f"{{1,{LONGEST_WORD}}}+" + r"[ \t]++)++"
+
+
 # ------------------------------------------------------------------- Java
 def java_pattern(flavor: str = "java") -> str:
     star, plus = _poss(flavor)

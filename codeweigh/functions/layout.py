@@ -120,10 +120,14 @@ def pieces(lex: pa.Array, most: int | None = None) -> Iterator[pa.Array]:
     if isinstance(lex, pa.ChunkedArray):
         lex = lex.combine_chunks()
     most = MOST_LEXEMES if most is None else most
-    offsets = lex.offsets.to_numpy(zero_copy_only=False)
+    yield from slices(lex, lex.offsets.to_numpy(zero_copy_only=False), most)
+
+
+def slices(lex: pa.Array, ends: np.ndarray, most: int) -> Iterator[pa.Array]:
+    """The texts of a batch cut where ``ends`` (the size of all texts before each, and of all) passes ``most``."""
     at = 0
     while at < len(lex):
-        end = max(at + 1, int(np.searchsorted(offsets, int(offsets[at]) + most, "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + most, "right")) - 1)
         yield lex.slice(at, end - at)
         at = end
 

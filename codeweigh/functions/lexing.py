@@ -44,6 +44,7 @@ from . import grammar as G
 
 PY_PATTERN = G.python_pattern("java")
 JAVA_PATTERN = G.java_pattern("java")
+STRETCH_PATTERN = f"(?:{G.python_stretch()})|{PY_PATTERN}"
 
 
 def _c(col) -> Column:
@@ -55,12 +56,21 @@ def py_lexemes(text) -> Column:
 
     Linear in the text: one with many escaped quotes is lexed with its dead
     openers masked (see :func:`_without_dead_openers`)."""
-    t = _c(text)
+    return _lexed(_c(text), _plain_lexemes)
+
+
+def py_stretches(text) -> Column:
+    """The lexemes of a text, with stretches of plain words (:func:`grammar.python_stretch`) left
+    whole: far fewer strings leave the JVM.  :mod:`codeweigh.functions.stretches` cuts them."""
+    return _lexed(_c(text), lambda t: F.regexp_extract_all(t, F.lit(STRETCH_PATTERN), 0))
+
+
+def _lexed(t: Column, plain) -> Column:
     many = _many_escaped_quotes(t)
-    lexemes = _plain_lexemes(t)
+    lexemes = plain(t)
     for three in _STANDINS:
         lexemes = F.when(many & _without(t, three), _masked_lexemes(t, three)).otherwise(lexemes)
-    return lexemes
+    return F.when(F.contains(t, F.lit("\\")), lexemes).otherwise(plain(t))  # one scan settles most texts
 
 
 def _plain_lexemes(t: Column) -> Column:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import lexing as L
+from ..functions import stretches as S
 
 DEFAULT_VOCAB = 50000
 LONGEST_ENTRY = 64
@@ -39,6 +40,18 @@ def lex_documents(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, L.py_lexemes(text).alias("lexemes"))
 
 
+def lex_stretches(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, lexemes)`` with stretches of plain words left whole, for the vocabulary and the ids
+    (``stretched=True``): the same result, fewer strings made and moved."""
+    return df.select(key, L.py_stretches(text).alias("lexemes"))
+
+
+def _count_stretches(batches):
+    """``mapInArrow`` body: :func:`_count_lexemes` of a column of stretches."""
+    for b in batches:
+        yield from S.count(b.column(0)).combine_chunks().to_batches()
+
+
 def _count_lexemes(batches):
     """``mapInArrow`` body: distinct lexemes of each batch with their counts."""
     for b in batches:
@@ -49,11 +62,11 @@ def _count_lexemes(batches):
         yield pa.RecordBatch.from_arrays([vc.field("values"), vc.field("counts")], names=["lexeme", "n"])
 
 
-def vocab_from_lexemes(lexed: DataFrame, lexemes: str, vocab_size: int = DEFAULT_VOCAB) -> DataFrame:
-    """Vocabulary from a lexeme-array column.  Each Arrow batch is counted in
-    its worker first, so only distinct lexemes per batch reach the shuffle and
+def vocab_from_lexemes(lexed: DataFrame, lexemes: str, vocab_size: int = DEFAULT_VOCAB, stretched: bool = False) -> DataFrame:
+    """Vocabulary from a lexeme-array column (``stretched``: of :func:`lex_stretches`).  Each Arrow
+    batch is counted in its worker first, so only distinct lexemes per batch reach the shuffle and
     a very frequent lexeme never piles up in one task."""
-    partial = lexed.select(lexemes).mapInArrow(_count_lexemes, "lexeme string, n bigint")
+    partial = lexed.select(lexemes).mapInArrow(_count_stretches if stretched else _count_lexemes, "lexeme string, n bigint")
     short = partial.where(F.octet_length("lexeme") <= LONGEST_ENTRY)
     counts = short.groupBy("lexeme").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), F.asc("lexeme")).limit(int(vocab_size))
@@ -65,7 +78,7 @@ def vocab_from_lexemes(lexed: DataFrame, lexemes: str, vocab_size: int = DEFAULT
 def tokenize_ids(df: DataFrame, key: str, text: str, vocab: DataFrame, vocab_size: int,
                  max_length: int | None = None) -> DataFrame:
     """K1 (+K2): ``(key, input_ids)``; null text gives null ids."""
-    return tokenize_lexemes(lex_documents(df, key, text), key, "lexemes", vocab, vocab_size, max_length)
+    return tokenize_lexemes(lex_stretches(df, key, text), key, "lexemes", vocab, vocab_size, max_length, stretched=True)
 
 
 _SETS: dict = {}
@@ -85,18 +98,16 @@ def _value_set(words):
 
 
 def tokenize_lexemes(lexed: DataFrame, key: str, lexemes: str, vocab: DataFrame, vocab_size: int,
-                     max_length: int | None = None) -> DataFrame:
+                     max_length: int | None = None, stretched: bool = False) -> DataFrame:
     """K1 from a lexeme-array column: one vectorized hash lookup per Arrow
-    batch (``index_in``; position = id); what it misses becomes bytes."""
+    batch (``index_in``; position = id); what it misses becomes bytes.  Of ``stretched`` lexemes
+    (:func:`lex_stretches`) each distinct word of a piece of the batch is looked up once."""
     words = [r["lexeme"] for r in vocab.orderBy("id").limit(int(vocab_size)).collect()]
     bc = lexed.sparkSession.sparkContext.broadcast(words)
     first_byte = int(vocab_size)
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encode(arrays: pa.Array) -> pa.Array:
-        if isinstance(arrays, pa.ChunkedArray):
-            arrays = arrays.combine_chunks()
-        flat = arrays.flatten()
+    def look_up(flat: pa.Array):
+        """The ids of some lexemes, in order, and where those of each begin (and all end)."""
         ids = pc.fill_null(pc.index_in(flat, value_set=_worker_table(bc, _value_set)), -1)
         ids = ids.to_numpy(zero_copy_only=False).astype(np.int32)
         missing = np.flatnonzero(ids < 0)
@@ -107,9 +118,34 @@ def tokenize_lexemes(lexed: DataFrame, key: str, lexemes: str, vocab: DataFrame,
         out = np.repeat(ids, size)
         data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).astype(np.int32)
         out[out < 0] = data + first_byte
+        return out, ends
+
+    def ids_of(arrays: pa.Array) -> pa.Array:
+        flat = arrays.flatten()
         offsets = arrays.offsets.to_numpy(zero_copy_only=False)
-        return pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]].astype(np.int32)), pa.array(out),
-                                        mask=arrays.is_null())
+        offsets = offsets - offsets[0]
+        if stretched:
+            parts, before = S.cut(flat)
+            coded = parts.dictionary_encode()
+            lexemes_, many = S.lexemes_of(coded.dictionary)
+            known, starts = look_up(lexemes_)
+            starts = starts[np.concatenate(([0], np.cumsum(many)))]
+            word = coded.indices.to_numpy(zero_copy_only=False)
+            size = np.diff(starts)[word]
+            ends = np.concatenate(([0], np.cumsum(size)))
+            out = known[np.repeat(starts[word] - ends[:-1], size) + np.arange(ends[-1])]
+            offsets = before[offsets]
+        else:
+            out, ends = look_up(flat)
+        return pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), pa.array(out), mask=arrays.is_null())
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(arrays: pa.Array) -> pa.Array:
+        if isinstance(arrays, pa.ChunkedArray):
+            arrays = arrays.combine_chunks()
+        if not stretched:
+            return ids_of(arrays)
+        return pa.concat_arrays([ids_of(piece) for piece in S.text_pieces(arrays)] or [ids_of(arrays)])
 
     ids = lexed.select(key, encode(F.col(lexemes)).alias("input_ids"))
     return ids if max_length is None else ids.withColumn("input_ids", truncate("input_ids", max_length))

@@ -91,18 +91,18 @@ def _pages(spark, sf):
 
 
 def _lexed(spark, sf):
-    return token_rows.lex_documents(_docs(spark, sf), "doc_id", "text")
+    return token_rows.lex_stretches(_docs(spark, sf), "doc_id", "text")
 
 
 def _vocab(spark, sf, lexed=None):
     lexed = lexed if lexed is not None else _lexed(spark, sf)
     # at most V rows; written once because encoding and decoding both read it
-    return materialize(token_rows.vocab_from_lexemes(lexed, "lexemes", V))
+    return materialize(token_rows.vocab_from_lexemes(lexed, "lexemes", V, stretched=True))
 
 
 def _ids(spark, sf, lexed=None):
     lexed = lexed if lexed is not None else _lexed(spark, sf)
-    return token_rows.tokenize_lexemes(lexed, "doc_id", "lexemes", _vocab(spark, sf, lexed), V)
+    return token_rows.tokenize_lexemes(lexed, "doc_id", "lexemes", _vocab(spark, sf, lexed), V, stretched=True)
 
 
 def _split(spark, sf):
@@ -179,12 +179,13 @@ def q_refresh_tokens(spark, sf):
     def write(which, text):
         part = F.col("doc_id") % P["cache_files"]
         docs = _raw_docs(spark, sf).where(which(part)).withColumn("part", part)
-        docs.select("doc_id", text.alias("text"), "part").repartition("part").write.mode("overwrite").option(
+        # one file for a part, or several of a part too large for one task
+        docs.select("doc_id", text.alias("text"), "part").hint("rebalance", "part").write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("part").parquet(src)
 
     def encode(rows):
-        lexed = rows.select(F.struct("doc_id", "_path").alias("row"), L.py_lexemes("text").alias("lexemes"))
-        return token_rows.tokenize_lexemes(lexed, "row", "lexemes", vocab, V).select("row.*", "input_ids")
+        lexed = rows.select(F.struct("doc_id", "_path").alias("row"), L.py_stretches("text").alias("lexemes"))
+        return token_rows.tokenize_lexemes(lexed, "row", "lexemes", vocab, V, stretched=True).select("row.*", "input_ids")
 
     write(lambda part: part >= 0, F.col("text"))
     token_cache.refresh(spark, src, path, encode, {"vocab_size": V})
@@ -398,8 +399,8 @@ def q_response_tail(spark, sf):
 def q_decode_tokens(spark, sf):
     docs = _docs(spark, sf)
     vocab = _vocab(spark, sf)
-    ids = token_rows.tokenize_lexemes(docs.select(F.struct("doc_id", "text").alias("doc"), L.py_lexemes("text").alias("lexemes")),
-                                      "doc", "lexemes", vocab, V)
+    ids = token_rows.tokenize_lexemes(docs.select(F.struct("doc_id", "text").alias("doc"), L.py_stretches("text").alias("lexemes")),
+                                      "doc", "lexemes", vocab, V, stretched=True)
     d = token_rows.decode(ids, "input_ids", vocab, V)
     return d.select("doc.doc_id", "decoded", (F.col("decoded") == F.col("doc.text")).alias("same_text"))
 

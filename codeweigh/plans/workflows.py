@@ -76,10 +76,10 @@ def rollout_batches(df: DataFrame, key: str, text: str, per_device_train_batch_s
     Returns ``key, batch_id, pos, input_ids, query_ids, query`` where the query
     is the first half of the ids with ``split_examples`` (else all of them),
     decoded back to text."""
-    lexed = token_rows.lex_documents(df, key, text)
-    vocab = materialize(token_rows.vocab_from_lexemes(lexed, "lexemes", vocab_size))
+    lexed = token_rows.lex_stretches(df, key, text)
+    vocab = materialize(token_rows.vocab_from_lexemes(lexed, "lexemes", vocab_size, stretched=True))
     limit = token_rows.max_input_length(context_size, max_new_tokens)
-    ids = token_rows.tokenize_lexemes(lexed, key, "lexemes", vocab, vocab_size, max_length=limit)
+    ids = token_rows.tokenize_lexemes(lexed, key, "lexemes", vocab, vocab_size, max_length=limit, stretched=True)
     rows = prepare.batch_rows(ids, [key], per_device_train_batch_size)
     q = token_rows.prompt_half_split("input_ids") if split_examples else F.col("input_ids")
     rows = rows.withColumn("query_ids", q)

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import materialize
+
 _JOURNAL = "version string, written long, settings string, root string, schema string"
 _MANIFEST = "path string, entry string, digest string, attempt string, file string"
 
@@ -103,7 +105,7 @@ def refresh(spark: SparkSession, source: str, path: str, encode: Callable[[DataF
         columns = [F.col(f"`{c}`") for c in rows.columns if c != "_path"]
         sums = rows.groupBy("_path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("h"))
         named = files.where(F.col("path").isin(*changed)).join(sums, F.col("path") == F.col("_path"), "left")
-        digests = named.select("path", "entry", F.md5(F.concat_ws("|", F.coalesce("n", F.lit(0)), F.coalesce(F.col("h").cast("string"), F.lit(""))).cast("binary")).alias("digest"))
+        digests = materialize(named.select("path", "entry", F.md5(F.concat_ws("|", F.coalesce("n", F.lit(0)), F.coalesce(F.col("h").cast("string"), F.lit(""))).cast("binary")).alias("digest")))  # a row for each file; the rows are read once
         touched = digests.join(old.select("path", "digest", "attempt", "file"), ["path", "digest"]).select(*_names())
         new = digests.join(touched, "path", "left_anti")
         attempt = uuid.uuid4().hex
