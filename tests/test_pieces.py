@@ -56,3 +56,16 @@ def test_memory_of_a_fold_does_not_grow_with_the_batch():
         return out
 
     assert peak(4000) < 2 * peak(500)
+
+
+def test_memory_of_the_histogram_does_not_grow_with_the_batch():
+    def peak(texts: int) -> int:
+        lex = pa.array([["x", " ", "=", " ", "(", "y", ")", "\n    "] * 50] * texts, LISTS)
+        tracemalloc.start()
+        counts = _rows(layout.histogram_batches([pa.RecordBatch.from_arrays([lex], names=["lexemes"])]))
+        out = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert {r["name"]: r["n"] for r in counts}["NAME"] == 100 * texts
+        return out
+
+    assert peak(4000) < 2 * peak(500)
