@@ -5,22 +5,27 @@ characters; their symbols are at first the bytes of their UTF-8 form (ids 0-255)
 Each merge joins the most frequent pair of neighbouring symbols (ties: the smallest
 pair) into symbol ``256 + rank``; pairs are counted at every place, times the word's count.
 
-A round of :func:`train` reads the words' symbols once: a map over Arrow batches applies the
-merges not yet written and counts the pairs of its batch, a shuffle adds the counts.  Every
-``ROUNDS`` rounds the merged symbols are written anew.  So a round takes time in proportion to
-the distinct words and memory by the batch, and what is stored is no larger than the
-words.  (An inverted index of pairs holds every word once for each of its pairs.)  Several
-merges share a round where that cannot alter the outcome (:func:`safe_prefix`).  The driver
-holds the merges and the best ``AHEAD`` pairs, sizes bounded by parameters.
+A round of :func:`train` takes the best ``ahead`` pairs and, of every word, the stretches that
+hang together by them (its contexts).  A pair that is made later counts no more than the pairs
+it came from, so the contexts alone tell all merges that come before the last of these pairs:
+:func:`learn` finds them one after the other, as if all words were there.  Distinct contexts are added up
+before they reach the driver; ``ahead`` follows their number, which is bounded by ``CONTEXTS``.
+Where they are more, the round takes the pairs that need no contexts (:func:`safe_prefix`).  So tens of thousands
+of merges take some dozens of rounds.  The words are read twice a round, by maps over Arrow batches that
+apply the merges not yet written; every ``ROUNDS`` rounds the merged symbols are written
+anew.  What is stored is no larger than the words.  The driver holds the merges, the
+best ``MOST_AHEAD`` pairs and the contexts, sizes bounded by parameters.
 
 Encoding is map-only: the merges are broadcast (bounded by ``merges``) and
-applied to the distinct lexemes of a piece of a batch, by passes over arrays while they
-are few, else lexeme by lexeme.  ``decode(encode(text)) == text`` always,
+applied to the distinct lexemes of a piece of a batch, by passes over arrays: one for each
+merge while they are few, else each pass joins in every word the earliest pair it holds.  ``decode(encode(text)) == text`` always,
 for unseen texts too.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +40,13 @@ from ..session import materialize
 from .token_rows import _count_lexemes
 
 PIECE = 32
-#: Best pairs looked at in a round.
-AHEAD = 512
+#: Best pairs looked at in the first round, and at most in any.
+AHEAD = 64
+MOST_AHEAD = 1 << 16
+#: Distinct contexts that the driver takes in a round.
+CONTEXTS = 1 << 17
 #: Rounds between two writes of the words' symbols.
-ROUNDS = 8
+ROUNDS = 4
 #: Up to so many merges are applied as passes over whole arrays, one for each.
 FEW_MERGES = 512
 #: Lexemes whose ids a worker remembers.
@@ -110,13 +118,60 @@ def merge_pair(symbols: np.ndarray, owner: np.ndarray, pair: Pair, new: int) ->
     return symbols[keep], owner[keep]
 
 
-def _merged(lists: pa.Array, pending: list[tuple[Pair, int]]) -> tuple[np.ndarray, np.ndarray]:
+Ranked = tuple[np.ndarray, np.ndarray]
+
+
+def ranked(merges: list[Pair], first: int = 0) -> Ranked:
+    """Pairs as codes in ascending order, and the symbol that each becomes."""
+    codes = np.array([a << 32 | b for a, b in merges], np.int64)
+    order = np.argsort(codes)
+    return codes[order], (256 + first + order).astype(np.int32)
+
+
+def _found(symbols: np.ndarray, owner: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a symbol and the next are one of the pairs, and which pair."""
+    if len(symbols) < 2 or not len(codes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pairs = symbols[:-1].astype(np.int64) << 32 | symbols[1:]
+    at = np.minimum(np.searchsorted(codes, pairs), len(codes) - 1)
+    hit = np.flatnonzero((codes[at] == pairs) & (owner[1:] == owner[:-1]))
+    return hit, at[hit]
+
+
+def merge_ranked(symbols: np.ndarray, owner: np.ndarray, table: Ranked) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`join_pairs` of all pairs of ``table`` for many words: a pass joins in each word the
+    earliest pair it holds; words that hold none are done."""
+    codes, becomes = table
+    none = np.iinfo(np.int32).max
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    while True:
+        hit, which = _found(symbols, owner, codes)
+        new = np.full(len(symbols), none, np.int32)
+        new[hit] = becomes[which]
+        starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if owner.size else np.zeros(0, np.int64)
+        least = np.repeat(np.minimum.reduceat(new, starts), np.diff(starts, append=len(owner))) if owner.size else new
+        live = least < none
+        done.append((symbols[~live], owner[~live]))
+        if not live.any():
+            break
+        symbols, owner, new, least = symbols[live], owner[live], new[live], least[live]
+        hit = np.flatnonzero(new == least)
+        first = np.concatenate(([True], np.diff(hit) != 1))  # of overlapping places every other one, from the left
+        hit = hit[(hit - hit[first][np.cumsum(first) - 1]) % 2 == 0]
+        keep = np.ones(len(symbols), dtype=bool)
+        keep[hit + 1] = False
+        symbols[hit] = new[hit]
+        symbols, owner = symbols[keep], owner[keep]
+    symbols, owner = (np.concatenate(x) for x in zip(*done))
+    order = np.argsort(owner, kind="stable")
+    return symbols[order], owner[order]
+
+
+def _merged(lists: pa.Array, pending: Ranked) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of a list array after the merges, and the row of each."""
     symbols = lists.flatten().to_numpy(zero_copy_only=False)
     owner = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-    for pair, new in pending:
-        symbols, owner = merge_pair(symbols, owner, pair, new)
-    return symbols, owner
+    return merge_ranked(symbols, owner, pending) if len(pending[0]) else (symbols, owner)
 
 
 def _lists(symbols: np.ndarray, owner: np.ndarray, rows: int) -> pa.Array:
@@ -124,7 +179,7 @@ def _lists(symbols: np.ndarray, owner: np.ndarray, rows: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(symbols.astype(np.int32)))
 
 
-def _count_pairs(now: DataFrame, pending: list[tuple[Pair, int]]) -> DataFrame:
+def _count_pairs(now: DataFrame, pending: Ranked) -> DataFrame:
     """(left, right, n) of the words' pairs after the pending merges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +194,31 @@ def _count_pairs(now: DataFrame, pending: list[tuple[Pair, int]]) -> DataFrame:
     return now.mapInArrow(run, "left int, right int, n bigint").groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
-def _write_merged(now: DataFrame, pending: list[tuple[Pair, int]]) -> DataFrame:
+def _contexts(now: DataFrame, pending: Ranked, best: list[Pair]) -> DataFrame:
+    """(context, n): the longest stretches of the words after the pending merges in which every
+    two neighbours are one of the pairs; symbols as 4 bytes each."""
+    codes, _ = ranked(best)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols, owner = _merged(batch.column("symbols"), pending)
+            hit, _ = _found(symbols, owner, codes)
+            inside = np.zeros(len(symbols), dtype=bool)
+            inside[hit] = inside[hit + 1] = True
+            follows = np.zeros(len(symbols), dtype=bool)
+            follows[hit + 1] = True
+            starts = np.flatnonzero(~follows[inside])
+            ends = np.append(starts, np.count_nonzero(inside)) * 4
+            data = symbols[inside].astype(np.int32)
+            found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+            n = pa.array(batch.column("n").to_numpy(zero_copy_only=False)[owner[inside][starts]], pa.int64())
+            whole = pa.table([found, n], names=["context", "n"]).group_by("context").aggregate([("n", "sum")])
+            yield from whole.rename_columns({"n_sum": "n"}).select(["context", "n"]).to_batches()
+
+    return now.mapInArrow(run, "context binary, n bigint").groupBy("context").agg(F.sum("n").alias("n"))
+
+
+def _write_merged(now: DataFrame, pending: Ranked) -> DataFrame:
     """The words after the pending merges; those of one symbol have no pairs any more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +230,46 @@ def _write_merged(now: DataFrame, pending: list[tuple[Pair, int]]) -> DataFrame:
     return materialize(now.mapInArrow(run, now.schema))
 
 
+def learn(contexts: list[tuple[list[int], int]], last: tuple[int, int, int] | None, first: int, most: int, least: int = 2) -> list[Pair]:
+    """The merges from number ``first`` on, ``most`` at most, that come no later than ``last`` (minus
+    its count, left, right; None: all that occur ``least`` times), from contexts and their counts."""
+    counts: dict[Pair, int] = defaultdict(int)
+    where: dict[Pair, set[int]] = defaultdict(set)
+    words = [w for w, _ in contexts]
+    for k, (w, n) in enumerate(contexts):
+        for p in zip(w, w[1:]):
+            counts[p] += n
+            where[p].add(k)
+    heap = [(-n, *p) for p, n in counts.items() if n >= least]
+    heapq.heapify(heap)
+    learned: list[Pair] = []
+    while heap and len(learned) < most:
+        key = heapq.heappop(heap)
+        if last is not None and key > last:
+            break
+        pair = key[1:]
+        if counts.get(pair) != -key[0]:  # it has changed since
+            continue
+        ranks, changed = {pair: first + len(learned)}, set()
+        learned.append(pair)
+        for k in where.pop(pair):
+            old, n = words[k], contexts[k][1]
+            new = words[k] = join_pairs(old, ranks, [pair])
+            if len(new) < len(old):
+                for p in zip(old, old[1:]):
+                    counts[p] -= n
+                    changed.add(p)
+                for p in zip(new, new[1:]):
+                    counts[p] += n
+                    where[p].add(k)
+                    changed.add(p)
+        for p in changed - {pair}:
+            if counts[p] >= least:
+                heapq.heappush(heap, (-counts[p], *p))
+        del counts[pair]
+    return learned
+
+
 def train(words: DataFrame, merges: int, least: int = 2) -> list[Pair]:
     """The first ``merges`` merges of (word, n); fewer if no pair occurs ``least`` times any more."""
 
@@ -161,18 +280,27 @@ def train(words: DataFrame, merges: int, least: int = 2) -> list[Pair]:
 
     now = materialize(words.select("n", as_bytes("word").alias("symbols")))
     learned: list[Pair] = []
-    pending, rounds = [], 0
+    written, rounds, ahead = 0, 0, AHEAD
     while len(learned) < merges:
+        pending = ranked(learned[written:], written)
         counts = _count_pairs(now, pending)
-        best = [tuple(r) for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "left", "right").limit(AHEAD).collect()]
+        best = [tuple(r) for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "left", "right").limit(ahead).collect()]
         if not best:
             break
-        pairs = safe_prefix(best, len(best) < AHEAD)[:merges - len(learned)]
-        pending += [(pair, 256 + len(learned) + k) for k, pair in enumerate(pairs)]
-        learned += pairs
+        complete = len(best) < ahead
+        found = _contexts(now, pending, [(a, b) for a, b, _ in best]).limit(CONTEXTS + 1).toArrow()
+        if found.num_rows > CONTEXTS:
+            learned += safe_prefix(best, complete)[:merges - len(learned)]
+            ahead = max(ahead // 2, 1)
+        else:
+            contexts = [(np.frombuffer(c, np.int32).tolist(), n) for c, n in zip(found["context"].to_pylist(), found["n"].to_pylist())]
+            a, b, n = best[-1]
+            learned += learn(contexts, None if complete else (-n, a, b), len(learned), merges - len(learned), least)
+            if 3 * found.num_rows <= CONTEXTS:
+                ahead = min(2 * ahead, MOST_AHEAD)
         rounds += 1
         if rounds % ROUNDS == 0 and len(learned) < merges:
-            now, pending = _write_merged(now, pending), []
+            now, written = _write_merged(now, ranked(learned[written:], written)), len(learned)
     return learned
 
 
@@ -184,9 +312,10 @@ def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, np.repeat(np.arange(len(words)), size)
 
 
-def encode_words(words: pa.Array, merges: list[Pair]) -> tuple[np.ndarray, np.ndarray]:
+def encode_words(words: pa.Array, merges: list[Pair], table: Ranked | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of many lexemes, one after the other, and how many each has.  An earlier merge
-    finds no new places in what later ones made, so one pass for each merge does."""
+    finds no new places in what later ones made, so one pass for each merge does.
+    ``table``: :func:`ranked` of the merges, if at hand."""
     symbols, word = _bytes(words)
     begins = np.cumsum((symbols & 0xC0) != 0x80)  # characters up to here
     first = np.concatenate(([True], word[1:] != word[:-1])) if word.size else np.zeros(0, dtype=bool)
@@ -194,8 +323,11 @@ def encode_words(words: pa.Array, merges: list[Pair]) -> tuple[np.ndarray, np.nd
     cut = first | ((place % PIECE == 0) & ((symbols & 0xC0) != 0x80))
     piece = np.cumsum(cut) - 1
     of = word[cut]
-    for k, pair in enumerate(merges):
-        symbols, piece = merge_pair(symbols, piece, pair, 256 + k)
+    if len(merges) <= FEW_MERGES:
+        for k, pair in enumerate(merges):
+            symbols, piece = merge_pair(symbols, piece, pair, 256 + k)
+    else:
+        symbols, piece = merge_ranked(symbols, piece, table or ranked(merges))
     return symbols, np.bincount(of[piece], minlength=len(words))
 
 
@@ -226,16 +358,14 @@ class Encoder:
         return found
 
 
-_ENCODERS: dict = {}
+_MADE: dict = {}
 
 
 def _of_worker(merges, make):
-    """One object per worker and vocabulary."""
-    key = (make.__name__, id(merges.value))
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = make(merges.value)
-    return _ENCODERS[key]
+    """What ``make`` makes of the merges, once per worker for the vocabulary in use."""
+    if make not in _MADE or _MADE[make][0] is not merges.value:
+        _MADE[make] = merges.value, make(merges.value)
+    return _MADE[make][1]
 
 
 def encode(lexed: DataFrame, key: str, lexemes: str, merges: list[Pair]) -> DataFrame:
@@ -244,13 +374,7 @@ def encode(lexed: DataFrame, key: str, lexemes: str, merges: list[Pair]) -> Data
 
     def some(arrays: pa.Array) -> pa.Array:
         coded = arrays.flatten().dictionary_encode()  # each distinct lexeme once
-        if len(shared.value) <= FEW_MERGES:
-            flat, sizes = encode_words(coded.dictionary, shared.value)
-        else:
-            encoder = _of_worker(shared, Encoder)
-            each = [encoder.lexeme(x) for x in coded.dictionary.to_pylist()]
-            sizes = np.array([len(x) for x in each], np.int64)
-            flat = np.array([i for x in each for i in x], np.int32)
+        flat, sizes = encode_words(coded.dictionary, shared.value, _of_worker(shared, ranked))
         at = coded.indices.to_numpy(zero_copy_only=False)
         out, ends = _taken(flat.astype(np.int32), sizes, at)
         offsets = arrays.offsets.to_numpy(zero_copy_only=False)
@@ -278,14 +402,18 @@ def token_bytes(merges: list[Pair]) -> list[bytes]:
     return table
 
 
+def _byte_table(merges: list[Pair]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`token_bytes` side by side, and how many each id has."""
+    table = token_bytes(merges)
+    return np.frombuffer(b"".join(table), np.uint8), np.array([len(x) for x in table], np.int64)
+
+
 def decode(df: DataFrame, ids: str, merges: list[Pair], out: str = "decoded") -> DataFrame:
     """Ids back to text; bytes that are no UTF-8 become U+FFFD; null gives null."""
     shared = df.sparkSession.sparkContext.broadcast(list(merges))
 
     def some(arrays: pa.Array) -> pa.Array:
-        table = _of_worker(shared, token_bytes)
-        sizes = np.array([len(x) for x in table], np.int64)
-        data, ends = _taken(np.frombuffer(b"".join(table), np.uint8), sizes, arrays.flatten().to_numpy(zero_copy_only=False))
+        data, ends = _taken(*_of_worker(shared, _byte_table), arrays.flatten().to_numpy(zero_copy_only=False))
         offsets = arrays.offsets.to_numpy(zero_copy_only=False)
         cuts = pa.py_buffer(ends[offsets - offsets[0]].astype(np.int32))
         there = pa.py_buffer(np.packbits(arrays.is_valid().to_numpy(zero_copy_only=False), bitorder="little"))

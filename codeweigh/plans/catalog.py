@@ -23,11 +23,12 @@ from ..streaming.score_stream import score_stream
 
 # FIXED VALUES (launch parameters of the original workflow): batch size,
 # new tokens per response, validation share, sample caps, calibration
-# sample, fixed calibration of the second entry point, reward keyword.
+# sample, fixed calibration of the second entry point, reward keyword,
+# size of its tokenizer's vocabulary (50,257 with the bytes and the end of a text).
 PARAMS = dict(batch_size=64, max_new_tokens=512, context_size=1024, validation_percent=5,
               max_train_samples=100, max_eval_samples=100, calibration_sample=100,
               fixed_avg_tokens=200.0, fixed_avg_errors=50.0, keyword="er", seed=42,
-              vocab_size=token_rows.DEFAULT_VOCAB, truncate_to=128, subword_merges=32, cache_files=8)
+              vocab_size=token_rows.DEFAULT_VOCAB, truncate_to=128, subword_merges=token_rows.DEFAULT_VOCAB, cache_files=8)
 
 #: Replacements of :func:`code_like`, in order.
 CODE_LIKE = [(". ", ":\n    "), (", ", "\n"), (" of ", "\n\t"), (" the ", ":\n        "), (" with ", "\n  \t"), (" de ", " = (")]

@@ -167,24 +167,33 @@ FROM {src} d LEFT JOIN (
 
 IDS = ids("documents")
 
-# Words as rows of symbols in angle brackets; each step of the recursion counts all
-# pairs anew and joins the best one in every word.
+# Words as rows of symbols in angle brackets, and a row '' with the next symbol. Each step of the
+# recursion counts all pairs anew and joins the best ones (_g) in every word: those before the first (_t)
+# that has a symbol on the other side of a better pair. Joining a pair changes only counts of pairs that end
+# with its left or begin with its right symbol, and what comes new counts no more than these.
 SUBWORDS = f"""
 WITH RECURSIVE _lx AS (SELECT doc_id, regexp_extract_all(text, {_pat}, 0) AS lx FROM documents),
 _e AS (SELECT doc_id, unnest(lx) AS lexeme, generate_subscripts(lx, 1) AS ix FROM _lx),
 _pc AS (SELECT doc_id, ix, unnest(ws) AS word, generate_subscripts(ws, 1) AS sub FROM (SELECT doc_id, ix, regexp_extract_all(lexeme, '[\\s\\S]{{1,32}}') AS ws FROM _e) AS _x),
 _w AS (SELECT word, count(*) AS n, list_reduce(list_transform(range(strlen(word)), lambda b: '<' || CAST(CAST('0x' || substr(hex(encode(word)), 2 * b + 1, 2) AS INTEGER) AS VARCHAR) || '>'),
          lambda x, y: x || y) AS s FROM _pc GROUP BY word),
-_m(step, word, n, s) AS (
-  SELECT 0, word, n, s FROM _w
-  UNION ALL
-  SELECT step + 1, word, n, replace(s, '<' || p[1] || '><' || p[2] || '>', '<' || CAST(256 + step AS VARCHAR) || '>')
-  FROM _m, (SELECT p FROM (SELECT n, unnest(list_transform(range(1, len(q)), lambda i: [q[i], q[i + 1]])) AS p
-                           FROM (SELECT n, string_split(s[2:-2], '><') AS q FROM _m) AS _q) AS _o
-            GROUP BY p HAVING sum(n) >= 2 ORDER BY sum(n) DESC, CAST(p[1] AS INTEGER), CAST(p[2] AS INTEGER) LIMIT 1) AS best
-  WHERE step < {P['subword_merges']}),
-_f AS (SELECT word, list_transform(string_split(s[2:-2], '><'), lambda x: CAST(x AS INTEGER)) AS ids FROM _m
-       WHERE step = (SELECT max(step) FROM _m))
+_m(word, n, s) USING KEY (word) AS (
+  SELECT word, n, s FROM _w UNION ALL SELECT '', 256, ''
+  UNION ALL (
+  WITH _o AS MATERIALIZED (SELECT word, n, s, unnest(list_transform(range(1, len(q)), lambda i: '<' || q[i] || '><' || q[i + 1] || '>')) AS p
+                           FROM (SELECT word, n, s, string_split(s[2:-2], '><') AS q FROM recurring._m WHERE contains(s, '><')) AS _q),
+  _b AS MATERIALIZED (SELECT p, a, b, row_number() OVER (ORDER BY n DESC, a, b) AS r
+                      FROM (SELECT p, sum(n) AS n, CAST(string_split(p[2:-2], '><')[1] AS INTEGER) AS a, CAST(string_split(p[2:-2], '><')[2] AS INTEGER) AS b
+                            FROM _o GROUP BY p HAVING sum(n) >= 2) AS _c),
+  _t AS (SELECT min(r) AS r FROM (SELECT x.r FROM _b AS x JOIN (SELECT b, min(r) AS r FROM _b GROUP BY b) AS y ON x.a = y.b AND y.r < x.r
+                                  UNION ALL SELECT x.r FROM _b AS x JOIN (SELECT a, min(r) AS r FROM _b GROUP BY a) AS y ON x.b = y.a AND y.r < x.r
+                                  UNION ALL SELECT r + 1 FROM _b WHERE a = b) AS _x),
+  _g AS MATERIALIZED (SELECT p, '<' || CAST((SELECT n FROM recurring._m WHERE word = '') + r - 1 AS VARCHAR) || '>' AS new FROM _b
+                      WHERE r < coalesce((SELECT r FROM _t), r + 1) AND r <= 256 + {P['subword_merges']} - (SELECT n FROM recurring._m WHERE word = ''))
+  SELECT word, any_value(n), list_reduce(list_prepend(any_value(s), list(DISTINCT p || '=' || new)), lambda x, y: replace(x, string_split(y, '=')[1], string_split(y, '=')[2]))
+  FROM _o JOIN _g USING (p) GROUP BY word
+  UNION ALL SELECT '', (SELECT n FROM recurring._m WHERE word = '') + count(*), '' FROM _g HAVING count(*) > 0)),
+_f AS (SELECT word, list_transform(string_split(s[2:-2], '><'), lambda x: CAST(x AS INTEGER)) AS ids FROM _m WHERE word <> '')
 SELECT d.doc_id, coalesce(i.ids, []::INTEGER[]) AS input_ids, true AS same_text
 FROM documents d LEFT JOIN (SELECT doc_id, flatten(list(ids ORDER BY ix, sub)) AS ids FROM _pc JOIN _f USING (word) GROUP BY doc_id) AS i USING (doc_id)"""
 

@@ -107,3 +107,61 @@ def test_words_are_stored_once(spark, monkeypatch):
     words = spark.createDataFrame([("".join(random.Random(k).choice("abcdefgh") for _ in range(30)), 1) for k in range(500)], "word string, n bigint")
     assert len(S.train(words, 3)) == 3
     assert all(t.count() <= 500 for t in stored)
+
+
+def test_query_learns_until_no_pair_occurs_twice(spark, tmp_path):
+    """As many merges as the texts give, up to the size of the original's vocabulary."""
+    import __spark_entry__ as E
+    from codeweigh.plans.catalog import PARAMS
+
+    assert PARAMS["subword_merges"] == token_rows.DEFAULT_VOCAB
+    r = random.Random(7)
+    texts = [" ".join("".join(r.choice(["ba", "ro", "é", "tu", "x"]) for _ in range(r.randint(1, 5))) for _ in range(40)) for _ in range(12)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    lexemes = {x.id: x.lexemes for x in token_rows.lex_documents(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text").collect()}
+    merges = brute_train(list(Counter(x for each in lexemes.values() for x in each or []).items()), 10_000)
+    assert len(merges) > 64
+    encoder = S.Encoder(merges)
+    for row in E.queries()["subword_ids"](spark, str(tmp_path)).collect():
+        assert (row.input_ids or []) == [i for x in lexemes[row.doc_id] or [] for i in encoder.lexeme(x)]
+        assert row.same_text or texts[row.doc_id] is None
+
+
+@pytest.mark.parametrize("ahead, contexts", [(1, 1000), (3, 5), (4, 1000), (50, 20)])
+def test_rounds_of_contexts_equal_brute_force(spark, monkeypatch, ahead, contexts):
+    """However few pairs and contexts a round takes, ties across its last pair included."""
+    monkeypatch.setattr(S, "AHEAD", ahead)
+    monkeypatch.setattr(S, "CONTEXTS", contexts)
+    words = corpus(ahead, 25) + [("aaaaaaa", 2), ("abababa", 3), ("x", 5)]
+    assert S.train(spark.createDataFrame(words, "word string, n long").repartition(3), 25) == brute_train(words, 25)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.text("abcd", min_size=1, max_size=9), st.integers(1, 5)), max_size=12), st.integers(1, 12))
+def test_contexts_tell_the_merges_up_to_their_last_pair(words, ahead):
+    counts = Counter()
+    for w, n in words:
+        for p in zip(w.encode(), w.encode()[1:]):
+            counts[p] += n
+    best = sorted((-n, *p) for p, n in counts.items() if n >= 2)[:ahead]
+    if best:
+        linked = {p[1:] for p in best}
+        contexts = Counter()
+        for w, n in words:
+            stretch = []
+            for x in w.encode():
+                if stretch and (stretch[-1], x) not in linked:
+                    contexts[tuple(stretch)] += n
+                    stretch = []
+                stretch.append(x)
+            contexts[tuple(stretch)] += n
+        found = S.learn([(list(w), n) for w, n in contexts.items()], best[-1], 0, 1000)
+        assert found and found == brute_train(words, len(found))
+
+
+def test_many_words_at_once_are_merged_like_one():
+    merges = brute_train(corpus(9, 60), 60)
+    words = [w for w, _ in corpus(9, 200)] + ["a", "", "aaaa"]
+    encoder = S.Encoder(merges)
+    symbols, owner = S.merge_ranked(*S._bytes(pa.array(words)), S.ranked(merges))
+    assert [symbols[owner == k].tolist() for k in range(len(words))] == [encoder.lexeme(w) for w in words]
