@@ -128,43 +128,57 @@ def ranked(merges: list[Pair], first: int = 0) -> Ranked:
     return codes[order], (256 + first + order).astype(np.int32)
 
 
-def _found(symbols: np.ndarray, owner: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a symbol and the next are one of the pairs, and which pair."""
-    if len(symbols) < 2 or not len(codes):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = symbols[:-1].astype(np.int64) << 32 | symbols[1:]
+def _which(left: np.ndarray, right: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Which of the pairs these symbols are, -1 if none."""
+    if not len(codes):
+        return np.full(len(left), -1)
+    pairs = left.astype(np.int64) << 32 | right
     at = np.minimum(np.searchsorted(codes, pairs), len(codes) - 1)
-    hit = np.flatnonzero((codes[at] == pairs) & (owner[1:] == owner[:-1]))
-    return hit, at[hit]
+    return np.where(codes[at] == pairs, at, -1)
 
 
 def merge_ranked(symbols: np.ndarray, owner: np.ndarray, table: Ranked) -> tuple[np.ndarray, np.ndarray]:
     """:func:`join_pairs` of all pairs of ``table`` for many words: a pass joins in each word the
-    earliest pair it holds; words that hold none are done."""
+    earliest pair it holds, and looks up only the pairs that this makes; words that hold none are done."""
     codes, becomes = table
     none = np.iinfo(np.int32).max
-    done: list[tuple[np.ndarray, np.ndarray]] = []
-    while True:
-        hit, which = _found(symbols, owner, codes)
-        new = np.full(len(symbols), none, np.int32)
-        new[hit] = becomes[which]
-        starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if owner.size else np.zeros(0, np.int64)
-        least = np.repeat(np.minimum.reduceat(new, starts), np.diff(starts, append=len(owner))) if owner.size else new
-        live = least < none
-        done.append((symbols[~live], owner[~live]))
-        if not live.any():
-            break
-        symbols, owner, new, least = symbols[live], owner[live], new[live], least[live]
+    new = np.full(len(symbols), none, np.int32)  # what each symbol becomes with the next
+
+    def look(at: np.ndarray) -> None:
+        which = _which(symbols[at], symbols[at + 1], codes)
+        there = (which >= 0) & (owner[at] == owner[at + 1])
+        new[at[there]] = becomes[which[there]]
+
+    look(np.arange(len(symbols) - 1))
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # symbols, their words, their places in these
+    while len(symbols):
+        starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        sizes = np.diff(starts, append=len(owner))
+        least = np.minimum.reduceat(new, starts)
+        live = np.repeat(least < none, sizes)
+        place = np.arange(len(owner)) - np.repeat(starts, sizes)
+        done.append((symbols[~live], owner[~live], place[~live]))
+        symbols, owner, new, least = symbols[live], owner[live], new[live], np.repeat(least, sizes)[live]
         hit = np.flatnonzero(new == least)
+        if not hit.size:
+            break
         first = np.concatenate(([True], np.diff(hit) != 1))  # of overlapping places every other one, from the left
         hit = hit[(hit - hit[first][np.cumsum(first) - 1]) % 2 == 0]
         keep = np.ones(len(symbols), dtype=bool)
         keep[hit + 1] = False
         symbols[hit] = new[hit]
-        symbols, owner = symbols[keep], owner[keep]
-    symbols, owner = (np.concatenate(x) for x in zip(*done))
-    order = np.argsort(owner, kind="stable")
-    return symbols[order], owner[order]
+        symbols, owner, new = symbols[keep], owner[keep], new[keep]
+        at = hit - np.arange(len(hit))
+        at = np.concatenate((at[at > 0] - 1, at))
+        new[at] = none
+        look(at[at + 1 < len(symbols)])
+    if not done:
+        return symbols, owner
+    symbols, owner, place = (np.concatenate(x) for x in zip(*done))
+    sizes = np.bincount(owner)
+    out = np.empty_like(symbols)
+    out[(np.cumsum(sizes) - sizes)[owner] + place] = symbols
+    return out, np.repeat(np.arange(len(sizes)), sizes)
 
 
 def _merged(lists: pa.Array, pending: Ranked) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +216,7 @@ def _contexts(now: DataFrame, pending: Ranked, best: list[Pair]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             symbols, owner = _merged(batch.column("symbols"), pending)
-            hit, _ = _found(symbols, owner, codes)
+            hit = np.flatnonzero((_which(symbols[:-1], symbols[1:], codes) >= 0) & (owner[1:] == owner[:-1]))
             inside = np.zeros(len(symbols), dtype=bool)
             inside[hit] = inside[hit + 1] = True
             follows = np.zeros(len(symbols), dtype=bool)
