@@ -325,6 +325,57 @@ def test_every_rewritten_form_is_a_candidate():
             assert (0, len(tokens)) in segments, new
 
 
+def test_spans_that_no_trigger_announces_are_found(spark):
+    field = personal_data.train(spark.read.parquet(SF01 + "/documents.parquet"))
+    for t, s in (("host 97 dot 51 dot 17 dot 173 is", "97 dot 51 dot 17 dot 173"), ("10.20.30.40 and 129 dot 38 dot 82 dot 176", "129 dot 38 dot 82 dot 176")):
+        base, every = personal_data.all_spans(t, field)
+        assert [(k, t[a:b]) for k, a, b in every if (k, a, b) not in base] == [("ip", s)]
+
+
+WORDS = ["1234", "at", "AT", "555-0199", "x@y", "no", "+49", "(212)", "10.4", "10.20.30.40", "me.x@mail.example.com", "dot", "a(at)b.de", "²34", "x_at_", "9at", ".", "é,"]
+
+
+def test_added_spans_are_the_best_of_the_whole_text():
+    """Of all segments of the text that touch no base span, by trying all."""
+    r = random.Random(5)
+    for k in range(60):
+        field = _field(k)
+        text = " ".join(r.choice(WORDS) for _ in range(r.randrange(1, 9)))
+        base, every = personal_data.all_spans(text, field)
+        tokens, segments, rows = field.prepare(text)
+        scores = (field.weights[:, rows].sum(2) - personal_data.MARGIN).max(0) if segments else []
+        value = [0.0] * (len(tokens) + 1)
+        for i in range(len(tokens) - 1, -1, -1):
+            value[i] = max([value[i + 1]] + [scores[n] + value[j] for n, (x, j) in enumerate(segments)
+                                             if x == i and not any(a < tokens[j - 1][1] and tokens[i][0] < b for _, a, b in base)])
+        added = [s for s in every if s not in base]
+        row = {(tokens[i][0], tokens[j - 1][1]): n for n, (i, j) in enumerate(segments)}
+        total = sum(field.weights[personal_data.KINDS.index(y), rows[row[a, b]]].sum() - personal_data.MARGIN for y, a, b in added)
+        assert total == pytest.approx(value[0]), text
+
+
+def test_stretches_hold_every_candidate():
+    r = random.Random(6)
+    for k in range(40):
+        text = "".join(r.choice(["no ", "well,\n", "so\t ", "und  "]) if r.random() < 0.97 else r.choice(WORDS) + r.choice(["", " "]) for _ in range(400))
+        base = personal_data.base_spans(text)
+        field = _field(k)
+        assert personal_data.all_spans(text, field)[1] == sorted(base + field.decode(text, 0, None, personal_data.merged(base)), key=lambda s: (s[1], personal_data.KINDS.index(s[0]), s[2]))
+    assert personal_data.stretches("no digits here " * 50) == []
+
+
+def test_remembered_scores_are_those_of_the_features():
+    r = random.Random(7)
+    field = _field()
+    for _ in range(150):
+        text = "".join(r.choice(WORDS + ["mail", "web", "[at]", "(dot)", "dot", "com", "@"]) + r.choice(["", " ", " ", "\n"]) for _ in range(r.randrange(1, 40)))
+        tokens, segments, rows = field.prepare(text)
+        kinds, best = field.best(text, tokens, segments)
+        if segments:
+            scores = field.weights[:, rows].sum(2) - personal_data.MARGIN
+            assert best == pytest.approx(scores.max(0)) and kinds == scores.argmax(0).tolist(), text
+
+
 # ---------------------------------------------------------------- language
 
 
