@@ -35,9 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import stretches
 from ..functions.layout import in_pieces
 from ..session import materialize
-from .token_rows import _count_lexemes
+from .token_rows import _count_lexemes, _count_stretches
 
 PIECE = 32
 #: Best pairs looked at in the first round, and at most in any.
@@ -49,6 +50,8 @@ CONTEXTS = 1 << 17
 ROUNDS = 4
 #: Up to so many merges are applied as passes over whole arrays, one for each.
 FEW_MERGES = 512
+#: Distinct lexemes encoded together.
+TOGETHER = 1 << 15
 #: Lexemes whose ids a worker remembers.
 REMEMBERED = 1 << 16
 _CUT = rf"[\s\S]{{1,{PIECE}}}"
@@ -56,10 +59,10 @@ _CUT = rf"[\s\S]{{1,{PIECE}}}"
 Pair = tuple[int, int]
 
 
-def count_words(lexed: DataFrame, lexemes: str) -> DataFrame:
-    """(word, n): distinct pieces of a lexeme-array column.  Lexemes are counted
-    per Arrow batch before the shuffle, then cut."""
-    partial = lexed.select(lexemes).mapInArrow(_count_lexemes, "lexeme string, n bigint")
+def count_words(lexed: DataFrame, lexemes: str, stretched: bool = False) -> DataFrame:
+    """(word, n): distinct pieces of a lexeme-array column (``stretched``: with runs of plain words
+    left whole, :mod:`..functions.stretches`).  Lexemes are counted per Arrow batch before the shuffle, then cut."""
+    partial = lexed.select(lexemes).mapInArrow(_count_stretches if stretched else _count_lexemes, "lexeme string, n bigint")
     whole = partial.where("lexeme is not null").groupBy("lexeme").agg(F.sum("n").alias("n"))
     pieces = whole.select(F.explode(F.regexp_extract_all("lexeme", F.lit(_CUT), 0)).alias("word"), "n")
     return pieces.groupBy("word").agg(F.sum("n").alias("n"))
@@ -320,10 +323,12 @@ def train(words: DataFrame, merges: int, least: int = 2) -> list[Pair]:
 
 def _bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of the words' UTF-8 form, and the word of each."""
-    raw = words.cast(pa.binary())
-    size = pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False)
-    data = np.frombuffer(b"".join(w or b"" for w in raw.to_pylist()), np.uint8).astype(np.int32)
-    return data, np.repeat(np.arange(len(words)), size)
+    raw = pc.fill_null(words.cast(pa.binary()), b"")
+    _, offsets, data = raw.buffers()
+    if not len(raw) or data is None:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    ends = np.frombuffer(offsets, np.int32)[raw.offset:raw.offset + len(raw) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].astype(np.int32), np.repeat(np.arange(len(raw)), np.diff(ends))
 
 
 def encode_words(words: pa.Array, merges: list[Pair], table: Ranked | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -382,21 +387,30 @@ def _of_worker(merges, make):
     return _MADE[make][1]
 
 
-def encode(lexed: DataFrame, key: str, lexemes: str, merges: list[Pair]) -> DataFrame:
-    """``(key, input_ids)`` of a lexeme-array column; null gives null."""
+def encode(lexed: DataFrame, key: str, lexemes: str, merges: list[Pair], stretched: bool = False) -> DataFrame:
+    """``(key, input_ids)`` of a lexeme-array column (``stretched`` as for :func:`count_words`); null gives null."""
     shared = lexed.sparkSession.sparkContext.broadcast(list(merges))
 
     def some(arrays: pa.Array) -> pa.Array:
-        coded = arrays.flatten().dictionary_encode()  # each distinct lexeme once
-        flat, sizes = encode_words(coded.dictionary, shared.value, _of_worker(shared, ranked))
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        out, ends = _taken(flat.astype(np.int32), sizes, at)
-        offsets = arrays.offsets.to_numpy(zero_copy_only=False)
-        return pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]].astype(np.int32)), pa.array(out), mask=arrays.is_null())
+        parts, offsets = arrays.flatten(), arrays.offsets.to_numpy(zero_copy_only=False)
+        offsets = offsets - offsets[0]
+        if stretched:
+            parts, before = stretches.cut(parts)
+            offsets = before[offsets]
+        coded = parts.dictionary_encode()  # each distinct part once
+        words, many = stretches.lexemes_of(coded.dictionary) if stretched else (coded.dictionary, np.ones(len(coded.dictionary), np.int64))
+        table = _of_worker(shared, ranked)
+        found = [encode_words(words[k:k + TOGETHER], shared.value, table) for k in range(0, max(len(words), 1), TOGETHER)]
+        ends = np.concatenate(([0], np.cumsum(np.concatenate([sizes for _, sizes in found]))))
+        sizes = np.diff(ends[np.concatenate(([0], np.cumsum(many)))])
+        out, ends = _taken(np.concatenate([flat.astype(np.int32) for flat, _ in found]), sizes, coded.indices.to_numpy(zero_copy_only=False))
+        return pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), pa.array(out), mask=arrays.is_null())
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(arrays: pa.Array) -> pa.Array:
-        return in_pieces(arrays, some)
+        if not stretched:
+            return in_pieces(arrays, some)
+        return pa.concat_arrays([some(piece) for piece in stretches.text_pieces(arrays)] or [some(arrays)])
 
     return lexed.select(key, ids(F.col(lexemes)).alias("input_ids"))
 

@@ -371,9 +371,9 @@ def q_tokenize_ids(spark, sf):
 
 def q_subword_ids(spark, sf):
     docs = _docs(spark, sf)
-    lexed = docs.select(F.struct("doc_id", "text").alias("doc"), L.py_lexemes("text").alias("lexemes"))
-    merges = subwords.train(subwords.count_words(lexed, "lexemes"), P["subword_merges"])
-    ids = subwords.decode(subwords.encode(lexed, "doc", "lexemes", merges), "input_ids", merges)
+    lexed = docs.select(F.struct("doc_id", "text").alias("doc"), L.py_stretches("text").alias("lexemes"))
+    merges = subwords.train(subwords.count_words(lexed, "lexemes", stretched=True), P["subword_merges"])
+    ids = subwords.decode(subwords.encode(lexed, "doc", "lexemes", merges, stretched=True), "input_ids", merges)
     return ids.select("doc.doc_id", "input_ids", (F.col("decoded") == F.col("doc.text")).alias("same_text"))
 
 

@@ -116,10 +116,11 @@ def test_query_learns_until_no_pair_occurs_twice(spark, tmp_path):
 
     assert PARAMS["subword_merges"] == token_rows.DEFAULT_VOCAB
     r = random.Random(7)
-    texts = [" ".join("".join(r.choice(["ba", "ro", "é", "tu", "x"]) for _ in range(r.randint(1, 5))) for _ in range(40)) for _ in range(12)] + [None, ""]
+    texts = [" ".join("".join(r.choice(["ba", "ro", "é", "tu", "x"]) for _ in range(r.randint(1, 5))) for _ in range(40)) for _ in range(12)]
+    texts += [None, "", " ", "\tba ro\n  tu = 'x ba' # ro tu\r\n", "f(ba, 3.5e1)  ro.tu\\\n x", "ba " * 70_000, "é😀 \x00 ba", "'" + "ba" * 50, "tu" * 90]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     lexemes = {x.id: x.lexemes for x in token_rows.lex_documents(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text").collect()}
-    merges = brute_train(list(Counter(x for each in lexemes.values() for x in each or []).items()), 10_000)
+    merges = brute_train(list(Counter(x[at:at + S.PIECE] for each in lexemes.values() for x in each or [] for at in range(0, len(x), S.PIECE)).items()), 10_000)
     assert len(merges) > 64
     encoder = S.Encoder(merges)
     for row in E.queries()["subword_ids"](spark, str(tmp_path)).collect():
